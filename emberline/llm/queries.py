@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import packing, sharding
 from .common import table
 
 SHARDS = 16
@@ -16,7 +16,12 @@ def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jump_sharding": op2_jump_sharding,
+    "op5_best_fit_packing": op5_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
