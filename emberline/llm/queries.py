@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, url_filters
+from . import media_columns, packing, sharding, url_filters
 from .common import table
 
 SHARDS = 16
@@ -16,6 +16,10 @@ def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns.digest(media_columns.encode_texts(table(spark, sf_dir, "documents")))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,7 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jump_sharding": op2_jump_sharding,
     "op3_url_filters": op3_url_filters,
+    "op4_flac_media": op4_flac_media,
     "op5_best_fit_packing": op5_best_fit_packing,
 }
 ORACLES: dict[str, str] = {
