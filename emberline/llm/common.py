@@ -2,41 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..plans.storage import shared_folder, stored  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; the folder may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jvm_dir.isDefined():
-        return jvm_dir.get().rstrip("/")
-    local = tempfile.mkdtemp(prefix="emberline-")
-    spark.sparkContext.setCheckpointDir(local)
-    return f"file://{local}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, is computed once, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/emberline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def utf8(text: Column | str) -> Column:
     """UTF-8 bytes of a text, none for null."""
     return F.encode(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), "UTF-8")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media_columns, packing, sharding, url_filters
+from . import media_columns, packing, sharding, simhash, url_filters
 from .common import table
 
 SHARDS = 16
@@ -28,11 +28,16 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jump_sharding": op2_jump_sharding,
     "op3_url_filters": op3_url_filters,
     "op4_flac_media": op4_flac_media,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op9_simhash_golay": op9_simhash_golay,
 }
 ORACLES: dict[str, str] = {
     "op3_url_filters": url_filters.oracle(),
