@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..plans.storage import shared_folder, stored  # noqa: F401
@@ -41,10 +40,14 @@ def gapless_rank(df: DataFrame, group: str, key: Column, order: list, buckets: i
     return joined.withColumn(out, (F.col("_start") + F.col("_in")).cast("long")).drop("_group", "_b", "_bucket", "_start", "_in")
 
 
-def column_names_free(df: DataFrame, wanted: list[str]) -> DataFrame:
-    """Only the wanted columns of the input, so that extra columns can't clash with those an operator adds."""
-    return df.select(*[F.col(f"`{c}`") for c in wanted])
+def fold(doc_id: str, folds: int) -> Column:
+    return F.crc32(F.encode(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "UTF-8")) % folds
 
 
-def empty(spark: SparkSession, ddl: str) -> DataFrame:
-    return spark.createDataFrame([], T._parse_datatype_string(ddl))
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int) -> DataFrame:
+    """(text, y): a bounded sample of labelled training rows, the same for the same tables whatever the partitioning."""
+    rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out))
+    rows = rows.groupBy("doc_id").agg(F.max("y").alias("y")).join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("_h", F.xxhash64("doc_id"))
+    chosen = [rows.filter(F.col("y") == y).orderBy("_h", "doc_id").limit(per_class) for y in (0, 1)]
+    picked = F.broadcast(chosen[0].unionByName(chosen[1]).select("doc_id", "y"))  # 2 * per_class rows at most
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(picked, "doc_id").select("doc_id", "text", "y")

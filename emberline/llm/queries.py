@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media_columns, packing, sharding, simhash, url_filters
+from . import media_columns, packing, quality, sharding, simhash, toxicity, url_filters
 from .common import table
 
 SHARDS = 16
@@ -28,6 +28,14 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_toxicity_nb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,6 +45,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op4_flac_media": op4_flac_media,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_toxicity_nb_ngrams": op7_toxicity_nb_ngrams,
+    "op8_quality_bradley_terry": op8_quality_bradley_terry,
     "op9_simhash_golay": op9_simhash_golay,
 }
 ORACLES: dict[str, str] = {
