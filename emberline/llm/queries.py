@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media_columns, packing, quality, sharding, simhash, toxicity, url_filters
+from . import decontamination, media_columns, packing, quality, sharding, simhash, toxicity, url_filters
 from .common import table
 
 SHARDS = 16
@@ -28,6 +28,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity_nb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,10 +49,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op4_flac_media": op4_flac_media,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_template_decontamination": op6_template_decontamination,
     "op7_toxicity_nb_ngrams": op7_toxicity_nb_ngrams,
     "op8_quality_bradley_terry": op8_quality_bradley_terry,
     "op9_simhash_golay": op9_simhash_golay,
 }
 ORACLES: dict[str, str] = {
     "op3_url_filters": url_filters.oracle(),
+    "op6_template_decontamination": decontamination.oracle(),
 }
