@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, media_columns, packing, quality, sharding, simhash, toxicity, url_filters
+from . import decontamination, media_columns, packing, quality, sharding, simhash, token_counts, toxicity, url_filters
 from .common import table
 
 SHARDS = 16
 
 
+def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.maintained_totals(table(spark, sf_dir, "documents"))
+
+
 def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -45,6 +49,7 @@ def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_rollup": op1_token_rollup,
     "op2_jump_sharding": op2_jump_sharding,
     "op3_url_filters": op3_url_filters,
     "op4_flac_media": op4_flac_media,
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_golay": op9_simhash_golay,
 }
 ORACLES: dict[str, str] = {
+    "op1_token_rollup": token_counts.oracle(),
     "op3_url_filters": url_filters.oracle(),
     "op6_template_decontamination": decontamination.oracle(),
 }
