@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import fold, labelled_sample
 
@@ -155,19 +156,25 @@ class Scorer:
         return out
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """(doc_id, score) of every row."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Every row with its score in a column of that name, and the columns in `carry`."""
+    names = list(dict.fromkeys([*carry, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            margins = np.concatenate([scorer.margins(batch.column(1)[k : k + 200].to_pylist()) for k in range(0, batch.num_rows, 200)] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(margins, -30, 30))))], ["doc_id", "score"])
+            texts = batch.column(batch.schema.get_field_index("text"))
+            margins = np.concatenate([scorer.margins(texts[k : k + 200].to_pylist()) for k in range(0, batch.num_rows, 200)] or [np.zeros(0)])
+            value = pa.array(1 / (1 + np.exp(-np.clip(margins, -30, 30))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in carry), value], [*carry, "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    rows = docs.select(*names)
+    schema = StructType([*(rows.schema[c] for c in carry), StructField("score", DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
     """Every row with its fold, score and prediction."""
-    scored = score(docs, train(docs, labels, "toxic", folds, held_out))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = score(rows, train(docs, labels, "toxic", folds, held_out))
     return scored.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
