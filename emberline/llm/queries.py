@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, media_columns, packing, quality, sharding, simhash, token_counts, toxicity, url_filters
+from . import decontamination, licenses, media_columns, packing, quality, sharding, simhash, token_counts, toxicity, url_filters
 from .common import table
 
 SHARDS = 16
@@ -48,6 +48,10 @@ def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_license_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.document_files(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_rollup": op1_token_rollup,
     "op2_jump_sharding": op2_jump_sharding,
@@ -58,8 +62,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity_nb_ngrams": op7_toxicity_nb_ngrams,
     "op8_quality_bradley_terry": op8_quality_bradley_terry,
     "op9_simhash_golay": op9_simhash_golay,
+    "op10_license_tfidf": op10_license_tfidf,
 }
 ORACLES: dict[str, str] = {
+    "op10_license_tfidf": licenses.oracle(),
     "op1_token_rollup": token_counts.oracle(),
     "op3_url_filters": url_filters.oracle(),
     "op6_template_decontamination": decontamination.oracle(),
