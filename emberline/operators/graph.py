@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.storage import stored
 
@@ -42,3 +43,30 @@ def connected_components(edges: DataFrame, source: str = "src", target: str = "d
     else:
         raise RuntimeError("components did not settle")
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def density_clusters(points: DataFrame, pairs: DataFrame, min_samples: int) -> DataFrame:
+    """(id, cluster_id) of every point: density clusters over the pairs (a, b) within the radius, noise as -1.
+
+    A point is a core point if it and its partners number `min_samples` at least. Clusters are components of core points,
+    numbered by their smallest core id; a border point joins the lowest cluster among its core partners.
+    """
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    marked = stored(points.select("id").join(degree, F.col("id") == F.col("a"), "left").select("id", (F.coalesce("n", F.lit(0)) + 1 >= min_samples).alias("core")), "core")
+    core = marked.filter("core").select("id")
+    core_pairs = pairs.select("a", "b").join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
+    parts = connected_components(core_pairs, "a", "b")
+    rooted = stored(core.join(parts, core["id"] == parts["node"], "left").select("id", F.coalesce("component", "id").alias("root")), "roots")
+    order = Window.orderBy("root")
+    numbers = rooted.select("root").distinct().withColumn("cluster_id", (F.row_number().over(order) - 1).cast("int"))  # a row for each cluster
+    labelled = rooted.join(numbers, "root").select("id", "cluster_id")
+    border = (
+        both.join(labelled.select(F.col("id").alias("b"), F.col("cluster_id")), "b")
+        .join(marked.filter(~F.col("core")).select(F.col("id").alias("a")), "a")
+        .groupBy("a")
+        .agg(F.min("cluster_id").alias("cluster_id"))
+        .select(F.col("a").alias("id"), "cluster_id")
+    )
+    found = labelled.unionByName(border).withColumnRenamed("id", "_id")
+    return marked.select("id").join(found, F.col("id") == F.col("_id"), "left").select("id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
