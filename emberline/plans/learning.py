@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import imputed_distance
 from ..operators.labels import TRAINED
-from ..operators.spatial import nearest_within
+from ..operators.spatial import nearest_any
 from ..operators.stats import classification_metrics
 
 SPLIT_DEGREES = 0.5
@@ -59,14 +59,14 @@ def imputed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("nearest_distance_m", imputed_distance(F.col("nearest_distance_m"), F.col("extent_radius_m")))
 
 
-def nearest_same_class(df: DataFrame, label: str, cap_m: float = 200_000.0) -> DataFrame:
-    """(event_id, label, metres): each test row's distance to the nearest train row of its class; null if there is none in reach."""
+def nearest_same_class(df: DataFrame, label: str) -> DataFrame:
+    """(event_id, label, metres): each test row's distance to the nearest train row of its class; null if the class has none."""
     points = df.select("event_id", label, F.col("centroid_lat").alias("lat"), F.col("centroid_lon").alias("lon"), "assignment")
     parts = []
     for name in sorted(r[0] for r in df.select(label).distinct().collect() if r[0] is not None):  # a handful of classes
         own = points.filter(F.col(label) == name)
         test, train = own.filter(F.col("assignment") == "test"), own.filter(F.col("assignment") == "train")
-        parts.append(test.select("event_id", label).join(nearest_within(test, train, cap_m, "metres", "event_id"), "event_id", "left"))
+        parts.append(test.select("event_id", label).join(nearest_any(test, train, "metres", "event_id"), "event_id", "left"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -106,7 +106,7 @@ class OneVsRestBoost(Transformer):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         out = dataset
         for k, m in enumerate(self.models):
-            out = m.transform(out).withColumn(f"_p{k}", vector_to_array("_prob")[1]).drop("_rawp", "_prob", "_pred")
+            out = m.transform(out).withColumn(f"_p{k}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
         total = sum((F.col(f"_p{k}") for k in range(len(self.models))), F.lit(0.0))
         for k, c in enumerate(self.classes):
             out = out.withColumn(f"prob_{c}", F.col(f"_p{k}") / total)
@@ -120,7 +120,7 @@ def fit_boosted(df: DataFrame, label: str, numeric: list[str], categorical: list
     rows = balanced_weights(prepared.transform(df), label).cache()
     models = []
     for c in classes:
-        boost = GBTClassifier(labelCol="_y", featuresCol="features", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=SEED, rawPredictionCol="_rawp", probabilityCol="_prob", predictionCol="_pred")
+        boost = GBTClassifier(labelCol="_y", featuresCol="features", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=SEED)
         models.append(boost.fit(rows.withColumn("_y", (F.col(label) == c).cast("double"))))
     rows.unpersist()
     return PipelineModel(stages=[*prepared.stages, OneVsRestBoost(models, classes)])
@@ -240,7 +240,7 @@ def ward_groups(df: DataFrame, key: str, features: list[str], k: int) -> DataFra
         return pd.DataFrame({key: rows[key].to_numpy(), "ward_group": label})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, *features).groupBy(F.lit(1)).applyInPandas(run, f"{key} {kind}, ward_group int")
+    return df.select(key, *features, F.lit(1).alias("_all")).groupBy("_all").applyInPandas(run, f"{key} {kind}, ward_group int")
 
 
 def group_profiles(df: DataFrame, group: str, features: list[str]) -> DataFrame:

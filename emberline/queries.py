@@ -14,7 +14,7 @@ from .operators import clusters as C
 from .operators import contracts, dashboard, evidence, labels, stats
 from .operators import events as E
 from .operators.graph import density_clusters
-from .operators.spatial import pairs_within
+from .operators.spatial import nearest_in_own_radius, pairs_within
 from .plans import learning
 from .plans.storage import shared_folder, stored
 from .sources import adapter, ingest
@@ -75,8 +75,6 @@ def profile_of(labelled: DataFrame, clusters: DataFrame) -> DataFrame:
 
 def assigned_of(spark: SparkSession, d: str, labelled: DataFrame, clusters: DataFrame) -> DataFrame:
     """All years: the baseline keeps its clusters, others take the nearest cluster whose radius holds them, or -1."""
-    from .operators.spatial import nearest_in_own_radius
-
     others = hist(spark, d).filter(F.col("year") != BASELINE_YEAR)
     centres = clusters.select(F.col("cluster_id").alias("centre"), F.col("centroid_lat").alias("lat"), F.col("centroid_lon").alias("lon"), F.col("extent_radius_m").alias("radius_m"))
     near = nearest_in_own_radius(others, centres).select("id", F.col("centre").alias("cluster_id"))
@@ -337,7 +335,7 @@ def deep_dive(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def gaps(spark: SparkSession, d: str) -> DataFrame:
-    return stats.largest_gaps(hist(spark, d), "frp", 3, "year").select("year", "rank", F.round("before", 4).alias("before"), F.round("after", 4).alias("after"), F.round("gap", 4).alias("gap"))
+    return stats.largest_gaps(hist(spark, d), "frp", 3, "year").select("year", "rank", F.round("before", 3).alias("before"), F.round("after", 3).alias("after"), F.round("gap", 3).alias("gap"))
 
 
 @query
