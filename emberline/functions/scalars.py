@@ -41,6 +41,11 @@ LAND_COVER = {
 GROUPS = ("industrial", "power", "waste", "agricultural", "transport", "other")
 
 
+def settled(x: Column | str, digits: int) -> Column:
+    """Rounded, with means that fall on a half up to the last bits always going up, in whatever order they were summed."""
+    return F.round((F.col(x) if isinstance(x, str) else x) + 1e-9, digits)
+
+
 def minutes_of_day(hhmm: Column) -> Column:
     """An HHMM string, padded or not, as minutes since midnight."""
     padded = F.lpad(hhmm, 4, "0")

@@ -35,8 +35,8 @@ def _summary() -> list[Column]:
 def grid_groups(det: DataFrame, size_m: float = 375.0) -> DataFrame:
     """One row for each occupied grid cell."""
     out = det.groupBy(grid_cell(F.col("lat"), F.col("lon"), size_m).alias("cell_id")).agg(F.avg("lat").alias("la"), F.avg("lon").alias("lo"), *_summary())
-    return out.select("cell_id", F.round("la", 6).alias("cell_lat_center"), F.round("lo", 6).alias("cell_lon_center"), "detection_count", "unique_dates", "first_date", "last_date", "active_span_days",
-                      F.round("mean_frp", 4).alias("mean_frp"), "max_frp", "day_count", "night_count")
+    return out.select("cell_id", S.settled("la", 6).alias("cell_lat_center"), S.settled("lo", 6).alias("cell_lon_center"), "detection_count", "unique_dates", "first_date", "last_date", "active_span_days",
+                      S.settled("mean_frp", 4).alias("mean_frp"), "max_frp", "day_count", "night_count")
 
 
 def top_cells(groups: DataFrame, n: int = 20) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.geo import METRES_PER_DEGREE, elongation, haversine
 from ..functions.scalars import event_status, minutes_of_day
+from ..functions.scalars import settled as _settled
 from ..plans.storage import stored
 from .graph import connected_components
 from .spatial import pairs_within
@@ -69,8 +70,8 @@ def event_table(det: DataFrame, members: DataFrame, reference: Column) -> DataFr
     )
     return out.select(
         "event_id", "start_date", "end_date", (F.datediff("end_date", "start_date") + 1).alias("duration_days"),
-        F.round("clat", 6).alias("centroid_lat"), F.round("clon", 6).alias("centroid_lon"), F.round("extent", 1).alias("spatial_extent_m"), "detection_count",
-        F.round("mean", 3).alias("mean_frp"), "max_frp", F.round("night", 4).alias("night_fraction"), event_status(F.col("end_date"), reference).alias("status"),
+        _settled("clat", 6).alias("centroid_lat"), _settled("clon", 6).alias("centroid_lon"), F.round("extent", 1).alias("spatial_extent_m"), "detection_count",
+        _settled("mean", 3).alias("mean_frp"), "max_frp", F.round("night", 4).alias("night_fraction"), event_status(F.col("end_date"), reference).alias("status"),
     )
 
 

@@ -70,18 +70,16 @@ def nearest_within(left: DataFrame, right: DataFrame, cap_m: float, out: str, ke
     return candidates(left.select(key, "lat", "lon"), right.select("lat", "lon"), cap_m).groupBy(key).agg(F.min("metres").alias(out))
 
 
-def nearest_any(left: DataFrame, right: DataFrame, out: str, key: str = "id", caps: tuple[float, ...] = (20e3, 200e3, 1e6)) -> DataFrame:
+def nearest_any(left: DataFrame, right: DataFrame, out: str, key: str = "id", caps: tuple[float, ...] = (20e3, 200e3, 2e6, 2.1e7)) -> DataFrame:
     """(key, out): the smallest distance to any right row, for rows anywhere up to MOST_LAT degrees.
 
-    The search widens only for rows that found nothing nearer; what is left after the last cap meets all right rows.
+    The search widens only for rows that found nothing nearer; the last cap is half the way round the globe.
     """
     rest, parts = left.select(key, "lat", "lon"), []
     for cap in caps:
         found = stored(nearest_within(rest, right, cap, out, key), "nearest")
         parts.append(found)
         rest = rest.join(found, key, "left_anti")
-    far = rest.withColumn("_one", F.lit(1)).join(right.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.lit(1).alias("_two")), F.col("_one") == F.col("_two"))
-    parts.append(far.groupBy(key).agg(F.min(haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))).alias(out)))
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)

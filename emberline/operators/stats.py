@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import settled
+
 
 def safe_corr(x: Column, y: Column, on_constant: float | None = None) -> Column:
     """Pearson's r by sums; `on_constant` where either side has no variance."""
@@ -41,7 +43,7 @@ def correlation_audit(df: DataFrame, target: str, fields: list[str], limit: floa
 
 def class_means(df: DataFrame, label: str, fields: list[str]) -> DataFrame:
     return df.groupBy(label).agg(
-        F.count(F.lit(1)).alias("n"), *(F.round(F.avg(f), 4).alias(f"mean_{f}") for f in fields), *(F.round(F.percentile(f, F.lit(0.5)), 4).alias(f"median_{f}") for f in fields)
+        F.count(F.lit(1)).alias("n"), *(settled(F.avg(f), 4).alias(f"mean_{f}") for f in fields), *(F.round(F.percentile(f, F.lit(0.5)), 4).alias(f"median_{f}") for f in fields)
     )
 
 

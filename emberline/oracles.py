@@ -46,8 +46,8 @@ CTE: dict[str, str] = {
     "named": "select component, 'EVT' || lpad(cast(row_number() over (order by s, e, cla, clo, component) - 1 as varchar), 6, '0') as event_id from sized",
     "mem": "select det.*, event_id from det join comp using (id) join named using (component)",
     "cen": "select event_id, avg(lat) as cla, avg(lon) as clo from mem group by event_id",
-    "ev": f"""select event_id, min(acq_date) as start_date, max(acq_date) as end_date, cast(max(acq_date) - min(acq_date) + 1 as int) as duration_days, round(max(cla), 6) as centroid_lat, round(max(clo), 6) as centroid_lon,
-        round(max({hav("lat", "lon", "cla", "clo")}), 1) as spatial_extent_m, count(*) as detection_count, round(avg(frp), 3) as mean_frp, max(frp) as max_frp, round(avg(case when daynight = 'N' then 1.0 else 0.0 end), 4) as night_fraction,
+    "ev": f"""select event_id, min(acq_date) as start_date, max(acq_date) as end_date, cast(max(acq_date) - min(acq_date) + 1 as int) as duration_days, round(max(cla) + 1e-9, 6) as centroid_lat, round(max(clo) + 1e-9, 6) as centroid_lon,
+        round(max({hav("lat", "lon", "cla", "clo")}), 1) as spatial_extent_m, count(*) as detection_count, round(avg(frp) + 1e-9, 3) as mean_frp, max(frp) as max_frp, round(avg(case when daynight = 'N' then 1.0 else 0.0 end), 4) as night_fraction,
         case when date '{adapter.REFERENCE}' - max(acq_date) >= 1 then 'closed' else 'provisional' end as status from mem join cen using (event_id) group by event_id""",
     "tr": """select event_id, case when count(*) >= 2 then round(regr_slope(m, k), 6) end as frp_trend_slope, count(*) >= 2 as frp_trend_computable, count(*) as n_unique_days
         from (select event_id, m, row_number() over (partition by event_id order by acq_date) - 1 as k from (select event_id, acq_date, avg(frp) as m from mem group by all)) group by event_id""",
@@ -128,7 +128,7 @@ CTE: dict[str, str] = {
         case when len(h) > 1 then array_to_string(list_transform(h, lambda x: split_part(x, '|', 1)), ';') end as conflict_classes, cast(len(h) as int) as n_classes_matched,
         case when len(h) = 0 then 'insufficient_evidence' when len(h) > 1 then 'conflicting_evidence' end as ambiguity_reason, len(h) <> 1 as excluded_from_training from hits""",
     "sp": "select *, cast(floor(centroid_lat / 0.5) as int) as grid_row, cast(floor(centroid_lon / 0.5) as int) as grid_col, case when (floor(centroid_lat / 0.5) + floor(centroid_lon / 0.5)) % 2 = 1 then 'test' else 'train' end as assignment from le",
-    "gg": f"select {cell(375.0)} as cell_id, round(avg(lat), 6) as cell_lat_center, round(avg(lon), 6) as cell_lon_center, {SUMMARY} from det group by 1",
+    "gg": f"select {cell(375.0)} as cell_id, round(avg(lat) + 1e-9, 6) as cell_lat_center, round(avg(lon) + 1e-9, 6) as cell_lon_center, {SUMMARY} from det group by 1",
 }
 
 
@@ -162,10 +162,10 @@ FINAL: dict[str, str] = {
         where lat between 20.0 and 24.7 and lon between 68.0 and 74.5 group by 1""",
     "dedup_merge": """select is_new, count(*) as n, cast(sum(id) as bigint) as id_sum from (select id, src = 1 as is_new, row_number() over (partition by cast(lat as decimal(9,4)), cast(lon as decimal(9,4)), acq_date, acq_time order by src, id) as r
         from (select *, 0 as src from det where id % 3 <> 0 union all select *, 1 from det)) where r = 1 group by 1""",
-    "combine_years": "select cast(year(acq_date) as int) as year, provenance, count(*) as n, count(brightness) as n_brightness, round(avg(frp), 4) as mean_frp from (select acq_date, frp, brightness, 'recent' as provenance from det union all select acq_date, frp, null, 'archive' from hist) group by 1, 2",
+    "combine_years": "select cast(year(acq_date) as int) as year, provenance, count(*) as n, count(brightness) as n_brightness, round(avg(frp) + 1e-9, 4) as mean_frp from (select acq_date, frp, brightness, 'recent' as provenance from det union all select acq_date, frp, null, 'archive' from hist) group by 1, 2",
     "date_chunks": """select start, "end", chunk_start, least("end", chunk_start + 4) as chunk_end from (select start, "end", cast(unnest(generate_series(start, "end", interval 5 days)) as date) as chunk_start
         from (select min(cast(o_orderdate as date)) as start, max(cast(o_orderdate as date)) as "end" from orders group by year(o_orderdate)))""",
-    "grid_groups": "select * replace (round(mean_frp, 4) as mean_frp) from gg",
+    "grid_groups": "select * replace (round(mean_frp + 1e-9, 4) as mean_frp) from gg",
     "top20_cells": "select cell_id, unique_dates, detection_count from gg order by unique_dates desc, cell_id limit 20",
     "grid_scales": " union all ".join(f"select {m} as scale_m, count(*) as occupied_cells, round(avg(n), 4) as mean_per_cell, max(n) as max_per_cell from (select {cell(m)} as c, count(*) as n from det group by 1)" for m in (100, 250, 375, 500, 1000)),
     "event_edges": "select a, b, round(m, 3) as metres, d as days from edges",
@@ -180,7 +180,7 @@ FINAL: dict[str, str] = {
     "leakage_corr": "select field, round(r, 4) as r, coalesce(abs(round(r, 4)) <= 0.8, true) as safe from ("
     + " union all ".join(f"select '{f}' as field, case when var_pop({f}) > 1e-18 then corr({f}, frp_trend_slope) end as r from tr join ev using (event_id) where frp_trend_computable" for f in ("duration_days", "detection_count", "mean_frp", "max_frp", "night_fraction", "spatial_extent_m"))
     + ")",
-    "class_means": "select silver_label, count(*) as n, round(avg(mean_frp), 4) as mean_mean_frp, round(avg(spatial_extent_m), 4) as mean_spatial_extent_m, round(median(mean_frp), 4) as median_mean_frp, round(median(spatial_extent_m), 4) as median_spatial_extent_m from le group by 1",
+    "class_means": "select silver_label, count(*) as n, round(avg(mean_frp) + 1e-9, 4) as mean_mean_frp, round(avg(spatial_extent_m) + 1e-9, 4) as mean_spatial_extent_m, round(median(mean_frp), 4) as median_mean_frp, round(median(spatial_extent_m), 4) as median_spatial_extent_m from le group by 1",
     "nearest_evidence": "select * from nearest",
     "cluster_overlap": "select * from ovl",
     "osm_topk": "select * replace (round(metres, 1) as metres) from tf",
@@ -191,7 +191,7 @@ FINAL: dict[str, str] = {
     "silver_labels": "select * from sil",
     "label_counts": "select silver_label, ambiguity_reason, count(*) as n from sil group by all",
     "dbscan": "select id, cluster_id from mark",
-    "cluster_stats": "select * replace (" + ", ".join(f"round({c}, {k}) as {c}" for c, k in (("centroid_lat", 6), ("centroid_lon", 6), ("mean_frp", 4), ("bbox_min_lat", 6), ("bbox_max_lat", 6), ("bbox_min_lon", 6), ("bbox_max_lon", 6), ("extent_radius_m", 3))) + ") from cs",
+    "cluster_stats": "select * replace (" + ", ".join(f"round({c} + 1e-9, {k}) as {c}" for c, k in (("centroid_lat", 6), ("centroid_lon", 6), ("mean_frp", 4), ("bbox_min_lat", 6), ("bbox_max_lat", 6), ("bbox_min_lon", 6), ("bbox_max_lon", 6), ("extent_radius_m", 3))) + ") from cs",
     "cluster_date_metrics": "select cluster_id, " + ", ".join(f"round({c}, 6) as {c}" for c in ("detections_per_active_date", "occurrence_rate", "night_fraction", "frp_ratio", "top_day_share", "top3_days_share")) + " from met",
     "recurrence_profile": "select cluster_id, recurrence_strength, short_window_recurrence, burst_concentrated from prof",
     "cross_year": "select * from cy",

@@ -110,7 +110,7 @@ class OneVsRestBoost(Transformer):
         total = sum((F.col(f"_p{k}") for k in range(len(self.models))), F.lit(0.0))
         for k, c in enumerate(self.classes):
             out = out.withColumn(f"prob_{c}", F.col(f"_p{k}") / total)
-        best = F.greatest(*(F.struct(F.col(f"prob_{c}").alias("p"), F.lit(-k).alias("k"), F.lit(c).alias("c")) for k, c in enumerate(self.classes)))
+        best = F.array_max(F.array(*(F.struct(F.col(f"prob_{c}").alias("p"), F.lit(-k).alias("k"), F.lit(c).alias("c")) for k, c in enumerate(self.classes))))
         return out.withColumn("predicted_class", best["c"]).drop(*(f"_p{k}" for k in range(len(self.models))))
 
 

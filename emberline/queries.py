@@ -140,7 +140,7 @@ def combine_years(spark: SparkSession, d: str) -> DataFrame:
     recent = det(spark, d).select("id", "lat", "lon", "acq_date", "frp", "brightness").withColumn("provenance", F.lit("recent"))
     old = hist(spark, d).select("id", "lat", "lon", "acq_date", "frp").withColumn("provenance", F.lit("archive"))
     both = ingest.with_year(ingest.combine([old, recent]))
-    return both.groupBy("year", "provenance").agg(F.count(F.lit(1)).alias("n"), F.count("brightness").alias("n_brightness"), F.round(F.avg("frp"), 4).alias("mean_frp"))
+    return both.groupBy("year", "provenance").agg(F.count(F.lit(1)).alias("n"), F.count("brightness").alias("n_brightness"), S.settled(F.avg("frp"), 4).alias("mean_frp"))
 
 
 @query
@@ -272,7 +272,7 @@ def dbscan_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def cluster_stats(spark: SparkSession, d: str) -> DataFrame:
-    r = lambda c, k: F.round(c, k).alias(c)
+    r = lambda c, k: S.settled(c, k).alias(c)
     return stats_of(labelled_of(spark, d)).select("cluster_id", r("centroid_lat", 6), r("centroid_lon", 6), "detection_count", "unique_dates", "first_date", "last_date", "active_span_days", r("mean_frp", 4), "max_frp", "day_count", "night_count", r("bbox_min_lat", 6), r("bbox_max_lat", 6), r("bbox_min_lon", 6), r("bbox_max_lon", 6), r("extent_radius_m", 3))
 
 
