@@ -129,7 +129,7 @@ def longitudinal(years: DataFrame, assigned: DataFrame) -> DataFrame:
 def integrated(rows: DataFrame) -> DataFrame:
     """Categories against the median and upper quartile of all clusters, and notes where independent evidence disagrees."""
     cut = rows.agg(F.percentile("total_detections_5yr", F.lit(0.5)), F.percentile("top3_months_share", F.lit(0.75))).first()
-    median, p75 = (F.lit(v).cast("double") for v in cut)
+    median, p75 = (F.round(F.lit(v).cast("double"), 9) for v in cut)
     persistence, activity = S.persistence_category(F.col("unique_years")), S.activity_category(F.col("total_detections_5yr"), median)
     years, strength = F.col("unique_years"), F.col("recurrence_strength")
     named_industry = F.coalesce(F.col("nearest_is_named") & (F.col("nearest_group") == "industrial"), F.lit(False))
@@ -158,7 +158,7 @@ def intelligence(rows: DataFrame, groups: DataFrame) -> DataFrame:
 def deep_dive(rows: DataFrame) -> DataFrame:
     """Outlier flags, example definitions and contradiction notes of every cluster."""
     cut = rows.agg(F.percentile("unique_dates", F.lit(0.5)), F.percentile("occurrence_rate", F.lit(0.25)), F.percentile("active_span_days", F.lit(0.75))).first()
-    median, p25, p75 = (F.lit(v).cast("double") for v in cut)
+    median, p25, p75 = (F.round(F.lit(v).cast("double"), 9) for v in cut)
     flagged = rows.join(iqr_flags(rows, "cluster_id", OUTLIER_METRICS), "cluster_id")
     meets = {f"meets_illustrative__{n}": rule() for n, rule in DEFINITIONS}
     out = flagged.withColumns(meets).withColumn("n_illustrative_defs_satisfied", sum((F.col(f"`{m}`").cast("int") for m in meets), F.lit(0)))
@@ -169,7 +169,7 @@ def deep_dive(rows: DataFrame) -> DataFrame:
         F.when(pattern != "mostly_night", F.concat(F.lit("day_night_pattern="), pattern)),
         F.when(F.col("top_day_share") > 0.5, "single_day_dominated(>50%)").when(F.col("top3_days_share") > 0.5, "top3_days_dominated(>50%,but_no_single_day>50%)"),
         F.when(F.col("outlier_frp_ratio"), "extreme_frp_ratio_outlier"),
-        F.when((F.col("active_span_days") >= p75) & (F.col("occurrence_rate") <= p25), "long_span_but_low_occurrence"),
+        F.when((F.col("active_span_days") >= p75) & (F.round("occurrence_rate", 9) <= p25), "long_span_but_low_occurrence"),
         F.when((F.col("features_found_in_radius") == 0) & (F.col("unique_dates") > median), "above_median_recurrence_but_no_osm_context"),
         F.when(named_industry & (F.col("unique_dates") < median), "named_industrial_nearby_but_below_median_recurrence"),
         F.when(F.col("n_metrics_outlier") >= 3, F.concat(F.lit("compound_outlier(n_metrics="), F.col("n_metrics_outlier").cast("string"), F.lit(")"))),

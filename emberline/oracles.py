@@ -101,7 +101,7 @@ CTE: dict[str, str] = {
         array_to_string(list_transform(ms, lambda x, i: i || ':' || x), ';') as per_month_detection_counts, round(coalesce(list_sum(list_reverse_sort(ms)[1:3]) / nullif(list_sum(ms), 0), 0), 6) as top3_months_share,
         case when list_sum(ms) > 0 then cast(list_position(ms, list_max(ms)) as int) end as dominant_month from cy c join lon0 using (cluster_id) join mon using (cluster_id)""",
     "wide": "select * from rev join lng using (cluster_id)",
-    "cut": "select median(total_detections_5yr) as md, quantile_cont(top3_months_share, 0.75) as p75 from wide",
+    "cut": "select median(total_detections_5yr) as md, round(quantile_cont(top3_months_share, 0.75), 9) as p75 from wide",
     "itg": """select w.*, case when unique_years = 5 then 'Persistent' else 'Intermittent' end as persistence_category, case when total_detections_5yr >= md then 'High-activity' else 'Low-activity' end as activity_category,
         persistence_category || ' / ' || activity_category as persistence_activity_quadrant, case when top3_months_share >= p75 then 'Strongly seasonal' else 'Not strongly seasonal' end as seasonality_category, features_found_in_radius > 0 as has_notable_osm_context,
         concat_ws('; ', case when recurrence_strength <> 'Strong' and unique_years = 5 then '2023 recurrence_strength=' || recurrence_strength || ' but persistent across all 5 years (2023 volume alone understates multi-year persistence)' end,
@@ -205,11 +205,11 @@ FINAL: dict[str, str] = {
         case when features_found_in_radius = 0 then 'No OSM context' when nearest_group = 'industrial' then case when nearest_is_named then 'Named industrial' else 'Unnamed industrial-only' end
             when nearest_group in ('power', 'waste', 'agricultural', 'transport') then upper(nearest_group[1]) || nearest_group[2:] else 'Other' end as osm_context_bucket, n_metrics_outlier, nd as n_illustrative_defs_satisfied,
         concat_ws('; ', case when night_fraction <= 0.7 then 'day_night_pattern=' || day_night_pattern end, case when top_day_share > 0.5 then 'single_day_dominated(>50%)' when top3_days_share > 0.5 then 'top3_days_dominated(>50%,but_no_single_day>50%)' end,
-            case when outlier_frp_ratio then 'extreme_frp_ratio_outlier' end, case when active_span_days >= sp75 and occurrence_rate <= op25 then 'long_span_but_low_occurrence' end,
+            case when outlier_frp_ratio then 'extreme_frp_ratio_outlier' end, case when active_span_days >= sp75 and round(occurrence_rate, 9) <= op25 then 'long_span_but_low_occurrence' end,
             case when features_found_in_radius = 0 and unique_dates > um then 'above_median_recurrence_but_no_osm_context' end, case when nearest_is_named and nearest_group = 'industrial' and unique_dates < um then 'named_industrial_nearby_but_below_median_recurrence' end,
             case when n_metrics_outlier >= 3 then 'compound_outlier(n_metrics=' || n_metrics_outlier || ')' end, case when nd between 1 and 4 then 'definition_sensitive(' || nd || '/5_illustrative_defs)' end) as contradiction_notes
         from (select *, cast(cast(unique_dates >= 20 as int) + cast(occurrence_rate >= 0.1 as int) + cast(unique_dates >= 20 and occurrence_rate >= 0.1 as int) + cast(active_span_days >= 300 as int) + cast(unique_dates >= 143 as int) as int) as nd from rev join flags using (cluster_id)),
-            (select median(unique_dates) as um, quantile_cont(occurrence_rate, 0.25) as op25, quantile_cont(active_span_days, 0.75) as sp75 from met)""",
+            (select median(unique_dates) as um, round(quantile_cont(occurrence_rate, 0.25), 9) as op25, quantile_cont(active_span_days, 0.75) as sp75 from met)""",
     "gaps": """select year, cast(r as int) as rank, round(b, 3) as before, round(f, 3) as after, round(f - b, 3) as gap from (select *, row_number() over (partition by year order by f - b desc, b desc) as r
         from (select year, f, lag(f) over (partition by year order by f) as b from (select distinct year, frp as f from hist)) where b is not null) where r <= 3""",
     "quantile_summary": """select count(*) as n, round(min(frp), 6) as "min", round(quantile_cont(frp, 0.25), 6) as p25, round(median(frp), 6) as median, round(quantile_cont(frp, 0.75), 6) as p75, round(max(frp), 6) as "max", round(avg(frp), 6) as mean,
