@@ -19,6 +19,8 @@ from ..plans.storage import stored
 MOST_LAT = 60.0
 #: Up to here a layer of points is broadcast: some 5 MB.
 BROADCAST_POINTS = 100_000
+#: A radius is the distance of its farthest member; another point at that place must match whatever the last bits are.
+RADIUS_SLACK = 1e-6
 
 
 def _cells(lat: Column, lon: Column, size_m: float, most_lat: float) -> tuple[Column, Column]:
@@ -95,9 +97,9 @@ def nearest_in_own_radius(left: DataFrame, centres: DataFrame, key: str = "id")
     cap = centres.agg(F.max("radius_m")).first()[0]
     if cap is None:
         return left.select(key).limit(0).select(F.col(key), F.lit(None).cast(centres.schema["centre"].dataType).alias("centre"), F.lit(0.0).alias("metres"))
-    found = candidates(left.select(key, "lat", "lon"), centres.select("centre", "lat", "lon", "radius_m"), max(float(cap), 1.0))
+    found = candidates(left.select(key, "lat", "lon"), centres.select("centre", "lat", "lon", "radius_m"), max(float(cap), 1.0) + RADIUS_SLACK)
     first = found.groupBy(key).agg(F.min(F.struct("metres", "r_centre", "r_radius_m")).alias("m"))
-    return first.filter(F.col("m.metres") <= F.col("m.r_radius_m")).select(key, F.col("m.r_centre").alias("centre"), F.col("m.metres").alias("metres"))
+    return first.filter(F.col("m.metres") <= F.col("m.r_radius_m") + RADIUS_SLACK).select(key, F.col("m.r_centre").alias("centre"), F.col("m.metres").alias("metres"))
 
 
 def top_in_radius(left: DataFrame, right: DataFrame, radius: str, cap_m: float, k: int, order: list[str], key: str = "id") -> DataFrame:

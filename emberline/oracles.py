@@ -84,7 +84,7 @@ CTE: dict[str, str] = {
         from cs left join tf t on t.cluster_id = cs.cluster_id group by cs.cluster_id, extent_radius_m""",
     "rev": "select * from prof join ctx using (cluster_id)",
     "asg": f"""select *, 'dbscan_2023' as method from lab union all select h.*, coalesce(c, -1), case when c is null then 'unmatched_historical' else 'nearest_centroid_within_radius' end
-        from hist h left join (select id, case when m <= extent_radius_m then cluster_id end as c from (select h.id, cs.cluster_id, extent_radius_m, {hav("h.lat", "h.lon", "centroid_lat", "centroid_lon")} as m,
+        from hist h left join (select id, case when m <= extent_radius_m + 1e-6 then cluster_id end as c from (select h.id, cs.cluster_id, extent_radius_m, {hav("h.lat", "h.lon", "centroid_lat", "centroid_lon")} as m,
             row_number() over (partition by h.id order by m, cs.cluster_id) as r from hist h, cs where h.year <> 2023) where r = 1) n on n.id = h.id where h.year <> 2023""",
     "yr": "select cluster_id, year, count(*) as n, count(distinct acq_date) as d from asg where cluster_id <> -1 group by all",
     "cy": """select cs.cluster_id, coalesce(string_agg(cast(year as varchar), ';' order by year) filter (year <= 2023), '') as years_detected, cast(count(year) filter (year <= 2023) as int) as unique_years, min(year) filter (year <= 2023) as first_year,
@@ -113,7 +113,7 @@ CTE: dict[str, str] = {
     "flag0": "select cluster_id, " + ", ".join(f"coalesce({m} < (select a - 1.5 * (b - a) from q_{m}) or {m} > (select b + 1.5 * (b - a) from q_{m}), false) as outlier_{m}" for m in METRICS) + " from met",
     "flags": "select *, cast(" + " + ".join(f"cast(outlier_{m} as int)" for m in METRICS) + " as int) as n_metrics_outlier from flag0",
     **{f"q_{m}": f"select quantile_cont({m}, 0.25) as a, quantile_cont({m}, 0.75) as b from met" for m in METRICS},
-    "ovl": f"""select event_id, case when m <= extent_radius_m then cluster_id end as overlaps_cluster_id, case when m <= extent_radius_m then round(m, 1) end as cluster_distance_m from
+    "ovl": f"""select event_id, case when m <= extent_radius_m + 1e-6 then cluster_id end as overlaps_cluster_id, case when m <= extent_radius_m + 1e-6 then round(m, 1) end as cluster_distance_m from
         (select event_id, cluster_id, extent_radius_m, {hav("ev.centroid_lat", "ev.centroid_lon", "cs.centroid_lat", "cs.centroid_lon")} as m, row_number() over (partition by event_id order by m, cluster_id) as r from ev left join cs on true) where r = 1""",
     "lc": f"select event_id, code as land_cover_code, {names('code')} as land_cover_class from ev left join ras on row = floor(centroid_lat / 0.25) and col = floor(centroid_lon / 0.25)",
     "evd": """select ev.*, n.* exclude (event_id), overlaps_cluster_id, p.recurrence_strength as overlap_strength, y.recurs_across_multiple_years as overlap_multiyear, land_cover_code, land_cover_class
