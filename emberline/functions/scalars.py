@@ -140,17 +140,59 @@ def seasonality_category(share: Column, p75: Column) -> Column:
     return F.when(share >= p75, "Strongly seasonal").otherwise("Not strongly seasonal")
 
 
-def display_distance(metres: Column, blank: str = "—") -> Column:
-    """Metres below a kilometre, else kilometres with one decimal; a placeholder for null."""
-    return F.when(metres.isNull(), blank).when(metres < 1000, F.concat(F.round(metres, 0).cast("int").cast("string"), F.lit(" m"))).otherwise(F.concat(F.format_string("%.1f", metres / 1000), F.lit(" km")))
+BLANK = "—"
+NO_DISTANCE = "— (none within search radius)"
+LOCAL_ZONE, LOCAL_NAME = "Asia/Kolkata", "IST"
 
 
-def display_percent(share: Column, blank: str = "—") -> Column:
-    return F.when(share.isNull(), blank).otherwise(F.concat(F.round(share * 100, 0).cast("int").cast("string"), F.lit("%")))
+def display_distance(metres: Column) -> Column:
+    """Whole metres with thousands separated; a null distance says that nothing was in reach."""
+    return F.when(metres.isNull(), NO_DISTANCE).otherwise(F.concat(F.format_number(F.round(metres, 0), 0), F.lit(" m")))
 
 
-def display_number(value: Column, unit: str, digits: int = 1, blank: str = "—") -> Column:
-    return F.when(value.isNull(), blank).otherwise(F.concat(F.format_string(f"%.{digits}f", value.cast("double")), F.lit(f" {unit}" if unit else "")))
+def display_number(value: Column, digits: int, unit: str = "") -> Column:
+    return F.when(value.isNull(), BLANK).otherwise(F.concat(F.format_string(f"%.{digits}f", value.cast("double")), F.lit(unit)))
+
+
+def display_percent(share: Column, digits: int = 1) -> Column:
+    return display_number(share * 100, digits, "%")
+
+
+def display_power(mw: Column) -> Column:
+    return display_number(mw, 2, " MW")
+
+
+def display_coordinate(degrees: Column, digits: int = 4) -> Column:
+    return display_number(degrees, digits)
+
+
+def display_overlap(cluster_id: Column, strength: Column) -> Column:
+    found = F.concat(F.lit("Overlaps persistent cluster #"), cluster_id.cast("string"), F.lit(" (recurrence: "), F.coalesce(strength, F.lit("unknown")), F.lit(")."))
+    return F.when(cluster_id.isNull(), "No persistent-cluster overlap.").otherwise(found)
+
+
+def seconds_since(then: Column, now: Column) -> Column:
+    """Whole seconds between two timestamps, never negative."""
+    return F.greatest(F.lit(0), F.round(now.cast("timestamp").cast("double") - then.cast("timestamp").cast("double"), 0).cast("long"))
+
+
+def next_check(then: Column, interval_s: int = 1800) -> Column:
+    return F.timestamp_add("SECOND", F.lit(interval_s), then)
+
+
+def display_clock(utc: Column) -> Column:
+    return F.concat(F.date_format(F.from_utc_timestamp(utc, LOCAL_ZONE), "HH:mm"), F.lit(f" {LOCAL_NAME}"))
+
+
+def display_date(utc: Column) -> Column:
+    return F.coalesce(F.date_format(F.from_utc_timestamp(utc, LOCAL_ZONE), "dd MMM yyyy"), F.lit(BLANK))
+
+
+def display_age(seconds: Column) -> Column:
+    """`less than a minute ago`, `1 minute ago`, `5 hours ago`, `2 days ago`."""
+    part = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
+    minutes, hours, days = (F.floor(seconds / k) for k in (60, 3600, 86400))
+    return F.when(seconds < 60, "less than a minute ago").when(minutes < 60, part(minutes, "minute")).when(hours < 24, part(hours, "hour")).otherwise(part(days, "day"))
 
 
 def is_stale(seconds: Column, interval_s: int = 1800) -> Column:

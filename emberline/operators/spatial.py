@@ -67,6 +67,12 @@ def candidates(left: DataFrame, right: DataFrame, cap_m: float, most_lat: float
     return joined.withColumn("metres", metres).drop("_ci", "_cj", "_ri", "_rj")
 
 
+def within_of(points: DataFrame, lat: float, lon: float, radius_m: float) -> DataFrame:
+    """Points at most radius_m from a place, with `metres`."""
+    metres = haversine(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon))
+    return points.withColumn("metres", metres).filter(F.col("metres") <= radius_m)
+
+
 def nearest_within(left: DataFrame, right: DataFrame, cap_m: float, out: str, key: str = "id") -> DataFrame:
     """(key, out): the smallest distance within the cap; keys without one are left out."""
     return candidates(left.select(key, "lat", "lon"), right.select("lat", "lon"), cap_m).groupBy(key).agg(F.min("metres").alias(out))

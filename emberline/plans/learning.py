@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,6 +18,7 @@ from ..functions.scalars import imputed_distance
 from ..operators.labels import TRAINED
 from ..operators.spatial import nearest_any
 from ..operators.stats import classification_metrics
+from .sinks import write_json
 
 SPLIT_DEGREES = 0.5
 TRAIN_YEARS, TEST_YEARS = (2019, 2020, 2021, 2022), (2023, 2024, 2025)
@@ -126,6 +129,22 @@ def fit_boosted(df: DataFrame, label: str, numeric: list[str], categorical: list
     return PipelineModel(stages=[*prepared.stages, OneVsRestBoost(models, classes)])
 
 
+def save_boosted(model: PipelineModel, path: str) -> None:
+    """The preparation, each class's model and the class names, in folders of their own."""
+    boost = model.stages[-1]
+    PipelineModel(stages=model.stages[:-1]).write().overwrite().save(f"{path}/prepare")
+    for k, m in enumerate(boost.models):
+        m.write().overwrite().save(f"{path}/class-{k}")
+    write_json(SparkSession.active(), f"{path}/classes.json", {"classes": boost.classes})
+
+
+def load_boosted(spark: SparkSession, path: str) -> PipelineModel:
+    text = "\n".join(r[0] for r in spark.read.text(f"{path}/classes.json").collect())
+    classes = json.loads(text)["classes"]
+    models = [GBTClassificationModel.load(f"{path}/class-{k}") for k in range(len(classes))]
+    return PipelineModel(stages=[*PipelineModel.load(f"{path}/prepare").stages, OneVsRestBoost(models, classes)])
+
+
 def _labelled(df: DataFrame, label: str):
     return StringIndexer(inputCol=label, outputCol="_y", handleInvalid="keep", stringOrderType="alphabetAsc")
 

@@ -450,8 +450,9 @@ def dash_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dash_display(spark: SparkSession, d: str) -> DataFrame:
-    near = evidence.distances(events_of(spark, d), {"dist_plant_m": layers(spark, d)["dist_plant_m"]})
-    return near.select("event_id", S.display_distance(F.col("dist_plant_m")).alias("distance"))
+    events = events_of(spark, d)
+    near = evidence.distances(events, {"dist_plant_m": layers(spark, d)["dist_plant_m"]}).join(events, "event_id")
+    return near.select("event_id", S.display_distance(F.col("dist_plant_m")).alias("distance"), S.display_percent(F.col("night_fraction")).alias("night"), S.display_power(F.col("max_frp")).alias("power"))
 
 
 @query

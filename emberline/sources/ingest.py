@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import os
+import re
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
@@ -62,6 +63,17 @@ def with_year(df: DataFrame) -> DataFrame:
     return df.withColumn("year", F.substring(F.col("acq_date").cast("string"), 1, 4).cast("int"))
 
 
+def discover_years(spark: SparkSession, folder: str, pattern: str = r"_(\d{4})\.csv$", years: tuple[int, ...] | None = None) -> dict[int, str]:
+    """Raw files of a folder by the year in their name; `years` keeps other years, such as the current one, out."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = {}
+    for status in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path):
+        name = re.search(pattern, status.getPath().getName())
+        if name and (years is None or int(name[1]) in years):
+            found[int(name[1])] = status.getPath().toString()
+    return dict(sorted(found.items()))
+
+
 def combine(frames: list[DataFrame]) -> DataFrame:
     """All rows of frames with different columns; a column that a frame lacks is null."""
     out = frames[0]

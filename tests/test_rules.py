@@ -207,3 +207,33 @@ def test_stream(spark, tmp_path):
     q = cycle.start(spark, spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "c"), lambda: date(2024, 1, 5), once=True)
     q.awaitTermination(120)
     assert store.read("events").count() == 1
+
+
+def test_display(spark):
+    got = [value(spark, c) for c in (S.display_distance(F.lit(1234.6)), S.display_distance(F.lit(None).cast("double")), S.display_percent(F.lit(0.456)), S.display_power(F.lit(None).cast("double")), S.display_overlap(F.lit(3), F.lit(None).cast("string")), S.display_overlap(F.lit(None).cast("int"), F.lit("x")))]
+    assert got == ["1,235 m", "— (none within search radius)", "45.6%", "—", "Overlaps persistent cluster #3 (recurrence: unknown).", "No persistent-cluster overlap."]
+    ages = [value(spark, S.display_age(F.lit(s))) for s in (59, 60, 3599, 3600, 86399, 172800)]
+    assert ages == ["less than a minute ago", "1 minute ago", "59 minutes ago", "1 hour ago", "23 hours ago", "2 days ago"]
+    stamp = F.lit("2026-11-21 20:57:45").cast("timestamp")
+    assert value(spark, S.display_clock(stamp)) == "02:27 IST" and value(spark, S.display_date(stamp)) == "22 Nov 2026"
+    assert value(spark, S.seconds_since(stamp, F.lit("2026-11-21 20:58:45").cast("timestamp"))) == 60
+    assert value(spark, S.is_stale(F.lit(3601))) and not value(spark, S.is_stale(F.lit(3600)))
+
+
+def test_models(spark, tmp_path):
+    rows = [(f"E{k}", ["a", "b", "c"][k % 3], float(k % 3) + (k % 7) / 50, float(k % 5)) for k in range(90)]
+    df = spark.createDataFrame(rows, "event_id string, label string, x double, y double")
+    model = learning.fit_boosted(df, "label", ["x", "y"], rounds=3, depth=2)
+    out = learning.predict(model, df)
+    assert out.filter("label = predicted_class").count() >= 85
+    assert out.filter("abs(prob_a + prob_b + prob_c - 1) > 1e-9").count() == 0
+    learning.save_boosted(model, str(tmp_path / "m"))
+    again = learning.predict(learning.load_boosted(spark, str(tmp_path / "m")), df)
+    assert out.select("event_id", "predicted_class").exceptAll(again.select("event_id", "predicted_class")).isEmpty()
+
+
+def test_discover_years(spark, tmp_path):
+    for name in ("raw_2019.csv", "raw_2026.csv", "other.txt"):
+        (tmp_path / name).write_text("x")
+    assert list(ingest.discover_years(spark, str(tmp_path))) == [2019, 2026]
+    assert list(ingest.discover_years(spark, str(tmp_path), years=(2019,))) == [2019]
