@@ -151,7 +151,7 @@ def display_distance(metres: Column) -> Column:
 
 
 def display_number(value: Column, digits: int, unit: str = "") -> Column:
-    return F.when(value.isNull(), BLANK).otherwise(F.concat(F.format_string(f"%.{digits}f", value.cast("double")), F.lit(unit)))
+    return F.when(value.isNull(), BLANK).otherwise(F.concat(F.format_string(f"%.{digits}f", settled(value.cast("double"), digits)), F.lit(unit)))
 
 
 def display_percent(share: Column, digits: int = 1) -> Column:

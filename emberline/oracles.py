@@ -236,9 +236,9 @@ FINAL: dict[str, str] = {
         select round((ij - pa * pb / (nn * (nn - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (nn * (nn - 1) / 2)), 6) as ari, round(((hab - ha - hb) / nn + ln(nn)) / ((ln(nn) - ha / nn + ln(nn) - hb / nn) / 2), 6) as nmi from x, xa, xb""",
     "group_profiles": "select 'Group ' || chr(65 + cluster_id % 3) as unsupervised_group, count(*) as n, string_agg(cast(cluster_id as varchar), ';' order by cluster_id) as cluster_ids, round(avg(detection_count), 4) as mean_detection_count, round(avg(unique_dates), 4) as mean_unique_dates, round(avg(mean_frp), 4) as mean_mean_frp from cs group by 1",
     "contract_report": "select cluster_id, 'missing' as finding from cs where cluster_id = 1 union all select cluster_id, 'detection_count' from cs where cluster_id = 2",
-    "dash_filter": "select event_id, start_date, predicted_class, status from le where predicted_class in ('Industrial', 'Gas_Flare') and status = 'closed' and start_date between date '2024-03-01' and date '2024-09-30' and starts_with(lower(event_id), 'evt0000')",
+    "dash_filter": "select event_id, start_date, predicted_class, status from le where predicted_class in ('Industrial', 'Gas_Flare') and status = 'closed' and start_date between date '2024-03-01' and date '2024-09-30' and starts_with(lower(event_id), 'evt0002')",
     "dash_window": " union all ".join(f"select min(start_date) as first_start, max(start_date) as last_start, count(*) as n, '{w}' as \"window\" from ev where start_date between date '{a}' and date '2024-07-15'" for w, a in (("today", "2024-07-15"), ("24h", "2024-07-14"), ("7d", "2024-07-09"))),
-    "dash_display": "select event_id, case when dist_plant_m is null then '— (none within search radius)' else format('{:,}', cast(round(dist_plant_m, 0) as bigint)) || ' m' end as distance, printf('%.1f%%', night_fraction * 100) as night, printf('%.2f MW', max_frp) as power from nearest join ev using (event_id)",
+    "dash_display": "select event_id, case when dist_plant_m is null then '— (none within search radius)' else format('{:,}', cast(round(dist_plant_m, 0) as bigint)) || ' m' end as distance, printf('%.1f%%', round(night_fraction * 100 + 1e-9, 1)) as night, printf('%.2f MW', round(max_frp + 1e-9, 2)) as power from nearest join ev using (event_id)",
     "marker_tiers": "select cast(floor(centroid_lat / 0.5) as int) as row, cast(floor(centroid_lon / 0.5) as int) as col, count(*) as n, case when count(*) < 10 then 'sm' when count(*) < 50 then 'md' else 'lg' end as tier from ev group by 1, 2",
     "stream_cycle": """with recursive dd as (select * exclude (r) from (select *, row_number() over (partition by lat, lon, acq_date, acq_time order by id) as r from det) where r = 1),
         ee as (select a.id as a, b.id as b from dd a join dd b on a.id <> b.id and """

@@ -433,7 +433,7 @@ def contract_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dash_filter(spark: SparkSession, d: str) -> DataFrame:
-    return dashboard.apply_filters(labelled_events(spark, d), ["Industrial", "Gas_Flare"], ["closed"], start="2024-03-01", end="2024-09-30", id_prefix=" evt0000 ").select("event_id", "start_date", "predicted_class", "status")
+    return dashboard.apply_filters(labelled_events(spark, d), ["Industrial", "Gas_Flare"], ["closed"], start="2024-03-01", end="2024-09-30", id_prefix=" evt0002 ").select("event_id", "start_date", "predicted_class", "status")
 
 
 @query
