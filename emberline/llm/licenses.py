@@ -4,7 +4,8 @@ Every line of a text is a candidate: a notice may stand anywhere, and whole text
 its weight for a word is count * idf, idf from how many templates have the word (smoothed; a word in none has the highest).
 The cosine to a template needs only the words they share and the line's norm. A line is dropped in its row, before anything is
 exploded, if it has none of the words without which no template is reached: words of a template (everyday and light ones) that together stay
-below THRESHOLD can't make a cosine of THRESHOLD. So few lines of the corpus are exploded, and none is lost. The licence of a file is that of
+below THRESHOLD can't make a cosine of THRESHOLD. It is dropped too if the words that no template has outweigh the rest. So
+few lines of the corpus are exploded, and none is lost. The licence of a file is that of
 its best line with a cosine of at least THRESHOLD; a file in which such lines hold half of all words or more is a licence
 file, which speaks for its folder.
 
@@ -72,6 +73,14 @@ def _needed(templates: dict[str, str], threshold: float) -> str:
     return "(?i)(^|[^a-z0-9])(" + "|".join(re.escape(w) for w in needed_words(templates, threshold)) + ")([^a-z0-9]|$)"
 
 
+def _can_reach(own: Column, known: Column, other: float, threshold: float) -> Column:
+    """Whether a line's words may have a cosine of the threshold: no cosine exceeds the share of the norm that known words
+    have, and each different unknown word adds at least its idf squared to the norm."""
+    part = F.aggregate(F.transform(known, lambda k: F.pow(F.size(F.filter(own, lambda x: x == k["word"])) * k["idf"], F.lit(2.0))), F.lit(0.0), lambda a, x: a + x)
+    unknown = F.size(F.array_except(own, F.transform(known, lambda k: k["word"])))
+    return part + F.lit(1e-6) >= threshold**2 * (part + unknown * other**2)
+
+
 def folder_of(path: Column) -> Column:
     """What stands before the last `/`; empty for a path without one."""
     return F.when(path.contains("/"), F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)).when(path.isNotNull(), "")
@@ -82,22 +91,26 @@ def notices(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold:
     pattern = F.lit(_needed(templates, threshold))
     text = F.coalesce(F.col("text"), F.lit(""))
     total = F.regexp_count(F.lower(text), F.lit(WORD)).cast("long")
-    held = files.filter(F.col("path").isNotNull() & text.rlike(_needed(templates, threshold))).select("path", total.alias("total"), F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, pattern)).alias("lines"))
-    lines = held.select("path", "total", F.posexplode("lines").alias("at", "line"))
-    listed = lines.select("path", "total", "at", "line", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0))).alias("word"))
-    counted = listed.groupBy("path", "total", "at", "line", "word").agg(F.count(F.lit(1)).alias("n"))
     rows, other = weights(templates)
+    known_words = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(x).alias("idf")) for w, x in sorted({(r[0], r[3]) for r in rows})))
+    lines = F.transform(F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, pattern)), lambda x: F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0)))
+    likely = F.filter(lines, lambda own: _can_reach(own, known_words, other, threshold))
+    held = files.filter(F.col("path").isNotNull() & text.rlike(_needed(templates, threshold))).select("path", total.alias("total"), likely.alias("lines"), F.xxhash64(text).alias("version"))
+    each = held.select("path", "total", "version", F.posexplode("lines").alias("at", "line"))
+    listed = each.select("path", "total", "version", "at", F.explode("line").alias("word"))
+    counted = listed.groupBy("path", "total", "version", "at", "word").agg(F.count(F.lit(1)).alias("n"))
     table = F.broadcast(files.sparkSession.createDataFrame(rows, WEIGHTS))  # the words of the templates
     known = F.broadcast(files.sparkSession.createDataFrame(sorted({(r[0], r[3]) for r in rows}), "_known string, idf double"))
     weighed = counted.join(known, F.col("word") == F.col("_known"), "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(other))).drop("idf", "_known")
-    key = ["path", "total", "at", "line"]
+    key = ["path", "total", "version", "at"]
     norms = weighed.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("n").alias("words"))
     dots = weighed.join(table, F.col("word") == F.col("_word")).groupBy(*key, "licence", "template_norm").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     cosine = F.round(F.col("dot") / (F.col("norm") * F.col("template_norm")), 6)
     scored = dots.join(norms, key).withColumn("cosine", cosine).filter(F.col("cosine") >= threshold)
     best = scored.groupBy(*key, "words").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("licence").alias("licence"))).alias("best"))
     share = F.sum("words") * 2 >= F.max("total")
-    return best.groupBy("path").agg(F.min("best").alias("top"), share.alias("is_file")).select("path", "top.licence", (-F.col("top.c")).alias("cosine"), "is_file")
+    by_text = best.groupBy("path", "version").agg(F.min("best").alias("top"), share.alias("is_file"))
+    return by_text.groupBy("path").agg(F.min("top").alias("top"), F.max("is_file").alias("is_file")).select("path", "top.licence", (-F.col("top.c")).alias("cosine"), "is_file")
 
 
 def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
