@@ -124,6 +124,8 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: flo
     above = folders.select("folder", F.posexplode(ancestors).alias("depth", "ancestor"))
     nearest = above.join(speaking, F.col("ancestor") == F.col("_at")).groupBy("folder").agg(F.max_by(F.struct("ancestor", "folder_licence", "folder_cosine"), "depth").alias("near"))
     inherited = nearest.select(F.col("folder").alias("_folder"), F.col("near.ancestor").alias("ancestor"), F.col("near.folder_licence").alias("folder_licence"), F.col("near.folder_cosine").alias("folder_cosine"))
+    # read back, so that the join below is dealt out anew on both sides and a folder with most files can be split
+    inherited = stored(inherited, "inherited")
     own = found.select(F.col("path").alias("_path"), F.col("licence").alias("own"), F.col("cosine").alias("own_cosine"))
     joined = files.select("doc_id", "path").withColumn("folder", folder_of(F.col("path"))).join(own, F.col("path") == F.col("_path"), "left").join(inherited, F.col("folder") == F.col("_folder"), "left")
     has = F.col("own").isNotNull()
