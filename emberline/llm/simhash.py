@@ -177,7 +177,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Every row with its fingerprint and the smallest doc_id of its component."""
     prints = stored(fingerprints(docs), "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "nodes")
-    linked = nodes.join(link_components(nodes), "fp", "left").select("fp", "first_doc", F.coalesce("component", "fp").alias("component"))
-    smallest = linked.groupBy("component").agg(F.min("first_doc").alias("component_id"))
+    linked = stored(nodes.join(link_components(nodes), "fp", "left").select("fp", "first_doc", F.coalesce("component", "fp").alias("component")), "linked")
+    # read back, so that the join below is dealt out anew on both sides and a component with most fingerprints can be split
+    smallest = stored(linked.groupBy("component").agg(F.min("first_doc").alias("component_id")), "smallest")
     named = linked.join(smallest, "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
