@@ -16,7 +16,7 @@ _SITE_LON = "68.3e0 + (({s} - {s} % 10) / 10) * 0.9e0"
 
 DET = (
     "events",
-    "(event_id * 7 + user_id) % 5 < 2 or user_id % 3 = 0",
+    "true",
     {
         "id": "event_id",
         "lat": _LAT.format(k="user_id") + " + ((event_id % 7) - 3) * 0.0015e0",
@@ -53,7 +53,7 @@ def _points(table: str, key: str, where: str = "true") -> tuple[str, str, dict[s
 
 
 LAYERS = {
-    "dist_industrial_m": _points("customer", "c_custkey", "c_custkey % 9 = 0"),
+    "dist_industrial_m": _points("customer", "c_custkey"),
     "dist_plant_m": _points("supplier", "s_suppkey"),
     "dist_flare_m": _points("nation", "n_nationkey"),
     "dist_kiln_m": _points("region", "r_regionkey"),
