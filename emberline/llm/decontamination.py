@@ -2,8 +2,10 @@
 
 A text is cut into numbers and words. Its literal form has the lower-cased words, with `#` for a number and `~` for a unit
 after a number; its template form also has `@` for a name (a word with a capital inside a sentence). Windows of WINDOW
-tokens of both forms are hashed. Of benchmark items every STRIDE-th window and the last are kept, if at least half of it
-is not a placeholder; an item with fewer tokens than a window is one window, one with under LEAST tokens is not searched.
+tokens of both forms are hashed. Of benchmark items every STRIDE-th window and the last are searched, in a form if at least
+half of it is not a placeholder there. A window of which more is numbers and units is searched by its exact tokens, so that
+no window is left out; the SQL leaves such windows out. An item with fewer tokens than a window is one window, one with
+under LEAST tokens is not searched.
 
 Documents' windows are first held against a fixed-size table of the items' hash cells inside the row, so that only some hundredths leave
 it, then joined by hash. For a document, an item and an alignment, the values that fill the item's slots are paired with
@@ -75,7 +77,7 @@ def _window(array: Column, at: Column, size: Column | int) -> Column:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(size, hash, item_id, at, windows, slots, value): the searched windows of the items, in both forms."""
+    """(size, hash, exact, item_id, at, windows, slots, value): the searched windows of the items, in both forms or exact."""
     formed = with_forms(items.select("item_id", F.col("text").cast("string").alias("text")), "text").drop("text").filter(F.col("n") >= LEAST)
     size = F.least(F.col("n"), F.lit(WINDOW))
     last = F.col("n") - F.col("size")
@@ -84,8 +86,10 @@ def item_windows(items: DataFrame) -> DataFrame:
     slots = F.filter(F.transform("own", lambda x, p: F.when(x["slot"].isNotNull(), p)), lambda p: p.isNotNull())
     solid = lambda mark: F.size(F.filter("own", lambda x: x[mark].isNull())).alias("_solid")
     common = ["size", "item_id", "at", "windows", slots.alias("slots"), F.col("own.low").alias("value")]
-    forms = [placed.select(*common, F.xxhash64(F.col(f"own.{form}")).alias("hash"), solid(mark)) for form, mark in (("lit", "mark"), ("tpl", "slot"))]
-    return forms[0].unionByName(forms[1]).filter(F.col("_solid") * 2 >= F.col("size")).drop("_solid").distinct()
+    hashed = lambda form, mark: placed.select(*common, F.xxhash64(F.col(f"own.{form}")).alias("hash"), F.lit(form == "low").alias("exact"), solid(mark))
+    half = F.col("_solid") * 2 >= F.col("size")
+    forms = hashed("lit", "mark").unionByName(hashed("tpl", "slot")).filter(half).unionByName(hashed("low", "mark").filter(~half))
+    return forms.drop("_solid").distinct()
 
 
 def _cell(h: Column) -> Column:
@@ -100,23 +104,25 @@ def _cells(windows: DataFrame) -> bytearray:
     return cells
 
 
-def document_windows(docs: DataFrame, sizes: list[int], cells: bytearray) -> DataFrame:
-    """(doc_id, size, hash, at, value): the documents' windows whose cell an item window has."""
+def document_windows(docs: DataFrame, sizes: list[int], cells: bytearray, exact: list[int] = ()) -> DataFrame:
+    """(doc_id, size, hash, at, value): the documents' windows whose cell an item window has. exact: sizes of exact windows."""
     formed = with_forms(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "text")
     named = F.filter(F.transform("forms", lambda x, i: F.when(x["slot"] == "@", i)), lambda i: i.isNotNull())
-    hashed = formed.select("doc_id", "n", "forms", F.col("forms.lit").alias("lit"), F.col("forms.tpl").alias("tpl"), named.alias("named"))
+    marked = F.filter(F.transform("forms", lambda x, i: F.when(x["mark"].isNotNull(), i)), lambda i: i.isNotNull())
+    own = [F.col("forms.low").alias("low"), marked.alias("marked")] if exact else []
+    hashed = formed.select("doc_id", "n", "forms", F.col("forms.lit").alias("lit"), F.col("forms.tpl").alias("tpl"), named.alias("named"), *own)
     held, one = F.lit(cells), F.lit(bytearray([1]))
     known = lambda h: F.substring(held, (_cell(h) + 1).cast("int"), F.lit(1)) == one
 
     def kept(form: str, size: int) -> Column:
         last = F.size(form) - size  # a second use of the array: one that is used once may be inlined into the lambda
-        # a window without a name has the same hash in both forms
-        around = F.array_distinct(F.flatten(F.transform("named", lambda p: F.sequence(F.greatest(F.lit(0), F.least(p - (size - 1), last)), F.least(p, last)))))
+        # a window without a name has the same hash in both forms; an exact one has a number
+        around = F.array_distinct(F.flatten(F.transform("marked" if form == "low" else "named", lambda p: F.sequence(F.greatest(F.lit(0), F.least(p - (size - 1), last)), F.least(p, last)))))
         starts = F.when(last >= 0, F.sequence(F.lit(0), last) if form == "lit" else around).otherwise(F.array().cast("array<int>"))
         placed = F.filter(F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(_window(F.col(form), i, size)).alias("hash"))), lambda x: known(x["hash"]))
         return F.transform(placed, lambda x: F.struct(F.lit(size).alias("size"), x["hash"].alias("hash"), x["at"].alias("at"), _window(F.col("forms"), x["at"], size)["low"].alias("value")))
 
-    parts = [kept(form, size) for size in sizes for form in ("lit", "tpl")]
+    parts = [kept(form, size) for size in sizes for form in ("lit", "tpl")] + [kept("low", size) for size in exact]
     return hashed.select("doc_id", F.explode(F.array_distinct(F.concat(*parts))).alias("w")).select("doc_id", "w.*")
 
 
@@ -124,8 +130,9 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, windows, coverage, kind): the items that each document has leaked."""
     index = stored(item_windows(items), "items")
     sizes = sorted(r["size"] for r in index.select("size").distinct().collect())  # WINDOW numbers at most
+    exact = sorted(r["size"] for r in index.filter("exact").select("size").distinct().collect())  # likewise
     many = index.count()
-    found = document_windows(docs, sizes or [WINDOW], _cells(index))
+    found = document_windows(docs, sizes or [WINDOW], _cells(index), exact)
     mine = index.select(F.col("size").alias("_size"), F.col("hash").alias("_hash"), "item_id", F.col("at").alias("item_at"), "windows", "slots", F.col("value").alias("item_value"))
     matched = found.join(F.broadcast(mine) if many <= BROADCAST_WINDOWS else mine, (F.col("hash") == F.col("_hash")) & (F.col("size") == F.col("_size")))
     pairs = F.transform("slots", lambda p: F.struct(F.get(F.col("item_value"), p).alias("item"), F.get(F.col("value"), p).alias("doc")))
