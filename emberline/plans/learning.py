@@ -117,7 +117,7 @@ class OneVsRestBoost(Transformer):
         return out.withColumn("predicted_class", best["c"]).drop(*(f"_p{k}" for k in range(len(self.models))))
 
 
-def fit_boosted(df: DataFrame, label: str, numeric: list[str], categorical: list[str] = (), rounds: int = 20, depth: int = 4) -> PipelineModel:
+def fit_boosted(df: DataFrame, label: str, numeric: list[str], categorical: list[str] = (), rounds: int = 100, depth: int = 4) -> PipelineModel:
     classes = sorted(r[0] for r in df.select(label).distinct().collect())
     prepared = Pipeline(stages=preprocess(numeric, list(categorical))).fit(df)
     rows = balanced_weights(prepared.transform(df), label).cache()

@@ -487,6 +487,6 @@ def inference_rows(spark: SparkSession, d: str) -> DataFrame:
     marked = labels.silver_labels(evidence_of(spark, d)).select("event_id", "silver_label").filter(F.col("silver_label").isin(*labels.TRAINED))
     numeric = ["duration_days", "spatial_extent_m", "detection_count", "mean_frp", "night_fraction", "frac_high_confidence", "mean_scan", "elongation_ratio", "time_of_day_std_minutes", "detections_per_day"]
     training = stored(table.join(marked, "event_id"), "training")
-    model = learning.fit_boosted(training, "silver_label", numeric, rounds=5, depth=3)
+    model = learning.fit_boosted(training, "silver_label", numeric)
     scored = learning.predict(model, table)
     return scored.select("event_id", "predicted_class", *(F.round(c, 4).alias(c) for c in scored.columns if c.startswith("prob_")))
