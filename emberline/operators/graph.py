@@ -1,42 +1,46 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Every round is two aggregations with partial sums and two joins on a node; a hub with most of the edges is a skewed join
-side, which adaptive execution splits, and never a group in one task. The number of rounds grows with the logarithm of
-the longest path. Edges of each round are written to the shared folder.
+Every round is three aggregations with partial sums and two joins on a node. Both sides of a join are dealt out for that
+join alone (see `anew`), so a hub with most of the edges is a skewed join side, which adaptive execution splits, and never
+a group in one task. The number of rounds grows with the logarithm of the longest path. Edges of each round are written to
+the shared folder; whether they changed is observed by the write itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.storage import stored
+from ..plans.storage import observed, stored
 
 MOST_ROUNDS = 60
 
 
-def _signature(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-    return row["n"], int(row["h"])
+def anew(key: Column) -> Column:
+    """The value of a long key as a new expression. A join on it shuffles the side even if that side is dealt out by the key
+    already, for an aggregation: adaptive execution splits a skewed join only if both sides are shuffled for the join."""
+    return key.bitwiseXOR(F.lit(0).cast("long"))
 
 
 def connected_components(edges: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
     """(node, component) for every node with an edge to another node; component is the smallest node reachable.
 
-    Loops and repeated or reversed edges make no difference; an edge with a null end is ignored.
+    Nodes are longs. Loops and repeated or reversed edges make no difference; an edge with a null end is ignored.
     """
-    pair = edges.select(F.greatest(source, target).alias("u"), F.least(source, target).alias("v")).filter(F.col(source).isNotNull() & F.col(target).isNotNull() & (F.col("u") != F.col("v")))
-    current = stored(pair.distinct(), "edges")
-    before = _signature(current)
+    a, b = F.col(source).cast("long"), F.col(target).cast("long")
+    pair = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(a.isNotNull() & b.isNotNull() & (F.col("u") != F.col("v")))
+    signature = (F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)))
+    current, before = observed(pair.distinct(), "edges", *signature)
     for _ in range(MOST_ROUNDS):
+        if not before[0]:
+            break
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(anew(F.col("u")).alias("u"), F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        current = stored(small.distinct(), "edges")
-        after = _signature(current)
+        moved = large.join(least.select(anew(F.col("u")).alias("u"), "m"), "u").filter(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        current, after = observed(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges", *signature)
         if after == before:
             break
         before = after

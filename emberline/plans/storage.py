@@ -5,25 +5,42 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset, as in tests, a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, as in tests, a temporary folder; only on a local master, as executors elsewhere can't see it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="emberline-")
     spark.sparkContext.setCheckpointDir(local)
     return f"file://{local}"
 
 
+def _target(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/emberline/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: computed once, and a lost executor loses nothing of it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/emberline/{name}-{uuid.uuid4().hex}"
+    path = _target(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def observed(df: DataFrame, name: str, *values: Column) -> tuple[DataFrame, tuple]:
+    """`stored`, and the values of aggregate expressions over the rows, taken by the same write."""
+    watch = Observation()
+    out = stored(df.observe(watch, *(v.alias(f"v{k}") for k, v in enumerate(values))), name)
+    got = watch.get
+    return out, tuple(got[f"v{k}"] for k in range(len(values)))
