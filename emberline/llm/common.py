@@ -45,9 +45,21 @@ def fold(doc_id: str, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int) -> DataFrame:
-    """(text, y): a bounded sample of labelled training rows, the same for the same tables whatever the partitioning."""
+    """(doc_id, text, y): a bounded sample of labelled training rows, the same for the same tables whatever the partitioning.
+
+    2 * per_class rows at most, however often a doc_id repeats: of several texts of one doc_id the smallest counts.
+    """
     rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out))
-    rows = rows.groupBy("doc_id").agg(F.max("y").alias("y")).join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("_h", F.xxhash64("doc_id"))
+    rows = rows.groupBy("doc_id").agg(F.max("y").alias("y")).join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("_h", F.xxhash64("doc_id"))
     chosen = [rows.filter(F.col("y") == y).orderBy("_h", "doc_id").limit(per_class) for y in (0, 1)]
     picked = F.broadcast(chosen[0].unionByName(chosen[1]).select("doc_id", "y"))  # 2 * per_class rows at most
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(picked, "doc_id").select("doc_id", "text", "y")
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(picked, "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """`name`, with underscores before it until no column has it (in any case of letters)."""
+    held = {c.lower() for c in columns}
+    while name.lower() in held:
+        name = "_" + name
+    return name

@@ -1,24 +1,26 @@
 """Benchmark decontamination by template windows, in built-in DataFrame functions only.
 
 A text is cut into numbers and words. Its literal form has the lower-cased words, with `#` for a number and `~` for a unit
-after a number; its template form also has `@` for a name (a word with a capital inside a sentence). Windows of WINDOW
-tokens of both forms are hashed. Of benchmark items every STRIDE-th window and the last are searched, in a form if at least
-half of it is not a placeholder there. A window of which more is numbers and units is searched by its exact tokens, so that
-no window is left out; the SQL leaves such windows out. An item with fewer tokens than a window is one window, one with
-under LEAST tokens is not searched.
-
-Documents' windows are first held against a fixed-size table of the items' hash cells inside the row, so that only some hundredths leave
-it, then joined by hash. For a document, an item and an alignment, the values that fill the item's slots are paired with
-the document's: one value of the item must stand for one value of the document throughout. A document has leaked an item
-if windows in consistent alignments cover COVERAGE of the item's windows; it is `verbatim` if all values are equal, else
-`reparameterised`.
+after a number; its template form also has `@` for every word with a capital, a name or the first word of a sentence.
+All windows of WINDOW tokens of the items are searched, in a form if at least half of the window is not a placeholder
+there; a window of which more is numbers and units is searched by its exact tokens, so that none is left out. An item
+with fewer tokens than a window is one window. One with under LEAST tokens is found only as a whole text: elsewhere it
+would be in most documents.
+
+Documents' windows are first held against a table of the items' hash cells inside the row, so that only about a hundredth
+leaves it, then joined by hash. The table has CELLS_EACH cells for a window and at most MOST_CELLS; beyond, it lets more
+windows through and loses none. For a document, an item and an alignment, the values that fill the item's slots are
+paired with the document's: one value of the item must stand for one value of the document throughout. A document has
+leaked an item if windows in consistent alignments cover COVERAGE of the item's windows; it is `verbatim` if all values
+are equal, else `reparameterised`.
 
 Item windows are broadcast up to BROADCAST_WINDOWS; beyond, both sides are shuffled by hash. Nothing groups by a key that
-many documents share.
+many documents share. `stride` may be raised to search fewer windows of long items; the default searches all.
 
-Defined results: null and empty texts have no tokens and leak nothing; rows that share a doc_id (null counts as one) are
-judged together, so repeated rows give one result; repeated items with other ids are each reported; an empty table on either side
-gives an empty result; other columns are not read.
+Defined results: null and empty texts have no tokens and leak nothing; rows are judged by their texts, so rows with the
+same doc_id (or none) and different texts are each judged and reported, and repeated rows give one result; repeated items
+with other ids are each reported; of alignments with equal cover all count; an empty table on either side gives an empty
+result; other columns, whatever their names, are not read by `leaks` and kept by `clean`.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ from pyspark.sql import functions as F
 from .common import stored
 
 WINDOW = 8
-STRIDE = 4
+STRIDE = 1
 LEAST = 4
 COVERAGE = 0.3
-CELLS = 1 << 17
+CELLS_EACH, LEAST_CELLS, MOST_CELLS = 64, 1 << 17, 1 << 23
 BROADCAST_WINDOWS = 200_000
 TOKEN = r"([0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+)([^\p{L}\p{M}0-9]*)"
 #: Units that count as one after a number.
@@ -42,32 +44,35 @@ UNITS = (
 )
 
 
-def _first(word: Column) -> Column:
-    return F.substring(word, 1, 1)
+def _digit(word: Column) -> Column:
+    return (word >= "0") & (word < ":")
+
+
+def _capital(word: Column) -> Column:
+    """Whether a word begins with a capital; most words are told by their first byte."""
+    first = F.substring(word, 1, 1)
+    return ((word >= "A") & (word < "[")) | ((word >= "\u0080") & (first != F.lower(first)))
 
 
 def with_forms(rows: DataFrame, text: str) -> DataFrame:
     """Adds `n`, the number of tokens, and `forms`, for each: low (lower-cased), mark (# or ~ or null), slot (the same, or @
-    for a name), and lit and tpl, the hashes of its two forms.
+    for a capital), and lit and tpl, the hashes of its two forms.
 
     Lambdas see only elements of zipped arrays: an outer array in a lambda may be inlined by the optimiser, and is then
     computed anew for each element.
     """
-    filled = F.coalesce(F.col(text), F.lit(""))
-    cut = rows.withColumns({"_words": F.regexp_extract_all(filled, F.lit(TOKEN), F.lit(1)), "_gaps": F.regexp_extract_all(filled, F.lit(TOKEN), F.lit(2))})
-    before = lambda x: F.slice(F.concat(F.array(F.lit("")), F.col(x)), F.lit(1), F.size(x))
-    zipped = cut.select(*rows.columns, F.arrays_zip(F.col("_words").alias("w"), before("_words").alias("b"), before("_gaps").alias("g")).alias("_zip"))
-    digit = lambda x: _first(x).between("0", "9")
+    words = rows.withColumn("_words", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(1)))
+    before = F.slice(F.concat(F.array(F.lit("")), F.col("_words")), F.lit(1), F.size("_words"))
+    zipped = words.select(*rows.columns, F.arrays_zip(F.col("_words").alias("w"), before.alias("b")).alias("_zip"))
 
     def read(x: Column) -> Column:
         low = F.lower(x["w"])
-        mark = F.when(digit(x["w"]), "#").when(digit(x["b"]) & low.isin(*UNITS), "~")
-        inside = (x["g"] == " ") | ((x["b"] != "") & ~x["g"].rlike(r"[.!?\n:]"))
-        return F.struct(low.alias("low"), mark.alias("mark"), (inside & (_first(x["w"]) != F.lower(_first(x["w"])))).alias("name"))
+        mark = F.when(_digit(x["w"]), "#").when(_digit(x["b"]) & low.isin(*UNITS), "~")
+        return F.struct(low.alias("low"), mark.alias("mark"), _capital(x["w"]).alias("name"))
 
     def form(x: Column) -> Column:
-        key = F.xxhash64(F.coalesce(x["mark"], x["low"]))
-        return F.struct(x["low"].alias("low"), F.when(x["name"], "@").otherwise(x["mark"]).alias("slot"), x["mark"].alias("mark"), key.alias("lit"), F.when(x["name"], F.xxhash64(F.lit("@"))).otherwise(key).alias("tpl"))
+        slot, key = F.coalesce(x["mark"], F.when(x["name"], "@")), F.xxhash64(F.coalesce(x["mark"], x["low"]))
+        return F.struct(x["low"].alias("low"), slot.alias("slot"), x["mark"].alias("mark"), key.alias("lit"), F.when(slot == "@", F.xxhash64(F.lit("@"))).otherwise(key).alias("tpl"))
 
     return zipped.withColumn("forms", F.transform(F.transform("_zip", read), form)).drop("_zip").withColumn("n", F.size("forms"))
 
@@ -76,43 +81,53 @@ def _window(array: Column, at: Column, size: Column | int) -> Column:
     return F.slice(array, at + 1, size)
 
 
-def item_windows(items: DataFrame) -> DataFrame:
-    """(size, hash, exact, item_id, at, windows, slots, value): the searched windows of the items, in both forms or exact."""
-    formed = with_forms(items.select("item_id", F.col("text").cast("string").alias("text")), "text").drop("text").filter(F.col("n") >= LEAST)
+def item_windows(items: DataFrame, stride: int = STRIDE) -> DataFrame:
+    """(size, hash, exact, item_id, at, windows, slots, value): the searched windows of the items, in both forms or exact.
+
+    A whole text of under LEAST tokens has their number below zero as its size.
+    """
+    formed = with_forms(items.select("item_id", F.col("text").cast("string").alias("text")), "text").drop("text").filter(F.col("n") > 0)
     size = F.least(F.col("n"), F.lit(WINDOW))
     last = F.col("n") - F.col("size")
-    placed = formed.withColumn("size", size).withColumn("starts", F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(STRIDE)), F.array(last))))
+    placed = formed.withColumn("size", size).withColumn("starts", F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last))))
     placed = placed.withColumn("windows", F.size("starts")).withColumn("at", F.explode("starts")).withColumn("own", _window(F.col("forms"), F.col("at"), F.col("size")))
     slots = F.filter(F.transform("own", lambda x, p: F.when(x["slot"].isNotNull(), p)), lambda p: p.isNotNull())
     solid = lambda mark: F.size(F.filter("own", lambda x: x[mark].isNull())).alias("_solid")
-    common = ["size", "item_id", "at", "windows", slots.alias("slots"), F.col("own.low").alias("value")]
-    hashed = lambda form, mark: placed.select(*common, F.xxhash64(F.col(f"own.{form}")).alias("hash"), F.lit(form == "low").alias("exact"), solid(mark))
-    half = F.col("_solid") * 2 >= F.col("size")
+    whole = F.col("n") < LEAST
+    common = [F.when(whole, -F.col("size")).otherwise(F.col("size")).alias("size"), "item_id", "at", "windows", slots.alias("slots"), F.col("own.low").alias("value")]
+    hashed = lambda form, mark: placed.select(*common, F.xxhash64(F.col(f"own.{form}")).alias("hash"), F.lit(form == "low").alias("exact"), solid(mark), whole.alias("_whole"))
+    half = ~F.col("_whole") & (F.col("_solid") * 2 >= F.col("size"))
     forms = hashed("lit", "mark").unionByName(hashed("tpl", "slot")).filter(half).unionByName(hashed("low", "mark").filter(~half))
-    return forms.drop("_solid").distinct()
+    return forms.drop("_solid", "_whole").distinct()
 
 
-def _cell(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(CELLS - 1).cast("long"))
+def _cell(h: Column, cells: int) -> Column:
+    return h.bitwiseAND(F.lit(cells - 1).cast("long"))
 
 
-def _cells(windows: DataFrame) -> bytearray:
-    """A byte for each low part of a hash, 1 if an item window has it; its size is fixed."""
-    cells = bytearray(CELLS)
-    for row in windows.select(_cell(F.col("hash")).alias("cell")).distinct().collect():  # CELLS rows at most
-        cells[row["cell"]] = 1
-    return cells
+def _cells(windows: DataFrame, many: int) -> bytearray:
+    """A byte for each low part of a hash, 1 if an item window has it; a power of two of them, by the number of windows."""
+    table = bytearray(min(MOST_CELLS, max(LEAST_CELLS, 1 << (CELLS_EACH * many - 1).bit_length())))
+    cell = _cell(F.col("hash"), len(table))
+    bits = windows.groupBy(F.shiftright(cell, 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(F.lit(31).cast("long")).cast("int"))).alias("bits"))
+    for word, held in bits.collect():  # MOST_CELLS / 32 rows at most
+        for k in range(32):
+            if held >> k & 1:
+                table[32 * word + k] = 1
+    return table
 
 
 def document_windows(docs: DataFrame, sizes: list[int], cells: bytearray, exact: list[int] = ()) -> DataFrame:
-    """(doc_id, size, hash, at, value): the documents' windows whose cell an item window has. exact: sizes of exact windows."""
-    formed = with_forms(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "text")
+    """(doc_id, digest, size, hash, at, value): the documents' windows whose cell an item window has, and whole texts of
+    under LEAST tokens. exact: sizes of exact windows."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    formed = with_forms(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("digest"), text.alias("text")), "text")
     named = F.filter(F.transform("forms", lambda x, i: F.when(x["slot"] == "@", i)), lambda i: i.isNotNull())
     marked = F.filter(F.transform("forms", lambda x, i: F.when(x["mark"].isNotNull(), i)), lambda i: i.isNotNull())
     own = [F.col("forms.low").alias("low"), marked.alias("marked")] if exact else []
-    hashed = formed.select("doc_id", "n", "forms", F.col("forms.lit").alias("lit"), F.col("forms.tpl").alias("tpl"), named.alias("named"), *own)
+    hashed = formed.select("doc_id", "digest", "n", "forms", F.col("forms.lit").alias("lit"), F.col("forms.tpl").alias("tpl"), named.alias("named"), *own)
     held, one = F.lit(cells), F.lit(bytearray([1]))
-    known = lambda h: F.substring(held, (_cell(h) + 1).cast("int"), F.lit(1)) == one
+    known = lambda h: F.substring(held, (_cell(h, len(cells)) + 1).cast("int"), F.lit(1)) == one
 
     def kept(form: str, size: int) -> Column:
         last = F.size(form) - size  # a second use of the array: one that is used once may be inlined into the lambda
@@ -122,39 +137,49 @@ def document_windows(docs: DataFrame, sizes: list[int], cells: bytearray, exact:
         placed = F.filter(F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(_window(F.col(form), i, size)).alias("hash"))), lambda x: known(x["hash"]))
         return F.transform(placed, lambda x: F.struct(F.lit(size).alias("size"), x["hash"].alias("hash"), x["at"].alias("at"), _window(F.col("forms"), x["at"], size)["low"].alias("value")))
 
+    low = F.col("forms.low")
+    whole = F.when(F.col("n").between(1, LEAST - 1), F.array(F.struct((-F.col("n")).alias("size"), F.xxhash64(low).alias("hash"), F.lit(0).alias("at"), low.alias("value"))))
     parts = [kept(form, size) for size in sizes for form in ("lit", "tpl")] + [kept("low", size) for size in exact]
-    return hashed.select("doc_id", F.explode(F.array_distinct(F.concat(*parts))).alias("w")).select("doc_id", "w.*")
+    parts.append(F.coalesce(whole, F.array().cast("array<struct<size:int,hash:bigint,at:int,value:array<string>>>")))
+    return hashed.select("doc_id", "digest", F.explode(F.array_distinct(F.concat(*parts))).alias("w")).select("doc_id", "digest", "w.*")
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, windows, coverage, kind): the items that each document has leaked."""
-    index = stored(item_windows(items), "items")
-    sizes = sorted(r["size"] for r in index.select("size").distinct().collect())  # WINDOW numbers at most
-    exact = sorted(r["size"] for r in index.filter("exact").select("size").distinct().collect())  # likewise
+def leaks_by_text(docs: DataFrame, items: DataFrame, stride: int = STRIDE) -> DataFrame:
+    """(doc_id, digest, item_id, windows, coverage, kind): the items that each document has leaked; digest: MD5 of its text."""
+    index = stored(item_windows(items, stride), "items")
     many = index.count()
-    found = document_windows(docs, sizes or [WINDOW], _cells(index), exact)
+    sizes = sorted(r["size"] for r in index.filter("not exact").select("size").distinct().collect())  # WINDOW numbers at most
+    exact = sorted(r["size"] for r in index.filter("exact and size > 0").select("size").distinct().collect())  # likewise
+    found = document_windows(docs, sizes, _cells(index, many), exact)
     mine = index.select(F.col("size").alias("_size"), F.col("hash").alias("_hash"), "item_id", F.col("at").alias("item_at"), "windows", "slots", F.col("value").alias("item_value"))
     matched = found.join(F.broadcast(mine) if many <= BROADCAST_WINDOWS else mine, (F.col("hash") == F.col("_hash")) & (F.col("size") == F.col("_size")))
     pairs = F.transform("slots", lambda p: F.struct(F.get(F.col("item_value"), p).alias("item"), F.get(F.col("value"), p).alias("doc")))
+    key = ["doc_id", "digest", "item_id"]
     aligned = (
-        matched.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "windows", pairs.alias("pairs"))
-        .groupBy("doc_id", "item_id", "shift")
+        matched.select(*key, (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "windows", pairs.alias("pairs"))
+        .groupBy(*key, "shift")
         .agg(F.size(F.collect_set("item_at")).alias("hits"), F.max("windows").alias("of"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     )
     # lists above are bounded by an item's length
     one_to_one = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))) == F.size("pairs")
     equal = F.forall("pairs", lambda p: p["item"] == p["doc"])
-    judged = aligned.filter(one_to_one).groupBy("doc_id", "item_id").agg(F.sum("hits").alias("windows"), F.max("of").alias("of"), F.min(equal.cast("int")).alias("same"))
+    judged = aligned.filter(one_to_one).groupBy(*key).agg(F.sum("hits").alias("windows"), F.max("of").alias("of"), F.min(equal.cast("int")).alias("same"))
     share = F.least(F.lit(1.0), F.col("windows") / F.col("of"))
     return judged.filter(share >= COVERAGE).select(
-        "doc_id", "item_id", F.col("windows").cast("long").alias("windows"), F.round(share, 4).alias("coverage"), F.when(F.col("same") == 1, "verbatim").otherwise("reparameterised").alias("kind")
+        *key, F.col("windows").cast("long").alias("windows"), F.round(share, 4).alias("coverage"), F.when(F.col("same") == 1, "verbatim").otherwise("reparameterised").alias("kind")
     )
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of documents without a leak, with all their columns."""
-    bad = leaks(docs, items).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_leaked"]), "left_anti")
+def leaks(docs: DataFrame, items: DataFrame, stride: int = STRIDE) -> DataFrame:
+    """(doc_id, item_id, windows, coverage, kind): a row for each document, each different text of it, and each item."""
+    return leaks_by_text(docs, items, stride).drop("digest")
+
+
+def clean(docs: DataFrame, items: DataFrame, stride: int = STRIDE) -> DataFrame:
+    """The rows of documents whose text has no leak, with all their columns."""
+    # read back: its size is known then, and a small one is broadcast instead of shuffling the documents
+    bad = stored(leaks_by_text(docs, items, stride).select("digest").distinct(), "leaked")
+    return docs.join(bad, F.md5(F.coalesce(docs["text"].cast("string"), F.lit(""))) == bad["digest"], "left_anti")
 
 
 def oracle() -> str:
@@ -162,26 +187,31 @@ def oracle() -> str:
     units = ", ".join(f"'{u}'" for u in UNITS)
 
     def forms(source: str, key: str) -> str:
-        return f"""select {key}, p - 1 as p, w, lower(w) as low, case when w[1] between '0' and '9' then '#'
+        return f"""select {key}, p - 1 as p, lower(w) as low, case when w[1] between '0' and '9' then '#'
                 when b between '0' and '9' and lower(w) in ({units}) then '~' else lower(w) end as lit,
-                case when p > 1 and not regexp_matches(g, '[.!?\\n:]') and w[1] <> lower(w[1]) then '@'
-                when w[1] between '0' and '9' then '#' when b between '0' and '9' and lower(w) in ({units}) then '~' else lower(w) end as tpl
-            from (select {key}, p, ws[p] as w, gs[p - 1] as g, ws[p - 1][1] as b from
-                (select {key}, regexp_extract_all(text, '{TOKEN}', 1) as ws, regexp_extract_all(text, '{TOKEN}', 2) as gs, from {source} where text is not null),
-                range(1, len(ws) + 1) r(p))"""
+                case when w[1] between '0' and '9' then '#' when b between '0' and '9' and lower(w) in ({units}) then '~'
+                when w[1] <> lower(w[1]) then '@' else lower(w) end as tpl
+            from (select {key}, p, ws[p] as w, ws[p - 1][1] as b from
+                (select {key}, regexp_extract_all(text, '{TOKEN}', 1) as ws from {source} where text is not null), range(1, len(ws) + 1) r(p))"""
 
     def lists(name: str, key: str) -> str:
         return f"select {key}, list(low order by p) as low, list(lit order by p) as lit, list(tpl order by p) as tpl, count(*) as n from {name} group by {key}"
 
+    def solid(x: str) -> str:
+        return f"len(list_filter({x}, lambda y: y not in ('#', '@', '~'))) * 2 >= size"
+
     return f"""with it as materialized ({forms("benchmark", "item_id")}), il as materialized ({lists("it", "item_id")}),
-        iw as (select *, least(n, {WINDOW}) as size from il where n >= {LEAST}),
-        ia as (select *, unnest(list_distinct(list_append(range(0, n - size + 1, {STRIDE}), n - size))) as o, len(list_distinct(list_append(range(0, n - size + 1, {STRIDE}), n - size))) as of from iw),
-        ib as (select item_id, o, of, size, low[o + 1 : o + size] as v, tpl[o + 1 : o + size] as tw, unnest([lit[o + 1 : o + size], tpl[o + 1 : o + size]]) as key from ia),
-        ix as materialized (select distinct item_id, o, of, size, v, tw, array_to_string(key, ' ') as key from ib where len(list_filter(key, lambda x: x not in ('#', '@', '~'))) * 2 >= size),
+        iw as (select *, least(n, {WINDOW}) as size from il),
+        ia as (select *, unnest(range(0, n - size + 1)) as o, n - size + 1 as of from iw),
+        ib as (select item_id, o, of, size, n, low[o + 1 : o + size] as v, lit[o + 1 : o + size] as lw, tpl[o + 1 : o + size] as tw from ia),
+        ic as (select *, lw as key, 'form' as kind from ib where n >= {LEAST} and {solid("lw")} union all select *, tw, 'form' from ib where n >= {LEAST} and {solid("tw")}
+            union all select *, v, 'exact' from ib where n >= {LEAST} and not ({solid("lw")}) union all select *, v, 'whole' from ib where n < {LEAST}),
+        ix as materialized (select distinct item_id, o, of, size, v, tw, kind, array_to_string(key, ' ') as key from ic),
         dt as materialized ({forms("documents", "doc_id")}), dl as materialized ({lists("dt", "doc_id")}),
-        dw as (select doc_id, s.size, unnest(range(0, n - s.size + 1)) as o, low, lit, tpl from dl, (select distinct size from ix) s where n >= s.size),
-        dx as (select doc_id, size, o, low[o + 1 : o + size] as v, unnest([lit[o + 1 : o + size], tpl[o + 1 : o + size]]) as key from dw),
-        m as materialized (select distinct doc_id, item_id, dx.o - ix.o as shift, ix.o as o, of, ix.v as iv, dx.v as dv, tw from dx join ix on ix.size = dx.size and ix.key = array_to_string(dx.key, ' ')),
+        dw as (select doc_id, n, s.size, unnest(range(0, n - s.size + 1)) as o, low, lit, tpl from dl, (select distinct size from ix) s where n >= s.size),
+        dx as (select doc_id, n, size, o, low[o + 1 : o + size] as v, unnest([lit[o + 1 : o + size], tpl[o + 1 : o + size], low[o + 1 : o + size]]) as key, unnest(['form', 'form', 'exact']) as kind from dw
+            union all select doc_id, n, size, o, low, low, 'whole' from dw where n = size),
+        m as materialized (select distinct doc_id, item_id, dx.o - ix.o as shift, ix.o as o, of, ix.v as iv, dx.v as dv, tw from dx join ix on ix.size = dx.size and ix.kind = dx.kind and ix.key = array_to_string(dx.key, ' ')),
         a as (select doc_id, item_id, shift, count(distinct o) as hits, max(of) as of from m group by all),
         s as (select distinct doc_id, item_id, shift, iv[k] as i, dv[k] as d from m, range(1, len(tw) + 1) r(k) where tw[k] in ('#', '@', '~')),
         c as (select doc_id, item_id, shift, count(distinct i) = count(*) as ok, bool_and(i = d) as same from s group by all),

@@ -15,11 +15,15 @@ keep a group of near copies from giving all its pairs, segment keys first link e
 the same key, if they are near; components of those links are found; then the joins look only for links between
 different components. That loses none: components of the two kinds of links are those of all links.
 
-Equal fingerprints are one node, made by an aggregation with partial sums, so exact copies cost nothing further.
+The components of the first links are the nodes of the second search, so that only links between them are followed again.
+
+Equal fingerprints are one node, made by an aggregation with partial sums, so exact copies cost nothing further. A segment
+that a large group shares, and a component or fingerprint with most rows, are skewed sides of joins that are dealt out for
+the join alone, so adaptive execution splits them.
 
 Defined results: null and empty texts and texts without words have fingerprint zero, linked like any other; a null doc_id
-is its own row and counts after all others; repeated rows each keep their row; an empty table gives an empty result;
-other columns are not carried.
+is its own row and counts after all others; repeated rows each keep their row; equal smallest doc_ids name the same
+component; an empty table gives an empty result; other columns, whatever their names, are not carried by near_duplicates.
 """
 
 from __future__ import annotations
@@ -33,8 +37,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..operators.graph import connected_components
+from ..operators.graph import anew, connected_components
 from .common import stored
 
 WORDS_PER_SHINGLE = 4
@@ -68,8 +73,20 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * count > len(hashes)).tobytes(), "big")
 
 
+def with_fingerprint(docs: DataFrame, out: str = "fp") -> DataFrame:
+    """The rows with all their columns and the fingerprint of `text`, as a signed long in the column `out`."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.array([fingerprint(t.as_py()) for t in batch.column(names.index("text"))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*names, out])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, LongType())]))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, fp)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,36 +166,47 @@ def _differ(a: str, b: str) -> F.Column:
 
 
 def link_components(nodes: DataFrame) -> DataFrame:
-    """(fp, component): the smallest fingerprint (as a signed long) reachable, for those that link to another one.
+    """(fp, component): the smallest fingerprint (as a signed long) reachable, for every node; its own if it links to none.
 
     nodes: (fp), each once.
     """
     keyed = _segments(nodes.select("fp"))
-    least = keyed.groupBy("key").agg(F.min("fp").alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key", "first")
-    stars = keyed.join(least, "key").filter((F.col("fp") != F.col("first")) & (_differ("fp", "first") <= MOST_BITS)).select(F.col("fp").alias("src"), F.col("first").alias("dst"))
-    stars = stored(stars.distinct(), "stars")
-    parts = connected_components(stars).select(F.col("node").alias("fp"), F.col("component").alias("_component"))
-    labelled = stored(nodes.select("fp").join(parts, "fp", "left").select("fp", F.coalesce("_component", "fp").alias("part")), "parts")
+    least = keyed.groupBy("key").agg(F.min("fp").alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(anew(F.col("key")).alias("_key"), "first")
+    stars = keyed.join(least, F.col("key") == F.col("_key")).filter((F.col("fp") != F.col("first")) & (_differ("fp", "first") <= MOST_BITS)).select(F.col("fp").alias("src"), F.col("first").alias("dst"))
+    parts = connected_components(stars).select(F.col("node").alias("_fp"), F.col("component").alias("_part"))
+    labelled = stored(nodes.select("fp").join(parts, F.col("fp") == F.col("_fp"), "left").select("fp", F.coalesce("_part", "fp").alias("part")), "parts")
 
     def links(index: DataFrame, probe: DataFrame) -> DataFrame:
         other = probe.select(F.col("key").alias("_key"), F.col("fp").alias("_fp"), F.col("part").alias("_part"))
         same = (F.col("key") == F.col("_key")) & (F.col("part") != F.col("_part")) & (_differ("fp", "_fp") <= MOST_BITS)
-        return index.join(other, same).select(F.col("fp").alias("src"), F.col("_fp").alias("dst"))
+        return index.join(other, same).select(F.col("part").alias("src"), F.col("_part").alias("dst"))
 
     whole = _segments(labelled)
-    mixed = whole.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).filter("_low < _high").select("key")
-    several = whole.join(mixed, "key", "left_semi")
+    mixed = whole.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).filter("_low < _high").select(anew(F.col("key")).alias("_mixed"))
+    # read back, so that both sides of the join within keys are dealt out for it
+    several = stored(whole.join(mixed, F.col("key") == F.col("_mixed"), "left_semi"), "several")
     found = links(several, several).unionByName(links(_keyed(labelled, False), _keyed(labelled, True)))
-    more = stored(found.distinct(), "links")
-    return connected_components(stars.unionByName(more)).select(F.col("node").alias("fp"), "component")
+    joined = connected_components(found).select(F.col("node").alias("_node"), "component")
+    # a part with most fingerprints is a skewed side: the components are dealt out anew by their node
+    return labelled.join(joined, F.col("part") == F.col("_node"), "left").select("fp", F.coalesce("component", "part").alias("component"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Every row with its fingerprint and the smallest doc_id of its component."""
     prints = stored(fingerprints(docs), "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "nodes")
-    linked = stored(nodes.join(link_components(nodes), "fp", "left").select("fp", "first_doc", F.coalesce("component", "fp").alias("component")), "linked")
-    # read back, so that the join below is dealt out anew on both sides and a component with most fingerprints can be split
-    smallest = stored(linked.groupBy("component").agg(F.min("first_doc").alias("component_id")), "smallest")
-    named = linked.join(smallest, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = stored(nodes.withColumnRenamed("fp", "_node").join(link_components(nodes), F.col("_node") == F.col("fp")).select("fp", "first_doc", "component"), "linked")
+    smallest = linked.groupBy("component").agg(F.min("first_doc").alias("component_id")).select(anew(F.col("component")).alias("_component"), "component_id")
+    named = linked.join(smallest, F.col("component") == F.col("_component")).select(F.col("fp").alias("_fp"), "component_id")
+    return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_rows(rows: DataFrame, fp: str, row: str) -> DataFrame:
+    """(row): of each component the row with the smallest doc_id (null last) and then the smallest row number.
+
+    rows: doc_id, a fingerprint and a row number, which no two rows share.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_doc"), F.col(row).alias("_row"))
+    nodes = stored(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first")), "nodes")
+    linked = nodes.withColumnRenamed("fp", "_node").join(link_components(nodes), F.col("_node") == F.col("fp"))
+    return linked.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first._row").alias(row))

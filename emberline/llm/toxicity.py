@@ -12,9 +12,11 @@ A text's score is the logistic function of the sum of its cells' weights plus an
 own, without a shuffle. The sample: at most SAMPLE_PER_CLASS rows of each class with the smallest hash of doc_id among the
 labelled rows of the training folds; the model is a few thousand numbers and is sent with the task.
 
-Defined results: null and empty texts score the intercept; repeated rows score alike; labels of documents that are
-missing or null are no training rows; without rows of both classes every text scores 0; an empty table gives an empty
-result; other columns of `documents` are not read. A null doc_id counts as text "" for the fold.
+Defined results: null and empty texts score the intercept; repeated rows score alike and train once, a doc_id with several
+texts trains on the smallest of them; a doc_id that is labelled twice counts as toxic if one label says so; labels of
+documents that are missing or null are no training rows; a score of exactly 0.5 predicts 1; without rows of both classes
+every text scores 0; an empty table gives an empty result; other columns of `documents`, whatever their names, are not
+read. A null doc_id counts as text "" for the fold.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fold, labelled_sample
+from .common import fold, labelled_sample, stored
 
 ORDERS = (2, 3, 4, 5)
 HASH_BITS = 18
@@ -41,6 +43,7 @@ RATE = 0.05
 FOLDS, HELD_OUT = 5, 0
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 CHUNK = 400_000  # characters hashed at once
+BLOCK_CELLS = 250_000  # cells of texts in a block of the regression
 
 
 def characters(text: str | None) -> np.ndarray:
@@ -78,55 +81,89 @@ def present(text: str | None) -> np.ndarray:
     return out[out > 0].astype(np.int32)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights of cells from the cells of each text: (cells, weights, intercept)."""
-    positive = int(y.sum())
-    if not positive or positive == len(y):
-        return np.zeros(0, np.int32), np.zeros(0, np.float32), -30.0
-    size = 1 << HASH_BITS
-    counts = np.zeros((2, size))
-    for cell, label in zip(rows, y, strict=True):
-        counts[label][cell] += 1
-    ratio = np.log((counts[1] + SMOOTHING) / (positive + 2 * SMOOTHING)) - np.log((counts[0] + SMOOTHING) / (len(y) - positive + 2 * SMOOTHING))
-    # cells whose ratio stands out from chance; a third of the texts' cells would otherwise carry a weight near 0
-    z = np.abs(ratio) / np.sqrt(1 / (counts[0] + SMOOTHING) + 1 / (counts[1] + SMOOTHING))
-    z[counts.sum(0) < LEAST_TEXTS] = 0
-    used = np.zeros(size, bool)
-    used[np.argsort(-z, kind="stable")[:CELLS]] = True
-    used &= z > 0
-    index = np.cumsum(used) - 1
-    short = [index[c[used[c]]].astype(np.int32) for c in rows]
-    lengths = np.array([len(c) for c in short])
-    flat, row = np.concatenate(short), np.repeat(np.arange(len(y), dtype=np.int32), lengths)
-    r = ratio[used]
-    scaled = r[flat].astype(np.float32)
-    width = int(used.sum())
-    weight, bias = np.zeros(width), 0.0
+def ratios(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
+    """The naive Bayes log-count ratio of each cell, from how many texts of each class have it."""
+    return np.log((toxic + SMOOTHING) / (n_toxic + 2 * SMOOTHING)) - np.log((clean + SMOOTHING) / (n_clean + 2 * SMOOTHING))
+
+
+def descend(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept of a logistic regression on presence * r; rows: the places in r of each text's cells.
+
+    Rows are taken in blocks of BLOCK_CELLS cells, so that what a step needs besides the rows is bounded.
+    """
+    width, positive = len(r), int(y.sum())
+    blocks, at = [], 0
+    while at < len(rows):
+        end, held = at + 1, len(rows[at])
+        while end < len(rows) and held + len(rows[end]) <= BLOCK_CELLS:
+            held, end = held + len(rows[end]), end + 1
+        blocks.append((at, end, np.concatenate(rows[at:end]).astype(np.uint16), np.repeat(np.arange(end - at, dtype=np.int32), [len(c) for c in rows[at:end]])))
+        at = end
     balance = np.where(y == 1, len(y) / (2 * positive), len(y) / (2 * (len(y) - positive)))
+    weight, bias = np.zeros(width), 0.0
     moments, squares = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, STEPS + 1):
-        margin = np.bincount(row, scaled * weight[flat], len(y)) + bias
-        error = balance * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / len(y)
-        gradient = np.append(np.bincount(flat, scaled * error[row], width) + L2 * weight, error.sum())
+        gradient, scaled = np.append(L2 * weight, 0.0), weight * r
+        for a, b, flat, row in blocks:
+            margin = np.bincount(row, scaled[flat], b - a) + bias
+            error = balance[a:b] * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[a:b]) / len(y)
+            gradient[:-1] += r * np.bincount(flat, error[row], width)
+            gradient[-1] += error.sum()
         moments, squares = 0.9 * moments + 0.1 * gradient, 0.999 * squares + 0.001 * gradient**2
         move = RATE * (moments / (1 - 0.9**step)) / (np.sqrt(squares / (1 - 0.999**step)) + 1e-8)
         weight, bias = weight - move[:-1], bias - move[-1]
-    final = weight * r
-    keep = np.abs(final) > 1e-3
-    return np.flatnonzero(used)[keep].astype(np.int32), final[keep].astype(np.float32), float(bias)
+    return weight, float(bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, per_class: int = SAMPLE_PER_CLASS) -> tuple[np.ndarray, np.ndarray, float]:
-    """The model, from a bounded sample of labelled rows. Executors hash whole texts; cells are gathered, not texts."""
+    """The model (cells, weights, intercept), from a bounded sample of labelled rows.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Executors hash whole texts, count cells and choose CELLS of them. The driver gets those, and for each of at most
+    2 * per_class texts which of them it has: CELLS two-byte numbers at most.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells_of = pa.array([present(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), cells_of, batch.column(2)], ["doc_id", "cells", "y"])
 
-    sample = labelled_sample(docs, labels, label, folds, held_out, per_class).mapInArrow(run, "doc_id long, cells binary, y int")
-    rows = sorted(sample.collect(), key=lambda r: r["doc_id"])  # 2 * per_class rows at most
-    return fit([np.frombuffer(r["cells"], np.int32) for r in rows], np.array([r["y"] for r in rows], np.int64))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = np.zeros((2, 1 << HASH_BITS), np.int64)
+        for batch in batches:
+            for own, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                both[y, np.frombuffer(own.as_py(), np.int32)] += 1
+        used = np.flatnonzero(both.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(both[0, used]), pa.array(both[1, used])], ["cell", "clean", "toxic"])
+
+    sample = labelled_sample(docs, labels, label, folds, held_out, per_class).select("doc_id", "text", "y")
+    texts = stored(sample.mapInArrow(hashed, "doc_id long, cells binary, y int"), "toxicity-cells")
+    sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    if not sizes.get(0) or not sizes.get(1):
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), -30.0
+    counts = texts.select("cells", "y").mapInArrow(counted, "cell int, clean long, toxic long").groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    smooth = lambda c: F.col(c) + F.lit(SMOOTHING)
+    ratio = F.log(smooth("toxic") / (sizes[1] + 2 * SMOOTHING)) - F.log(smooth("clean") / (sizes[0] + 2 * SMOOTHING))
+    # cells whose ratio stands out from chance; a third of the texts' cells would otherwise carry a weight near 0
+    stands = F.round(F.abs(ratio) / F.sqrt(1 / smooth("clean") + 1 / smooth("toxic")), 9)
+    ranked = counts.filter(F.col("clean") + F.col("toxic") >= LEAST_TEXTS).withColumn("_z", stands).filter("_z > 0")
+    chosen = sorted(tuple(r) for r in ranked.orderBy(F.desc("_z"), "cell").limit(CELLS).select("cell", "clean", "toxic").collect())  # CELLS rows at most
+    if not chosen:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0
+    used, clean, toxic = (np.array(c) for c in zip(*chosen, strict=True))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(1 << HASH_BITS, -1, np.int32)
+        place[used] = np.arange(len(used))
+        for batch in batches:
+            own = [place[np.frombuffer(c.as_py(), np.int32)] for c in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p[p >= 0].astype(np.uint16).tobytes() for p in own], pa.binary()), batch.column(2)], ["doc_id", "places", "y"])
+
+    rows = sorted(texts.mapInArrow(placed, "doc_id long, places binary, y int").collect(), key=lambda r: r["doc_id"])  # 2 * per_class rows at most
+    y, r = np.array([row["y"] for row in rows], np.int64), ratios(clean, toxic, sizes[0], sizes[1])
+    weight, bias = descend([np.frombuffer(row["places"], np.uint16) for row in rows], y, r)
+    final = weight * r
+    keep = np.abs(final) > 1e-3
+    return used[keep].astype(np.int32), final[keep].astype(np.float32), bias
 
 
 class Scorer:
@@ -156,8 +193,8 @@ class Scorer:
         return out
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Every row with its score in a column of that name, and the columns in `carry`."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], carry: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
+    """Every row with its score in the column `out`, and the columns in `carry`."""
     names = list(dict.fromkeys([*carry, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,10 +203,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], carry: t
             texts = batch.column(batch.schema.get_field_index("text"))
             margins = np.concatenate([scorer.margins(texts[k : k + 200].to_pylist()) for k in range(0, batch.num_rows, 200)] or [np.zeros(0)])
             value = pa.array(1 / (1 + np.exp(-np.clip(margins, -30, 30))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in carry), value], [*carry, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in carry), value], [*carry, out])
 
     rows = docs.select(*names)
-    schema = StructType([*(rows.schema[c] for c in carry), StructField("score", DoubleType())])
+    schema = StructType([*(rows.schema[c] for c in carry), StructField(out, DoubleType())])
     return rows.mapInArrow(run, schema)
 
 

@@ -319,7 +319,7 @@ def test_simhash_links_between_components(spark):
         chain.append(chain[-1] ^ (1 << (63 - k)) ^ (1 << (42 - k)) ^ (1 << (20 - k)))
     signed = [x - (1 << 64) if x >> 63 else x for x in chain] + [7]
     got = {r["fp"]: r["component"] for r in simhash.link_components(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
-    assert set(got) == set(signed[:-1]) and set(got.values()) == {min(signed[:-1])}
+    assert got == {p: min(signed[:-1]) for p in signed[:-1]} | {7: 7}
 
 
 PAGES = "page_id long, url string, html string, host string"
@@ -432,15 +432,110 @@ def test_toxicity_does_not_use_labels_of_the_held_out_fold(corpus):
     assert a == {r["doc_id"]: r["score"] for r in toxicity.classify(docs, flipped).collect()}
 
 
-def test_scores_of_one_text_and_many_agree():
-    rows = [toxicity.present(prose(k, 30) + (" grunk" if k % 2 else "")) for k in range(40)]
-    model = toxicity.fit(rows, np.array([k % 2 for k in range(40)]))
-    scorer = toxicity.Scorer(model)
-    texts = [prose(k, 50) for k in range(9)] + ["", None, "GRUNK"]
-    weights = dict(zip(model[0].tolist(), model[1].tolist(), strict=True))
-    plain = [model[2] + sum(weights.get(c, 0.0) for c in toxicity.present(t).tolist()) for t in texts]
-    assert np.allclose(scorer.margins(texts), plain, atol=1e-4)
-    assert np.allclose([scorer.margins([t])[0] for t in texts], plain, atol=1e-4)
+def cells_of(text):
+    """The cells of a text by loops over its runs of letters, with a boundary on either side: n-grams that reach at most one of them."""
+    mask = (1 << 32) - 1
+    runs, run = [], ""
+    for c in (text or "").lower() + "\n":
+        if "a" <= c <= "z" or (ord(c) >= 0xC0 and c not in "×÷"):
+            run += c
+        elif run:
+            runs.append([1, *map(ord, run), 1])
+            run = ""
+    out = set()
+    for codes in runs:
+        for n in toxicity.ORDERS:
+            for at in range(len(codes) - n + 1):
+                if codes[at] == codes[at + n - 1] == 1:
+                    continue
+                h = sum(c * int(m) for c, m in zip(codes[at : at + n], toxicity._MULTIPLIERS, strict=False)) & mask
+                out.add(((h ^ h >> 15) * (0x2C1B3C6D + 2 * n) & mask) >> (32 - toxicity.HASH_BITS))
+    return out - {0}
+
+
+def test_toxicity_training_matches_brute_force(corpus):
+    docs, marks = corpus
+    cells, weights, bias = toxicity.train(docs, marks)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    toxic = {r["doc_id"]: r["toxic"] for r in marks.filter("doc_id < 240").collect()}
+    rows = [(cells_of(texts[k]), y) for k, y in sorted(toxic.items()) if zlib.crc32(str(k).encode()) % 5]
+    sizes = Counter(y for _, y in rows)
+    count = {c: Counter(y for own, y in rows if c in own) for c in set().union(*(own for own, _ in rows))}
+    ratio = {c: math.log((n[1] + 1) / (sizes[1] + 2)) - math.log((n[0] + 1) / (sizes[0] + 2)) for c, n in count.items()}
+    z = {c: round(abs(ratio[c]) / math.sqrt(1 / (n[0] + 1) + 1 / (n[1] + 1)), 9) for c, n in count.items() if sum(n.values()) >= toxicity.LEAST_TEXTS}
+    chosen = sorted(sorted((c for c in z if z[c] > 0), key=lambda c: (-z[c], c))[: toxicity.CELLS])
+    x = np.array([[ratio[c] * (c in own) for c in chosen] for own, _ in rows])
+    y = np.array([y for _, y in rows])
+    balance = np.where(y == 1, len(y) / (2 * sizes[1]), len(y) / (2 * sizes[0])) / len(y)
+    w, b, m, v = np.zeros(len(chosen)), 0.0, 0.0, 0.0
+    for step in range(1, toxicity.STEPS + 1):
+        error = balance * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        g = np.append(x.T @ error + toxicity.L2 * w, error.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        move = toxicity.RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w, b = w - move[:-1], b - move[-1]
+    want = {c: k * ratio[c] for c, k in zip(chosen, w, strict=True) if abs(k * ratio[c]) > 1e-3}
+    got = dict(zip(cells.tolist(), weights.tolist(), strict=True))
+    assert all(abs(got.get(c, 0.0) - want.get(c, 0.0)) < 2e-3 for c in got.keys() | want.keys()) and abs(bias - b) < 1e-3
+    # whole texts are scored by the sum over their different cells, one by one or many at once
+    scorer = toxicity.Scorer((cells, weights, bias))
+    some = [t for t in list(texts.values())[:40]] + ["GRUNK", prose(6, 9000), "×÷ß漢"]
+    plain = [bias + sum(got.get(c, 0.0) for c in cells_of(t)) for t in some]
+    assert np.allclose(scorer.margins(some), plain, atol=1e-3) and np.allclose([scorer.margins([t])[0] for t in some], plain, atol=1e-3)
+
+
+def test_descent_does_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 50, 12)).astype(np.uint16) for _ in range(60)]
+    y, r = np.arange(60) % 2, rng.normal(size=50)
+    whole = toxicity.descend(rows, y, r)
+    monkeypatch.setattr(toxicity, "BLOCK_CELLS", 25)
+    parts = toxicity.descend(rows, y, r)
+    assert np.allclose(whole[0], parts[0]) and abs(whole[1] - parts[1]) < 1e-9
+
+
+def test_quality_training_is_the_optimum_of_the_pair_loss():
+    rng = np.random.default_rng(3)
+    y = (rng.random(90) < 0.6).astype(int)
+    x = rng.normal(size=(90, len(quality.FEATURES))) + y[:, None] * 0.4
+    model = quality.fit(x, y, 0.7)
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    good, poor = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    draw = np.random.default_rng(quality.SEED)
+    lucky, unlucky = draw.choice(good, len(poor) * quality.PAIRS_EACH), draw.choice(poor, len(good) * quality.PAIRS_EACH)
+    pairs = [(g, unlucky[k * quality.PAIRS_EACH + j]) for k, g in enumerate(good) for j in range(quality.PAIRS_EACH)]
+    pairs += [(lucky[k * quality.PAIRS_EACH + j], p) for k, p in enumerate(poor) for j in range(quality.PAIRS_EACH)]
+
+    def loss(w):
+        return np.mean([math.log1p(math.exp(-(z[a] - z[b]) @ w)) for a, b in pairs]) + quality.L2 / 2 * (w @ w)
+
+    at = loss(model["w"])
+    assert all(loss(model["w"] + d) > at for d in (s * e for e in np.eye(len(model["w"])) for s in (0.02, -0.02)))
+    s = z @ model["w"]
+    weight = np.where(y == 1, 0.7 / len(good), 0.3 / len(poor))
+    below = weight[s < model["threshold"]].sum()
+    assert below <= 0.3 + 1e-9 and below + weight.max() >= 0.3 - 1e-9
+    assert np.array_equal(quality.apply(model, x) >= 0.5, s >= model["threshold"])
+
+
+def test_quality_features_by_loops():
+    text = "One two, two! THREE|3\n\nOne two ünï\nOne two ünï"
+    got = dict(zip(quality.FEATURES, quality.features(text), strict=True))
+    words = text.split()
+    assert got["repeated_words"] == 1 - len(set(words)) / len(words) and got["top_word"] == 3 / len(words)
+    assert got["repeated_lines"] == 1 - 2 / 3 and got["commas"] == 1 / len(words) and got["bars"] == got["exclamations"] == 1 / len(words)
+    assert got["digits"] == 1 / len(text) and got["capitals"] == sum(c.isupper() for c in text) / sum(c.isalpha() for c in text)
+    assert got["mixed_words"] == sum(not w.isalpha() for w in words) / len(words)
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_repeated_rows_train_once(corpus, module):
+    docs, marks = corpus
+    many = docs.unionByName(docs.filter("doc_id < 50")).unionByName(docs.filter("doc_id = 4").withColumn("text", F.lit("zz later text")))
+    again = marks.unionByName(marks.filter("doc_id < 20"))
+    a = {(r["doc_id"], r["score"]) for r in module.classify(docs, marks).collect()}
+    b = {(r["doc_id"], r["score"]) for r in module.classify(many, again).collect()}
+    assert a <= b and {k for k, _ in b - a} <= {4}
 
 
 def test_rollup(spark):

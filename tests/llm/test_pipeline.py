@@ -47,7 +47,7 @@ def test_pipeline_matches_brute_force(spark, folder):
     rows = [r for r in rows if quality.apply(model, np.array([quality.features(r[1])]))[0] >= 0.5]
     assert not {r[0] for r in rows} & {k for k in range(200) if k % 5 in (1, 2)}
     least = components([r[0] for r in rows], [reference_fingerprint(r[1]) for r in rows])
-    rows = list({r[0]: r for r, c in zip(rows, least, strict=True) if r[0] == c}.values())
+    rows = list({c: r for r, c in reversed(list(zip(rows, least, strict=True))) if r[0] == c}.values())
     rows = [r for r in rows if ITEM not in (r[1] or "")]
     coder = bpe.ChunkEncoder(bpe.default_tokenizer())
     lengths = [(r[0], a, n) for r in rows for a, n in packing.cut(len(coder.encode(r[1])) // 4 + 1, packing.SIZE)]

@@ -20,5 +20,5 @@ def test_items_made_of_numbers_are_found_verbatim(spark):
     other = "so compute 12 + 34 * 5 - 7 and 3, 7, 11, 15, 19, 23, 27, 30, then stop here"
     docs = spark.createDataFrame([(1, f"some words. {sums}. and more"), (2, f"{series} more words"), (3, other), (4, "plain words without any number at all")], "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"]): (r["windows"], r["coverage"], r["kind"]) for r in decontamination.leaks(docs, items).collect()}
-    assert got == {(1, 1): (1, 1.0, "verbatim"), (2, 2): (2, 1.0, "verbatim")}
+    assert got == {(1, 1): (1, 1.0, "verbatim"), (2, 2): (4, 1.0, "verbatim")}
     assert [r["doc_id"] for r in decontamination.clean(docs, items).orderBy("doc_id").collect()] == [3, 4]
