@@ -7,9 +7,9 @@ there; a window of which more is numbers and units is searched by its exact toke
 with fewer tokens than a window is one window. One with under LEAST tokens is found only as a whole text: elsewhere it
 would be in most documents.
 
-Documents' windows are first held against a table of the items' hash cells inside the row, so that only about a hundredth
-leaves it, then joined by hash. The table has CELLS_EACH cells for a window and at most MOST_CELLS; beyond, it lets more
-windows through and loses none. For a document, an item and an alignment, the values that fill the item's slots are
+Documents' windows are first held against a Bloom filter of the items' hashes inside the row, so that only about a hundredth
+leaves it, then joined by hash. The filter has BITS_EACH bits for a window, in MOST_BYTES at most as it is held in the
+expression itself; beyond a million windows it gradually lets more through, and never loses one. For a document, an item and an alignment, the values that fill the item's slots are
 paired with the document's: one value of the item must stand for one value of the document throughout. A document has
 leaked an item if windows in consistent alignments cover COVERAGE of the item's windows; it is `verbatim` if all values
 are equal, else `reparameterised`.
@@ -25,6 +25,8 @@ result; other columns, whatever their names, are not read by `leaks` and kept by
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ WINDOW = 8
 STRIDE = 1
 LEAST = 4
 COVERAGE = 0.3
-CELLS_EACH, LEAST_CELLS, MOST_CELLS = 64, 1 << 17, 1 << 23
+BITS_EACH, LEAST_BYTES, MOST_BYTES = 24, 1 << 10, 1 << 20
 BROADCAST_WINDOWS = 200_000
 TOKEN = r"([0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+)([^\p{L}\p{M}0-9]*)"
 #: Units that count as one after a number.
@@ -101,24 +103,26 @@ def item_windows(items: DataFrame, stride: int = STRIDE) -> DataFrame:
     return forms.drop("_solid", "_whole").distinct()
 
 
-def _cell(h: Column, cells: int) -> Column:
-    return h.bitwiseAND(F.lit(cells - 1).cast("long"))
+def _probes(h: Column, size: int) -> list[tuple[Column, Column]]:
+    """(byte, bit) of the two bits of a hash in a table of `size` bytes with 7 bits each."""
+    part = lambda shift, mask: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(mask).cast("long"))
+    return [(part(0, size - 1), (part(24, 0xFFF) % 7).cast("int")), (part(36, size - 1), (part(12, 0xFFF) % 7).cast("int"))]
 
 
-def _cells(windows: DataFrame, many: int) -> bytearray:
-    """A byte for each low part of a hash, 1 if an item window has it; a power of two of them, by the number of windows."""
-    table = bytearray(min(MOST_CELLS, max(LEAST_CELLS, 1 << (CELLS_EACH * many - 1).bit_length())))
-    cell = _cell(F.col("hash"), len(table))
-    bits = windows.groupBy(F.shiftright(cell, 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(F.lit(31).cast("long")).cast("int"))).alias("bits"))
-    for word, held in bits.collect():  # MOST_CELLS / 32 rows at most
-        for k in range(32):
-            if held >> k & 1:
-                table[32 * word + k] = 1
-    return table
+def _bits(windows: DataFrame, many: int) -> bytearray:
+    """A Bloom filter of the item windows' hashes, with BITS_EACH bits for a window within bounds."""
+    size = min(MOST_BYTES, max(LEAST_BYTES, 1 << (BITS_EACH * many // 7).bit_length()))
+    shift = lambda by: F.call_function("shiftleft", F.lit(1).cast("long"), by)
+    words = F.array(*(F.struct(F.shiftright(at, 3).alias("word"), shift((at % 8 * 8).cast("int") + bit).alias("bit")) for at, bit in _probes(F.col("hash"), size)))
+    table = [0] * (size // 8)
+    held = windows.select(F.explode(words).alias("w")).groupBy("w.word").agg(F.bit_or("w.bit").alias("bits"))
+    for word, bits in held.collect():  # MOST_BYTES / 8 rows at most
+        table[word] = bits
+    return bytearray(struct.pack(f"<{len(table)}q", *table))
 
 
-def document_windows(docs: DataFrame, sizes: list[int], cells: bytearray, exact: list[int] = ()) -> DataFrame:
-    """(doc_id, digest, size, hash, at, value): the documents' windows whose cell an item window has, and whole texts of
+def document_windows(docs: DataFrame, sizes: list[int], bits: bytearray, exact: list[int] = ()) -> DataFrame:
+    """(doc_id, digest, size, hash, at, value): the documents' windows whose bits item windows have, and whole texts of
     under LEAST tokens. exact: sizes of exact windows."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     formed = with_forms(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("digest"), text.alias("text")), "text")
@@ -126,8 +130,11 @@ def document_windows(docs: DataFrame, sizes: list[int], cells: bytearray, exact:
     marked = F.filter(F.transform("forms", lambda x, i: F.when(x["mark"].isNotNull(), i)), lambda i: i.isNotNull())
     own = [F.col("forms.low").alias("low"), marked.alias("marked")] if exact else []
     hashed = formed.select("doc_id", "digest", "n", "forms", F.col("forms.lit").alias("lit"), F.col("forms.tpl").alias("tpl"), named.alias("named"), *own)
-    held, one = F.lit(cells), F.lit(bytearray([1]))
-    known = lambda h: F.substring(held, (_cell(h, len(cells)) + 1).cast("int"), F.lit(1)) == one
+    held = F.lit(bits)
+
+    def known(h: Column) -> Column:
+        tests = [F.call_function("shiftright", F.ascii(F.substring(held, (at + 1).cast("int"), F.lit(1)).cast("string")), bit).bitwiseAND(F.lit(1)) == 1 for at, bit in _probes(h, len(bits))]
+        return tests[0] & tests[1]
 
     def kept(form: str, size: int) -> Column:
         last = F.size(form) - size  # a second use of the array: one that is used once may be inlined into the lambda
@@ -150,7 +157,7 @@ def leaks_by_text(docs: DataFrame, items: DataFrame, stride: int = STRIDE) -> Da
     many = index.count()
     sizes = sorted(r["size"] for r in index.filter("not exact").select("size").distinct().collect())  # WINDOW numbers at most
     exact = sorted(r["size"] for r in index.filter("exact and size > 0").select("size").distinct().collect())  # likewise
-    found = document_windows(docs, sizes, _cells(index, many), exact)
+    found = document_windows(docs, sizes, _bits(index, many), exact)
     mine = index.select(F.col("size").alias("_size"), F.col("hash").alias("_hash"), "item_id", F.col("at").alias("item_at"), "windows", "slots", F.col("value").alias("item_value"))
     matched = found.join(F.broadcast(mine) if many <= BROADCAST_WINDOWS else mine, (F.col("hash") == F.col("_hash")) & (F.col("size") == F.col("_size")))
     pairs = F.transform("slots", lambda p: F.struct(F.get(F.col("item_value"), p).alias("item"), F.get(F.col("value"), p).alias("doc")))
