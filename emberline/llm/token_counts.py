@@ -1,173 +1,258 @@
 """Token counts as a rollup kept by deltas: additive totals by source, language and tokenizer version.
 
-A change is a row (op, doc_id, source, lang, tokenizer, tokens), op being insert, revise or delete. A batch of changes is
-committed under an id:
+A change is a row (op, doc, source, lang, tokenizer, tokens, seq), op being insert, revise or delete and doc the key of a
+document. A batch of changes is committed under an id:
 
 1. If the id is committed already, nothing happens: a batch may be delivered any number of times.
-2. The last state of each (doc_id, tokenizer) that the batch names is looked up in the ledger. An insert or revision takes
-   the old count away, if there is one, and adds the new one; a delete takes the old count away. Each is a signed row.
-3. The signed rows are added up to a delta of totals; rows and delta are written to folders of an attempt's own name in the shared folder.
-4. A commit record that names the attempt is created, which fails if one is there: only then do rows and delta count. A
-   writer that dies before leaves files that nobody reads, and of two writers of one batch one wins.
-
-Totals are the sum of committed deltas, a few rows for each batch; the ledger is read only for keys that a batch names.
-Deltas are summed with partial sums, so a source with a third of all rows is no hot group; ledger joins are on the document.
-
-Defined results: null and empty texts count 0 tokens; a null source or language is a group of its own; a null doc_id is a
-key like any other; of several changes to one key in a batch the one with the highest `seq` counts, deletes of unknown keys
-change nothing; repeated rows are the same key once; an empty batch is committed with no delta; other columns are not read.
+2. The newest version of the store is read. For each (doc, tokenizer) that the batch names, and only for those, its state is
+   looked up in the ledger. An insert or revision takes the old count away, if there is one, and adds the new one; a delete
+   takes the old count away. Each is a signed row.
+3. The signed rows are added up to a delta of totals; rows and delta are written under a name of the attempt's own.
+4. The record of the next version, which names batch and attempt, is moved into place, which fails if that version exists:
+   then another batch came first, its changes may touch the same documents, and step 2 starts again. A writer that dies
+   before leaves files that nobody reads. (A distributed file system moves in one step; a local one looks first.)
+
+Every COMPACT_EVERY versions a snapshot of ledger, totals and batch ids becomes a version of its own, so a reader opens
+no more records and tables than that. Totals are the sum of the snapshot's and of the deltas since, a few rows each.
+Deltas are partial sums, so a source with a third of all rows is no hot group; ledger joins are on the document.
+
+`maintained_totals` keys documents by doc_id and text, so null and repeated doc_ids with different texts count each.
+
+Defined results: null and empty texts count 0 tokens; a null source or language is a group of its own; a null key is a
+key like any other; of several changes to one key in a batch the one with the highest `seq` counts, of equal ones that
+with the largest op, tokens, source and lang in this order; deletes of unknown keys change nothing; repeated rows are the
+same key once; an empty batch is committed with no delta; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import count_batches
-from .common import shared_folder
+from .common import shared_folder, stored
 
 #: Tokenizers that SQL can express, by version: the pattern of a token.
 PATTERNS = {"words-1": r"[^ \t\n\r\f]+", "pieces-1": r"\p{L}+|[0-9]+|[^ \t\n\r\f\p{L}0-9]"}
-CHANGE = "op string, doc_id long, source string, lang string, tokenizer string, tokens long, seq long"
-LEDGER = "doc_id long, source string, lang string, tokenizer string, tokens long, docs long, live boolean"
+#: A later definition of `words-1`: numbers and marks alone are no words.
+LETTERED = {"words-1": r"[^ \t\n\r\f]*\p{L}[^ \t\n\r\f]*"}
+#: A public byte-level BPE vocabulary, by version.
+VOCABULARIES = {"byte_bpe_50k": "byte_bpe_50k.json"}
+CHANGE = "op string, doc string, source string, lang string, tokenizer string, tokens long, seq long"
+LEDGER = "doc string, source string, lang string, tokenizer string, tokens long, docs long"
 DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
+COMPACT_EVERY = 32
 
 
 def pattern_count(text: str, pattern: str) -> Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(pattern)).cast("long")
 
 
-def count_patterns(docs: DataFrame, versions: dict[str, str] = PATTERNS) -> DataFrame:
-    """(doc_id, source, lang, tokenizer, tokens) for each version, in one pass over the texts."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc, doc_id, digest, source, lang, text): doc names a document by its doc_id and text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("digest"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
+    return rows.withColumn("doc", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("digest")))
+
+
+def count_patterns(rows: DataFrame, versions: dict[str, str] = PATTERNS) -> DataFrame:
+    """(doc, source, lang, tokenizer, tokens) for each version, in one pass over the texts of `keyed` rows."""
     each = F.array(*[F.struct(F.lit(name).alias("tokenizer"), pattern_count("text", pattern).alias("tokens")) for name, pattern in versions.items()])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.explode(each).alias("_t")).select("doc_id", "source", "lang", "_t.tokenizer", "_t.tokens")
+    return rows.select("doc", "source", "lang", F.explode(each).alias("_t")).select("doc", "source", "lang", "_t.tokenizer", "_t.tokens")
 
 
-def count_bpe(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", version: str = "byte_bpe_50k") -> DataFrame:
-    """The same for a public byte-level BPE vocabulary, in Arrow batches."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.col("text").cast("string").alias("text"))
-    counted = rows.mapInArrow(count_batches(tokenizer, "text", "tokens"), "doc_id long, source string, lang string, tokens long")
-    return counted.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer"), "tokens")
+def count_bpe(rows: DataFrame, versions: dict[str, str] = VOCABULARIES) -> DataFrame:
+    """The same for public byte-level BPE vocabularies, in Arrow batches."""
+    out = None
+    for version, tokenizer in versions.items():
+        counted = rows.select("doc", "source", "lang", "text").mapInArrow(count_batches(tokenizer, "text", "tokens"), "doc string, source string, lang string, tokens long")
+        one = counted.select("doc", "source", "lang", F.lit(version).alias("tokenizer"), "tokens")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def changes(counts: DataFrame, op: str, seq: int = 0) -> DataFrame:
-    return counts.select(F.lit(op).alias("op"), "doc_id", "source", "lang", "tokenizer", F.col("tokens").cast("long").alias("tokens"), F.lit(seq).cast("long").alias("seq"))
+    return counts.select(F.lit(op).alias("op"), "doc", "source", "lang", "tokenizer", F.col("tokens").cast("long").alias("tokens"), F.lit(seq).cast("long").alias("seq"))
+
+
+@dataclass
+class State:
+    """A version of the store: the last snapshot and the (batch, attempt) pairs since."""
+
+    version: int = 0
+    snapshot: str | None = None
+    attempts: list[tuple[str, str]] = field(default_factory=list)
 
 
 class Rollup:
     """The store of one rollup, in a folder that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, folder: str | None = None, compact_every: int = COMPACT_EVERY):
+        self.spark, self.compact_every = spark, compact_every
         self.folder = folder or f"{shared_folder(spark)}/emberline/rollup-{uuid.uuid4().hex}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        self._fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        path = self._hadoop.Path(self.folder)
+        self._fs = path.getFileSystem(conf)
+        self._context = self._hadoop.FileContext.getFileContext(self._fs.makeQualified(path).toUri(), conf)
 
     def _path(self, *parts: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *parts]))
+        return self._fs.makeQualified(self._hadoop.Path("/".join([self.folder, *parts])))
+
+    # --- versions
+
+    def _record(self, version: int) -> dict:
+        stream = self._fs.open(self._path("versions", f"{version:012d}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
-    def attempts(self) -> dict[str, str]:
-        """The attempt that each committed batch id names."""
-        folder = self._path("commits")
+    def state(self) -> State:
+        """The newest version. Records are read back to the last snapshot only."""
+        folder = self._path("versions")
         if not self._fs.exists(folder):
-            return {}
-        found = {}
-        for status in self._fs.listStatus(folder):
-            stream = self._fs.open(status.getPath())
-            try:
-                found[status.getPath().getName()] = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            finally:
-                stream.close()
-        return {batch: attempt for batch, attempt in found.items() if attempt}
-
-    def _record(self, batch: str, attempt: str) -> bool:
-        """Create a batch's record; false if it has one. An empty record is that of a writer that died, and is replaced."""
-        path = self._path("commits", batch)
-        replace = self._fs.exists(path) and batch not in self.attempts()
+            return State()
+        newest = max((int(s.getPath().getName()) for s in self._fs.listStatus(folder) if s.getPath().getName().isdigit()), default=0)
+        attempts = []
+        for version in range(newest, 0, -1):
+            record = self._record(version)
+            if "snapshot" in record:
+                return State(newest, record["snapshot"], attempts[::-1])
+            attempts.append((record["batch"], record["attempt"]))
+        return State(newest, None, attempts[::-1])
+
+    def publish(self, version: int, record: dict) -> bool:
+        """Make a record the given version, whole or not at all; false if there is such a version."""
+        draft, place = self._path("drafts", uuid.uuid4().hex), self._path("versions", f"{version:012d}")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps(record), "utf-8"))
+        out.close()
+        self._fs.mkdirs(place.getParent())
+        kind = getattr(self._hadoop, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.NONE
         try:
-            out = self._fs.create(path, replace)  # fails where the file exists and isn't to be replaced
+            self._context.rename(draft, place, options)  # fails where the target exists
         except Exception:
-            if batch in self.attempts():
+            if self._fs.exists(place):
+                self._fs.delete(draft, False)
                 return False
             raise
-        out.write(bytearray(attempt, "utf-8"))
-        out.close()
         return True
 
-    def _read(self, kind: str, ddl: str) -> DataFrame:
-        paths = [f"{self.folder}/{kind}/{a}" for a in self.attempts().values()]
-        if not paths:
-            return self.spark.createDataFrame([], ddl)
-        return self.spark.read.schema(ddl).parquet(*paths)
-
-    def ledger(self) -> DataFrame:
-        """Signed rows of all committed batches."""
-        return self._read("ledger", LEDGER)
+    def committed(self, batch: str, state: State | None = None) -> bool:
+        state = state or self.state()
+        if any(b == batch for b, _ in state.attempts):
+            return True
+        return bool(state.snapshot) and not self.spark.read.parquet(f"{self.folder}/snapshots/{state.snapshot}/batches").filter(F.col("batch") == batch).isEmpty()
+
+    # --- tables
+
+    def _read(self, kind: str, ddl: str, state: State) -> DataFrame:
+        paths = [f"{self.folder}/attempts/{a}/{kind}" for _, a in state.attempts]
+        if state.snapshot:
+            paths.append(f"{self.folder}/snapshots/{state.snapshot}/{kind}")
+        return self.spark.read.schema(ddl).parquet(*paths) if paths else self.spark.createDataFrame([], ddl)
+
+    def ledger(self, state: State | None = None) -> DataFrame:
+        """Signed rows since the last snapshot, and its live rows."""
+        return self._read("ledger", LEDGER, state or self.state())
+
+    def _signed(self, new: DataFrame, state: State) -> DataFrame:
+        """What a batch adds to the ledger in a given state. new: (doc, tokenizer, op, new), a row for each key."""
+        keys = new.select(F.col("doc").alias("_d"), F.col("tokenizer").alias("_t"))
+        same = F.col("doc").eqNullSafe(F.col("_d")) & F.col("tokenizer").eqNullSafe(F.col("_t"))
+        named = self.ledger(state).join(keys, same, "left_semi")
+        held = named.groupBy("doc", "tokenizer", "source", "lang").agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")).filter("docs > 0")
+        old = held.select(F.col("doc").alias("_d"), F.col("tokenizer").alias("_t"), F.struct("source", "lang", "tokens").alias("old"))
+        joined = new.join(old, same, "left")
+        row = lambda x, sign: F.struct(x["source"].alias("source"), x["lang"].alias("lang"), (x["tokens"] * sign).cast("long").alias("tokens"), F.lit(sign).cast("long").alias("docs"))
+        minus, plus = F.when(F.col("old").isNotNull(), row(F.col("old"), -1)), F.when(F.col("op") != "delete", row(F.col("new"), 1))
+        signed = joined.select("doc", "tokenizer", F.explode(F.filter(F.array(minus, plus), lambda x: x.isNotNull())).alias("_s"))
+        return signed.select("doc", "_s.source", "_s.lang", "tokenizer", "_s.tokens", "_s.docs")
+
+    def prepare(self, rows: DataFrame) -> DataFrame:
+        """The change that counts for each key of a batch, written once for all tries."""
+        last = F.max_by(F.struct("op", "source", "lang", "tokens"), F.struct("seq", "op", "tokens", "source", "lang"))
+        new = rows.groupBy("doc", "tokenizer").agg(last.alias("_new"))
+        return stored(new.select("doc", "tokenizer", "_new.op", F.struct("_new.source", "_new.lang", "_new.tokens").alias("new")), "changes")
+
+    def attempt(self, new: DataFrame, state: State) -> str:
+        """Write the signed rows and the delta of a prepared batch in a given state; nobody reads them before `publish`."""
+        name = uuid.uuid4().hex
+        path = f"{self.folder}/attempts/{name}"
+        self._signed(new, state).write.parquet(f"{path}/ledger")
+        written = self.spark.read.schema(LEDGER).parquet(f"{path}/ledger")
+        written.groupBy("source", "lang", "tokenizer").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{path}/totals")
+        return name
 
     def commit(self, batch: str, rows: DataFrame) -> bool:
         """Apply a batch of changes once; false if it was committed before."""
-        if batch in self.attempts():
+        if self.committed(batch):
             return False
-        attempt = uuid.uuid4().hex
-        key = ["doc_id", "tokenizer"]
-        last = F.max_by(F.struct("op", "source", "lang", "tokens"), F.struct("seq", "op", "tokens", "source", "lang"))
-        new = rows.groupBy(*key).agg(last.alias("_new")).select(*key, "_new.op", F.struct("_new.source", "_new.lang", "_new.tokens").alias("new"))
-        signed = self.ledger()
-        if self.attempts():
-            held = signed.groupBy(*key, "source", "lang").agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")).filter("docs > 0")
-            old = held.select(F.col("doc_id").alias("_d"), F.col("tokenizer").alias("_t"), F.struct("source", "lang", "tokens").alias("old"))
-            joined = new.join(old, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("tokenizer").eqNullSafe(F.col("_t")), "left")
-        else:
-            joined = new.withColumn("old", F.lit(None).cast("struct<source:string,lang:string,tokens:bigint>"))
-        minus = F.when(F.col("old").isNotNull(), F.struct(F.col("old.source").alias("source"), F.col("old.lang").alias("lang"), (-F.col("old.tokens")).alias("tokens"), F.lit(-1).cast("long").alias("docs")))
-        plus = F.when(F.col("op") != "delete", F.struct(F.col("new.source").alias("source"), F.col("new.lang").alias("lang"), F.col("new.tokens").alias("tokens"), F.lit(1).cast("long").alias("docs")))
-        rows_out = joined.select(*key, F.explode(F.filter(F.array(minus, plus), lambda x: x.isNotNull())).alias("_s")).select(
-            "doc_id", "_s.source", "_s.lang", "tokenizer", "_s.tokens", "_s.docs", (F.col("_s.docs") > 0).alias("live")
-        )
-        path = f"{self.folder}/ledger/{attempt}"
-        rows_out.write.parquet(path)
-        written = self.spark.read.schema(LEDGER).parquet(path)
-        delta = written.groupBy("source", "lang", "tokenizer").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        delta.write.parquet(f"{self.folder}/deltas/{attempt}")
-        return self._record(batch, attempt)
-
-    def totals(self) -> DataFrame:
+        new = self.prepare(rows)
+        while True:
+            state = self.state()
+            if self.committed(batch, state):
+                return False
+            if self.publish(state.version + 1, {"batch": batch, "attempt": self.attempt(new, state)}):
+                if len(state.attempts) + 1 >= self.compact_every:
+                    self.compact()
+                return True
+
+    def compact(self) -> bool:
+        """Make a snapshot the next version; false if another batch came first, and nothing has changed then."""
+        state, name = self.state(), uuid.uuid4().hex
+        path = f"{self.folder}/snapshots/{name}"
+        live = self.ledger(state).groupBy("doc", "source", "lang", "tokenizer").agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")).filter("docs > 0")
+        live.select(*(c.split()[0] for c in LEDGER.split(", "))).write.parquet(f"{path}/ledger")
+        self.totals(state).write.parquet(f"{path}/totals")
+        batches = self.spark.createDataFrame([(b,) for b, _ in state.attempts], "batch string")  # COMPACT_EVERY rows
+        if state.snapshot:
+            batches = batches.unionByName(self.spark.read.parquet(f"{self.folder}/snapshots/{state.snapshot}/batches"))
+        batches.write.parquet(f"{path}/batches")
+        return self.publish(state.version + 1, {"snapshot": name})
+
+    def totals(self, state: State | None = None) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens): groups with a live document."""
-        summed = self._read("deltas", DELTA).groupBy("source", "lang", "tokenizer").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        summed = self._read("totals", DELTA, state or self.state()).groupBy("source", "lang", "tokenizer").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return summed.filter(F.col("docs") > 0)
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id): rows whose text a row with a smaller doc_id has too. Texts meet by checksum; sums are partial."""
-    keyed = docs.select("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("_key"))
-    first = keyed.groupBy("_key").agg(F.min("doc_id").alias("doc_id"))
-    return docs.select("doc_id").join(first.select("doc_id"), "doc_id", "left_anti")
+def repeated(rows: DataFrame) -> DataFrame:
+    """(doc): documents whose text a document with a smaller doc_id (null last) has too. Sums are partial."""
+    order = F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"))
+    first = rows.groupBy("digest").agg(F.min_by("doc", order).alias("_first")).select("_first")
+    return rows.select("doc").distinct().join(first, F.col("doc") == F.col("_first"), "left_anti")
 
 
-def maintained_totals(docs: DataFrame) -> DataFrame:
-    """A rollup over all documents after five batches: counts by two tokenizer versions are inserted, counts by `words-1` are
-    revised where numbers no longer count as words, rows that repeat an earlier text are deleted, and a batch comes twice."""
-    store = Rollup(docs.sparkSession)
-    rows = docs.select("doc_id", "text", "source", "lang")
+def maintained_totals(docs: DataFrame, vocabularies: dict[str, str] = VOCABULARIES) -> DataFrame:
+    """A rollup over all documents after five batches: counts by every tokenizer version are inserted, counts by `words-1` are
+    revised where numbers no longer count as words, documents that repeat an earlier text are deleted, and a batch comes twice."""
+    store, rows = Rollup(docs.sparkSession), keyed(docs)
     inserted = changes(count_patterns(rows), "insert")
     store.commit("insert", inserted)
-    lettered = {"words-1": r"[^ \t\n\r\f]*\p{L}[^ \t\n\r\f]*"}
-    store.commit("revise", changes(count_patterns(rows.filter(F.col("text").rlike("[0-9]")), lettered), "revise"))
-    gone = repeated(rows).withColumn("tokenizer", F.explode(F.array(*map(F.lit, PATTERNS))))
-    store.commit("delete", changes(gone.select("doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), "tokenizer", F.lit(0).alias("tokens")), "delete"))
+    if vocabularies:
+        store.commit("insert-bpe", changes(count_bpe(rows, vocabularies), "insert"))
+    store.commit("revise", changes(count_patterns(rows.filter(F.col("text").rlike("[0-9]")), LETTERED), "revise"))
+    gone = repeated(rows).withColumn("tokenizer", F.explode(F.array(*map(F.lit, [*PATTERNS, *vocabularies]))))
+    none = F.lit(None).cast("string")
+    store.commit("delete", changes(gone.select("doc", none.alias("source"), none.alias("lang"), "tokenizer", F.lit(0).alias("tokens")), "delete"))
     store.commit("insert", inserted)  # delivered again: no effect
     return store.totals()
 
 
 def oracle() -> str:
-    """The same totals from the documents as they stand, in DuckDB SQL."""
-    words, pieces = PATTERNS["words-1"], PATTERNS["pieces-1"]
+    """The totals by patterns from the documents as they stand, in DuckDB SQL."""
+    words, pieces, lettered = PATTERNS["words-1"], PATTERNS["pieces-1"], LETTERED["words-1"]
     n = lambda p: f"len(regexp_extract_all(text, '{p}'))"
-    lettered = r"[^ \t\n\r\f]*\p{L}[^ \t\n\r\f]*"
     return f"""with d as (select doc_id, source, lang, coalesce(text, '') as text from documents),
-        live as (select * from d where doc_id in (select min(doc_id) from d group by text)),
+        live as (select * from (select *, row_number() over (partition by text order by doc_id nulls last, source desc nulls last, lang desc nulls last) as r from d) where r = 1),
         c as (select source, lang, 'words-1' as tokenizer, case when regexp_matches(text, '[0-9]') then {n(lettered)} else {n(words)} end as tokens from live
             union all select source, lang, 'pieces-1', {n(pieces)} from live)
         select source, lang, tokenizer, count(*) as docs, cast(sum(tokens) as bigint) as tokens from c group by source, lang, tokenizer"""
