@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def anew_text(name: str) -> Column:
+    """A string column's value as a new expression; see `operators.graph.anew`."""
+    return F.concat(F.col(name), F.lit(""))
+
+
 def utf8(text: Column | str) -> Column:
     """UTF-8 bytes of a text, none for null."""
     return F.encode(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), "UTF-8")
