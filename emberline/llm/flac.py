@@ -3,7 +3,7 @@
 Frames are independent and short, so the loop over the samples of a frame runs once for thousands of frames. Decoding
 covers constant, verbatim, fixed and LPC subframes, Rice partitions of both parameter widths with escapes, wasted bits,
 several channels with stereo decorrelation, and any block size; it checks the CRC-8 of every header and the CRC-16 of
-every frame, and the MD5 of the stream. Encoding writes mono 8-bit frames of BLOCK samples with fixed predictors.
+every frame, and the MD5 of the stream. Encoding writes mono 8-bit frames of BLOCK samples with fixed or linear predictors.
 """
 
 from __future__ import annotations
@@ -76,9 +76,19 @@ def _number_bytes(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, length
 
 
+def _predictors(s: np.ndarray) -> np.ndarray:
+    """Coefficients (in eighths, five bits) of the linear predictor of order 2 of each frame, by its autocorrelation."""
+    x = s.astype(np.float64)
+    r0, r1, r2 = (x * x).sum(1), (x[:, 1:] * x[:, :-1]).sum(1), (x[:, 2:] * x[:, :-2]).sum(1)
+    den = np.where(r0 * r0 - r1 * r1 > 0, r0 * r0 - r1 * r1, 1)
+    both = np.stack([r1 * (r0 - r2) / den, (r0 * r2 - r1 * r1) / den], 1)
+    return np.clip(np.rint(8 * both), -16, 15).astype(np.int32)
+
+
 def encode_frames(samples: np.ndarray, numbers: np.ndarray, as_lpc: bool = False) -> tuple[bytes, np.ndarray]:
     """Mono 8-bit frames: samples (frames x BLOCK, signed), frame numbers. Returns the bytes of all and each one's length.
 
+    A frame takes what is shortest of fixed predictors of orders 0 to 2, a linear predictor of order 2, and plain samples.
     as_lpc writes the fixed predictors as LPC subframes with explicit coefficients (for tests of decoding).
     """
     frames, n = samples.shape
@@ -86,19 +96,30 @@ def encode_frames(samples: np.ndarray, numbers: np.ndarray, as_lpc: bool = False
     rows = np.arange(frames)
     best = np.full(frames, 8 * n + 1, np.int64)  # verbatim beats a tie
     order, param = np.full(frames, -1), np.zeros(frames, np.int64)
+    lpc, shift, weights = np.zeros(frames, bool), np.zeros(frames, np.int64), np.zeros((frames, 2), np.int64)
     folded = np.zeros((frames, n), np.int32)
-    residual = s
-    for o in range(3):
-        if o:
-            residual = residual[:, 1:] - residual[:, :-1]
+
+    def consider(residual: np.ndarray, o: int, linear: bool, by: int, coefficients: np.ndarray) -> None:
         u = (residual << 1) ^ (residual >> 31)
         mean = u.sum(1) / max(1, u.shape[1])
         guess = np.floor(np.log2(np.maximum(mean, 1))).astype(np.int64)
         for k in (np.maximum(guess - 1, 0), guess):
-            bits = (u >> k[:, None]).sum(1) + (k + 1) * u.shape[1] + 8 * o + 10 + (9 + 5 * o) * as_lpc
-            better = (bits < best) & ((o > 0) | (not as_lpc))
-            best, order, param = np.where(better, bits, best), np.where(better, o, order), np.where(better, k, param)
+            bits = (u >> k[:, None]).sum(1) + (k + 1) * u.shape[1] + 8 * o + 10 + (9 + 5 * o) * linear
+            better = bits < best
+            best[better], order[better], param[better] = bits[better], o, k[better]
+            lpc[better], shift[better] = linear, by
+            weights[better] = coefficients[better] if coefficients.ndim == 2 else coefficients
             folded[better, o:] = u[better]
+
+    residual = s
+    for o in range(3):
+        if o:
+            residual = residual[:, 1:] - residual[:, :-1]
+        if o or not as_lpc:
+            consider(residual, o, as_lpc, 0, np.array((*FIXED[o], 0, 0)[:2]))
+    if not as_lpc:
+        c = _predictors(s)
+        consider(s[:, 2:] - (c[:, :1] * s[:, 1:-1] + c[:, 1:] * s[:, :-2] >> 3), 2, True, 3, c)
     constant = (s == s[:, :1]).all(1)
     rice = (order >= 0) & ~constant
     number, width = _number_bytes(numbers)
@@ -111,7 +132,8 @@ def encode_frames(samples: np.ndarray, numbers: np.ndarray, as_lpc: bool = False
     if rice.any():
         r = rows[rice]
         o, k = order[r], param[r]
-        at = 8 * (starts[r] + header[r]) + 8 + 8 * o + 10 + (9 + 5 * o) * as_lpc
+        linear = lpc[r]
+        at = 8 * (starts[r] + header[r]) + 8 + 8 * o + 10 + (9 + 5 * o) * linear
         shape = np.arange(n)[None, :] >= o[:, None]
         u = folded[r].astype(np.int64)
         q = u >> k[:, None]
@@ -127,15 +149,15 @@ def encode_frames(samples: np.ndarray, numbers: np.ndarray, as_lpc: bool = False
             for j in range(count):
                 bits[at + j] = value >> (count - 1 - j) & 1
 
-        put(small, np.where(as_lpc, 0x40 | np.maximum(o - 1, 0) << 1, (8 | o) << 1), 8)
+        put(small, np.where(linear, 0x40 | np.maximum(o - 1, 0) << 1, (8 | o) << 1), 8)
         for w in range(int(o.max(initial=0))):
             has = o > w
             put(small[has] + 8 + 8 * w, s[r[has], w] & 0xFF, 8)
-        if as_lpc:  # precision 5, shift 0, coefficients
-            put(small + 8 + 8 * o, np.full(len(r), 4 << 5), 9)
+        if linear.any():  # precision 5, shift, coefficients
+            put((small + 8 + 8 * o)[linear], 4 << 5 | shift[r][linear], 9)
             for w in range(int(o.max(initial=0))):
-                has = o > w
-                put(small[has] + 8 + 8 * o[has] + 9 + 5 * w, np.array([FIXED[x][w] & 31 for x in o[has]]), 5)
+                has = linear & (o > w)
+                put(small[has] + 8 + 8 * o[has] + 9 + 5 * w, weights[r][has, w] & 31, 5)
         put(at - 10, k, 10)
     out = np.packbits(bits)
     out[starts], out[starts + 1], out[starts + 2], out[starts + 3] = 0xFF, 0xF8, 0x10 if n == BLOCK else 0x70, 0x02

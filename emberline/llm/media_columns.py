@@ -1,17 +1,21 @@
 """Media columns: texts kept as FLAC streams, and streams decoded to PCM blocks with seekable sample offsets.
 
-`encode_texts` turns each row's payload into a stream; `pcm_blocks` decodes streams to rows of (first sample, samples,
-PCM bytes), so a reader gets a range of samples by filtering on the offset; `digest` reads streams back and reports.
-Each runs on its own partition only, with no shuffle; memory is bounded by an Arrow batch and by the frames coded at once.
-
-Defined results: null and empty texts are 192 spaces; repeated rows give equal streams; an empty table gives an empty
-result; other columns are not carried. A stream that fails a checksum fails the job in `digest`; in `pcm_blocks` it gives
-one row without samples and with the reason in `error`.
+`encode_texts` turns each row's payload into a stream; `pcm_blocks` decodes streams, verifies every checksum and makes rows
+of (first sample, samples, PCM bytes); `write_blocks` keeps them as a table and `seek` takes a range of samples out of it
+by the offsets, so no other block is read; `digest` puts the blocks of each stream together again and reports. The query
+is the chain of all: texts, streams, blocks, digest. Each runs on its own partition only, with no shuffle; memory is bounded by
+an Arrow batch, by the frames coded at once and by one stream's samples.
+
+Defined results: null and empty texts are 192 spaces; repeated rows give equal streams, each with its own blocks; an empty
+table gives an empty result; other columns, whatever their names, are not carried; equal texts give equal values, so there
+are no ties. A stream that fails a checksum fails the job in `digest`; in `pcm_blocks` it gives one row without samples
+and with the reason in `error`.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -25,8 +29,14 @@ from . import flac
 
 PAD = 32
 GROUP_BYTES = 2_000_000
+#: What a stream that breaks the format raises.
+BROKEN = (flac.FlacError, struct.error, IndexError, AttributeError)
 STREAMS = "doc_id long, n_bytes long, media binary"
-BLOCKS = "doc_id long, block int, first_sample long, n_samples long, channels int, bits int, rate int, pcm binary, error string"
+BLOCKS = (
+    "doc_id long, n_bytes long, block int, first_sample long, n_samples long, samples long, channels int, bits int, rate int, pcm binary, "
+    "media_bytes long, media_sha256 string, error string"
+)
+PER_BLOCK = 4096
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -69,51 +79,98 @@ def features(samples: np.ndarray) -> str:
     return f"n={len(x)};mean={x.mean():.3f};rms={rms:.3f};min={x.min()};max={x.max()};zc={crossings};steps={int((np.abs(np.diff(x)) > 32).sum())}"
 
 
-def digest(media: DataFrame) -> DataFrame:
-    """Reads every stream back, with all checksums verified; the tail is of the samples read back."""
+def _pcm(streams: list[bytes]) -> list[tuple[flac.Info | None, bytes, str | None]]:
+    """What each stream says of itself, its interleaved little-endian PCM, or why it can't be decoded. Streams of the
+    encoder's own kind are decoded together; if one of them is broken, each by itself."""
+    infos: list[flac.Info | str] = []
+    for stream in streams:
+        try:
+            infos.append(flac.Info(stream))
+        except BROKEN as e:
+            infos.append(f"{e}")
+    out: list = [(None, b"", i) if isinstance(i, str) else None for i in infos]
+    own = [k for k, i in enumerate(infos) if not isinstance(i, str) and (getattr(i, "bits", 0), i.channels, i.block) == (8, 1, flac.BLOCK)]
+    try:
+        for k, data in zip(own, flac.decode_many([streams[k] for k in own]), strict=True):
+            out[k] = (infos[k], (np.frombuffer(data, np.uint8) ^ 0x80).tobytes(), None)
+    except BROKEN:
+        pass
+    for k, stream in enumerate(streams):
+        if out[k] is None:
+            try:
+                info, samples = flac.decode(stream)
+                out[k] = (info, samples.astype("<i8").view(np.uint8).reshape(*samples.shape, 8)[:, :, : (info.bits + 7) // 8].tobytes(), None)
+            except BROKEN as e:
+                out[k] = (None, b"", f"{e}")
+    return out
+
+
+def pcm_blocks(media: DataFrame, per_block: int = PER_BLOCK) -> DataFrame:
+    """A row for each block of samples of each stream, of any FLAC kind, one after the other."""
+    names = [f.split()[0] for f in BLOCKS.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    schema = pa.schema([(n, kinds[f.split()[1]]) for n, f in zip(names, BLOCKS.split(", "), strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            streams = batch.column(2)
-            for rows in _groups(pc.binary_length(streams).to_pylist()):
-                own = streams[rows.start : rows.stop].to_pylist()
-                data = flac.decode_many(own)
-                columns = [
-                    batch.column(0)[rows.start : rows.stop],
-                    batch.column(1)[rows.start : rows.stop],
-                    pa.array([len(d) for d in data], pa.int64()),
-                    pa.array([hashlib.sha256(d).hexdigest() for d in data]),
-                    pa.array([zlib.crc32(d[-16:]) for d in data], pa.int64()),
-                    pa.array([len(s) for s in own], pa.int64()),
-                    pa.array([hashlib.sha256(s).hexdigest() for s in own]),
-                    pa.array([features(np.frombuffer(d, np.uint8)) for d in data]),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in DIGEST.split(", ")])
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, DIGEST)
-
-
-def pcm_blocks(media: DataFrame) -> DataFrame:
-    """A row for each block of 4,096 samples of each stream, of any FLAC kind: interleaved little-endian PCM."""
-    per_block = 4096
+            for part in _groups(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()):
+                ids, sizes, streams = (batch.column(c)[part.start : part.stop].to_pylist() for c in range(3))
+                rows: list[tuple] = []
+                for doc_id, n_bytes, stream, (info, pcm, error) in zip(ids, sizes, streams, _pcm([x or b"" for x in streams]), strict=True):
+                    about = (len(stream or b""), hashlib.sha256(stream or b"").hexdigest())
+                    if info is None:
+                        rows.append((doc_id, n_bytes, 0, 0, 0, 0, None, None, None, None, *about, error))
+                        continue
+                    width = info.channels * ((info.bits + 7) // 8)
+                    total = len(pcm) // width
+                    for k, at in enumerate(range(0, total, per_block)):
+                        n = min(per_block, total - at)
+                        rows.append((doc_id, n_bytes, k, at, n, total, info.channels, info.bits, info.rate, pcm[at * width : (at + n) * width], *about, None))
+                columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    known = F.col("n_bytes").cast("long") if "n_bytes" in media.columns else F.lit(None).cast("long")
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), known.alias("n_bytes"), "media").mapInArrow(run, BLOCKS)
+
+
+def write_blocks(media: DataFrame, path: str, per_block: int = PER_BLOCK) -> DataFrame:
+    """Write the blocks as a table and read it back."""
+    pcm_blocks(media, per_block).write.parquet(path)
+    return media.sparkSession.read.schema(BLOCKS).parquet(path)
+
+
+def seek(blocks: DataFrame, first: int, count: int) -> DataFrame:
+    """(doc_id, first_sample, n_samples, pcm): the samples [first, first + count) of each stream, a row for each block that
+    has some of them. Other blocks are filtered out by their offsets, which the scan does where it can."""
+    inside = blocks.filter((F.col("first_sample") < first + count) & (F.col("first_sample") + F.col("n_samples") > first) & F.col("error").isNull())
+    low = F.greatest(F.lit(first) - F.col("first_sample"), F.lit(0))
+    many = F.least(F.lit(first + count) - F.col("first_sample"), F.col("n_samples")) - low
+    width = F.col("channels") * F.floor((F.col("bits") + 7) / 8)
+    cut = F.substring(F.col("pcm"), (low * width + 1).cast("int"), (many * width).cast("int"))
+    return inside.select("doc_id", (F.col("first_sample") + low).cast("long").alias("first_sample"), many.cast("long").alias("n_samples"), cut.alias("pcm"))
+
+
+def digest(blocks: DataFrame) -> DataFrame:
+    """A row for each stream of mono 8-bit samples, from its blocks, which follow one another in `pcm_blocks` order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        reached = 0
         for batch in batches:
-            for doc_id, stream in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                try:
-                    info, samples = flac.decode(stream.as_py() or b"")
-                    width = (info.bits + 7) // 8
-                    raw = samples.astype("<i8").view(np.uint8).reshape(*samples.shape, 8)[:, :, :width]
-                    cuts = range(0, len(samples), per_block)
-                    rows = [(doc_id, k, at, len(raw[at : at + per_block]), info.channels, info.bits, info.rate, raw[at : at + per_block].tobytes(), None) for k, at in enumerate(cuts)]
-                except flac.FlacError as e:
-                    rows = [(doc_id, 0, 0, 0, None, None, None, None, str(e))]
-                if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip((c.split()[0] for c in BLOCKS.split(", ")), r, strict=True)) for r in rows], schema=_BLOCK_SCHEMA)
-
-    return media.select("doc_id", "media").mapInArrow(run, BLOCKS)
-
-
-_BLOCK_SCHEMA = pa.schema(
-    [("doc_id", pa.int64()), ("block", pa.int32()), ("first_sample", pa.int64()), ("n_samples", pa.int64()), ("channels", pa.int32()), ("bits", pa.int32()), ("rate", pa.int32()), ("pcm", pa.binary()), ("error", pa.string())]
-)
+            rows: list[tuple] = []
+            for doc_id, n_bytes, first, n, total, pcm, size, sha, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if error or first != reached:
+                    raise flac.FlacError(error or "a block does not begin where the one before it ends")
+                held.append(pcm)
+                reached += n
+                if reached == total:
+                    data = (np.frombuffer(b"".join(held), np.uint8) ^ 0x80).tobytes()
+                    held, reached = [], 0
+                    rows.append((doc_id, n_bytes, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), size, sha, features(np.frombuffer(data, np.uint8))))
+            columns = zip(*rows, strict=True) if rows else [[]] * 8
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in DIGEST.split(", ")])
+        if held:
+            raise flac.FlacError("the last blocks of a stream are missing")
+
+    return blocks.select("doc_id", "n_bytes", "first_sample", "n_samples", "samples", "pcm", "media_bytes", "media_sha256", "error").mapInArrow(run, DIGEST)
