@@ -198,3 +198,13 @@ def display_age(seconds: Column) -> Column:
 def is_stale(seconds: Column, interval_s: int = 1800) -> Column:
     """No update for two polling intervals."""
     return seconds > 2 * interval_s
+
+
+def bool_int(x: Column) -> Column:
+    """1 for true and for the text "True", else 0."""
+    return F.coalesce(F.lower(x.cast("string")) == "true", F.lit(False)).cast("int")
+
+
+def add_days(day: Column, n: int) -> Column:
+    """An ISO date n days on, as text."""
+    return F.date_add(day.cast("date"), n).cast("string")

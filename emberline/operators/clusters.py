@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..functions.geo import grid_cell, haversine
-from .stats import iqr_flags
+from ..plans.storage import stored
+from .stats import iqr_flags, quantiles
 
 SUMMARY_YEARS = (2019, 2020, 2021, 2022, 2023)
 LATER_YEARS = (2024, 2025)
@@ -59,6 +60,28 @@ def cluster_stats(labelled: DataFrame) -> DataFrame:
     return base.join(extent, F.col("cluster_id") == F.col("_c")).drop("_c")
 
 
+def cross_date_distances(members: DataFrame, key: str) -> DataFrame:
+    """(key, n_pairs, min_m, median_m, max_m) over all pairs of points of different dates in each group.
+
+    Points at one place are compared once: a pair of places stands for as many pairs of points as have different dates,
+    and a place for its own at no distance. The join of a group's places is split if one group has most of them.
+    """
+    spots = stored(members.groupBy(key, "lat", "lon", "acq_date").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("_first")), "spots")
+    named = stored(spots.groupBy(key, "lat", "lon").agg(F.min("_first").alias("p"), F.sum("n").alias("N"), F.sum(F.col("n") * F.col("n")).alias("same")), "places")
+    other = named.select(F.col(key).alias("_k"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("p").alias("q"), F.col("N").alias("M"))
+    pairs = named.join(other, (F.col(key) == F.col("_k")) & (F.col("p") < F.col("q"))).select(key, "p", "q", haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")).alias("metres"), (F.col("N") * F.col("M")).alias("w"))
+    dated = spots.join(named.select(F.col(key).alias("_k"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "p"), (F.col(key) == F.col("_k")) & (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon"))).select(key, "acq_date", "p", "n")
+    dated = stored(dated, "dated")
+    again = dated.select(F.col(key).alias("_k"), F.col("acq_date").alias("_d"), F.col("p").alias("q"), F.col("n").alias("m"))
+    together = dated.join(again, (F.col(key) == F.col("_k")) & (F.col("acq_date") == F.col("_d")) & (F.col("p") < F.col("q"))).groupBy(F.col(key).alias("_k"), F.col("p").alias("_p"), F.col("q").alias("_q")).agg(F.sum(F.col("n") * F.col("m")).alias("_w"))
+    left = pairs.join(together, (F.col(key) == F.col("_k")) & (F.col("p") == F.col("_p")) & (F.col("q") == F.col("_q")), "left").select(key, "metres", (F.col("w") - F.coalesce("_w", F.lit(0))).alias("w"))
+    own = named.select(key, F.lit(0.0).alias("metres"), ((F.col("N") * F.col("N") - F.col("same")) / 2).cast("long").alias("w"))
+    weighed = stored(left.unionByName(own).filter("w > 0"), "distances")
+    ends = weighed.groupBy(key).agg(F.sum("w").alias("n_pairs"), F.round(F.min("metres"), 2).alias("min_m"), F.round(F.max("metres"), 2).alias("max_m"))
+    middle = quantiles(weighed, key, "metres", {"median_m": 0.5}, "w").select(F.col(key).alias("_k"), F.round("median_m", 2).alias("median_m"))
+    return ends.join(middle, F.col(key) == F.col("_k")).select(key, "n_pairs", "min_m", "median_m", "max_m")
+
+
 def date_metrics(labelled: DataFrame, stats: DataFrame) -> DataFrame:
     """Detections an active date, occurrence rate, night share, power ratio, shares of the busiest day and three days."""
     daily = labelled.filter(F.col("cluster_id") != -1).groupBy("cluster_id", "acq_date").agg(F.count(F.lit(1)).alias("n"))

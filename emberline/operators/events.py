@@ -10,7 +10,7 @@ from ..functions.geo import METRES_PER_DEGREE, elongation, haversine
 from ..functions.scalars import event_status, minutes_of_day
 from ..functions.scalars import settled as _settled
 from ..plans.storage import stored
-from .graph import connected_components
+from .graph import ONE_TASK_EDGES, connected_components
 from .spatial import pairs_within
 
 EPS_METRES = 750.0
@@ -27,7 +27,7 @@ def event_edges(det: DataFrame, eps_m: float = EPS_METRES, eps_days: int = EPS_D
 
 def event_components(det: DataFrame, eps_m: float = EPS_METRES, eps_days: int = EPS_DAYS) -> DataFrame:
     """(id, component): the smallest detection id of each detection's event; a detection without links is its own."""
-    parts = connected_components(event_edges(det, eps_m, eps_days), "a", "b")
+    parts = connected_components(event_edges(det, eps_m, eps_days), "a", "b", ONE_TASK_EDGES)
     return det.select("id").join(parts, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 

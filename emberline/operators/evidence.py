@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import GROUPS, classify_tags, geometry_class, named_code, recurrence_strength, search_radius
-from .spatial import nearest_in_own_radius, nearest_within, top_in_radius
+from .spatial import candidates, nearest_in_own_radius, nearest_of_layers, top_in_radius
 
 CAP_METRES = 20_000.0
 TOP = 5
@@ -17,10 +17,7 @@ WINDOW = 1  # cells on either side for diversity
 def distances(events: DataFrame, layers: dict[str, DataFrame], cap_m: float = CAP_METRES) -> DataFrame:
     """event_id with a rounded distance to the nearest point of each layer, null beyond the cap."""
     points = events.select("event_id", F.col("centroid_lat").alias("lat"), F.col("centroid_lon").alias("lon"))
-    out = points.select("event_id")
-    for name, layer in layers.items():
-        out = out.join(nearest_within(points, layer, cap_m, name, "event_id"), "event_id", "left")
-    return out.select("event_id", *(F.round(name, 1).alias(name) for name in layers))
+    return nearest_of_layers(points, layers, cap_m, "event_id").select("event_id", *(F.round(name, 1).alias(name) for name in layers))
 
 
 def cluster_overlap(events: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -63,6 +60,15 @@ def map_features(clusters: DataFrame, features: DataFrame) -> DataFrame:
     )
 
 
+def nearest_feature(clusters: DataFrame, features: DataFrame, tags: list[tuple], radius_m: float = 2000.0) -> DataFrame:
+    """(cluster_id, n_found, tag, label, name, metres): the one nearest feature with a listed tag within a fixed radius."""
+    left = clusters.select("cluster_id", F.col("centroid_lat").alias("lat"), F.col("centroid_lon").alias("lon"))
+    right = features.select("feature_id", "lat", "lon", "name", classify_tags(F.col("tags"), tags).alias("kind")).filter(F.col("kind.tag") != "unknown")
+    first = F.min(F.struct("metres", "r_feature_id", "r_kind", "r_name")).alias("m")
+    found = candidates(left, right, radius_m).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), first).withColumnRenamed("cluster_id", "_id")
+    return left.join(found, F.col("cluster_id") == F.col("_id"), "left").select("cluster_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_found"), F.col("m.r_kind.tag").alias("tag"), F.col("m.r_kind.label").alias("label"), F.col("m.r_name").alias("name"), F.round("m.metres", 1).alias("metres"))
+
+
 def map_context(clusters: DataFrame, features: DataFrame) -> DataFrame:
     """One row for each cluster: nearest feature, nearest named one, counts by group of the top features, and a summary."""
     top = map_features(clusters, features)

@@ -1,8 +1,9 @@
 """Joins by distance as equi-joins on grid cells with a residual distance filter.
 
-Cells only propose candidates: a cell is at least as wide as the search distance anywhere up to MOST_LAT degrees, so a
-point's partners lie in its own cell and the 8 around it. No cross join, no broadcast that grows with the data; a dense
-cell is a skewed join key, which adaptive execution splits.
+Cells only propose candidates: a cell is at least as wide as the search distance anywhere up to the latitude that a search
+is given, so a point's partners lie in its own cell and the 8 around it. Searches of whole tables for a nearest row ask
+for the table's own highest latitude and go round the date line. No cross join, no broadcast that grows with the data; a
+dense cell is a skewed join key, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql.window import Window
 from ..functions.geo import haversine
 from ..plans.storage import stored
 
-MOST_LAT = 60.0
+#: The study area lies below this latitude.
+AREA_LAT = 25.0
 #: Up to here a layer of points is broadcast: some 5 MB.
 BROADCAST_POINTS = 100_000
 #: A radius is the distance of its farthest member; another point at that place must match whatever the last bits are.
@@ -38,7 +40,17 @@ def _neighbourhood(points: DataFrame, size_m: float, most_lat: float) -> DataFra
     return points.withColumns({"_i": i, "_j": j}).withColumn("_ci", _around(F.col("_i"))).withColumn("_cj", _around(F.col("_j"))).drop("_i", "_j")
 
 
-def pairs_within(points: DataFrame, eps_m: float, eps_days: int | None = None, most_lat: float = 25.0) -> DataFrame:
+def places(points: DataFrame) -> DataFrame:
+    """(place, lat, lon, n): the different positions, each named by its smallest id, with how many points it has."""
+    return points.groupBy("lat", "lon").agg(F.min("id").alias("place"), F.count(F.lit(1)).alias("n"))
+
+
+def place_pairs(points: DataFrame, eps_m: float) -> DataFrame:
+    """(a, b, metres): pairs a < b of different places within the distance."""
+    return pairs_within(places(points).select(F.col("place").alias("id"), "lat", "lon"), eps_m).select("a", "b", "metres")
+
+
+def pairs_within(points: DataFrame, eps_m: float, eps_days: int | None = None, most_lat: float = AREA_LAT) -> DataFrame:
     """(a, b, metres, days): all pairs a < b of (id, lat, lon[, day]) within both distances. day: days as an int."""
     timed = eps_days is not None
     here = points.select("id", "lat", "lon", *(["day"] if timed else []))
@@ -56,7 +68,7 @@ def pairs_within(points: DataFrame, eps_m: float, eps_days: int | None = None, m
     return left.join(there, same & (metres <= eps_m)).select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b"), metres.alias("metres"), days.alias("days"))
 
 
-def candidates(left: DataFrame, right: DataFrame, cap_m: float, most_lat: float = 25.0) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame, cap_m: float, most_lat: float = AREA_LAT) -> DataFrame:
     """left rows (key, lat, lon, ...) with every right row (lat, lon, ...; columns prefixed r_) within the cap, and `metres`."""
     renamed = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
     i, j = _cells(F.col("r_lat"), F.col("r_lon"), cap_m, most_lat)
@@ -73,21 +85,55 @@ def within_of(points: DataFrame, lat: float, lon: float, radius_m: float) -> Dat
     return points.withColumn("metres", metres).filter(F.col("metres") <= radius_m)
 
 
-def nearest_within(left: DataFrame, right: DataFrame, cap_m: float, out: str, key: str = "id") -> DataFrame:
+def nearest_within(left: DataFrame, right: DataFrame, cap_m: float, out: str, key: str = "id", most_lat: float = AREA_LAT) -> DataFrame:
     """(key, out): the smallest distance within the cap; keys without one are left out."""
-    return candidates(left.select(key, "lat", "lon"), right.select("lat", "lon"), cap_m).groupBy(key).agg(F.min("metres").alias(out))
+    return candidates(left.select(key, "lat", "lon"), right.select("lat", "lon"), cap_m, most_lat).groupBy(key).agg(F.min("metres").alias(out))
+
 
+def nearest_of_layers(left: DataFrame, layers: dict[str, DataFrame], cap_m: float, key: str = "id", most_lat: float = AREA_LAT) -> DataFrame:
+    """(key, a column for each layer): the smallest distance to each layer within the cap, or null; every key once.
+
+    The layers are one table with a tag, spread over the cells around each of its points and joined once.
+    """
+    tagged = None
+    for name, layer in layers.items():
+        one = layer.select(F.lit(name).alias("_layer"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+        tagged = one if tagged is None else tagged.unionByName(one)
+    small = tagged.limit(BROADCAST_POINTS + 1).count() <= BROADCAST_POINTS
+    i, j = _cells(F.col("_lat"), F.col("_lon"), cap_m, most_lat)
+    spread = tagged.withColumns({"_i": i, "_j": j}).withColumn("_ci", _around(F.col("_i"))).withColumn("_cj", _around(F.col("_j"))).drop("_i", "_j")
+    own = _cells(F.col("lat"), F.col("lon"), cap_m, most_lat)
+    points = left.select(key, "lat", "lon", own[0].alias("_ti"), own[1].alias("_tj"))
+    metres = haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
+    joined = points.join(F.broadcast(spread) if small else spread, (F.col("_ti") == F.col("_ci")) & (F.col("_tj") == F.col("_cj")) & (metres <= cap_m), "left")
+    return joined.withColumn("_m", metres).groupBy(key).agg(*(F.min(F.when(F.col("_layer") == name, F.col("_m"))).alias(name) for name in layers))
 
-def nearest_any(left: DataFrame, right: DataFrame, out: str, key: str = "id", caps: tuple[float, ...] = (20e3, 200e3, 2e6, 2.1e7)) -> DataFrame:
-    """(key, out): the smallest distance to any right row, for rows anywhere up to MOST_LAT degrees.
 
-    The search widens only for rows that found nothing nearer; the last cap is half the way round the globe.
+def nearest_any(left: DataFrame, right: DataFrame, out: str, key: str = "id", caps: tuple[float, ...] = (20e3, 200e3, 2e6)) -> DataFrame:
+    """(key, out): the smallest distance to any right row, anywhere on the globe.
+
+    The search widens only for rows that found nothing nearer. Cells are as wide as the highest latitude that a partner within
+    the cap can have needs; right rows near the date line are there a second time, on its other side. Where that latitude comes
+    near a pole, and beyond the last cap, a row is compared with every right row, in cells of latitude alone.
     """
     rest, parts = left.select(key, "lat", "lon"), []
+    turned = right.select("lat", "lon")
+    top = turned.agg(F.max(F.abs("lat"))).first()[0]
+    own = rest.agg(F.max(F.abs("lat"))).first()[0]
     for cap in caps:
-        found = stored(nearest_within(rest, right, cap, out, key), "nearest")
+        high = max(top or 0.0, own or 0.0) + 1.0
+        if high > 80 or cap > 1e6:
+            break
+        reach = cap / (111_100 * math.cos(math.radians(high))) + 0.1
+        east, west = turned.filter(F.col("lon") < -180 + reach).withColumn("lon", F.col("lon") + 360), turned.filter(F.col("lon") > 180 - reach).withColumn("lon", F.col("lon") - 360)
+        found = stored(nearest_within(rest, turned.unionByName(east).unionByName(west), cap, out, key, high), "nearest")
         parts.append(found)
         rest = rest.join(found, key, "left_anti")
+    metres = haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
+    # latitudes differ by at most 180 degrees: bands of right rows, for the few rows that found nothing nearer
+    bands = F.explode(F.sequence(F.lit(-9), F.lit(9)))
+    far = rest.withColumn("_band", bands).join(turned.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.floor(F.col("lat") / 10).cast("int").alias("_b")), F.col("_band") == F.col("_b"))
+    parts.append(far.groupBy(key).agg(F.min(metres).alias(out)))
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)

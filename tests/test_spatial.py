@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from emberline.functions.geo import elongation, haversine, tile_name
 from emberline.operators import events as E
 from emberline.operators.graph import connected_components, density_clusters
-from emberline.operators.spatial import nearest_any, nearest_in_own_radius, nearest_within, pairs_within, top_in_radius
+from emberline.operators import clusters as C
+from emberline.operators import stats
+from emberline.operators.spatial import nearest_any, nearest_in_own_radius, nearest_of_layers, nearest_within, top_in_radius
 
 DET = "id long, lat double, lon double, acq_date date, acq_time string, frp double, daynight string, confidence string, scan double, track double"
 
@@ -104,15 +106,108 @@ def test_components_match_union_find(spark):
     for x in range(80):
         least[find(x)] = min(least.get(find(x), x), x)
     touched = {x for e in edges if None not in e and e[0] != e[1] for x in e}
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
-    assert got == {x: least[find(x)] for x in touched}
+    for one_task in (0, 1000):
+        got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long"), one_task=one_task).collect()}
+        assert got == {x: least[find(x)] for x in touched}
+        assert connected_components(spark.createDataFrame([(1, 1), (None, 2)], "src long, dst long"), one_task=one_task).count() == 0
+
+
+def test_components_in_one_task_match_rounds_on_long_paths(spark):
+    rng = random.Random(4)
+    path = list(range(500))
+    rng.shuffle(path)
+    edges = [*zip(path, path[1:], strict=False), *((k, k + 1000) for k in range(1000, 1900)), (9000, 9001)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    got = {r["node"]: r["component"] for r in connected_components(df, one_task=10**6).collect()}
+    assert {got[k] for k in range(500)} == {0} and got[9001] == 9000 and got[2899] == min(k for k in range(1000, 1900) if k % 1000 == 899)
+
+
+def test_density_clusters_match_loops(spark):
+    """Repeated places, borders and noise against counting over all pairs."""
+    rng = random.Random(9)
+    spots = [(21 + rng.random() * 0.02, 72 + rng.random() * 0.02) for _ in range(70)]
+    rows = [(k, *spots[rng.randrange(70)]) for k in range(160)]
+    near = {i: [j for j in range(160) if metres(*rows[i][1:], *rows[j][1:]) <= 250] for i in range(160)}
+    core = {i for i in near if len(near[i]) >= 6}
+    label, nxt = {}, 0
+    for i in sorted(core):
+        if i not in label:
+            todo = [i]
+            label[i] = nxt
+            while todo:
+                for j in near[todo.pop()]:
+                    if j in core and j not in label:
+                        label[j] = nxt
+                        todo.append(j)
+            nxt += 1
+    want = {i: label[i] if i in label else min((label[j] for j in near[i] if j in core), default=-1) for i in range(160)}
+    points = spark.createDataFrame(rows, "id long, lat double, lon double")
+    assert {r["id"]: r["cluster_id"] for r in density_clusters(points, 250.0, 6).collect()} == want and nxt > 1
+
+
+def test_cross_date_distances_match_all_pairs(spark):
+    rng = random.Random(2)
+    spots = [(21 + rng.random() * 0.05, 72 + rng.random() * 0.05) for _ in range(12)]
+    rows = [(k, k % 2, *spots[rng.randrange(12)], date(2024, 1, 1 + rng.randrange(4))) for k in range(60)]
+    want = {}
+    for c in (0, 1):
+        own = [r for r in rows if r[1] == c]
+        m = sorted(metres(*a[2:4], *b[2:4]) for i, a in enumerate(own) for b in own[i + 1 :] if a[4] != b[4])
+        want[c] = (len(m), round(m[0], 2), round((m[(len(m) - 1) // 2] + m[len(m) // 2]) / 2, 2), round(m[-1], 2))
+    df = spark.createDataFrame(rows, "id long, cluster_id int, lat double, lon double, acq_date date")
+    got = {r["cluster_id"]: (r["n_pairs"], r["min_m"], r["median_m"], r["max_m"]) for r in C.cross_date_distances(df, "cluster_id").collect()}
+    assert got == want and max(w[3] for w in want.values()) > 375
+
+
+def test_ranks_and_gaps_match_sorting(spark):
+    rng = random.Random(6)
+    rows = [(g, rng.choice([rng.random() * 1e6, float(rng.randrange(5)), -3.5])) for g in "ab" for _ in range(400)] + [("c", 7.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: (r["q1"], r["q2"]) for r in stats.quantiles(df, "g", "v", {"q1": 0.25, "q2": 0.9}).collect()}
+    for g in "abc":
+        v = sorted(x for k, x in rows if k == g)
+        for share, value in zip((0.25, 0.9), got[g], strict=True):
+            at = share * (len(v) - 1)
+            low = v[int(at)]
+            assert abs(value - (low + (v[min(int(at) + 1, len(v) - 1)] - low) * (at - int(at)))) < 1e-6
+    gaps = {(r["g"], r["rank"]): (r["before"], r["after"]) for r in stats.largest_gaps(df, "v", 3, "g").collect()}
+    for g in "ab":
+        v = sorted({x for k, x in rows if k == g})
+        top = sorted(zip(v, v[1:], strict=False), key=lambda p: (p[0] - p[1], -p[0]))[:3]
+        assert [gaps[(g, k)] for k in (1, 2, 3)] == top
+    weighted = spark.createDataFrame([("a", 1.0, 3), ("a", 5.0, 1), ("a", 9.0, 2)], "g string, v double, w long")
+    assert stats.quantiles(weighted, "g", "v", {"m": 0.5}, "w").first()["m"] == 3.0
+
+
+def test_nearest_anywhere(spark):
+    """Far north, over the date line and near a pole, against all pairs."""
+    rng = random.Random(8)
+    for low, high in ((57, 60), (-1, 1), (80, 89)):
+        left = [(k, rng.uniform(low, high), rng.uniform(179, 181)) for k in range(25)]
+        right = [(rng.uniform(low - 1, high), rng.uniform(178, 182)) for _ in range(25)]
+        wrap = lambda x: x - 360 if x > 180 else x
+        a = spark.createDataFrame([(k, la, wrap(lo)) for k, la, lo in left], "id long, lat double, lon double")
+        b = spark.createDataFrame([(la, wrap(lo)) for la, lo in right], "lat double, lon double")
+        got = {r["id"]: r["m"] for r in nearest_any(a, b, "m").collect()}
+        assert all(abs(got[k] - min(metres(la, lo, *r) for r in right)) < 1e-3 for k, la, lo in left)
+
+
+def test_nearest_of_layers(spark):
+    rng = random.Random(5)
+    point = lambda: (21 + rng.random(), 72 + rng.random())
+    left, layers = [(k, *point()) for k in range(40)], {"x": [point() for _ in range(30)], "y": [(24.0, 69.0)], "z": []}
+    frames = {n: spark.createDataFrame(v, "lat double, lon double") for n, v in layers.items()}
+    for r in nearest_of_layers(spark.createDataFrame(left, "id long, lat double, lon double"), frames, 20_000).collect():
+        for n, v in layers.items():
+            want = min((m for m in (metres(*left[r["id"]][1:], *p) for p in v) if m <= 20_000), default=None)
+            assert r[n] is None if want is None else abs(r[n] - want) < 1e-6
 
 
 def test_density_clusters_border_takes_the_lowest(spark):
     step = 300 / 111_320
     rows = [(0, 0.0), (1, 0.1), (2, 0.2), (3, 1.1), (4, 2.0), (5, 2.1), (6, 2.2), (7, 9.0)]
     points = spark.createDataFrame([(i, 21 + k * step, 72.0) for i, k in rows], "id long, lat double, lon double")
-    got = {r["id"]: r["cluster_id"] for r in density_clusters(points, pairs_within(points, 300.0), 4).collect()}
+    got = {r["id"]: r["cluster_id"] for r in density_clusters(points, 300.0, 4).collect()}
     # 0-2 and 4-6 are cores through the border point between them only if it reaches them
     assert got[7] == -1 and got[3] == 0
 
