@@ -1,13 +1,16 @@
 """The refresh cycle: new detections are merged, events rebuilt, and freshness published, as micro-batches.
 
 `start` runs it on a file stream; `run_cycle` is the batch body, so a re-run or a replayed batch gives the same tables.
-State is the store of merged detections alone: keys make the merge idempotent, and every table is derived from it.
+Keys make the merge idempotent. Detections and their components are kept; a cycle links again only the new rows and the
+components that reach the days next to theirs, and every other table is derived from those two. All tables of a cycle are
+published by one numbered manifest, so readers see the tables of one cycle together, and a cycle that dies leaves the last one.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import time
 import uuid
 from collections.abc import Callable
@@ -18,13 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.events import event_components, event_members, event_table
-from ..plans.sinks import write_json, write_text
+from ..operators.events import EPS_DAYS, event_components, event_members, event_table
+from ..plans.sinks import create_text, read_text, write_json
 from ..sources.ingest import first_wins
 
 KEY = ("lat", "lon", "acq_date", "acq_time")
 WINDOW_DAYS = 7
 INTERVAL = "30 minutes"
+#: Manifests whose tables are kept for readers that have just opened them.
+KEEP = 3
 
 
 class Locked(RuntimeError):
@@ -77,35 +82,73 @@ def _alive(pid: int) -> bool:
 
 
 class Store:
-    """Versioned tables in a folder: a version is written whole, then a pointer to it is put in place."""
+    """Tables in a folder. Each version of a table is written whole to a folder of its own; a numbered manifest names the version
+    of every table, and the highest one counts."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _pointer(self, name: str) -> str | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}.current")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return None
-        stream = fs.open(path)
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
+
+    def manifests(self) -> list[int]:
+        fs, path = self._files()
+        folder = path(f"{self.folder}/manifests")
+        if not fs.exists(folder):
+            return []
+        names = (s.getPath().getName() for s in fs.listStatus(folder))
+        return sorted(int(n) for n in names if re.fullmatch(r"\d{12}", n))
+
+    def manifest(self, number: int | None = None) -> dict[str, str]:
+        known = self.manifests()
+        if number is None and not known:
+            return {}
+        text = read_text(self.spark, f"{self.folder}/manifests/{known[-1] if number is None else number:012d}")
+        return json.loads(text) if text else {}
 
     def read(self, name: str) -> DataFrame | None:
-        version = self._pointer(name)
+        version = self.manifest().get(name)
         return None if version is None else self.spark.read.parquet(f"{self.folder}/{name}/{version}")
 
-    def write(self, name: str, df: DataFrame) -> DataFrame:
+    def write(self, name: str, df: DataFrame, pending: dict[str, str], partition_by: list[str] | None = None) -> DataFrame:
+        """Write a version that `publish` will name; nobody reads it before."""
         version = uuid.uuid4().hex
-        df.write.parquet(f"{self.folder}/{name}/{version}")
-        write_text(self.spark, f"{self.folder}/{name}.current", version)
-        return self.read(name)
+        path = f"{self.folder}/{name}/{version}"
+        (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
+        pending[name] = version
+        return self.spark.read.parquet(path)
+
+    def publish(self, pending: dict[str, str], after: int) -> None:
+        """Make the pending versions, and the last ones of other tables, manifest `after` + 1; raises if another writer has."""
+        fs, path = self._files()
+        fs.mkdirs(path(f"{self.folder}/manifests"))
+        text = json.dumps({**self.manifest(), **pending})
+        if not create_text(self.spark, f"{self.folder}/manifests/{after + 1:012d}", text):
+            raise Locked(f"another writer has published {after + 1}")
+
+    def clean(self, keep: int = KEEP) -> int:
+        """Remove manifests but the last `keep`, and versions that no kept manifest names; how many versions went."""
+        fs, path = self._files()
+        known = self.manifests()
+        for number in known[:-keep]:
+            fs.delete(path(f"{self.folder}/manifests/{number:012d}"), False)
+        held = {(name, version) for number in known[-keep:] for name, version in self.manifest(number).items()}
+        gone = 0
+        for name in {n for n, _ in held}:
+            for status in fs.listStatus(path(f"{self.folder}/{name}")):
+                if (name, status.getPath().getName()) not in held:
+                    gone += bool(fs.delete(status.getPath(), True))
+        return gone
+
+
+class IdCollision(RuntimeError):
+    """Two keys have one id."""
 
 
 def merged(existing: DataFrame | None, fetched: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """Existing rows, and the first fetched row of each new key, numbered after them by a stable order."""
+    """Existing rows, and the first fetched row of each new key. An id is a hash of the key, so it is the same in every order;
+    `run_cycle` raises if two keys have one."""
     own = fetched.drop("id")
     fresh = first_wins(own, key, [c for c in own.columns if c not in key])
     if existing is not None:
@@ -114,17 +157,39 @@ def merged(existing: DataFrame | None, fetched: DataFrame, key: tuple[str, ...]
     return fresh if existing is None else existing.unionByName(fresh.select(*existing.columns))
 
 
+def relinked(detections: DataFrame, old: DataFrame | None) -> DataFrame:
+    """(id, component) of all detections. old: the components before the cycle; those without a detection within EPS_DAYS of a
+    new one's day stay as they are, and the others are found again together with the new rows."""
+    if old is None:
+        return event_components(detections)
+    fresh = detections.join(old.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti")
+    days = fresh.select(F.explode(F.sequence(F.date_sub("acq_date", EPS_DAYS), F.date_add("acq_date", EPS_DAYS))).alias("_day")).distinct()  # a row for each day at most
+    placed = detections.join(old.select(F.col("id").alias("_id"), "component"), F.col("id") == F.col("_id"))
+    touched = placed.join(days, F.col("acq_date") == F.col("_day"), "left_semi").select(F.col("component").alias("_touched")).distinct()
+    again = old.join(touched, F.col("component") == F.col("_touched"), "left_semi").select(F.col("id").alias("_again"))
+    rows = fresh.unionByName(detections.join(again, F.col("id") == F.col("_again"), "left_semi"))
+    return old.join(touched, F.col("component") == F.col("_touched"), "left_anti").unionByName(event_components(rows))
+
+
 def run_cycle(store: Store, fetched: DataFrame, run_date: date, score: Callable[[DataFrame], DataFrame] | None = None) -> dict:
-    """One cycle: merge, rebuild events, score if a model is given, publish. Freshness is written last, so a failed cycle leaves it as it was."""
-    detections = store.write("detections", merged(store.read("detections"), fetched))
-    members = store.write("members", event_members(detections, event_components(detections)))
-    events = store.write("events", event_table(detections, members, F.lit(run_date.isoformat()).cast("date")))
-    predictions = store.write("predictions", score(events)) if score else None
+    """One cycle: merge, link, rebuild events, score if a model is given, publish all at once. Freshness is written last, so a
+    failed cycle leaves everything as it was."""
+    number, pending = (store.manifests() or [0])[-1], {}
+    detections = store.write("detections", merged(store.read("detections"), fetched), pending)
+    sizes = detections.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).first()
+    if sizes["n"] != sizes["ids"]:
+        raise IdCollision(f"{sizes['n']} detections have {sizes['ids']} ids")
+    components = store.write("components", relinked(detections, store.read("components")), pending)
+    members = store.write("members", event_members(detections, components), pending)
+    events = store.write("events", event_table(detections, members, F.lit(run_date.isoformat()).cast("date")), pending)
+    predictions = store.write("predictions", score(events), pending) if score else None
     counts = events.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "closed").alias("closed")).first()
     record = {
-        "last_updated_utc": datetime.now(UTC).isoformat(), "run_date": run_date.isoformat(), "n_detections": detections.count(), "n_events": counts["n"], "n_closed": counts["closed"],
+        "last_updated_utc": datetime.now(UTC).isoformat(), "run_date": run_date.isoformat(), "n_detections": sizes["n"], "n_events": counts["n"], "n_closed": counts["closed"],
         "n_provisional": counts["n"] - counts["closed"], "n_predictions": predictions.count() if predictions is not None else 0,
     }
+    store.publish(pending, number)
+    store.clean()
     write_json(store.spark, f"{store.folder}/freshness.json", record)
     return record
 

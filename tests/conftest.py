@@ -5,6 +5,9 @@ import pytest
 from pyspark.sql import SparkSession
 
 
+os.environ.setdefault("AREA_API_KEY", "of-tests")  # before the JVM starts: the planner of the area source inherits it
+
+
 @pytest.fixture(scope="session")
 def spark():
     session = (
