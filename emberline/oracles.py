@@ -32,6 +32,7 @@ SUMMARY = """count(*) as detection_count, count(distinct acq_date) as unique_dat
     cast(max(acq_date) - min(acq_date) as int) as active_span_days, avg(frp) as mean_frp, max(frp) as max_frp, count(*) filter (daynight = 'D') as day_count, count(*) filter (daynight = 'N') as night_count"""
 TAGS = ", ".join(f"({i}, '{k}={v}', '{label}', '{group}')" for i, (k, v, label, group) in enumerate(MAP_TAGS))
 YEARS = (2019, 2020, 2021, 2022, 2023, 2024, 2025)
+PAIRED = ("duration_days", "detection_count", "mean_frp", "max_frp", "night_fraction", "spatial_extent_m")
 METRICS = ["unique_dates", "occurrence_rate", "detection_count", "active_span_days", "mean_frp", "max_frp", "frp_ratio", "top_day_share"]
 
 CTE: dict[str, str] = {
@@ -217,7 +218,8 @@ FINAL: dict[str, str] = {
     "daynight": "select year, count(*) as n, count(*) filter (daynight = 'D') as n_day, count(*) filter (daynight = 'N') as n_night, round(count(*) filter (daynight = 'N') * 100.0 / count(*), 4) as pct_night from hist group by 1",
     "time_concentration": """with t as (select daynight, (cast(substr(acq_time, 1, 2) as int) * 60 + cast(substr(acq_time, 3, 2) as int)) / 60.0e0 as h from hist) select daynight, round(median(h), 4) as median_hour, round(stddev_pop(h), 4) as std_hour, round(max(h) - min(h), 4) as range_hours,
         (select x from (select round(u.h, 2) as x, count(*) as n from t u where u.daynight = t.daynight group by 1 order by n desc, x limit 1)) as mode_hour from t group by daynight""",
-    "cross_date_pairs": "select x.cluster_id, count(*) as n_pairs, round(min(m), 2) as min_m, round(median(m), 2) as median_m, round(max(m), 2) as max_m from bp join lab x on x.id = a join lab y on y.id = b where m <= 375 and x.cluster_id = y.cluster_id and x.cluster_id <> -1 and x.acq_date <> y.acq_date group by 1",
+    "cross_date_pairs": f"""select cluster_id, count(*) as n_pairs, round(min(m), 2) as min_m, round(median(m), 2) as median_m, round(max(m), 2) as max_m from
+        (select x.cluster_id, {hav("x.lat", "x.lon", "y.lat", "y.lon")} as m from lab x join lab y on x.cluster_id = y.cluster_id and x.id < y.id and x.acq_date <> y.acq_date where x.cluster_id <> -1) group by 1""",
     "weighted_centroid": """select count(*) as n_cells, cast(sum(detection_count) as bigint) as n_detections, round(sum(cell_lat_center * detection_count) / sum(detection_count), 5) as lat, round(sum(cell_lon_center * detection_count) / sum(detection_count), 5) as lon
         from gg where cell_lat_center between 21.0 and 23.0 and cell_lon_center between 69.0 and 73.0""",
     "box_clusters": "select distinct cluster_id from lab where cluster_id <> -1 and lat between 21.0 and 22.5 and lon between 68.0 and 71.0",
@@ -240,6 +242,33 @@ FINAL: dict[str, str] = {
     "dash_window": " union all ".join(f"select min(start_date) as first_start, max(start_date) as last_start, count(*) as n, '{w}' as \"window\" from ev where start_date between date '{a}' and date '2024-07-15'" for w, a in (("today", "2024-07-15"), ("24h", "2024-07-14"), ("7d", "2024-07-09"))),
     "dash_display": "select event_id, case when dist_plant_m is null then '— (none within search radius)' else format('{:,}', cast(round(dist_plant_m, 0) as bigint)) || ' m' end as distance, printf('%.1f%%', round(night_fraction * 100 + 1e-9, 1)) as night, printf('%.2f MW', round(max_frp + 1e-9, 2)) as power from nearest join ev using (event_id)",
     "marker_tiers": "select cast(floor(centroid_lat / 0.5) as int) as row, cast(floor(centroid_lon / 0.5) as int) as col, count(*) as n, case when count(*) < 10 then 'sm' when count(*) < 50 then 'md' else 'lg' end as tier from ev group by 1, 2",
+    "two_source_ingest": """select viirs_source, count(*) as n, min(acq_date) as first_date, max(acq_date) as last_date from (select distinct lat, lon, acq_date, acq_time, case when acq_date <= date '2024-06-30' then 'archive' else 'recent' end as viirs_source
+        from det where acq_date between date '2024-01-01' and date '2024-12-27') group by 1""",
+    "ingest_runs": """select run, y as year, case when run = 2 and y = 2023 then 'skipped' when y = 2050 then 'no_data' else 'written' end as status, case when run = 1 or y <> 2023 then (select count(*) from (select distinct lat, lon, acq_date, acq_time from hist where hist.year = y)) end as rows
+        from (values (1, 2022), (1, 2023), (2, 2022), (2, 2023), (2, 2050)) r(run, y)""",
+    "joined_features": "select event_id, mean_frp, centroid_lat, start_date, case when frp_trend_computable then frp_trend_slope else 0.0 end as frp_trend_slope, frp_trend_computable from ev join tr using (event_id)",
+    "redundancy_audit": "select field, round(r, 4) as r, coalesce(abs(round(r, 4)) <= 0.9, true) as safe from ("
+    + " union all ".join(
+        f"select '{n}' as field, case when var_pop({f}) > 1e-18 then corr({f}, frp_trend_slope) end as r from tr join ev using (event_id) join lc using (event_id) where frp_trend_computable"
+        for n, f in (*((f, f) for f in ("centroid_lat", "centroid_lon", "mean_frp", "night_fraction")), ("is_cropland", "cast(coalesce(land_cover_class = 'Cropland', false) as int)"), ("is_tree_cover", "cast(coalesce(land_cover_class = 'Tree cover', false) as int)"))
+    )
+    + ")",
+    "feature_pairs": "select a, b, round(r, 4) as r, coalesce(abs(round(r, 4)) <= 0.9, true) as independent from ("
+    + " union all ".join(f"select '{a}' as a, '{b}' as b, case when var_pop({a}) > 1e-18 and var_pop({b}) > 1e-18 then corr({a}, {b}) end as r from ev" for k, a in enumerate(PAIRED) for b in PAIRED[k + 1 :])
+    + ")",
+    "tier_counts": " union all ".join(f"select '{f}' as field, {f} as value, count(*) as n from itg group by {f}" for f in ("persistence_activity_quadrant", "seasonality_category", "trend_direction", "recurrence_strength", "nearest_group")),
+    "category_crosstab": "select recurrence_strength, " + ", ".join(f"count(*) filter (trend_direction = '{v}') as n_{v}" for v in ("increasing", "decreasing", "stable")) + ", count(*) as total from itg group by 1",
+    "top_lists": " union all ".join(
+        f"""select '{name}' as list, cast(rank as int) as rank, cluster_id, round(cast(v as double), 6) as value from (select cluster_id, {m} as v, row_number() over (order by {m} {way}, cluster_id) as rank from itg where {where}) where rank <= {k}"""
+        for name, m, k, where, way in (
+            ("most_active", "total_detections_5yr", 5, "activity_category = 'High-activity'", "desc"), ("least_active", "total_detections_5yr", 5, "activity_category = 'Low-activity'", "asc"),
+            ("most_seasonal", "top3_months_share", 8, "seasonality_category = 'Strongly seasonal'", "desc"), ("most_variable", "cv_annual_detections", 5, "mean_annual_detections >= 5", "desc"),
+        )
+    ),
+    "frp_histogram": "select bin, round(bin * 25e0, 9) as low, round((bin + 1) * 25e0, 9) as high, n from (select cast(least(floor(frp / 25.0), 19) as int) as bin, count(*) as n from hist where frp between 0 and 500 group by 1)",
+    "median_report": "select daynight, 'frp' as field, round(median(frp), 4) as median from hist group by 1 union all select daynight, 'lat', round(median(lat), 4) from hist group by 1",
+    "fixed_radius_lookup": f"""select cs.cluster_id, count(m) as n_found, min_by(tag, (m, feature_id)) as tag, min_by(label, (m, feature_id)) as label, arg_min_null(name, (m, feature_id)) as name, round(min(m), 1) as metres from cs left join
+        (select c.cluster_id, f.*, {hav("c.centroid_lat", "c.centroid_lon", "f.lat", "f.lon")} as m from cs c, feat f where tag not in ('unknown', 'landuse=port', 'harbour=yes')) x on x.cluster_id = cs.cluster_id and m <= 2000 group by cs.cluster_id""",
     "stream_cycle": """with recursive dd as (select * exclude (r) from (select *, row_number() over (partition by lat, lon, acq_date, acq_time order by id) as r from det) where r = 1),
         ee as (select a.id as a, b.id as b from dd a join dd b on a.id <> b.id and """
     + near("a", "b", 750)

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import imputed_distance
+from ..operators.events import global_rank
 from ..operators.labels import TRAINED
 from ..operators.spatial import nearest_any
 from ..operators.stats import classification_metrics
 from .sinks import write_json
+from .storage import stored
 
 SPLIT_DEGREES = 0.5
 TRAIN_YEARS, TEST_YEARS = (2019, 2020, 2021, 2022), (2023, 2024, 2025)
@@ -174,29 +176,23 @@ def majority(df: DataFrame, label: str) -> str | None:
     return row[0] if row else None
 
 
-def run_split(name: str, train: DataFrame, test: DataFrame, label: str, numeric: list[str], categorical: list[str] = ()) -> DataFrame:
-    """Metrics of the baseline and three models on one split, as a long table."""
-    base = majority(train, label)
-    models = {"logistic": fit_logistic, "forest": fit_forest, "boosted": fit_boosted}
-    out = classification_metrics(test.withColumn("predicted_class", F.lit(base)), label, "predicted_class").withColumn("model", F.lit("majority"))
-    for kind, fit in models.items():
-        scored = predict(fit(train, label, numeric, categorical), test, label)
-        out = out.unionByName(classification_metrics(scored, label, "predicted_class").withColumn("model", F.lit(kind)))
-    return out.withColumn("split", F.lit(name))
+def permutation_importance(model: PipelineModel, df: DataFrame, label: str, features: list[str], repeats: int = 5, key: str = "event_id") -> DataFrame:
+    """(feature, drop): mean fall of macro F1 when a feature's values are dealt anew among rows. Rows are ranked by hashes of their
+    key, with another seed for each deal, in two levels, so that no task holds all of them; the deal is the same in every run."""
+    macro = lambda d: classification_metrics(predict(model, d, label), label, "predicted_class").filter(F.col("class") == "macro").first()["f1"]
 
+    def ranked(rows: DataFrame, seed: int) -> DataFrame:
+        hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("_part", F.pmod("_h", F.lit(256)))
+        return global_rank(hashed, "_part", ["_h", key], "_row").drop("_h", "_part")
 
-def permutation_importance(model: PipelineModel, df: DataFrame, label: str, features: list[str], repeats: int = 5) -> DataFrame:
-    """(feature, drop): mean fall of macro F1 when a feature's values are dealt anew among rows, by ranks of a seeded random order."""
-    macro = lambda d: classification_metrics(predict(model, d, label), label, "predicted_class").filter(F.col("class") == "macro").first()["f1"]
     base, rows = macro(df), []
-    own = df.withColumn("_row", F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))).cache()  # an evaluation set
-    for f in features:
+    own = stored(ranked(df, 0), "evaluation")
+    for n, f in enumerate(features):
         drops = []
         for k in range(repeats):
-            dealt = own.select(F.col(f).alias("_v")).withColumn("_row", F.row_number().over(Window.orderBy(F.rand(SEED + k))))
+            dealt = ranked(df.select(key, F.col(f).alias("_v")), 1 + n * repeats + k).select("_row", "_v")
             drops.append(base - macro(own.drop(f).join(dealt, "_row").withColumnRenamed("_v", f)))
         rows.append((f, float(sum(drops) / len(drops))))
-    own.unpersist()
     return df.sparkSession.createDataFrame(rows, "feature string, drop double").orderBy(F.desc("drop"), "feature")
 
 

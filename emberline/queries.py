@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .operators import clusters as C
-from .operators import contracts, dashboard, evidence, labels, stats
+from .operators import contracts, dashboard, evidence, labels, reports, stats
 from .operators import events as E
 from .operators.graph import density_clusters
-from .operators.spatial import nearest_in_own_radius, pairs_within
-from .plans import learning
+from .operators.spatial import nearest_in_own_radius, place_pairs
+from .plans import evaluation, learning
 from .plans.storage import shared_folder, stored
-from .sources import adapter, ingest
+from .sources import adapter, ingest, runs
 from .streaming import cycle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,7 +61,7 @@ def events_of(spark: SparkSession, d: str) -> DataFrame:
 def labelled_of(spark: SparkSession, d: str) -> DataFrame:
     """Baseline-year detections with their cluster."""
     base = stored(hist(spark, d).filter(F.col("year") == BASELINE_YEAR), "baseline")
-    marks = density_clusters(base, stored(pairs_within(base, CLUSTER_EPS), "pairs"), CLUSTER_LEAST)
+    marks = density_clusters(base, CLUSTER_EPS, CLUSTER_LEAST, stored(place_pairs(base, CLUSTER_EPS), "pairs"))
     return stored(base.join(marks, "id"), "labelled")
 
 
@@ -258,10 +258,10 @@ def dbscan(spark: SparkSession, d: str) -> DataFrame:
 def dbscan_sweep(spark: SparkSession, d: str) -> DataFrame:
     """One join at the largest radius serves every setting."""
     base = stored(hist(spark, d).filter(F.col("year") == BASELINE_YEAR), "baseline")
-    pairs = stored(pairs_within(base, max(e for e, _ in SWEEP)), "pairs")
+    pairs = stored(place_pairs(base, max(e for e, _ in SWEEP)), "pairs")
     out = None
     for eps, least in SWEEP:
-        marks = base.join(density_clusters(base, pairs.filter(F.col("metres") <= eps), least), "id")
+        marks = base.join(density_clusters(base, eps, least, pairs), "id")
         sizes = marks.filter("cluster_id <> -1").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("acq_date").alias("dates"))
         noise = marks.agg(F.count_if(F.col("cluster_id") == -1).alias("n_noise"), F.count(F.lit(1)).alias("n_all"))
         one = sizes.agg(F.count(F.lit(1)).alias("n_clusters"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"), F.coalesce(F.percentile("n", F.lit(0.5)), F.lit(0.0)).alias("median_size"), F.count_if(F.col("dates") > 1).alias("n_repeated_date_clusters"))
@@ -359,11 +359,8 @@ def time_concentration(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def cross_date_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Distances between detections of different dates, by cluster."""
-    rows = labelled_of(spark, d).filter("cluster_id <> -1")
-    pairs = pairs_within(rows, CLUSTER_EPS).join(rows.select(F.col("id").alias("a"), "cluster_id", F.col("acq_date").alias("da")), "a").join(rows.select(F.col("id").alias("b"), F.col("cluster_id").alias("_c"), F.col("acq_date").alias("db")), "b")
-    kept = pairs.filter((F.col("cluster_id") == F.col("_c")) & (F.col("da") != F.col("db")))
-    return kept.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.min("metres"), 2).alias("min_m"), F.round(F.percentile("metres", F.lit(0.5)), 2).alias("median_m"), F.round(F.max("metres"), 2).alias("max_m"))
+    """Distances between all detections of different dates in a cluster."""
+    return C.cross_date_distances(labelled_of(spark, d).filter("cluster_id <> -1"), "cluster_id")
 
 
 @query
@@ -490,3 +487,137 @@ def inference_rows(spark: SparkSession, d: str) -> DataFrame:
     model = learning.fit_boosted(training, "silver_label", numeric)
     scored = learning.predict(model, table)
     return scored.select("event_id", "predicted_class", *(F.round(c, 4).alias(c) for c in scored.columns if c.startswith("prob_")))
+
+
+def raw_of(rows: DataFrame) -> DataFrame:
+    """Detections as the source gives them: every cell as text, under the source's names."""
+    names = {"latitude": "lat", "longitude": "lon", "bright_ti4": "brightness", "bright_ti5": "bright_t31"}
+    fixed = {"satellite": "N", "instrument": "V", "version": "2"}
+    column = lambda c: F.lit(fixed[c]) if c in fixed else F.col(names.get(c, c)).cast("string") if names.get(c, c) in rows.columns else F.lit(None).cast("string")
+    return rows.select(*(column(c).alias(c) for c in ingest.RAW_COLUMNS))
+
+
+@query
+def two_source_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """A year from an archive up to June and a recent source from July, without repeated keys."""
+    rows = det(spark, d)
+    fetch = lambda source, start, end: raw_of(rows.filter(F.col("acq_date").between(F.lit(start), F.lit(end))))
+    whole = runs.two_sources(fetch, date.fromisoformat(adapter.REFERENCE), date(2024, 1, 1), date(2024, 6, 30), date(2024, 7, 1))
+    day = F.col("acq_date").cast("date")
+    return whole.groupBy("viirs_source").agg(F.count(F.lit(1)).alias("n"), F.min(day).alias("first_date"), F.max(day).alias("last_date"))
+
+
+@query
+def ingest_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs over years: the second writes again what it is forced to, but not the baseline year."""
+    rows = hist(spark, d)
+    fetch = lambda source, start, end: raw_of(rows.filter(F.col("acq_date").between(F.lit(start), F.lit(end))))
+    folder = f"{shared_folder(spark)}/emberline/years-{uuid.uuid4().hex}"
+    first = runs.ingest_years(spark, fetch, folder, [2022, BASELINE_YEAR]).withColumn("run", F.lit(1))
+    again = runs.ingest_years(spark, fetch, folder, [2022, BASELINE_YEAR, 2050], force=True).withColumn("run", F.lit(2))
+    return first.unionByName(again).select("run", "year", "status", "rows")
+
+
+@query
+def joined_features(spark: SparkSession, d: str) -> DataFrame:
+    rows, members = members_of(spark, d)
+    table = stored(E.event_table(rows, members, reference()), "events")
+    return evaluation.joined_features(table.select("event_id", "mean_frp", "centroid_lat"), E.frp_trend(rows, members), table, "frp_trend_slope", "frp_trend_computable")
+
+
+@query
+def redundancy_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the trend is another feature, a place or a land-cover class in disguise."""
+    rows, members = members_of(spark, d)
+    table = stored(E.event_table(rows, members, reference()), "events")
+    cover = evidence.land_cover(table, adapter.raster(spark))
+    kinds = {"is_cropland": "Cropland", "is_tree_cover": "Tree cover"}
+    known = E.frp_trend(rows, members).filter("frp_trend_computable").join(table, "event_id").join(cover, "event_id")
+    known = known.withColumns({k: F.coalesce(F.col("land_cover_class") == v, F.lit(False)).cast("double") for k, v in kinds.items()})
+    return stats.correlation_audit(known, "frp_trend_slope", ["centroid_lat", "centroid_lon", "mean_frp", "night_fraction", *kinds], 0.9)
+
+
+@query
+def feature_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return stats.correlation_pairs(events_of(spark, d), ["duration_days", "detection_count", "mean_frp", "max_frp", "night_fraction", "spatial_extent_m"])
+
+
+@query
+def tier_counts(spark: SparkSession, d: str) -> DataFrame:
+    return reports.counts_by(integrated_of(spark, d), ["persistence_activity_quadrant", "seasonality_category", "trend_direction", "recurrence_strength", "nearest_group"])
+
+
+@query
+def category_crosstab(spark: SparkSession, d: str) -> DataFrame:
+    return reports.crosstab(integrated_of(spark, d), "recurrence_strength", "trend_direction", ["increasing", "decreasing", "stable"])
+
+
+@query
+def top_lists(spark: SparkSession, d: str) -> DataFrame:
+    rows = integrated_of(spark, d)
+    lists = [
+        reports.top_list(rows, "most_active", "cluster_id", "total_detections_5yr", 5, F.col("activity_category") == "High-activity"),
+        reports.top_list(rows, "least_active", "cluster_id", "total_detections_5yr", 5, F.col("activity_category") == "Low-activity", falling=False),
+        reports.top_list(rows, "most_seasonal", "cluster_id", "top3_months_share", 8, F.col("seasonality_category") == "Strongly seasonal"),
+        reports.top_list(rows, "most_variable", "cluster_id", "cv_annual_detections", 5, F.col("mean_annual_detections") >= 5),
+    ]
+    out = lists[0]
+    for one in lists[1:]:
+        out = out.unionByName(one)
+    return out
+
+
+@query
+def frp_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return reports.histogram(hist(spark, d), "frp", 0.0, 500.0, 20)
+
+
+@query
+def median_report(spark: SparkSession, d: str) -> DataFrame:
+    return reports.medians_by(hist(spark, d), "daynight", ["frp", "lat"])
+
+
+@query
+def fixed_radius_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.nearest_feature(stats_of(labelled_of(spark, d)), adapter.features(spark, d, S.MAP_TAGS), S.FIXED_RADIUS_TAGS)
+
+
+def labelled_features(spark: SparkSession, d: str) -> DataFrame:
+    """Events with rule labels of trained classes, all features and a start date that is spread over the years of the splits."""
+    rows, members = members_of(spark, d)
+    table = stored(E.event_table(rows, members, reference()).join(E.event_behavior(rows, members), "event_id"), "features")
+    marked = labels.silver_labels(evidence_of(spark, d)).select("event_id", "silver_label").filter(F.col("silver_label").isin(*labels.TRAINED))
+    spread = table.withColumn("start_date", F.add_months("start_date", -12 * (F.substring("event_id", 4, 6).cast("int") % 6)))
+    return stored(evaluation.joined_features(spread.join(marked, "event_id"), E.frp_trend(rows, members), spread, "frp_trend_slope", "frp_trend_computable").withColumn("trend_known", S.bool_int(F.col("frp_trend_computable"))), "training")
+
+
+BASE_FEATURES = ["duration_days", "spatial_extent_m", "detection_count", "mean_frp", "night_fraction", "frac_high_confidence", "mean_scan", "elongation_ratio", "time_of_day_std_minutes", "detections_per_day"]
+
+
+@query
+def feature_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Two feature sets, two splits and two models, with the same settings throughout."""
+    sets = {"base": (BASE_FEATURES, []), "with_trend": ([*BASE_FEATURES, "frp_trend_slope", "trend_known"], [])}
+    models = {k: evaluation.MODELS[k] for k in ("logistic", "forest")}
+    return evaluation.run_grid(labelled_features(spark, d), "silver_label", sets, models=models, forbidden={"land_cover_class", "dist_flare_m"})
+
+
+@query
+def spatial_holdout(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.spatial_holdout(labelled_features(spark, d), "silver_label", BASE_FEATURES, fit=learning.fit_forest)
+
+
+@query
+def next_year_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a cluster is seen in the next year, by forward-chaining splits of the panel."""
+    return evaluation.next_year(integrated_of(spark, d), ("centroid_lat", "centroid_lon", "extent_radius_m"))
+
+
+@query
+def model_weights(spark: SparkSession, d: str) -> DataFrame:
+    """What a logistic model and a forest weigh, ranked."""
+    rows, out = labelled_features(spark, d), None
+    for name in ("logistic", "forest"):
+        one = evaluation.weights(evaluation.MODELS[name](rows, "silver_label", BASE_FEATURES), BASE_FEATURES).withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("weight", F.round("weight", 6))

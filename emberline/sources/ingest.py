@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 from ..functions.geo import in_area, tile_name
 
+#: The columns of the detections' source, their names here, and the key of a detection.
 RAW_COLUMNS = ("latitude", "longitude", "bright_ti4", "scan", "track", "acq_date", "acq_time", "satellite", "instrument", "confidence", "version", "bright_ti5", "frp", "daynight")
 RENAMES = {"bright_ti4": "brightness", "bright_ti5": "bright_t31"}
 REQUIRED = ("latitude", "longitude", "brightness", "scan", "track", "acq_date", "acq_time", "satellite", "confidence", "bright_t31", "frp", "daynight")
@@ -24,7 +24,8 @@ KEY = ("latitude", "longitude", "acq_date", "acq_time", "satellite")
 #: The last day of the archive and the first of the recent source; they must touch.
 ARCHIVE_END, RECENT_START = date(2026, 4, 27), date(2026, 4, 28)
 CHUNK_DAYS = 5
-PAUSE_S = 1.5
+#: Tries of a request, with a pause before each but the first that grows with their number.
+ATTEMPTS, PAUSE_S = 3, 1.5
 
 
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -83,9 +84,13 @@ def combine(frames: list[DataFrame]) -> DataFrame:
 
 
 def first_wins(df: DataFrame, key: tuple[str, ...], order: list[str]) -> DataFrame:
-    """The first row of each key. Keys are compared as they are: as text, "21.0" and "21.00" differ."""
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
-    return ranked.filter(F.col("_rank") == 1).drop("_rank")
+    """The first row of each key, found by partial minima. Keys are compared as they are: as text, "21.0" and "21.00" differ.
+
+    Rows that are equal in `order` are told apart by their other columns, and equal rows are one.
+    """
+    rest = [c for c in df.columns if c not in key]
+    first = F.min_by(F.struct(*rest), F.struct(*order, *(c for c in rest if c not in order)))
+    return df.groupBy(*key).agg(first.alias("_first")).select(*(F.col(c) if c in key else F.col(f"_first.{c}").alias(c) for c in df.columns))
 
 
 def merge(existing: DataFrame, fetched: DataFrame, key: tuple[str, ...] = KEY, order: str | None = None) -> DataFrame:
@@ -118,13 +123,13 @@ def window_start(run_date: date, days: int, source_start: date) -> date:
     return max(source_start, run_date - timedelta(days=days - 1))
 
 
-def source_plan(run_date: date, year_start: date = date(2026, 1, 1)) -> list[tuple[str, date, date]]:
+def source_plan(run_date: date, year_start: date = date(2026, 1, 1), archive_end: date = ARCHIVE_END, recent_start: date = RECENT_START) -> list[tuple[str, date, date]]:
     """(source, first day, last day) of the current year: the archive up to its end, then the recent source."""
-    if RECENT_START != ARCHIVE_END + timedelta(days=1):
+    if recent_start != archive_end + timedelta(days=1):
         raise ValueError("the sources leave a gap or overlap")
-    if run_date < RECENT_START:
+    if run_date < recent_start:
         raise ValueError("the run date lies before the recent source begins")
-    return [("archive", year_start, ARCHIVE_END), ("recent", RECENT_START, run_date)]
+    return [("archive", year_start, archive_end), ("recent", recent_start, run_date)]
 
 
 def api_key(variable: str = "AREA_API_KEY") -> str:
@@ -156,28 +161,43 @@ def parse_csv(body: str) -> tuple[list[str], list[dict[str, str]]]:
 
 
 class _Chunk(InputPartition):
-    def __init__(self, start: str, days: int):
-        self.start, self.days = start, days
+    def __init__(self, start: str, days: int, key: str):
+        self.start, self.days, self.key = start, days, key
 
 
 class AreaReader(DataSourceReader):
-    """One partition for each date chunk; `fetch(url) -> (status, text)` is found by dotted name, so that tests bring their own."""
+    """One partition for each date chunk; `fetch(url) -> (status, text)` is found by dotted name, so that tests bring their own.
+
+    The key is read on the driver from the variable that `key_variable` names, and travels with the chunks, not in the
+    options, which plans and logs show. A request that breaks is made again up to ATTEMPTS times; one that is refused is not.
+    """
 
     def __init__(self, schema: StructType, options: dict[str, str]):
         self.names, self.options = schema.fieldNames(), options
 
     def partitions(self) -> list[InputPartition]:
+        key = api_key(self.options.get("key_variable", "AREA_API_KEY"))
         start, end = (date.fromisoformat(self.options[k]) for k in ("start", "end"))
-        return [_Chunk(a.isoformat(), (b - a).days + 1) for a, b in date_chunks(start, end)]
+        return [_Chunk(a.isoformat(), (b - a).days + 1, key) for a, b in date_chunks(start, end)]
 
     def read(self, partition: _Chunk) -> Iterator[tuple]:
         import importlib
+        import time
 
         module, name = self.options["fetch"].rsplit(".", 1)
         fetch: Callable[[str], tuple[int, str]] = getattr(importlib.import_module(module), name)
         box = tuple(float(x) for x in self.options["box"].split(","))
-        url = area_url(self.options["base"], self.options["key"], self.options["source"], box, partition.days, date.fromisoformat(partition.start))
-        _, rows = parse_csv(check_body(*fetch(url)))
+        url = area_url(self.options["base"], partition.key, self.options["source"], box, partition.days, date.fromisoformat(partition.start))
+        pause = float(self.options.get("pause_s", PAUSE_S))
+        for k in range(ATTEMPTS):
+            try:
+                status, body = fetch(url)
+            except OSError:
+                status, body = 0, ""
+            if status not in (0, 429, 500, 502, 503, 504) or k == ATTEMPTS - 1:
+                break
+            time.sleep(pause * (k + 1))
+        _, rows = parse_csv(check_body(status, body))
         for row in rows:
             yield tuple(row.get(n) for n in self.names)
 
@@ -217,16 +237,3 @@ def thermal_plants(df: DataFrame) -> DataFrame:
 
 def needed_tiles(points: DataFrame) -> DataFrame:
     return points.select(tile_name(F.col("lat"), F.col("lon")).alias("tile")).filter(F.col("tile").isNotNull()).distinct()
-
-
-def ingest_year(df: DataFrame, folder: str, year: int, force: bool = False) -> str:
-    """Write a year's rows once: `written`, `skipped` where the year is there, or `no data`."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/year={year}")
-    exists = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    if exists and not force:
-        return "skipped"
-    if df.isEmpty():
-        return "no data"
-    df.drop("viirs_source", "year").write.mode("overwrite").parquet(str(path.toString()))
-    return "written"

@@ -147,7 +147,7 @@ def fake_fetch(url):
 
 def test_area_source(spark):
     spark.dataSource.register(ingest.AreaSource)
-    read = spark.read.format("detection_area").option("start", "2024-01-01").option("end", "2024-01-12").option("base", "http://x").option("key", "k").option("source", "s").option("box", "68,20,74.5,24.7").option("fetch", "tests.test_rules.fake_fetch")
+    read = spark.read.format("detection_area").option("start", "2024-01-01").option("end", "2024-01-12").option("base", "http://x").option("source", "s").option("box", "68,20,74.5,24.7").option("fetch", "tests.test_rules.fake_fetch")
     rows = read.load()
     assert rows.count() == 12 and rows.select("acq_date").distinct().count() == 3
     with pytest.raises(RuntimeError):
@@ -162,12 +162,6 @@ def test_map_elements(spark):
     assert [(r["osm_id"], r["lat"], r["tag_text"]) for r in rows] == [(1, 21.0, "a=1;b=2"), (2, 22.0, "")]
 
 
-def test_ingest_year_once(spark, tmp_path):
-    df = spark.createDataFrame([(1, "x")], "a int, viirs_source string")
-    assert [ingest.ingest_year(df, str(tmp_path), 2024), ingest.ingest_year(df, str(tmp_path), 2024), ingest.ingest_year(df.limit(0), str(tmp_path), 2025)] == ["written", "skipped", "no data"]
-    assert "viirs_source" not in spark.read.parquet(str(tmp_path)).columns
-
-
 def test_splits_and_panel(spark):
     df = spark.createDataFrame([(21.1, 72.1), (21.4, 72.4), (21.6, 72.1)], "centroid_lat double, centroid_lon double")
     rows = learning.spatial_split(df).collect()
