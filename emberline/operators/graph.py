@@ -3,8 +3,8 @@
 Every round is three aggregations with partial sums and two joins on a node. Both sides of a join are dealt out for that
 join alone (see `anew`), so a hub with most of the edges is a skewed join side, which adaptive execution splits, and never
 a group in one task. The number of rounds grows with the logarithm of the longest path. Edges of each round are written to
-the shared folder; whether they changed is observed by the write itself. Up to `one_task` edges, counted by the first
-write, one task joins them in memory instead; it finds the same components, and is only faster.
+the shared folder, and a checksum of what was written says whether they changed. Up to `one_task` edges, counted first,
+one task joins them in memory instead; it finds the same components, and is only faster.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,8 +39,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def observed(df: DataFrame, name: str, *values: Column) -> tuple[DataFrame, tuple]:
-    """`stored`, and the values of aggregate expressions over the rows, taken by the same write."""
-    watch = Observation()
-    out = stored(df.observe(watch, *(v.alias(f"v{k}") for k, v in enumerate(values))), name)
-    got = watch.get
-    return out, tuple(got[f"v{k}"] for k in range(len(values)))
+    """`stored`, and the values of aggregate expressions over the rows, from what was written.
+
+    An Observation would save the second job, but leaves a part in the session that models can't be sent to tasks with.
+    """
+    out = stored(df, name)
+    row = out.agg(*(v.alias(f"v{k}") for k, v in enumerate(values))).first()
+    return out, tuple(row)
