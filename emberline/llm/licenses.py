@@ -140,7 +140,7 @@ def notices(files: DataFrame, templates: Templates = TEMPLATES, threshold: float
     each = likely.select("path", "total", "version", F.posexplode(kept).alias("at", "unit"))
     key = ["path", "total", "version", "at", "kind"]
     listed = each.select("path", "total", "version", "at", "unit.kind", F.explode("unit.own").alias("word"))
-    counted = listed.groupBy(*key, "word").agg(F.count(F.lit(1)).alias("n"))
+    counted = stored(listed.groupBy(*key, "word").agg(F.count(F.lit(1)).alias("n")), "words")  # read twice below
     table = F.broadcast(files.sparkSession.createDataFrame([(w, t, k, x, n) for w, t, k, x, _, n in rows], WEIGHTS))  # the words of the templates
     idfs = F.broadcast(files.sparkSession.createDataFrame(names, "_known string, idf double"))
     weighed = counted.join(idfs, F.col("word") == F.col("_known"), "left").withColumn("w", (F.lit(1.0) + F.log(F.col("n").cast("double"))) * F.coalesce("idf", F.lit(other))).drop("idf", "_known")
