@@ -25,6 +25,31 @@ DEFINITIONS = [
 ]
 
 
+#: The wording of evidence notes and contradiction notes; {} stands for a value of the row.
+NOTES = {
+    "understated": "2023 recurrence_strength={} but persistent across all 5 years (2023 volume alone understates multi-year persistence)",
+    "one_year": "2023 recurrence_strength=Strong but only detected in {}/5 years (2023 was evidently an unusually active year for this zone)",
+    "short_window": "short_window_recurrence=True (2023) but 5-year seasonality is not concentrated (top3_months_share < 0.5) -- the short 2023 window may not reflect a broader seasonal pattern",
+    "no_context": "no OSM context found nearby despite persisting across all 5 years (context evidence incomplete, not evidence of absence)",
+    "named_but_quiet": "named industrial OSM feature nearby ({}) despite below-median 5-year activity -- proximity is not evidence this feature is the thermal source",
+    "day_night": "day_night_pattern={}",
+    "one_day": "single_day_dominated(>50%)",
+    "three_days": "top3_days_dominated(>50%,but_no_single_day>50%)",
+    "peak": "extreme_frp_ratio_outlier",
+    "sparse": "long_span_but_low_occurrence",
+    "busy_without_context": "above_median_recurrence_but_no_osm_context",
+    "named_but_rare": "named_industrial_nearby_but_below_median_recurrence",
+    "several": "compound_outlier(n_metrics={})",
+    "definitions": "definition_sensitive({}/5_illustrative_defs)",
+}
+
+
+def note(name: str, value: Column | None = None) -> Column:
+    """A note's text, with a value in its place."""
+    before, _, after = NOTES[name].partition("{}")
+    return F.lit(before) if value is None else F.concat(F.lit(before), value.cast("string"), F.lit(after))
+
+
 def _summary() -> list[Column]:
     flag = lambda v: F.count_if(F.col("daynight") == v)
     return [
@@ -158,11 +183,11 @@ def integrated(rows: DataFrame) -> DataFrame:
     named_industry = F.coalesce(F.col("nearest_is_named") & (F.col("nearest_group") == "industrial"), F.lit(False))
     notes = F.concat_ws(
         "; ",
-        F.when(strength.isin("Moderate", "Limited") & (years == 5), F.concat(F.lit("2023 recurrence_strength="), strength, F.lit(" but persistent across all 5 years (2023 volume alone understates multi-year persistence)"))),
-        F.when((strength == "Strong") & (years < 5), F.concat(F.lit("2023 recurrence_strength=Strong but only detected in "), years.cast("string"), F.lit("/5 years (2023 was evidently an unusually active year for this zone)"))),
-        F.when(F.col("short_window_recurrence") & (F.col("top3_months_share") < 0.5), F.lit("short_window_recurrence=True (2023) but 5-year seasonality is not concentrated (top3_months_share < 0.5) -- the short 2023 window may not reflect a broader seasonal pattern")),
-        F.when((F.col("features_found_in_radius") == 0) & (years == 5), F.lit("no OSM context found nearby despite persisting across all 5 years (context evidence incomplete, not evidence of absence)")),
-        F.when(named_industry & (F.col("total_detections_5yr") < median), F.concat(F.lit("named industrial OSM feature nearby ("), F.coalesce("nearest_name", F.lit("")), F.lit(") despite below-median 5-year activity -- proximity is not evidence this feature is the thermal source"))),
+        F.when(strength.isin("Moderate", "Limited") & (years == 5), note("understated", strength)),
+        F.when((strength == "Strong") & (years < 5), note("one_year", years)),
+        F.when(F.col("short_window_recurrence") & (F.col("top3_months_share") < 0.5), note("short_window")),
+        F.when((F.col("features_found_in_radius") == 0) & (years == 5), note("no_context")),
+        F.when(named_industry & (F.col("total_detections_5yr") < median), note("named_but_quiet", F.coalesce("nearest_name", F.lit("")))),
     )
     return rows.withColumns(
         {
@@ -189,14 +214,14 @@ def deep_dive(rows: DataFrame) -> DataFrame:
     named_industry = F.coalesce(F.col("nearest_is_named") & (F.col("nearest_group") == "industrial"), F.lit(False))
     notes = F.concat_ws(
         "; ",
-        F.when(pattern != "mostly_night", F.concat(F.lit("day_night_pattern="), pattern)),
-        F.when(F.col("top_day_share") > 0.5, "single_day_dominated(>50%)").when(F.col("top3_days_share") > 0.5, "top3_days_dominated(>50%,but_no_single_day>50%)"),
-        F.when(F.col("outlier_frp_ratio"), "extreme_frp_ratio_outlier"),
-        F.when((F.col("active_span_days") >= p75) & (F.round("occurrence_rate", 9) <= p25), "long_span_but_low_occurrence"),
-        F.when((F.col("features_found_in_radius") == 0) & (F.col("unique_dates") > median), "above_median_recurrence_but_no_osm_context"),
-        F.when(named_industry & (F.col("unique_dates") < median), "named_industrial_nearby_but_below_median_recurrence"),
-        F.when(F.col("n_metrics_outlier") >= 3, F.concat(F.lit("compound_outlier(n_metrics="), F.col("n_metrics_outlier").cast("string"), F.lit(")"))),
-        F.when(n.between(1, len(DEFINITIONS) - 1), F.concat(F.lit("definition_sensitive("), n.cast("string"), F.lit(f"/{len(DEFINITIONS)}_illustrative_defs)"))),
+        F.when(pattern != "mostly_night", note("day_night", pattern)),
+        F.when(F.col("top_day_share") > 0.5, note("one_day")).when(F.col("top3_days_share") > 0.5, note("three_days")),
+        F.when(F.col("outlier_frp_ratio"), note("peak")),
+        F.when((F.col("active_span_days") >= p75) & (F.round("occurrence_rate", 9) <= p25), note("sparse")),
+        F.when((F.col("features_found_in_radius") == 0) & (F.col("unique_dates") > median), note("busy_without_context")),
+        F.when(named_industry & (F.col("unique_dates") < median), note("named_but_rare")),
+        F.when(F.col("n_metrics_outlier") >= 3, note("several", F.col("n_metrics_outlier"))),
+        F.when(n.between(1, len(DEFINITIONS) - 1), note("definitions", n)),
     )
     bucket = S.map_context_bucket(F.col("features_found_in_radius"), F.col("nearest_group"), F.coalesce("nearest_is_named", F.lit(False)))
     return out.withColumns({"day_night_pattern": pattern, "osm_context_bucket": bucket, "contradiction_notes": notes})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .functions.geo import EARTH_RADIUS_M, grid_steps
 from .functions.scalars import GROUPS, LAND_COVER, MAP_TAGS
+from .operators.clusters import NOTES
 from .sources import adapter
 
 R2 = 2 * EARTH_RADIUS_M
@@ -14,6 +15,12 @@ def hav(a: str, b: str, c: str, d: str) -> str:
     return f"(asin(sqrt(least(1.0, sin(radians({c} - {a}) / 2) ** 2 + cos(radians({a})) * cos(radians({c})) * sin(radians({d} - {b}) / 2) ** 2))) * {R2!r})"
 
 
+def note(name: str, value: str | None = None) -> str:
+    """The fixed wording of a note as SQL, with a value in its place."""
+    before, _, after = NOTES[name].partition("{}")
+    return f"'{before}'" if value is None else f"'{before}' || {value} || '{after}'"
+
+
 def near(x: str, y: str, metres: float) -> str:
     """A box that holds every pair within the distance, for the join."""
     return f"{y}.lat between {x}.lat - {metres / 110000!r} and {x}.lat + {metres / 110000!r} and {y}.lon between {x}.lon - {metres / 100000!r} and {x}.lon + {metres / 100000!r}"
@@ -105,11 +112,17 @@ CTE: dict[str, str] = {
     "cut": "select median(total_detections_5yr) as md, round(quantile_cont(top3_months_share, 0.75), 9) as p75 from wide",
     "itg": """select w.*, case when unique_years = 5 then 'Persistent' else 'Intermittent' end as persistence_category, case when total_detections_5yr >= md then 'High-activity' else 'Low-activity' end as activity_category,
         persistence_category || ' / ' || activity_category as persistence_activity_quadrant, case when top3_months_share >= p75 then 'Strongly seasonal' else 'Not strongly seasonal' end as seasonality_category, features_found_in_radius > 0 as has_notable_osm_context,
-        concat_ws('; ', case when recurrence_strength <> 'Strong' and unique_years = 5 then '2023 recurrence_strength=' || recurrence_strength || ' but persistent across all 5 years (2023 volume alone understates multi-year persistence)' end,
-            case when recurrence_strength = 'Strong' and unique_years < 5 then '2023 recurrence_strength=Strong but only detected in ' || unique_years || '/5 years (2023 was evidently an unusually active year for this zone)' end,
-            case when short_window_recurrence and top3_months_share < 0.5 then 'short_window_recurrence=True (2023) but 5-year seasonality is not concentrated (top3_months_share < 0.5) -- the short 2023 window may not reflect a broader seasonal pattern' end,
-            case when features_found_in_radius = 0 and unique_years = 5 then 'no OSM context found nearby despite persisting across all 5 years (context evidence incomplete, not evidence of absence)' end,
-            case when nearest_is_named and nearest_group = 'industrial' and total_detections_5yr < md then 'named industrial OSM feature nearby (' || nearest_name || ') despite below-median 5-year activity -- proximity is not evidence this feature is the thermal source' end) as evidence_notes
+        concat_ws('; ', case when recurrence_strength <> 'Strong' and unique_years = 5 then """
+    + note("understated", "recurrence_strength")
+    + """ end, case when recurrence_strength = 'Strong' and unique_years < 5 then """
+    + note("one_year", "unique_years")
+    + """ end, case when short_window_recurrence and top3_months_share < 0.5 then """
+    + note("short_window")
+    + """ end, case when features_found_in_radius = 0 and unique_years = 5 then """
+    + note("no_context")
+    + """ end, case when nearest_is_named and nearest_group = 'industrial' and total_detections_5yr < md then """
+    + note("named_but_quiet", "nearest_name")
+    + """ end) as evidence_notes
         from wide w, cut""",
     "flag0": "select cluster_id, " + ", ".join(f"coalesce({m} < (select a - 1.5 * (b - a) from q_{m}) or {m} > (select b + 1.5 * (b - a) from q_{m}), false) as outlier_{m}" for m in METRICS) + " from met",
     "flags": "select *, cast(" + " + ".join(f"cast(outlier_{m} as int)" for m in METRICS) + " as int) as n_metrics_outlier from flag0",
@@ -205,10 +218,25 @@ FINAL: dict[str, str] = {
     "deep_dive": """select cluster_id, case when night_fraction > 0.7 then 'mostly_night' when night_fraction < 0.3 then 'mostly_day' else 'mixed' end as day_night_pattern,
         case when features_found_in_radius = 0 then 'No OSM context' when nearest_group = 'industrial' then case when nearest_is_named then 'Named industrial' else 'Unnamed industrial-only' end
             when nearest_group in ('power', 'waste', 'agricultural', 'transport') then upper(nearest_group[1]) || nearest_group[2:] else 'Other' end as osm_context_bucket, n_metrics_outlier, nd as n_illustrative_defs_satisfied,
-        concat_ws('; ', case when night_fraction <= 0.7 then 'day_night_pattern=' || day_night_pattern end, case when top_day_share > 0.5 then 'single_day_dominated(>50%)' when top3_days_share > 0.5 then 'top3_days_dominated(>50%,but_no_single_day>50%)' end,
-            case when outlier_frp_ratio then 'extreme_frp_ratio_outlier' end, case when active_span_days >= sp75 and round(occurrence_rate, 9) <= op25 then 'long_span_but_low_occurrence' end,
-            case when features_found_in_radius = 0 and unique_dates > um then 'above_median_recurrence_but_no_osm_context' end, case when nearest_is_named and nearest_group = 'industrial' and unique_dates < um then 'named_industrial_nearby_but_below_median_recurrence' end,
-            case when n_metrics_outlier >= 3 then 'compound_outlier(n_metrics=' || n_metrics_outlier || ')' end, case when nd between 1 and 4 then 'definition_sensitive(' || nd || '/5_illustrative_defs)' end) as contradiction_notes
+        concat_ws('; ', case when night_fraction <= 0.7 then """
+    + note("day_night", "day_night_pattern")
+    + """ end, case when top_day_share > 0.5 then """
+    + note("one_day")
+    + """ when top3_days_share > 0.5 then """
+    + note("three_days")
+    + """ end, case when outlier_frp_ratio then """
+    + note("peak")
+    + """ end, case when active_span_days >= sp75 and round(occurrence_rate, 9) <= op25 then """
+    + note("sparse")
+    + """ end, case when features_found_in_radius = 0 and unique_dates > um then """
+    + note("busy_without_context")
+    + """ end, case when nearest_is_named and nearest_group = 'industrial' and unique_dates < um then """
+    + note("named_but_rare")
+    + """ end, case when n_metrics_outlier >= 3 then """
+    + note("several", "n_metrics_outlier")
+    + """ end, case when nd between 1 and 4 then """
+    + note("definitions", "nd")
+    + """ end) as contradiction_notes
         from (select *, cast(cast(unique_dates >= 20 as int) + cast(occurrence_rate >= 0.1 as int) + cast(unique_dates >= 20 and occurrence_rate >= 0.1 as int) + cast(active_span_days >= 300 as int) + cast(unique_dates >= 143 as int) as int) as nd from rev join flags using (cluster_id)),
             (select median(unique_dates) as um, round(quantile_cont(occurrence_rate, 0.25), 9) as op25, quantile_cont(active_span_days, 0.75) as sp75 from met)""",
     "gaps": """select year, cast(r as int) as rank, round(b, 3) as before, round(f, 3) as after, round(f - b, 3) as gap from (select *, row_number() over (partition by year order by f - b desc, b desc) as r
