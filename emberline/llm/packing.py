@@ -10,7 +10,8 @@
    takes the slot of the run that covers its rank.
 
 Defined results: null and empty texts are one end token; repeated rows are packed each; an empty table gives an empty
-result; a doc_id that repeats or is null stays one; other columns are not carried.
+result; a doc_id that repeats or is null stays one; pieces of one length that tie in doc_id, piece and checksum share the
+slots that they take in any order; other columns, whatever their names, are not carried.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ arithmetic raises where that product wraps, so a state is held as two unsigned 3
 16-bit limbs; no step leaves the signed 64-bit range. A key that is a long is its own first state; any other key is hashed.
 
 Rows that defined results cover: a null key counts as 0; a null text has size 1 and checksum 0; repeated rows each keep
-a slot of their own; an empty table gives an empty result; other columns are not carried.
+a slot of their own; rows that tie in key, checksum and size share the slots that they take in any order; an empty table
+gives an empty result; other columns, whatever their names, are not carried.
 """
 
 from __future__ import annotations
