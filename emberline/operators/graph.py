@@ -31,29 +31,34 @@ def anew(key: Column) -> Column:
     return key.bitwiseXOR(F.lit(0).cast("long"))
 
 
-def _join_in_memory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, component) of all edges of a partition: labels fall to the smallest neighbour's and jump to their label's label."""
-    held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
-    if not held:
-        return
-    nodes, ends = np.unique(np.concatenate([x for pair in held for x in pair]), return_inverse=True)
-    sizes = [len(u) for u, _ in held]
-    at = np.cumsum([0, *(2 * n for n in sizes)])
-    u = np.concatenate([ends[a : a + n] for a, n in zip(at, sizes, strict=False)])
-    v = np.concatenate([ends[a + n : a + 2 * n] for a, n in zip(at, sizes, strict=False)])
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, u, low)
-        np.minimum.at(new, v, low)
-        np.minimum.at(new, label[u], low)
-        np.minimum.at(new, label[v], low)
-        new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
-    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "component"])
+def _in_memory():
+    """A task that makes (node, component) of all edges of a partition: labels fall to the smallest neighbour's and jump to
+    their label's label. The function carries its own code, so that tasks need nothing but numpy and pyarrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+        if not held:
+            return
+        nodes, ends = np.unique(np.concatenate([x for pair in held for x in pair]), return_inverse=True)
+        sizes = [len(u) for u, _ in held]
+        at = np.cumsum([0, *(2 * n for n in sizes)])
+        u = np.concatenate([ends[a : a + n] for a, n in zip(at, sizes, strict=False)])
+        v = np.concatenate([ends[a + n : a + 2 * n] for a, n in zip(at, sizes, strict=False)])
+        label = np.arange(len(nodes))
+        while True:
+            low = np.minimum(label[u], label[v])
+            new = label.copy()
+            np.minimum.at(new, u, low)
+            np.minimum.at(new, v, low)
+            np.minimum.at(new, label[u], low)
+            np.minimum.at(new, label[v], low)
+            new = new[new]
+            if np.array_equal(new, label):
+                break
+            label = new
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "component"])
+
+    return run
 
 
 def connected_components(edges: DataFrame, source: str = "src", target: str = "dst", one_task: int = 0) -> DataFrame:
@@ -66,7 +71,7 @@ def connected_components(edges: DataFrame, source: str = "src", target: str = "d
     signature = (F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)))
     current, before = observed(pair.distinct(), "edges", *signature)
     if 0 < before[0] <= one_task:
-        return current.coalesce(1).mapInArrow(_join_in_memory, "node long, component long")  # one_task edges at most
+        return current.coalesce(1).mapInArrow(_in_memory(), "node long, component long")  # one_task edges at most
     for _ in range(MOST_ROUNDS):
         if not before[0]:
             break
