@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, licenses, media_columns, packing, quality, sharding, simhash, token_counts, toxicity, url_filters
+from . import clustering, decontamination, licenses, media_columns, packing, pieces, quality, sharding, simhash, token_counts, toxicity, url_filters, whitening
 from .common import table
 
 SHARDS = 16
@@ -57,6 +58,18 @@ def op10_license_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(licenses.document_files(table(spark, sf_dir, "documents")))
 
 
+def op11_block_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_lloyd_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sentencepiece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(pieces.decode(pieces.encode(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_rollup": op1_token_rollup,
     "op2_jump_sharding": op2_jump_sharding,
@@ -68,10 +81,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_bradley_terry": op8_quality_bradley_terry,
     "op9_simhash_golay": op9_simhash_golay,
     "op10_license_tfidf": op10_license_tfidf,
+    "op11_block_lanczos_whitening": op11_block_lanczos_whitening,
+    "op12_lloyd_centroids": op12_lloyd_centroids,
+    "op13_sentencepiece_spans": op13_sentencepiece_spans,
     "token_rollup_patterns": token_rollup_patterns,
 }
 ORACLES: dict[str, str] = {
     "op10_license_tfidf": licenses.oracle(),
+    "op12_lloyd_centroids": clustering.oracle(),
     "token_rollup_patterns": token_counts.oracle(),
     "op3_url_filters": url_filters.oracle(),
     "op6_template_decontamination": decontamination.oracle(),
