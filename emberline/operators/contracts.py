@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored
+
 
 class ContractError(ValueError):
     """A table breaks what its users rely on."""
@@ -26,9 +28,11 @@ def key_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def same_keys(a: DataFrame, b: DataFrame, key: str) -> None:
-    found = key_differences(a, b, key).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set(key)), 1, 10).alias("some")).collect()
-    if found:
-        raise ContractError("; ".join(f"{r['side']} {r['n']}: {r['some']}" for r in found))
+    found = stored(key_differences(a, b, key), "differences")
+    counts = found.groupBy("side").agg(F.count(F.lit(1)).alias("n")).orderBy("side").collect()  # two rows at most
+    if counts:
+        some = {r["side"]: [x[0] for x in found.filter(F.col("side") == r["side"]).select(key).orderBy(key).limit(10).collect()] for r in counts}
+        raise ContractError("; ".join(f"{r['side']} {r['n']}: {some[r['side']]}" for r in counts))
 
 
 def differing(a: DataFrame, b: DataFrame, key: str, columns: list[str], tolerance: float = 1e-6) -> DataFrame:

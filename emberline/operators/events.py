@@ -25,10 +25,23 @@ def event_edges(det: DataFrame, eps_m: float = EPS_METRES, eps_days: int = EPS_D
     return pairs_within(det.select("id", "lat", "lon", day.alias("day")), eps_m, eps_days)
 
 
-def event_components(det: DataFrame, eps_m: float = EPS_METRES, eps_days: int = EPS_DAYS) -> DataFrame:
-    """(id, component): the smallest detection id of each detection's event; a detection without links is its own."""
-    parts = connected_components(event_edges(det, eps_m, eps_days), "a", "b", ONE_TASK_EDGES)
-    return det.select("id").join(parts, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
+def place_days(det: DataFrame) -> DataFrame:
+    """(id, lat, lon, acq_date, n): detections at one place on one day as one node, named by the smallest id. Detections without a place or
+    day are in none."""
+    whole = det.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("acq_date").isNotNull())
+    return whole.groupBy("lat", "lon", "acq_date").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+
+
+def event_components(det: DataFrame, eps_m: float = EPS_METRES, eps_days: int = EPS_DAYS, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """(id, component): the smallest detection id of each detection's event; a detection without links is its own.
+
+    Nodes are places on a day, so a fixed site with n detections a day gives no n^2 links. one_task: see `connected_components`.
+    """
+    nodes = stored(place_days(det), "place-days")
+    parts = connected_components(event_edges(nodes, eps_m, eps_days), "a", "b", one_task)
+    named = nodes.join(parts, F.col("id") == F.col("node"), "left").select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("acq_date").alias("_day"), F.coalesce("component", "id").alias("component"))
+    same = (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon")) & (F.col("acq_date") == F.col("_day"))
+    return det.select("id", "lat", "lon", "acq_date").join(named, same, "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def global_rank(rows: DataFrame, coarse: str, order: list[str], out: str) -> DataFrame:
@@ -89,8 +102,8 @@ def event_behavior(det: DataFrame, members: DataFrame) -> DataFrame:
         (F.count(F.lit(1)) / (F.datediff(F.max("acq_date"), F.min("acq_date")) + 1)).alias("rate"),
     )
     return out.select(
-        "event_id", F.round("high", 6).alias("frac_high_confidence"), F.round("low", 6).alias("frac_low_confidence"), F.round("scan", 6).alias("mean_scan"), F.round("track", 6).alias("mean_track"),
-        F.round(elongation(F.col("vx"), F.col("vy"), F.col("cxy")), 4).alias("elongation_ratio"), F.round("spread", 4).alias("time_of_day_std_minutes"), F.round("rate", 6).alias("detections_per_day"),
+        "event_id", _settled("high", 6).alias("frac_high_confidence"), _settled("low", 6).alias("frac_low_confidence"), _settled("scan", 6).alias("mean_scan"), _settled("track", 6).alias("mean_track"),
+        _settled(elongation(F.col("vx"), F.col("vy"), F.col("cxy")), 4).alias("elongation_ratio"), _settled("spread", 4).alias("time_of_day_std_minutes"), _settled("rate", 6).alias("detections_per_day"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import GROUPS, classify_tags, geometry_class, named_code, recurrence_strength, search_radius
-from .spatial import candidates, nearest_in_own_radius, nearest_of_layers, top_in_radius
+from .spatial import TIE_DIGITS, candidates, nearest_in_own_radius, nearest_of_layers, top_in_radius
 
 CAP_METRES = 20_000.0
 TOP = 5
@@ -64,7 +64,7 @@ def nearest_feature(clusters: DataFrame, features: DataFrame, tags: list[tuple],
     """(cluster_id, n_found, tag, label, name, metres): the one nearest feature with a listed tag within a fixed radius."""
     left = clusters.select("cluster_id", F.col("centroid_lat").alias("lat"), F.col("centroid_lon").alias("lon"))
     right = features.select("feature_id", "lat", "lon", "name", classify_tags(F.col("tags"), tags).alias("kind")).filter(F.col("kind.tag") != "unknown")
-    first = F.min(F.struct("metres", "r_feature_id", "r_kind", "r_name")).alias("m")
+    first = F.min(F.struct(F.round("metres", TIE_DIGITS).alias("near"), "r_feature_id", "r_kind", "r_name", "metres")).alias("m")
     found = candidates(left, right, radius_m).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), first).withColumnRenamed("cluster_id", "_id")
     return left.join(found, F.col("cluster_id") == F.col("_id"), "left").select("cluster_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_found"), F.col("m.r_kind.tag").alias("tag"), F.col("m.r_kind.label").alias("label"), F.col("m.r_name").alias("name"), F.round("m.metres", 1).alias("metres"))
 

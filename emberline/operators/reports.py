@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .events import global_rank
 from .stats import quantiles
 
 
@@ -20,6 +21,26 @@ def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFra
     return df.groupBy(row).agg(*(F.count_if(F.col(column) == v).alias(f"n_{v}") for v in values), F.count(F.lit(1)).alias("total"))
 
 
+def heat(df: DataFrame, row: str, column: str, rows: list[str]) -> DataFrame:
+    """(row, column, n) for every pair of a stated row and a value of `column`, pairs without rows as 0; ordered by the stated rows."""
+    kinds = F.array(*map(F.lit, rows))
+    each = df.select(F.col(column).cast("string").alias(column)).filter(F.col(column).isNotNull()).distinct().select(column, F.posexplode(kinds).alias("_at", row))
+    counts = df.groupBy(F.col(row).cast("string").alias("_row"), F.col(column).cast("string").alias("_column")).agg(F.count(F.lit(1)).alias("n"))
+    met = each.join(counts, (F.col(row) == F.col("_row")) & (F.col(column) == F.col("_column")), "left")
+    return met.orderBy("_at", column).select(row, column, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def marks(df: DataFrame, x: str, y: str, series: str) -> DataFrame:
+    """(series, x, y, n): the different marks of a scatter plot, and how many rows each stands for."""
+    return df.groupBy(series, x, y).agg(F.count(F.lit(1)).alias("n"))
+
+
+def positions(df: DataFrame, coarse: str, order: list[str], out: str = "position") -> DataFrame:
+    """Rows with their place from 0 in the order (coarse, *order), found without one task for all rows. `order` should end in
+    a key, so that equal rows keep one order."""
+    return global_rank(df, coarse, order, out)
+
+
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
     """(bin, low, high, n): counts in equal bins of [low, high]; the last bin holds its upper end. Bins without rows are left out."""
     width = (high - low) / bins

@@ -1,9 +1,9 @@
 """Joins by distance as equi-joins on grid cells with a residual distance filter.
 
 Cells only propose candidates: a cell is at least as wide as the search distance anywhere up to the latitude that a search
-is given, so a point's partners lie in its own cell and the 8 around it. Searches of whole tables for a nearest row ask
-for the table's own highest latitude and go round the date line. No cross join, no broadcast that grows with the data; a
-dense cell is a skewed join key, which adaptive execution splits.
+is given, so a point's partners lie in its own cell and the 8 around it. A search for a nearest row without a cap goes down a
+hierarchy of cubes around the globe instead. No cross join of tables, no broadcast that grows with the data; a dense cell is a
+skewed join key, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -23,6 +23,13 @@ AREA_LAT = 25.0
 BROADCAST_POINTS = 100_000
 #: A radius is the distance of its farthest member; another point at that place must match whatever the last bits are.
 RADIUS_SLACK = 1e-6
+#: Sides of the cubes of `nearest_pairs`, in Earth radii: 3,200 km down to 32 m. The grid has at most so many across.
+CUBE_SIDES = (0.5, 0.05, 0.005, 0.0005, 0.00005, 0.000005)
+CUBES_ACROSS = 1_000_000
+#: What rounding can add to a chord, in Earth radii: far under a millimetre.
+CHORD_SLACK = 1e-12
+#: Places of a metre to which distances are ranked.
+TIE_DIGITS = 3
 
 
 def _cells(lat: Column, lon: Column, size_m: float, most_lat: float) -> tuple[Column, Column]:
@@ -109,35 +116,61 @@ def nearest_of_layers(left: DataFrame, layers: dict[str, DataFrame], cap_m: floa
     return joined.withColumn("_m", metres).groupBy(key).agg(*(F.min(F.when(F.col("_layer") == name, F.col("_m"))).alias(name) for name in layers))
 
 
-def nearest_any(left: DataFrame, right: DataFrame, out: str, key: str = "id", caps: tuple[float, ...] = (20e3, 200e3, 2e6)) -> DataFrame:
-    """(key, out): the smallest distance to any right row, anywhere on the globe.
+def _on_sphere(lat: Column, lon: Column) -> list[Column]:
+    """A place as a point of the unit sphere: no pole and no date line stands out there."""
+    a, b = F.radians(lat), F.radians(lon)
+    return [F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)]
 
-    The search widens only for rows that found nothing nearer. Cells are as wide as the highest latitude that a partner within
-    the cap can have needs; right rows near the date line are there a second time, on its other side. Where that latitude comes
-    near a pole, and beyond the last cap, a row is compared with every right row, in cells of latitude alone.
+
+def _cube(point: list[Column], side: float) -> Column:
+    """The cube of a grid that a point lies in, as one number."""
+    at = [F.floor((c + 1) / side).cast("long") for c in point]
+    return (at[0] * CUBES_ACROSS + at[1]) * CUBES_ACROSS + at[2]
+
+
+def nearest_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(place, lat, lon, r_lat, r_lon): for each different place of `left` the right places that can be its nearest one.
+
+    Right places are points on the sphere in a hierarchy of cubes, each level's a tenth as wide. Every left place begins with all
+    cubes of the coarsest level that hold something, a few dozen, and goes down: of a cube's occupied children it keeps those
+    whose nearest corner is not farther than the nearest known point, as each cube names one of its points. What is kept lies in a shell about as
+    thick as the last level's cubes (32 m), so places far from everything keep few as well, and nothing meets every right row; only
+    right places that are all about equally far are all kept. Places that many rows share are searched once.
     """
-    rest, parts = left.select(key, "lat", "lon"), []
-    turned = right.select("lat", "lon")
-    top = turned.agg(F.max(F.abs("lat"))).first()[0]
-    own = rest.agg(F.max(F.abs("lat"))).first()[0]
-    for cap in caps:
-        high = max(top or 0.0, own or 0.0) + 1.0
-        if high > 80 or cap > 1e6:
-            break
-        reach = cap / (111_100 * math.cos(math.radians(high))) + 0.1
-        east, west = turned.filter(F.col("lon") < -180 + reach).withColumn("lon", F.col("lon") + 360), turned.filter(F.col("lon") > 180 - reach).withColumn("lon", F.col("lon") - 360)
-        found = stored(nearest_within(rest, turned.unionByName(east).unionByName(west), cap, out, key, high), "nearest")
-        parts.append(found)
-        rest = rest.join(found, key, "left_anti")
-    metres = haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
-    # latitudes differ by at most 180 degrees: bands of right rows, for the few rows that found nothing nearer
-    bands = F.explode(F.sequence(F.lit(-9), F.lit(9)))
-    far = rest.withColumn("_band", bands).join(turned.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.floor(F.col("lat") / 10).cast("int").alias("_b")), F.col("_band") == F.col("_b"))
-    parts.append(far.groupBy(key).agg(F.min(metres).alias(out)))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole
+    spot = lambda df: df.select("lat", "lon").filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).distinct()
+    names = ("_x", "_y", "_z")
+    sphere = lambda df: df.withColumns(dict(zip(names, _on_sphere(F.col("lat"), F.col("lon")), strict=True)))
+    places_right = stored(sphere(spot(right)).select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), *(F.col(c).alias(f"r{c}") for c in names)), "places")
+    mine = [F.col(f"r{c}") for c in names]
+    kept = sphere(spot(left)).withColumn("place", F.struct("lat", "lon"))
+    parent = None
+    for side in CUBE_SIDES:
+        own = _cube(mine, side)
+        cubes = places_right.groupBy(own.alias("_cube"), *([_cube(mine, parent).alias("_parent")] if parent else [])).agg(F.min(F.struct(*(f"r{c}" for c in names))).alias("_one"))
+        if parent is None:
+            held = [F.struct(F.lit(r["_cube"]).alias("_cube"), F.struct(*(F.lit(r["_one"][f"r{c}"]).alias(f"r{c}") for c in names)).alias("_one")) for r in cubes.collect()]  # (2 / side + 1)^3 at most
+            kept = kept.withColumn("_each", F.explode(F.array(*held))).select("*", "_each.*").drop("_each") if held else kept.limit(0).withColumns({"_cube": F.lit(0).cast("long"), "_one": F.struct(*(F.lit(0.0).alias(f"r{c}") for c in names))})
+        else:
+            small = cubes.limit(BROADCAST_POINTS + 1).count() <= BROADCAST_POINTS
+            kept = kept.join(F.broadcast(cubes) if small else cubes, "_parent")
+        low = [F.floor((F.col(f"_one.r{c}") + 1) / side) * side - 1 for c in names]
+        gap = [F.greatest(e - F.col(c), F.col(c) - e - side, F.lit(0.0)) for c, e in zip(names, low, strict=True)]
+        off = [F.col(c) - F.col(f"_one.r{c}") for c in names]
+        length = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+        best = F.min("_reach").over(Window.partitionBy("place"))
+        judged = kept.withColumns({"_least": length(gap), "_reach": length(off)}).withColumn("_best", best)
+        kept = judged.filter(F.col("_least") <= F.col("_best") + CHORD_SLACK).select("place", "lat", "lon", *names, F.col("_cube").alias("_parent"))
+        parent = side
+    last = places_right.withColumn("_parent", _cube(mine, parent)).select("_parent", "r_lat", "r_lon")
+    return kept.join(last, "_parent").select("place", "lat", "lon", "r_lat", "r_lon")
+
+
+def nearest_any(left: DataFrame, right: DataFrame, out: str, key: str = "id") -> DataFrame:
+    """(key, out): the smallest distance to any right row, anywhere on the globe, without a cap. No rows if there is no right row;
+    left rows without a place are left out."""
+    metres = haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
+    found = nearest_pairs(left, right).groupBy("lat", "lon").agg(F.min(metres).alias(out)).select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), out)
+    return left.select(key, "lat", "lon").join(found, (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon"))).select(key, out)
 
 
 def nearest_in_own_radius(left: DataFrame, centres: DataFrame, key: str = "id") -> DataFrame:
@@ -155,8 +188,11 @@ def nearest_in_own_radius(left: DataFrame, centres: DataFrame, key: str = "id")
 
 
 def top_in_radius(left: DataFrame, right: DataFrame, radius: str, cap_m: float, k: int, order: list[str], key: str = "id") -> DataFrame:
-    """The k nearest right rows within each left row's own radius, with `rank` and `found`, the number of all within it."""
+    """The k nearest right rows within each left row's own radius, with `rank` and `found`, the number of all within it.
+
+    Distances count as equal where they are the same millimetre, so that ties don't hang on the last bits of a centroid.
+    """
     inside = candidates(left.select(key, "lat", "lon", radius), right, cap_m).filter(F.col("metres") <= F.col(radius))
-    by_distance = Window.partitionBy(key).orderBy("metres", *(f"r_{c}" for c in order))
+    by_distance = Window.partitionBy(key).orderBy(F.round("metres", TIE_DIGITS), *(f"r_{c}" for c in order))
     ranked = inside.withColumns({"rank": F.row_number().over(by_distance), "found": F.count(F.lit(1)).over(Window.partitionBy(key))})
     return ranked.filter(F.col("rank") <= k)

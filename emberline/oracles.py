@@ -38,6 +38,11 @@ def names(code: str) -> str:
 SUMMARY = """count(*) as detection_count, count(distinct acq_date) as unique_dates, min(acq_date) as first_date, max(acq_date) as last_date,
     cast(max(acq_date) - min(acq_date) as int) as active_span_days, avg(frp) as mean_frp, max(frp) as max_frp, count(*) filter (daynight = 'D') as day_count, count(*) filter (daynight = 'N') as night_count"""
 TAGS = ", ".join(f"({i}, '{k}={v}', '{label}', '{group}')" for i, (k, v, label, group) in enumerate(MAP_TAGS))
+FEATURES = (
+    "unique_years", "occurrence_rate", "total_detections_5yr", "mean_frp", "frp_ratio", "trend_slope", "cv_annual_detections", "top3_months_share", "top3_days_share", "night_fraction", "centroid_lat", "centroid_lon",
+    "extent_radius_m", "n_industrial", "n_power", "n_waste", "n_agricultural", "n_transport", "n_other", "features_found_in_radius", "nearest_distance_m", "nearest_is_named",
+)
+WARD = ("detection_count", "unique_dates", "mean_frp", "centroid_lat")
 YEARS = (2019, 2020, 2021, 2022, 2023, 2024, 2025)
 PAIRED = ("duration_days", "detection_count", "mean_frp", "max_frp", "night_fraction", "spatial_extent_m")
 METRICS = ["unique_dates", "occurrence_rate", "detection_count", "active_span_days", "mean_frp", "max_frp", "frp_ratio", "top_day_share"]
@@ -82,7 +87,7 @@ CTE: dict[str, str] = {
     "feat": f"""select f.*, coalesce(t.tag, 'unknown') as tag, coalesce(t.label, 'Unknown') as label, coalesce(t.grp, 'other') as grp from ({adapter.duck_view(adapter.FEATURES)}) f left join (values {TAGS}) t(i, tag, label, grp) on t.i = f.tag_at""",
     "tf": f"""select cluster_id, rank, found, feature_id, tag, label, grp as "group", coalesce(name, '') as name, coalesce(name, '') <> '' as is_named,
         case when element = 'node' then 'point_facility' when starts_with(tag, 'landuse=') then 'landuse_polygon' else 'mapped_feature' end as geometry_class, m as metres
-        from (select *, cast(row_number() over (partition by cluster_id order by m, feature_id) as int) as rank, count(*) over (partition by cluster_id) as found from
+        from (select *, cast(row_number() over (partition by cluster_id order by round(m, 3), feature_id) as int) as rank, count(*) over (partition by cluster_id) as found from
             (select cs.cluster_id, f.*, {hav("centroid_lat", "centroid_lon", "f.lat", "f.lon")} as m, greatest(750.0, least(3000.0, extent_radius_m + 500)) as radius from cs, feat f) where m <= radius) where rank <= 5""",
     "ctx": f"""select cs.cluster_id, round(greatest(750.0, least(3000.0, extent_radius_m + 500)), 4) as search_radius_m, coalesce(max(found), 0) as features_found_in_radius,
         {", ".join(f'max(t.{c}) filter (rank = 1) as nearest_{c}' for c in ("tag", "label"))}, max(t."group") filter (rank = 1) as nearest_group, max(t.name) filter (rank = 1) as nearest_name, bool_or(is_named) filter (rank = 1) as nearest_is_named,
@@ -184,9 +189,10 @@ FINAL: dict[str, str] = {
     "grid_scales": " union all ".join(f"select {m} as scale_m, count(*) as occupied_cells, round(avg(n), 4) as mean_per_cell, max(n) as max_per_cell from (select {cell(m)} as c, count(*) as n from det group by 1)" for m in (100, 250, 375, 500, 1000)),
     "event_edges": "select a, b, round(m, 3) as metres, d as days from edges",
     "event_components": "select id, component from comp",
+    "event_components_rounds": "select id, component from comp",
     "event_table": "select * from ev",
-    "event_behavior": """select event_id, round(h, 6) as frac_high_confidence, round(l, 6) as frac_low_confidence, round(s, 6) as mean_scan, round(t, 6) as mean_track,
-        round(case when tr / 2 + r <= 1e-9 then 0.0 else greatest(0.0, tr / 2 - r) / (tr / 2 + r) end, 4) as elongation_ratio, round(sd, 4) as time_of_day_std_minutes, round(rate, 6) as detections_per_day from
+    "event_behavior": """select event_id, round(h + 1e-9, 6) as frac_high_confidence, round(l + 1e-9, 6) as frac_low_confidence, round(s + 1e-9, 6) as mean_scan, round(t + 1e-9, 6) as mean_track,
+        round(case when tr / 2 + r <= 1e-9 then 0.0 else greatest(0.0, tr / 2 - r) / (tr / 2 + r) end + 1e-9, 4) as elongation_ratio, round(sd + 1e-9, 4) as time_of_day_std_minutes, round(rate + 1e-9, 6) as detections_per_day from
         (select *, vx + vy as tr, sqrt(greatest(0.0, (vx - vy) ** 2 / 4 + c * c)) as r from (select event_id, avg(case when confidence = 'h' then 1.0 else 0.0 end) as h, avg(case when confidence = 'l' then 1.0 else 0.0 end) as l, avg(scan) as s, avg(track) as t,
             var_pop(lon * (111320.0e0 * 0.924892e0)) as vx, var_pop(lat * 111320.0e0) as vy, covar_pop(lon * (111320.0e0 * 0.924892e0), lat * 111320.0e0) as c,
             stddev_pop(cast(substr(acq_time, 1, 2) as int) * 60 + cast(substr(acq_time, 3, 2) as int)) as sd, count(*) / (max(acq_date) - min(acq_date) + 1) as rate from mem group by event_id))""",
@@ -270,7 +276,7 @@ FINAL: dict[str, str] = {
     "dash_window": " union all ".join(f"select min(start_date) as first_start, max(start_date) as last_start, count(*) as n, '{w}' as \"window\" from ev where start_date between date '{a}' and date '2024-07-15'" for w, a in (("today", "2024-07-15"), ("24h", "2024-07-14"), ("7d", "2024-07-09"))),
     "dash_display": "select event_id, case when dist_plant_m is null then '— (none within search radius)' else format('{:,}', cast(round(dist_plant_m, 0) as bigint)) || ' m' end as distance, printf('%.1f%%', round(night_fraction * 100 + 1e-9, 1)) as night, printf('%.2f MW', round(max_frp + 1e-9, 2)) as power from nearest join ev using (event_id)",
     "marker_tiers": "select cast(floor(centroid_lat / 0.5) as int) as row, cast(floor(centroid_lon / 0.5) as int) as col, count(*) as n, case when count(*) < 10 then 'sm' when count(*) < 50 then 'md' else 'lg' end as tier from ev group by 1, 2",
-    "two_source_ingest": """select viirs_source, count(*) as n, min(acq_date) as first_date, max(acq_date) as last_date from (select distinct lat, lon, acq_date, acq_time, case when acq_date <= date '2024-06-30' then 'archive' else 'recent' end as viirs_source
+    "two_source_ingest": """select viirs_source, count(*) as n, min(acq_date) as first_date, max(acq_date) as last_date from (select distinct lat, lon, acq_date, acq_time, satellite, case when acq_date <= date '2024-06-30' then 'archive' else 'recent' end as viirs_source
         from det where acq_date between date '2024-01-01' and date '2024-12-27') group by 1""",
     "ingest_runs": """select run, y as year, case when run = 2 and y = 2023 then 'skipped' when y = 2050 then 'no_data' else 'written' end as status, case when run = 1 or y <> 2023 then (select count(*) from (select distinct lat, lon, acq_date, acq_time from hist where hist.year = y)) end as rows
         from (values (1, 2022), (1, 2023), (2, 2022), (2, 2023), (2, 2050)) r(run, y)""",
@@ -284,6 +290,20 @@ FINAL: dict[str, str] = {
     "feature_pairs": "select a, b, round(r, 4) as r, coalesce(abs(round(r, 4)) <= 0.9, true) as independent from ("
     + " union all ".join(f"select '{a}' as a, '{b}' as b, case when var_pop({a}) > 1e-18 and var_pop({b}) > 1e-18 then corr({a}, {b}) end as r from ev" for k, a in enumerate(PAIRED) for b in PAIRED[k + 1 :])
     + ")",
+    "feature_matrix": "select cluster_id, "
+    + ", ".join(f"round(cast({c} as double) + 1e-9, 6) as {c}" for c in FEATURES if not c.startswith("nearest_"))
+    + ", round(coalesce(nearest_distance_m, greatest(750.0, least(3000.0, extent_radius_m + 500))) + 1e-9, 6) as nearest_distance_m, round(case when nearest_is_named then 1.0 else 0.0 end + 1e-9, 6) as nearest_is_named, 22 as places from itg",
+    "figure_marks": "select persistence_activity_quadrant, unique_years, total_detections_5yr, count(*) as n from itg group by all",
+    "figure_heat": "select r as recurrence_strength, cast(y as varchar) as unique_years, count(i.cluster_id) as n from (select unnest(['Strong', 'Moderate', 'Limited']) as r) a, (select distinct unique_years as y from itg) b left join itg i on i.recurrence_strength = r and i.unique_years = y group by 1, 2",
+    "figure_bars": "select r as trend_direction, y as persistence_category, count(i.cluster_id) as n from (select unnest(['increasing', 'stable', 'decreasing']) as r) a, (select distinct persistence_category as y from itg) b left join itg i on i.trend_direction = r and i.persistence_category = y group by 1, 2",
+    "date_order": "select id, acq_date, acq_time, row_number() over (order by acq_date, acq_time, id) - 1 as position from det",
+    "ward_heights": "select n as n_rows, n - 1 as n_merges, round(n * f + 1e-9, 4) as scatter, round((select min(sqrt("
+    + " + ".join(f"((a.{c} - b.{c}) / s.{c}) ** 2" for c in WARD)
+    + ")) from cs a join cs b on a.cluster_id < b.cluster_id) + 1e-9, 4) as first_height from (select count(*) as n, "
+    + " + ".join(f"cast(stddev_pop({c}) > 0 as int)" for c in WARD)
+    + " as f, "
+    + ", ".join(f"coalesce(nullif(stddev_pop({c}), 0), 1) as {c}" for c in WARD)
+    + " from cs) s",
     "tier_counts": " union all ".join(f"select '{f}' as field, {f} as value, count(*) as n from itg group by {f}" for f in ("persistence_activity_quadrant", "seasonality_category", "trend_direction", "recurrence_strength", "nearest_group")),
     "category_crosstab": "select recurrence_strength, " + ", ".join(f"count(*) filter (trend_direction = '{v}') as n_{v}" for v in ("increasing", "decreasing", "stable")) + ", count(*) as total from itg group by 1",
     "top_lists": " union all ".join(
@@ -295,15 +315,28 @@ FINAL: dict[str, str] = {
     ),
     "frp_histogram": "select bin, round(bin * 25e0, 9) as low, round((bin + 1) * 25e0, 9) as high, n from (select cast(least(floor(frp / 25.0), 19) as int) as bin, count(*) as n from hist where frp between 0 and 500 group by 1)",
     "median_report": "select daynight, 'frp' as field, round(median(frp), 4) as median from hist group by 1 union all select daynight, 'lat', round(median(lat), 4) from hist group by 1",
-    "fixed_radius_lookup": f"""select cs.cluster_id, count(m) as n_found, min_by(tag, (m, feature_id)) as tag, min_by(label, (m, feature_id)) as label, arg_min_null(name, (m, feature_id)) as name, round(min(m), 1) as metres from cs left join
+    "fixed_radius_lookup": f"""select cs.cluster_id, count(m) as n_found, min_by(tag, (round(m, 3), feature_id)) as tag, min_by(label, (round(m, 3), feature_id)) as label, arg_min_null(name, (round(m, 3), feature_id)) as name, round(min(m), 1) as metres from cs left join
         (select c.cluster_id, f.*, {hav("c.centroid_lat", "c.centroid_lon", "f.lat", "f.lon")} as m from cs c, feat f where tag not in ('unknown', 'landuse=port', 'harbour=yes')) x on x.cluster_id = cs.cluster_id and m <= 2000 group by cs.cluster_id""",
-    "stream_cycle": """with recursive dd as (select * exclude (r) from (select *, row_number() over (partition by lat, lon, acq_date, acq_time order by id) as r from det) where r = 1),
+    "stream_cycle": """with recursive dd as (select * exclude (r) from (select *, row_number() over (partition by lat, lon, acq_date, acq_time, satellite order by id) as r from det) where r = 1),
         ee as (select a.id as a, b.id as b from dd a join dd b on a.id <> b.id and """
     + near("a", "b", 750)
     + f""" and abs(b.acq_date - a.acq_date) <= 1 and {hav("a.lat", "a.lon", "b.lat", "b.lon")} <= 750),
         rr as (select id, id as other from dd union select rr.id, ee.b from rr join ee on ee.a = rr.other), cc as (select id, min(other) as c from rr group by id),
         tt as (select c, count(*) as n, min(acq_date) as s, max(acq_date) as e from dd join cc using (id) group by c having count(*) >= 2)
         select case when date '{adapter.REFERENCE}' - e >= 1 then 'closed' else 'provisional' end as status, count(*) as n_events, cast(sum(n) as bigint) as n_detections, min(s) as first_start, max(e) as last_end from tt group by 1""",
+    "stream_events": """with recursive ss as (select *, cast(id * 13 % 10 as int) as delay from det), mark as (select max(acq_date + delay + case when delay < 6 then 1 else 0 end) - 1 as w, count(*) filter (delay > 6) as late from ss),
+        dd as (select * exclude (r) from (select *, row_number() over (partition by lat, lon, acq_date, acq_time, satellite order by acq_date + delay, frp, daynight = 'N') as r from ss where delay <= 6) where r = 1),
+        ee as (select a.id as a, b.id as b from dd a join dd b on a.id <> b.id and """
+    + near("a", "b", 750)
+    + f""" and abs(b.acq_date - a.acq_date) <= 1 and {hav("a.lat", "a.lon", "b.lat", "b.lon")} <= 750),
+        rr as (select id, id as other from dd union select rr.id, ee.b from rr join ee on ee.a = rr.other), cc as (select id, min(other) as c from rr group by id),
+        mm as (select dd.*, c, avg(lat) over (partition by c) as cla, avg(lon) over (partition by c) as clo from dd join cc using (id))
+        select min(acq_date) as start_date, max(acq_date) as end_date, cast(max(acq_date) - min(acq_date) + 1 as int) as duration_days, round(max(cla) + 1e-9, 6) as centroid_lat, round(max(clo) + 1e-9, 6) as centroid_lon,
+        round(max({hav("lat", "lon", "cla", "clo")}) + 1e-9, 1) as spatial_extent_m, count(*) as detection_count, round(avg(frp) + 1e-9, 3) as mean_frp, max(frp) as max_frp, round(avg(case when daynight = 'N' then 1.0 else 0.0 end) + 1e-9, 4) as night_fraction,
+        (select late from mark) as late from mm group by c having count(*) >= 2 and max(acq_date) + 8 <= (select w from mark)""",
+    "change_feed": """with a as (select acq_date, count(*) as n, max(frp) as max_frp from det where acq_date <= date '2024-06-30' and id % 50 <> 0 group by 1), b as (select acq_date, count(*) as n, max(frp) as max_frp from det where acq_date >= date '2024-02-01' group by 1)
+        select case when a.acq_date is null then 'insert' when b.acq_date is null then 'delete' else 'update' end as op, coalesce(b.acq_date, a.acq_date) as acq_date, coalesce(b.n, a.n) as n, coalesce(b.max_frp, a.max_frp) as max_frp
+        from a full join b using (acq_date) where a.n is distinct from b.n or a.max_frp is distinct from b.max_frp""",
 }
 
 

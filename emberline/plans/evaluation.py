@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import bool_int
 from ..operators.contracts import disjoint
 from ..operators.stats import classification_metrics
-from .learning import SPLITS, fit_boosted, fit_forest, fit_logistic, majority, panel, predict, spatial_split, temporal_split
+from .learning import SPLITS, fit_boosted, fit_forest, fit_logistic, imputed, majority, panel, predict, spatial_split, temporal_split
 
 Fit = Callable[..., PipelineModel]
 MODELS: dict[str, Fit] = {"logistic": fit_logistic, "forest": fit_forest, "boosted": fit_boosted}
@@ -80,23 +82,31 @@ def next_year(rows: DataFrame, statics: tuple[str, ...] = (), splits: dict = SPL
     return out
 
 
-def feature_names(model: PipelineModel, numeric: list[str], categorical: list[str] = ()) -> list[str]:
-    """Names of the places of the feature vector: numbers, then `column=category` in the order of the indexer."""
-    found = list(numeric)
-    for c in categorical:
-        labels = next(s.labelsArray[0] for s in model.stages if s.__class__.__name__ == "StringIndexerModel" and s.getInputCol() == c)
-        found += [f"{c}={v or '(none)'}" for v in labels]
-    return found
-
-
-def weights(model: PipelineModel, numeric: list[str], categorical: list[str] = ()) -> DataFrame:
-    """(class, feature, weight, rank): coefficients of a logistic model (a row for each class; `positive` for two), or a forest's
-    importances, ranked by size."""
+def feature_names(model: PipelineModel, column: str = "features") -> list[str]:
+    """Names of the places of a model's feature vector, read from its stages, so a loaded model has them too: numbers by column, then
+    `column=category` in the order of the indexer."""
+    names: dict[str, list[str]] = {}
+    for stage in model.stages:
+        kind = stage.__class__.__name__
+        if kind == "StringIndexerModel":
+            names[stage.getOutputCol()] = [f"{stage.getInputCol()}={v or '(none)'}" for v in stage.labelsArray[0]]
+        elif kind in ("OneHotEncoderModel", "StandardScalerModel"):
+            ins, outs = ([stage.getInputCol()], [stage.getOutputCol()]) if stage.hasParam("inputCol") and stage.isDefined("inputCol") else (stage.getInputCols(), stage.getOutputCols())
+            names |= {o: names[i] for i, o in zip(ins, outs, strict=True)}
+        elif kind == "VectorAssembler":
+            names[stage.getOutputCol()] = [n for c in stage.getInputCols() for n in names.get(c, [c])]
+    return names[column]
+
+
+def weights(model: PipelineModel) -> DataFrame:
+    """(class, feature, weight, rank): coefficients of a logistic model (a row for each class; `positive` for two), a forest's
+    importances, or how many splits of boosted trees each feature makes, ranked by size."""
     from pyspark.sql import SparkSession
 
-    last, names = model.stages[-1], feature_names(model, numeric, categorical)
+    last, names = model.stages[-1], feature_names(model)
     if hasattr(last, "featureImportances"):
-        rows = [("all", n, float(w)) for n, w in zip(names, last.featureImportances.toArray(), strict=False)]
+        held = last.featureImportances
+        rows = [("all", n, float(w)) for n, w in zip(names, held.toArray() if hasattr(held, "toArray") else held, strict=False)]
     else:
         table, labels = last.coefficientMatrix.toArray(), model.stages[0].labels
         classes = labels if len(table) == len(labels) else ["positive"] if len(table) == 1 else [*labels, *(f"other-{k}" for k in range(len(table) - len(labels)))]
@@ -108,6 +118,30 @@ def weights(model: PipelineModel, numeric: list[str], categorical: list[str] = (
     return SparkSession.active().createDataFrame(ranked, "class string, feature string, weight double, rank int")
 
 
+#: The columns of a cluster's row that describe it for learning, by what they measure.
+INCLUDED = {
+    "unique_years": "persistence", "occurrence_rate": "persistence", "total_detections_5yr": "activity", "mean_frp": "activity", "frp_ratio": "activity", "trend_slope": "trend", "cv_annual_detections": "trend",
+    "top3_months_share": "seasonality", "top3_days_share": "seasonality", "night_fraction": "seasonality", "centroid_lat": "place", "centroid_lon": "place", "extent_radius_m": "place",
+    "n_industrial": "context", "n_power": "context", "n_waste": "context", "n_agricultural": "context", "n_transport": "context", "n_other": "context", "features_found_in_radius": "context",
+    "nearest_distance_m": "context", "nearest_is_named": "context",
+}
+
+
+def feature_matrix(rows: DataFrame, key: str = "cluster_id", included: dict[str, str] = INCLUDED) -> DataFrame:
+    """(key, ...included columns as numbers, features): one row for each cluster. A missing distance is the search radius, which is known
+    to hold nothing nearer; a flag is 0 or 1. The vector's places carry the columns' names (`place_names`)."""
+    whole = imputed(rows) if "nearest_distance_m" in included else rows
+    number = lambda c: bool_int(F.col(c)).cast("double") if dict(rows.dtypes)[c] == "boolean" else F.col(c).cast("double")
+    named = whole.select(key, *(number(c).alias(c) for c in included))
+    return VectorAssembler(inputCols=list(included), outputCol="features", handleInvalid="error").transform(named)
+
+
+def place_names(df: DataFrame, column: str = "features") -> list[str]:
+    """The names that a vector column's places carry in its schema."""
+    attributes = df.schema[column].metadata["ml_attr"]["attrs"]
+    return [a["name"] for a in sorted((a for kind in attributes.values() for a in kind), key=lambda a: a["idx"])]
+
+
 def feature_inventory(df: DataFrame, included: dict[str, str], excluded: dict[str, tuple[str, str]]) -> DataFrame:
     """(column, included, category, reason): every column of a table as declared; a column that isn't declared raises."""
     from ..operators.contracts import inventoried

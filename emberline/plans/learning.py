@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -19,7 +17,8 @@ from ..operators.events import global_rank
 from ..operators.labels import TRAINED
 from ..operators.spatial import nearest_any
 from ..operators.stats import classification_metrics
-from .sinks import write_json
+from . import boosting
+from .sinks import read_text, write_text
 from .storage import stored
 
 SPLIT_DEGREES = 0.5
@@ -101,50 +100,22 @@ def preprocess(numeric: list[str], categorical: list[str] = ()) -> list:
     return [*stages, VectorAssembler(inputCols=["_scaled", *(f"_{c}_hot" for c in categorical)], outputCol="features")]
 
 
-class OneVsRestBoost(Transformer):
-    """A boosted-tree model for each class against the rest; probabilities are normalised over the classes."""
-
-    def __init__(self, models: list, classes: list[str]):
-        super().__init__()
-        self.models, self.classes = models, classes
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        out = dataset
-        for k, m in enumerate(self.models):
-            out = m.transform(out).withColumn(f"_p{k}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
-        total = sum((F.col(f"_p{k}") for k in range(len(self.models))), F.lit(0.0))
-        for k, c in enumerate(self.classes):
-            out = out.withColumn(f"prob_{c}", F.col(f"_p{k}") / total)
-        best = F.array_max(F.array(*(F.struct(F.col(f"prob_{c}").alias("p"), F.lit(-k).alias("k"), F.lit(c).alias("c")) for k, c in enumerate(self.classes))))
-        return out.withColumn("predicted_class", best["c"]).drop(*(f"_p{k}" for k in range(len(self.models))))
-
-
-def fit_boosted(df: DataFrame, label: str, numeric: list[str], categorical: list[str] = (), rounds: int = 100, depth: int = 4) -> PipelineModel:
-    classes = sorted(r[0] for r in df.select(label).distinct().collect())
+def fit_boosted(df: DataFrame, label: str, numeric: list[str], categorical: list[str] = (), rounds: int = 100, depth: int = 4, leaves: int = 15) -> PipelineModel:
+    """Boosted trees for all classes at once, on rows weighted so that classes count the same."""
     prepared = Pipeline(stages=preprocess(numeric, list(categorical))).fit(df)
-    rows = balanced_weights(prepared.transform(df), label).cache()
-    models = []
-    for c in classes:
-        boost = GBTClassifier(labelCol="_y", featuresCol="features", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=SEED)
-        models.append(boost.fit(rows.withColumn("_y", (F.col(label) == c).cast("double"))))
-    rows.unpersist()
-    return PipelineModel(stages=[*prepared.stages, OneVsRestBoost(models, classes)])
+    rows = balanced_weights(prepared.transform(df), label)
+    return PipelineModel(stages=[*prepared.stages, boosting.fit(rows, label, "weight", rounds=rounds, depth=depth, leaves=leaves)])
 
 
 def save_boosted(model: PipelineModel, path: str) -> None:
-    """The preparation, each class's model and the class names, in folders of their own."""
-    boost = model.stages[-1]
+    """The preparation, and the trees as JSON beside it."""
     PipelineModel(stages=model.stages[:-1]).write().overwrite().save(f"{path}/prepare")
-    for k, m in enumerate(boost.models):
-        m.write().overwrite().save(f"{path}/class-{k}")
-    write_json(SparkSession.active(), f"{path}/classes.json", {"classes": boost.classes})
+    write_text(SparkSession.active(), f"{path}/trees.json", model.stages[-1].to_json())
 
 
 def load_boosted(spark: SparkSession, path: str) -> PipelineModel:
-    text = "\n".join(r[0] for r in spark.read.text(f"{path}/classes.json").collect())
-    classes = json.loads(text)["classes"]
-    models = [GBTClassificationModel.load(f"{path}/class-{k}") for k in range(len(classes))]
-    return PipelineModel(stages=[*PipelineModel.load(f"{path}/prepare").stages, OneVsRestBoost(models, classes)])
+    trees = boosting.SoftmaxBoost.from_json(read_text(spark, f"{path}/trees.json"))
+    return PipelineModel(stages=[*PipelineModel.load(f"{path}/prepare").stages, trees])
 
 
 def _labelled(df: DataFrame, label: str):
@@ -229,33 +200,98 @@ def principal_components(df: DataFrame, features: list[str], k: int = 2) -> Data
     return out.select(*df.columns, *((F.col("_a")[j] * signs[j]).alias(f"pc{j + 1}") for j in range(k)))
 
 
+#: Rows that one task groups: distances to all live rows are computed from centres, so memory grows with rows only.
+MOST_WARD_ROWS = 20_000
+
+
+def ward_merges(x) -> list[tuple[int, int, float, int]]:
+    """(a, b, height, size) of Ward's agglomeration by rising height: rows are 0..n-1, the k-th merge makes n + k.
+
+    Nearest-neighbour chains: follow nearest neighbours until two are each other's, merge them, go on from what is left of
+    the chain. A merge's distances follow from sizes and centres, which is what the Lance-Williams update of Ward's distance comes to, so a
+    step looks at each live row once: n^2 time, n live rows, no matrix of distances.
+    """
+    import numpy as np
+
+    n = len(x)
+    centre, size, live = np.array(x, float), np.ones(n), np.ones(n, bool)
+    chain: list[int] = []
+    found = []
+    for _ in range(n - 1):
+        if not chain:
+            chain.append(int(np.argmax(live)))
+        while True:
+            at = chain[-1]
+            cost = ((centre - centre[at]) ** 2).sum(1) * (size * size[at] / (size + size[at]))
+            cost[~live] = np.inf
+            cost[at] = np.inf
+            near = int(cost.argmin())
+            if len(chain) > 1 and cost[chain[-2]] <= cost[near]:
+                near = chain[-2]
+                break
+            chain.append(near)
+        chain = chain[:-2]
+        a, b = sorted((at, near))
+        found.append((a, b, float(np.sqrt(2 * cost[near]))))
+        centre[a] = (centre[a] * size[a] + centre[b] * size[b]) / (size[a] + size[b])
+        size[a] += size[b]
+        live[b] = False
+    name, many, out = list(range(n)), [1] * n, []
+    for k, (a, b, height) in enumerate(sorted(found, key=lambda m: m[2])):
+        many[a] += many[b]
+        out.append((*sorted((name[a], name[b])), height, many[a]))
+        name[a] = n + k
+    return out
+
+
+def _few(df: DataFrame) -> DataFrame:
+    if df.limit(MOST_WARD_ROWS + 1).count() > MOST_WARD_ROWS:
+        raise ValueError(f"Ward's agglomeration takes at most {MOST_WARD_ROWS} rows")
+    return df
+
+
+def _standard(x):
+    import numpy as np
+
+    spread = x.std(0)
+    return (x - x.mean(0)) / np.where(spread == 0, 1, spread)
+
+
+def ward_summary(df: DataFrame, key: str, features: list[str]) -> DataFrame:
+    """(n_rows, n_merges, scatter, first_height, last_height): a merge of height h adds h^2 / 2 to the scatter within groups, so all
+    merges together make that of the whole table."""
+    import pandas as pd
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        heights = [m[2] for m in ward_merges(_standard(rows.sort_values(key)[features].to_numpy(float)))]
+        return pd.DataFrame({"n_rows": [len(rows)], "n_merges": [len(heights)], "scatter": [round(sum(h * h for h in heights) / 2, 6)], "first_height": [round(heights[0], 6) if heights else None], "last_height": [round(heights[-1], 6) if heights else None]})
+
+    one = _few(df).select(key, *(F.col(f).cast("double").alias(f) for f in features), F.lit(1).alias("_all"))
+    return one.groupBy("_all").applyInPandas(run, "n_rows long, n_merges long, scatter double, first_height double, last_height double")
+
+
 def ward_groups(df: DataFrame, key: str, features: list[str], k: int) -> DataFrame:
-    """(key, group) by Ward's agglomeration of a table of clusters, in one task: for at most some thousands of rows."""
+    """(key, ward_group) by Ward's agglomeration of the standardised features: k groups, numbered by falling size, then by the
+    first of their keys.
+
+    For a table of clusters, in one task; a table of more than MOST_WARD_ROWS rows raises instead of running there.
+    """
     import numpy as np
     import pandas as pd
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(key)
-        x = rows[features].to_numpy(float)
-        spread = x.std(0)
-        x = (x - x.mean(0)) / np.where(spread == 0, 1, spread)
-        groups = {i: ([i], x[i]) for i in range(len(x))}
-        while len(groups) > k:
-            ids = sorted(groups)
-            size = np.array([len(groups[i][0]) for i in ids], float)
-            centre = np.stack([groups[i][1] for i in ids])
-            cost = ((centre[:, None] - centre[None]) ** 2).sum(2) * (size[:, None] * size[None]) / (size[:, None] + size[None])
-            cost[np.tril_indices(len(ids))] = np.inf
-            a, b = (ids[i] for i in np.unravel_index(cost.argmin(), cost.shape))
-            (ma, ca), (mb, cb) = groups.pop(a), groups.pop(b)
-            groups[a] = (ma + mb, (ca * len(ma) + cb * len(mb)) / (len(ma) + len(mb)))
+        x = _standard(rows[features].to_numpy(float))
+        members = {i: [i] for i in range(len(x))}
+        for at, (a, b, _, _) in enumerate(ward_merges(x)[: max(0, len(x) - k)]):
+            members[len(x) + at] = members.pop(a) + members.pop(b)
         label = np.zeros(len(x), int)
-        for n, g in enumerate(sorted(groups.values(), key=lambda g: (-len(g[0]), min(g[0])))):
-            label[g[0]] = n
+        for n, g in enumerate(sorted(members.values(), key=lambda g: (-len(g), min(g)))):
+            label[g] = n
         return pd.DataFrame({key: rows[key].to_numpy(), "ward_group": label})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, *features, F.lit(1).alias("_all")).groupBy("_all").applyInPandas(run, f"{key} {kind}, ward_group int")
+    return _few(df).select(key, *features, F.lit(1).alias("_all")).groupBy("_all").applyInPandas(run, f"{key} {kind}, ward_group int")
 
 
 def group_profiles(df: DataFrame, group: str, features: list[str]) -> DataFrame:

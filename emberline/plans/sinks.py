@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a page that people open.
+MOST_FEATURES = 50_000
+
+
 def write_table(df: DataFrame, path: str, columns: list[str] | None = None, partition_by: list[str] | None = None) -> None:
     """Overwrite a Parquet table, with a fixed projection if given. An empty frame still writes its schema."""
     out = (df.select(*columns) if columns else df).write.mode("overwrite")
@@ -111,8 +115,11 @@ def write_predictions(by_split: dict[str, DataFrame], path: str, key: str) -> No
 
 
 def html_map(df: DataFrame, path: str, lat: str, lon: str, properties: list[str], title: str) -> None:
-    """A page with the rows as GeoJSON inside, for people to open: for result tables (a row for each cluster or cell), not for detections."""
-    features = [r["feature"] for r in geojson(df, lat, lon, properties).collect()]
+    """A page with the rows as GeoJSON inside, for people to open: for result tables (a row for each cluster or cell). More than
+    MOST_FEATURES rows raise."""
+    features = [r["feature"] for r in geojson(df, lat, lon, properties).limit(MOST_FEATURES + 1).collect()]
+    if len(features) > MOST_FEATURES:
+        raise ValueError(f"a page takes at most {MOST_FEATURES} rows")
     data = json.dumps({"type": "FeatureCollection", "features": [json.loads(f) for f in features]}).replace("</", "<\\/")
     page = (
         f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><svg id=map viewBox='0 0 1000 800' style='border:1px solid'></svg><script>const data={data};"

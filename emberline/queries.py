@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from datetime import date
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from .operators.spatial import nearest_in_own_radius, place_pairs
 from .plans import evaluation, learning
 from .plans.storage import shared_folder, stored
 from .sources import adapter, ingest, runs
-from .streaming import cycle
+from .streaming import cycle, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -175,6 +176,12 @@ def event_components(spark: SparkSession, d: str) -> DataFrame:
     return E.event_components(det(spark, d))
 
 
+@query
+def event_components_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """The same without the short cut for few edges: what runs at scale."""
+    return E.event_components(det(spark, d), one_task=0)
+
+
 @query
 def event_table(spark: SparkSession, d: str) -> DataFrame:
     rows, members = members_of(spark, d)
@@ -468,6 +475,33 @@ def stream_cycle(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("status").agg(F.count(F.lit(1)).alias("n_events"), F.sum("detection_count").alias("n_detections"), F.min("start_date").alias("first_start"), F.max("end_date").alias("last_end"))
 
 
+@query
+def stream_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events that a stream has closed after two starts: rows come up to nine days after their day, most of them twice."""
+    rows = det(spark, d)
+    delay = (F.col("id") * 13 % 10).cast("int")
+    once = rows.withColumn("seen", F.date_add("acq_date", delay))
+    sent = once.unionByName(once.filter(delay < live.WINDOW_DAYS - 1).withColumn("seen", F.date_add("seen", 1)))
+    folder = f"{shared_folder(spark)}/emberline/live-{uuid.uuid4().hex}"
+    store = cycle.Store(spark, f"{folder}/store")
+    for cut in (F.col("seen") <= F.lit("2024-06-30").cast("date"), F.col("seen") > F.lit("2024-06-30").cast("date")):
+        sent.filter(cut).write.mode("append").parquet(f"{folder}/in")
+        live.start(spark.readStream.schema(sent.schema).parquet(f"{folder}/in"), store, f"{folder}/checkpoint", once=True).awaitTermination()
+    return live.closed_events(store).drop("stable_key").withColumn("late", F.lit(live.late_rows(store)).cast("long"))
+
+
+@query
+def change_feed(spark: SparkSession, d: str) -> DataFrame:
+    """What changes in a table of days when rows come and go."""
+    rows, store = det(spark, d), cycle.Store(spark, f"{shared_folder(spark)}/emberline/feed-{uuid.uuid4().hex}")
+    halves = (rows.filter((F.col("acq_date") <= F.lit("2024-06-30").cast("date")) & (F.col("id") % 50 != 0)), rows.filter(F.col("acq_date") >= F.lit("2024-02-01").cast("date")))
+    for k, half in enumerate(halves):
+        pending: dict = {}
+        store.write("days", half.groupBy("acq_date").agg(F.count(F.lit(1)).alias("n"), F.max("frp").alias("max_frp")), pending)
+        store.publish(pending, k)
+    return store.changes("days", ["acq_date"], 1, 2)
+
+
 @query
 def kmeans_groups(spark: SparkSession, d: str) -> DataFrame:
     rows = review_of(spark, d)[2].select("cluster_id", *(F.col(c).cast("double").alias(c) for c in ("detection_count", "unique_dates", "active_span_days", "mean_frp", "night_fraction", "top_day_share")))
@@ -493,7 +527,7 @@ def raw_of(rows: DataFrame) -> DataFrame:
     """Detections as the source gives them: every cell as text, under the source's names."""
     names = {"latitude": "lat", "longitude": "lon", "bright_ti4": "brightness", "bright_ti5": "bright_t31"}
     fixed = {"satellite": "N", "instrument": "V", "version": "2"}
-    column = lambda c: F.lit(fixed[c]) if c in fixed else F.col(names.get(c, c)).cast("string") if names.get(c, c) in rows.columns else F.lit(None).cast("string")
+    column = lambda c: F.col(names.get(c, c)).cast("string") if names.get(c, c) in rows.columns else F.lit(fixed.get(c)).cast("string")
     return rows.select(*(column(c).alias(c) for c in ingest.RAW_COLUMNS))
 
 
@@ -572,6 +606,36 @@ def frp_histogram(spark: SparkSession, d: str) -> DataFrame:
     return reports.histogram(hist(spark, d), "frp", 0.0, 500.0, 20)
 
 
+@query
+def figure_marks(spark: SparkSession, d: str) -> DataFrame:
+    return reports.marks(integrated_of(spark, d), "unique_years", "total_detections_5yr", "persistence_activity_quadrant")
+
+
+@query
+def figure_heat(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters by the strength of a year's recurrence and the number of years."""
+    return reports.heat(integrated_of(spark, d), "recurrence_strength", "unique_years", ["Strong", "Moderate", "Limited"])
+
+
+@query
+def figure_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Trends by persistence, pairs without clusters included."""
+    return reports.heat(integrated_of(spark, d), "trend_direction", "persistence_category", ["increasing", "stable", "decreasing"])
+
+
+@query
+def date_order(spark: SparkSession, d: str) -> DataFrame:
+    """Detections in the order of time, equal times by id."""
+    return reports.positions(det(spark, d).select("id", "acq_date", "acq_time"), "acq_date", ["acq_time", "id"])
+
+
+@query
+def ward_heights(spark: SparkSession, d: str) -> DataFrame:
+    """What the merges of the clusters' agglomeration add up to, and the first of them."""
+    found = learning.ward_summary(stats_of(labelled_of(spark, d)), "cluster_id", ["detection_count", "unique_dates", "mean_frp", "centroid_lat"])
+    return found.select("n_rows", "n_merges", S.settled("scatter", 4).alias("scatter"), S.settled("first_height", 4).alias("first_height"))
+
+
 @query
 def median_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.medians_by(hist(spark, d), "daynight", ["frp", "lat"])
@@ -596,15 +660,23 @@ BASE_FEATURES = ["duration_days", "spatial_extent_m", "detection_count", "mean_f
 
 @query
 def feature_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Two feature sets, two splits and two models, with the same settings throughout."""
+    """Two feature sets, two splits and all models, with the same settings throughout."""
     sets = {"base": (BASE_FEATURES, []), "with_trend": ([*BASE_FEATURES, "frp_trend_slope", "trend_known"], [])}
-    models = {k: evaluation.MODELS[k] for k in ("logistic", "forest")}
-    return evaluation.run_grid(labelled_features(spark, d), "silver_label", sets, models=models, forbidden={"land_cover_class", "dist_flare_m"})
+    return evaluation.run_grid(labelled_features(spark, d), "silver_label", sets, forbidden={"land_cover_class", "dist_flare_m"})
 
 
 @query
 def spatial_holdout(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.spatial_holdout(labelled_features(spark, d), "silver_label", BASE_FEATURES, fit=learning.fit_forest)
+    return evaluation.spatial_holdout(labelled_features(spark, d), "silver_label", BASE_FEATURES)
+
+
+@query
+def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """The cluster table's features for learning, and how many places the vector names."""
+    rows = evaluation.feature_matrix(integrated_of(spark, d))
+    names = evaluation.place_names(rows)
+    at = vector_to_array("features")
+    return rows.select("cluster_id", *(S.settled(at[k], 6).alias(n) for k, n in enumerate(names)), F.size(at).alias("places"))
 
 
 @query
@@ -615,9 +687,9 @@ def next_year_splits(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def model_weights(spark: SparkSession, d: str) -> DataFrame:
-    """What a logistic model and a forest weigh, ranked."""
+    """What each model weighs, ranked."""
     rows, out = labelled_features(spark, d), None
-    for name in ("logistic", "forest"):
-        one = evaluation.weights(evaluation.MODELS[name](rows, "silver_label", BASE_FEATURES), BASE_FEATURES).withColumn("model", F.lit(name))
+    for name, fit in evaluation.MODELS.items():
+        one = evaluation.weights(fit(rows, "silver_label", BASE_FEATURES)).withColumn("model", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out.withColumn("weight", F.round("weight", 6))

@@ -30,6 +30,7 @@ DET = (
         "track": "0.32e0 + (event_id % 40) / 100e0",
         "brightness": "300e0 + value / 10",
         "bright_t31": "290e0 + value / 20",
+        "satellite": "case when event_id % 3 = 0 then '1' else 'N' end",
     },
 )
 HIST = (

@@ -11,7 +11,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..functions.geo import in_area, tile_name
@@ -24,6 +24,8 @@ KEY = ("latitude", "longitude", "acq_date", "acq_time", "satellite")
 #: The last day of the archive and the first of the recent source; they must touch.
 ARCHIVE_END, RECENT_START = date(2026, 4, 27), date(2026, 4, 28)
 CHUNK_DAYS = 5
+#: Days that a run of the refresh fetches again, its own day included.
+WINDOW_DAYS = 7
 #: Tries of a request, with a pause before each but the first that grows with their number.
 ATTEMPTS, PAUSE_S = 3, 1.5
 
@@ -165,11 +167,33 @@ class _Chunk(InputPartition):
         self.start, self.days, self.key = start, days, key
 
 
+def fetched_rows(options: dict[str, str], chunk: _Chunk) -> Iterator[dict[str, str]]:
+    """The rows of one chunk; `fetch(url) -> (status, text)` is found by dotted name, so that tests bring their own. A request
+    that breaks is made again up to ATTEMPTS times; one that is refused is not."""
+    import importlib
+    import time
+
+    module, name = options["fetch"].rsplit(".", 1)
+    fetch: Callable[[str], tuple[int, str]] = getattr(importlib.import_module(module), name)
+    box = tuple(float(x) for x in options["box"].split(","))
+    url = area_url(options["base"], chunk.key, options["source"], box, chunk.days, date.fromisoformat(chunk.start))
+    pause = float(options.get("pause_s", PAUSE_S))
+    for k in range(ATTEMPTS):
+        try:
+            status, body = fetch(url)
+        except OSError:
+            status, body = 0, ""
+        if status not in (0, 429, 500, 502, 503, 504) or k == ATTEMPTS - 1:
+            break
+        time.sleep(pause * (k + 1))
+    yield from parse_csv(check_body(status, body))[1]
+
+
 class AreaReader(DataSourceReader):
-    """One partition for each date chunk; `fetch(url) -> (status, text)` is found by dotted name, so that tests bring their own.
+    """One partition for each date chunk.
 
     The key is read on the driver from the variable that `key_variable` names, and travels with the chunks, not in the
-    options, which plans and logs show. A request that breaks is made again up to ATTEMPTS times; one that is refused is not.
+    options, which plans and logs show.
     """
 
     def __init__(self, schema: StructType, options: dict[str, str]):
@@ -181,24 +205,7 @@ class AreaReader(DataSourceReader):
         return [_Chunk(a.isoformat(), (b - a).days + 1, key) for a, b in date_chunks(start, end)]
 
     def read(self, partition: _Chunk) -> Iterator[tuple]:
-        import importlib
-        import time
-
-        module, name = self.options["fetch"].rsplit(".", 1)
-        fetch: Callable[[str], tuple[int, str]] = getattr(importlib.import_module(module), name)
-        box = tuple(float(x) for x in self.options["box"].split(","))
-        url = area_url(self.options["base"], partition.key, self.options["source"], box, partition.days, date.fromisoformat(partition.start))
-        pause = float(self.options.get("pause_s", PAUSE_S))
-        for k in range(ATTEMPTS):
-            try:
-                status, body = fetch(url)
-            except OSError:
-                status, body = 0, ""
-            if status not in (0, 429, 500, 502, 503, 504) or k == ATTEMPTS - 1:
-                break
-            time.sleep(pause * (k + 1))
-        _, rows = parse_csv(check_body(status, body))
-        for row in rows:
+        for row in fetched_rows(self.options, partition):
             yield tuple(row.get(n) for n in self.names)
 
 
@@ -216,6 +223,64 @@ class AreaSource(DataSource):
         return AreaReader(schema, dict(self.options))
 
 
+class _Run(_Chunk):
+    """A chunk of a batch's window, with the days after which and up to which the batch's runs are."""
+
+    def __init__(self, start: str, days: int, key: str, after: str, last: str):
+        super().__init__(start, days, key)
+        self.after, self.last = after, last
+
+
+class AreaStreamReader(DataSourceStreamReader):
+    """Runs of the area API as a stream. An offset is the day of the last run; a batch of the runs after one day up to another
+    fetches their windows together: from WINDOW_DAYS - 1 days before the first run up to the last. Offsets are kept by the
+    checkpoint, so a restart goes on with the day after, and the days that it was away are within the next batch's window.
+
+    `seen` is the day of the run that a row counts as fetched by: the last one of the batch whose window has the row's day.
+    """
+
+    def __init__(self, schema: StructType, options: dict[str, str]):
+        self.names, self.options = schema.fieldNames(), options
+        self.window = int(options.get("window_days", WINDOW_DAYS))
+
+    def initialOffset(self) -> dict:
+        return {"day": (date.fromisoformat(self.options["first_run"]) - timedelta(days=1)).isoformat()}
+
+    def latestOffset(self) -> dict:
+        """Today, or the day that `last_run` names."""
+        return {"day": max(self.options.get("last_run") or date.today().isoformat(), self.initialOffset()["day"])}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        if end["day"] <= start["day"]:
+            return []
+        key = api_key(self.options.get("key_variable", "AREA_API_KEY"))
+        first = window_start(date.fromisoformat(start["day"]) + timedelta(days=1), self.window, date.fromisoformat(self.options.get("source_start", "2000-01-01")))
+        return [_Run(a.isoformat(), (b - a).days + 1, key, start["day"], end["day"]) for a, b in date_chunks(first, date.fromisoformat(end["day"]))]
+
+    def read(self, partition: _Run) -> Iterator[tuple]:
+        for row in fetched_rows(self.options, partition):
+            day = date.fromisoformat(row["acq_date"])
+            seen = min(date.fromisoformat(partition.last), day + timedelta(days=self.window - 1))
+            yield tuple(seen if n == "seen" else row.get(n) for n in self.names)
+
+    def commit(self, end: dict) -> None:
+        """Offsets are in the checkpoint; the API keeps nothing."""
+
+
+class AreaStream(DataSource):
+    """`spark.readStream.format("detection_area_runs")` over the same API."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "detection_area_runs"
+
+    def schema(self) -> str:
+        return ", ".join(f"{c} string" for c in RAW_COLUMNS) + ", seen date"
+
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return AreaStreamReader(schema, dict(self.options))
+
+
 ELEMENTS = "array<struct<type:string,id:bigint,lat:double,lon:double,center:struct<lat:double,lon:double>,tags:map<string,string>>>"
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -29,14 +30,24 @@ class RasterError(ValueError):
     """A file that the reader can't read."""
 
 
+def unpacked(raw: bytes, high: int, wide: int, rows: int, bits: int, packing: int, predictor: int, order: str) -> np.ndarray:
+    """The pixels of a block of `high` rows; of a strip at the end only `rows` are there, of a tile all."""
+    raw = raw if packing == 1 else zlib.decompress(raw)
+    here = high if len(raw) >= high * wide * bits // 8 else rows
+    block = np.frombuffer(raw, f"{order}u{bits // 8}", here * wide).reshape(here, wide)
+    return np.cumsum(block, 1, dtype=np.uint64).astype(f"u{bits // 8}") if predictor == 2 else block
+
+
 class Raster:
-    """One tile; blocks are decoded when first touched."""
+    """One tile, from its bytes or from a function that takes some of them (start, size). Blocks are decoded when first touched."""
 
-    def __init__(self, data: bytes):
-        if data[:2] not in (b"II", b"MM") or len(data) < 8:
+    def __init__(self, data: bytes | Callable[[int, int], bytes]):
+        self.take = data if callable(data) else lambda start, size: data[start : start + size]
+        head = self.take(0, 8)
+        if head[:2] not in (b"II", b"MM") or len(head) < 8:
             raise RasterError("not a TIFF file")
-        self.data, self.order = data, "<" if data[:2] == b"II" else ">"
-        magic, first = struct.unpack_from(self.order + "HI", data, 2)
+        self.order = "<" if head[:2] == b"II" else ">"
+        magic, first = struct.unpack(self.order + "HI", head[2:8])
         if magic != 42:
             raise RasterError("not a classic TIFF file")
         self.tags = self._directory(first)
@@ -51,32 +62,36 @@ class Raster:
         self.step_x, self.step_y = self.tags[SCALE][:2]
         col, row, _, lon, lat = self.tags[TIE][:5]
         self.west, self.north = lon - col * self.step_x, lat + row * self.step_y
+        self.across = -(-self.width // self.block[1]) if self.tiled else 1
+        self.starts, self.sizes = (self.tags[TILE_AT], self.tags[TILE_BYTES]) if self.tiled else (self.tags[STRIP_AT], self.tags[STRIP_BYTES])
+        self.predictor = self.tags.get(PREDICTOR, (1,))[0]
         self._held: dict[int, np.ndarray] = {}
 
     def _directory(self, at: int) -> dict[int, tuple]:
-        (count,) = struct.unpack_from(self.order + "H", self.data, at)
+        (count,) = self._read("H", at)
         found = {}
         for k in range(count):
-            tag, kind, n = struct.unpack_from(self.order + "HHI", self.data, at + 2 + 12 * k)
+            tag, kind, n = self._read("HHI", at + 2 + 12 * k)
             if kind not in _SIZES:
                 continue
             letter, size = _SIZES[kind]
             place = at + 2 + 12 * k + 8
             if size * n > 4:
-                (place,) = struct.unpack_from(self.order + "I", self.data, place)
-            found[tag] = struct.unpack_from(f"{self.order}{n}s" if letter == "s" else self.order + letter * n, self.data, place)
+                (place,) = self._read("I", place)
+            found[tag] = self._read(f"{n}s" if letter == "s" else letter * n, place)
         return found
 
+    def _read(self, form: str, at: int) -> tuple:
+        form = self.order + form
+        data = self.take(at, struct.calcsize(form))
+        if len(data) < struct.calcsize(form):
+            raise RasterError("the file ends within its directory")
+        return struct.unpack(form, data)
+
     def _decoded(self, k: int) -> np.ndarray:
         if k not in self._held:
-            offsets, sizes = (self.tags[TILE_AT], self.tags[TILE_BYTES]) if self.tiled else (self.tags[STRIP_AT], self.tags[STRIP_BYTES])
-            raw = self.data[offsets[k] : offsets[k] + sizes[k]]
-            raw = raw if self.packing == 1 else zlib.decompress(raw)
-            rows = self.block[0] if self.tiled else min(self.block[0], self.height - k * self.block[0])
-            block = np.frombuffer(raw, f"{self.order}u{self.bits // 8}", rows * self.block[1]).reshape(rows, self.block[1])
-            if self.tags.get(PREDICTOR, (1,))[0] == 2:
-                block = np.cumsum(block, 1, dtype=np.uint64).astype(f"u{self.bits // 8}")
-            self._held[k] = block
+            raw = self.take(self.starts[k], self.sizes[k])
+            self._held[k] = unpacked(raw, *self.block, min(self.block[0], self.height - k // self.across * self.block[0]), self.bits, self.packing, self.predictor, self.order)
         return self._held[k]
 
     def window(self, lat: float, lon: float, radius: int = 0) -> np.ndarray:
@@ -88,10 +103,9 @@ class Raster:
             return np.zeros((0, 0), np.uint16)
         out = np.zeros((bottom - top, right - left), np.uint16)
         high, wide = self.block
-        across = -(-self.width // wide) if self.tiled else 1
         for i in range(top // high, (bottom - 1) // high + 1):
             for j in range(left // wide, (right - 1) // wide + 1):
-                block = self._decoded(i * across + j)
+                block = self._decoded(i * self.across + j)
                 r0, r1, c0, c1 = max(top, i * high), min(bottom, (i + 1) * high), max(left, j * wide), min(right, (j + 1) * wide)
                 out[r0 - top : r1 - top, c0 - left : c1 - left] = block[r0 - i * high : r1 - i * high, c0 - j * wide : c1 - j * wide]
         return out

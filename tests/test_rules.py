@@ -170,26 +170,15 @@ def test_splits_and_panel(spark):
         learning.panel(df, ((2022, 2023),))
 
 
-def test_lock(tmp_path):
-    path = str(tmp_path / "lock")
-    with cycle.WriterLock(path):
-        with pytest.raises(cycle.Locked):
-            cycle.WriterLock(path).__enter__()
-    assert not os.path.exists(path)
-    (tmp_path / "lock").write_text("999999999")
-    with cycle.WriterLock(path):
-        pass
-
-
 def test_cycle_is_idempotent_and_failures_keep_freshness(spark, tmp_path):
     schema = "id long, lat double, lon double, acq_date date, acq_time string, frp double, daynight string"
     rows = spark.createDataFrame([(1, 21.0, 72.0, date(2024, 1, 1), "0700", 5.0, "D"), (2, 21.001, 72.0, date(2024, 1, 2), "0700", 6.0, "N")], schema)
-    store, lock = cycle.Store(spark, str(tmp_path / "s")), str(tmp_path / "lock")
-    first = cycle.guarded_cycle(store, lock, lambda: rows, date(2024, 1, 3))
-    again = cycle.guarded_cycle(store, lock, lambda: rows, date(2024, 1, 3))
+    store = cycle.Store(spark, str(tmp_path / "s"))
+    first = cycle.guarded_cycle(store, lambda: rows, date(2024, 1, 3))
+    again = cycle.guarded_cycle(store, lambda: rows, date(2024, 1, 3))
     assert first["status"] == again["status"] == "updated" and first["n_detections"] == again["n_detections"] == 2 and again["n_events"] == 1
     before = (tmp_path / "s" / "freshness.json").read_text()
-    assert cycle.guarded_cycle(store, lock, lambda: 1 / 0, date(2024, 1, 4))["status"] == "failed"
+    assert cycle.guarded_cycle(store, lambda: 1 / 0, date(2024, 1, 4))["status"] == "failed"
     assert (tmp_path / "s" / "freshness.json").read_text() == before
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.plans import evaluation, learning, sinks
-from emberline.sources import ingest, maps, raster, runs
+from emberline.sources import blocks, ingest, maps, raster, runs
 from emberline.streaming import cycle
 
 calls = []
@@ -252,7 +252,7 @@ def test_grid_of_sets_splits_and_models(events):
 
 def test_weights_are_named_and_ranked(events):
     for fit in (learning.fit_logistic, learning.fit_forest):
-        got = evaluation.weights(fit(events, "label", ["x", "y"], ["kind"]), ["x", "y"], ["kind"]).collect()
+        got = evaluation.weights(fit(events, "label", ["x", "y"], ["kind"])).collect()
         assert {r["feature"] for r in got} == {"x", "y", "kind=p", "kind=q"} and all(r["feature"] == "x" for r in got if r["rank"] == 1 and not r["class"].startswith("other"))
 
 
@@ -270,3 +270,71 @@ def test_next_year_needs_splits_apart(spark):
     assert out.filter("model = 'logistic' and class = 'macro'").agg(F.min("f1")).first()[0] == 1.0
     with pytest.raises(Exception, match="forbidden"):
         evaluation.next_year(rows, splits={"bad": (((2019, 2020),), ((2019, 2020),))}, models={})
+
+
+def counting(place, start, size):
+    """A range reader over files that writes down what it is asked for."""
+    import pathlib
+
+    path = pathlib.Path(place)
+    if not path.exists():
+        with (path.parent / "asked.txt").open("a") as log:
+            log.write(f"{path.stem} none\n")
+        return None
+    if size > 1:
+        with (path.parent / "asked.txt").open("a") as log:
+            log.write(f"{path.stem} {start} {size}\n")
+    return path.read_bytes()[start : start + size]
+
+
+@pytest.mark.parametrize("kind", [{"tiled": True, "deflate": True, "predictor": True}, {"order": ">", "deflate": True}, {}])
+def test_points_are_sampled_from_blocks(spark, tmp_path, kind):
+    rng = np.random.default_rng(3)
+    held = {"N21E072": rng.choice([0, 10, 40, 50], (120, 120), p=[0.4, 0.1, 0.3, 0.2]).astype(np.uint8), "N21E075": np.full((120, 120), 30, np.uint8)}
+    for name, pixels in held.items():
+        (tmp_path / f"{name}.tif").write_bytes(tiff(pixels, float(name[4:]), 24.0, 0.025, **kind))
+    points = [(k, 21.02 + rng.random() * 2.9, 72.02 + rng.random() * 2.9) for k in range(40)]
+    points += [(100, 23.99, 72.01), (101, 21.001, 74.99), (102, 22.0, 72.4), (103, 22.0, 72.4), (104, 22.5, 76.0), (105, 22.5, 79.0), (106, None, 72.0), (107, 24.0, 72.5)]
+    tiles = blocks.Tiles(spark, str(tmp_path / "{tile}.tif"), "tests.test_sources.counting", str(tmp_path / "cache"))
+    frame = spark.createDataFrame(points, "id long, lat double, lon double")
+    for radius in (3, 30):
+        got = {r["id"]: (r["code"], r["diversity"]) for r in blocks.sample(frame, tiles, radius).collect()}
+        assert set(got) == {p[0] for p in points}
+        for k, lat, lon in points:
+            pixels = held.get(f"N{int(lat // 3) * 3:02d}E{int(lon // 3) * 3:03d}" if lat else None)
+            if pixels is None:
+                assert got[k] == (None, None)
+                continue
+            i, j = int(np.floor((24.0 - lat) / 0.025)), int(np.floor((lon - (72.0 if lon < 75 else 75.0)) / 0.025))
+            around = pixels[max(0, i - radius) : i + radius + 1, max(0, j - radius) : j + radius + 1]
+            assert got[k] == (int(pixels[i, j]) or None, len(set(around[around > 0].tolist())) or None), k
+
+
+def test_only_touched_blocks_are_read_and_only_once(spark, tmp_path):
+    pixels = np.random.default_rng(1).choice([10, 40], (320, 320)).astype(np.uint8)
+    data = tiff(pixels, 72.0, 24.0, 3 / 320, tiled=True)  # 400 blocks of 16 by 16
+    (tmp_path / "N21E072.tif").write_bytes(data)
+    raster_of = raster.Raster(data)
+    tiles = blocks.Tiles(spark, str(tmp_path / "{tile}.tif"), "tests.test_sources.counting", str(tmp_path / "cache"))
+    points = spark.createDataFrame([(1, 22.5, 73.5), (2, 22.5, 73.5), (3, 22.5001, 73.5001), (4, 22.0, 79.0)], "id long, lat double, lon double")
+    first = blocks.sample(points, tiles, 3).collect()
+    asked = [line.split() for line in (tmp_path / "asked.txt").read_text().splitlines()]
+    ranges = [(int(a), int(n)) for _, a, n in (x for x in asked if x[1] != "none")]
+    whole = set(zip(raster_of.starts, raster_of.sizes, strict=True))
+    taken = [r for r in ranges if r in whole]
+    assert 1 <= len(taken) == len(set(taken)) <= 4 and sum(n for _, n in ranges) < 0.6 * len(data)
+    assert [x[0] for x in asked if x[1] == "none"] == ["N21E078"]
+    again = blocks.sample(points, tiles, 3).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, first))
+    assert len((tmp_path / "asked.txt").read_text().splitlines()) == len(asked)  # all from the cache, the missing tile too
+
+
+def test_raster_blocks_are_a_source(spark, tmp_path):
+    pixels = np.random.default_rng(1).integers(0, 200, (37, 43)).astype(np.uint8)
+    (tmp_path / "a.tif").write_bytes(tiff(pixels, 72.0, 24.0, 0.01, tiled=True, deflate=True))
+    spark.dataSource.register(blocks.RasterBlocks)
+    read = spark.read.format("raster_blocks").option("place", f"file://{tmp_path}/{{tile}}.tif").option("tiles", '["a", "gone"]').load()
+    found = np.zeros((37, 43), int)
+    for r in read.collect():
+        found[r["top"] : r["top"] + r["rows"], r["left"] : r["left"] + r["cols"]] = np.array(r["pixels"]).reshape(r["rows"], r["cols"])
+    assert (found == pixels).all() and read.count() == 9

@@ -10,7 +10,7 @@ from emberline.operators import events as E
 from emberline.operators.graph import connected_components, density_clusters
 from emberline.operators import clusters as C
 from emberline.operators import stats
-from emberline.operators.spatial import nearest_any, nearest_in_own_radius, nearest_of_layers, nearest_within, top_in_radius
+from emberline.operators.spatial import nearest_any, nearest_in_own_radius, nearest_of_layers, nearest_pairs, nearest_within, top_in_radius
 
 DET = "id long, lat double, lon double, acq_date date, acq_time string, frp double, daynight string, confidence string, scan double, track double"
 
@@ -179,6 +179,17 @@ def test_ranks_and_gaps_match_sorting(spark):
     assert stats.quantiles(weighted, "g", "v", {"m": 0.5}, "w").first()["m"] == 3.0
 
 
+def test_a_fixed_site_gives_no_quadratic_links(spark):
+    """A site that is seen 50 times a day, and a second one beside it; rows without a place or day are their own."""
+    rows = [(21.0, 72.0, t) for t in range(20) for _ in range(50)] + [(21.001, 72.0, t) for t in range(5) for _ in range(30)] + [(22.0, 72.0, t) for t in (0, 2)]
+    df = detections(spark, rows).unionByName(spark.createDataFrame([(10_000 + k, None, None, None if k else date(2024, 1, 1), "0745", 5.0, "D", "n", 0.4, 0.4) for k in range(3)], DET))
+    nodes = E.place_days(df)
+    assert nodes.count() == 27 and E.event_edges(nodes).count() == 19 + 4 + 5 + 4 + 5
+    for few in (0, E.ONE_TASK_EDGES):
+        sizes = sorted(r["count"] for r in E.event_components(df, one_task=few).groupBy("component").count().collect())
+        assert sizes == [1] * 5 + [20 * 50 + 5 * 30]
+
+
 def test_nearest_anywhere(spark):
     """Far north, over the date line and near a pole, against all pairs."""
     rng = random.Random(8)
@@ -192,6 +203,22 @@ def test_nearest_anywhere(spark):
         assert all(abs(got[k] - min(metres(la, lo, *r) for r in right)) < 1e-3 for k, la, lo in left)
 
 
+def test_nearest_anywhere_keeps_few_candidates(spark):
+    """Left places near, far and on the other side of the globe; right places in tight clusters and on top of each other."""
+    rng = random.Random(12)
+    right = [(21 + rng.gauss(0, 0.01), 72 + rng.gauss(0, 0.01)) for _ in range(1500)] + [(-33 + rng.gauss(0, 0.001), 151.0 + rng.gauss(0, 0.001)) for _ in range(700)] + [(50.0, -3.0 + k / 10) for k in range(30)] + [(10.0, 10.0)] * 400
+    left = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(150)] + [(21 + rng.gauss(0, 0.02), 72 + rng.gauss(0, 0.02)) for _ in range(100)] + [(90.0, 0.0), (-90.0, 0.0), (0.0, 180.0), (10.0, 10.0)] + [(5.0, 5.0)] * 200
+    a = spark.createDataFrame([(k, *p) for k, p in enumerate(left)] + [(9999, None, 1.0)], "id long, lat double, lon double")
+    b = spark.createDataFrame([*right, (None, None)], "lat double, lon double")
+    got = {r["id"]: r["m"] for r in nearest_any(a, b, "m").collect()}
+    known = sorted(set(right))
+    assert set(got) == set(range(len(left)))
+    assert all(abs(got[k] - min(metres(*p, *r) for r in known)) < 1e-6 for k, p in enumerate(left))
+    counts = [r["count"] for r in nearest_pairs(a, b).groupBy("place").count().collect()]
+    assert len(counts) == len(set(left)) and max(counts) <= 60 and sum(counts) <= 12 * len(counts)
+    assert nearest_any(a, b.limit(0), "m").count() == 0
+
+
 def test_nearest_of_layers(spark):
     rng = random.Random(5)
     point = lambda: (21 + rng.random(), 72 + rng.random())
