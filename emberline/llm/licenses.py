@@ -137,7 +137,8 @@ def notices(files: DataFrame, templates: Templates = TEMPLATES, threshold: float
     # a text that fails the first bound has no unit that meets it
     likely = read.filter(_enough(F.col("words"), templates, threshold)).select("path", "version", F.size("words").cast("long").alias("total"), F.transform(units_of(F.col("text")), lambda u: F.struct(u["kind"].alias("kind"), find(u["text"]).alias("own"))).alias("units"))
     kept = F.filter("units", lambda u: _enough(u["own"], templates, threshold) & _can_reach(u["own"], idf, known, other, threshold))
-    each = likely.select("path", "total", "version", F.posexplode(kept).alias("at", "unit"))
+    # a file that is there more than once is one file: its units would else be counted as often
+    each = likely.select("path", "total", "version", F.posexplode(kept).alias("at", "unit")).dropDuplicates(["path", "version", "at"])
     key = ["path", "total", "version", "at", "kind"]
     listed = each.select("path", "total", "version", "at", "unit.kind", F.explode("unit.own").alias("word"))
     counted = stored(listed.groupBy(*key, "word").agg(F.count(F.lit(1)).alias("n")), "words")  # read twice below

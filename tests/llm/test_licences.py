@@ -112,6 +112,24 @@ def test_licences_inherit_from_the_nearest_folder(spark):
     assert licenses.scan(files).count() == len(rows) and licenses.scan(files.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_one_file(spark, tmp_path):
+    """A file with one licence paragraph among many others is no licence file, however often it is given."""
+    paragraph = TEMPLATES["Apache-2.0"][5]
+    text = "\n\n".join([*(prose(40 + k, 30) for k in range(45)), paragraph, *(prose(90 + k, 30) for k in range(45))])
+    rows = [(1, "a/notes", text), (2, "a/other", "code")]
+    for copies in (1, 2, 5):
+        files = spark.createDataFrame(rows[:1] * copies + rows[1:], "doc_id long, path string, text string")
+        got = {(r["doc_id"], r["licence"], r["cosine"], r["via"]) for r in licenses.scan(files).collect()}
+        assert got == {(1, "Apache-2.0", -round(best(paragraph)[0], 6), "own"), (2, None, None, None)}, copies
+        assert licenses.scan(files).count() == copies + 1
+    # two texts under one path stay two versions of it, and the SQL says the same
+    docs = [(1, text, "en", "s", 0)] * 3 + [(1, TEMPLATES["MIT"][3], "en", "s", 0), (2, "code", "en", "s", 0)]
+    own = spark.createDataFrame(docs, DOCS)
+    own.write.parquet(str(tmp_path / "documents.parquet"))
+    expected, _ = oracle_rows(licenses.oracle(), str(tmp_path))
+    assert rows_of(licenses.scan(licenses.document_files(own))) == expected
+
+
 def test_licence_oracle(spark, docs, tmp_path):  # noqa: F811
     lines = [(50, "Released under the MIT License.", "en", "s", 1), (51, "text\nLICENSED under the apache license, version 2.0\nmore", "de", "s", 1), (52, "All rights reserved.\nAll rights reserved.", None, None, 1)]
     lines += [(100 + k, text, "en", f"t{k % 3}", 0) for k, (text, _) in enumerate(CASES.values())]
