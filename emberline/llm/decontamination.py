@@ -11,7 +11,7 @@ Documents' windows are first held against a Bloom filter of the items' hashes in
 leaves it, then joined by hash. The filter has BITS_EACH bits for a window, in MOST_BYTES at most as it is held in the
 expression itself; beyond a million windows it gradually lets more through, and never loses one. For a document, an item and an alignment, the values that fill the item's slots are
 paired with the document's: one value of the item must stand for one value of the document throughout. A document has
-leaked an item if windows in consistent alignments cover COVERAGE of the item's windows; it is `verbatim` if all values
+leaked an item if COVERAGE of the item's different windows occur in consistent alignments, however often each does; it is `verbatim` if all values
 are equal, else `reparameterised`.
 
 Item windows are broadcast up to BROADCAST_WINDOWS; beyond, both sides are shuffled by hash. Nothing groups by a key that
@@ -165,12 +165,12 @@ def leaks_by_text(docs: DataFrame, items: DataFrame, stride: int = STRIDE) -> Da
     aligned = (
         matched.select(*key, (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "windows", pairs.alias("pairs"))
         .groupBy(*key, "shift")
-        .agg(F.size(F.collect_set("item_at")).alias("hits"), F.max("windows").alias("of"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+        .agg(F.sort_array(F.collect_set("item_at")).alias("hits"), F.max("windows").alias("of"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     )
-    # lists above are bounded by an item's length
+    # lists above are bounded by an item's length; below, alignments with the same windows are one list
     one_to_one = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))) == F.size("pairs")
     equal = F.forall("pairs", lambda p: p["item"] == p["doc"])
-    judged = aligned.filter(one_to_one).groupBy(*key).agg(F.sum("hits").alias("windows"), F.max("of").alias("of"), F.min(equal.cast("int")).alias("same"))
+    judged = aligned.filter(one_to_one).groupBy(*key).agg(F.size(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("windows"), F.max("of").alias("of"), F.min(equal.cast("int")).alias("same"))
     share = F.least(F.lit(1.0), F.col("windows") / F.col("of"))
     return judged.filter(share >= COVERAGE).select(
         *key, F.col("windows").cast("long").alias("windows"), F.round(share, 4).alias("coverage"), F.when(F.col("same") == 1, "verbatim").otherwise("reparameterised").alias("kind")
@@ -219,9 +219,8 @@ def oracle() -> str:
         dx as (select doc_id, n, size, o, low[o + 1 : o + size] as v, unnest([lit[o + 1 : o + size], tpl[o + 1 : o + size], low[o + 1 : o + size]]) as key, unnest(['form', 'form', 'exact']) as kind from dw
             union all select doc_id, n, size, o, low, low, 'whole' from dw where n = size),
         m as materialized (select distinct doc_id, item_id, dx.o - ix.o as shift, ix.o as o, of, ix.v as iv, dx.v as dv, tw from dx join ix on ix.size = dx.size and ix.kind = dx.kind and ix.key = array_to_string(dx.key, ' ')),
-        a as (select doc_id, item_id, shift, count(distinct o) as hits, max(of) as of from m group by all),
         s as (select distinct doc_id, item_id, shift, iv[k] as i, dv[k] as d from m, range(1, len(tw) + 1) r(k) where tw[k] in ('#', '@', '~')),
         c as (select doc_id, item_id, shift, count(distinct i) = count(*) as ok, bool_and(i = d) as same from s group by all),
-        j as (select a.doc_id, a.item_id, sum(hits) as hits, max(of) as of, bool_and(coalesce(same, true)) as same from a left join c using (doc_id, item_id, shift) where coalesce(ok, true) group by all)
+        j as (select m.doc_id, m.item_id, count(distinct o) as hits, max(of) as of, bool_and(coalesce(same, true)) as same from m left join c using (doc_id, item_id, shift) where coalesce(ok, true) group by all)
         select doc_id, item_id, cast(hits as bigint) as windows, round(least(1.0, hits / of), 4) as coverage, case when same then 'verbatim' else 'reparameterised' end as kind
         from j where least(1.0, hits / of) >= {COVERAGE}"""
