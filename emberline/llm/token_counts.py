@@ -38,7 +38,7 @@ from .common import shared_folder, stored
 
 #: Tokenizers that SQL can express, by version: the pattern of a token.
 PATTERNS = {"words-1": r"[^ \t\n\r\f]+", "pieces-1": r"\p{L}+|[0-9]+|[^ \t\n\r\f\p{L}0-9]"}
-#: A later definition of `words-1`: numbers and marks alone are no words.
+#: A later definition of `words-1`, by which every text that it counts otherwise is revised: numbers and marks alone are no words.
 LETTERED = {"words-1": r"[^ \t\n\r\f]*\p{L}[^ \t\n\r\f]*"}
 #: A public byte-level BPE vocabulary, by version.
 VOCABULARIES = {"byte_bpe_50k": "byte_bpe_50k.json"}
@@ -233,13 +233,14 @@ def repeated(rows: DataFrame) -> DataFrame:
 
 def maintained_totals(docs: DataFrame, vocabularies: dict[str, str] = VOCABULARIES) -> DataFrame:
     """A rollup over all documents after five batches: counts by every tokenizer version are inserted, counts by `words-1` are
-    revised where numbers no longer count as words, documents that repeat an earlier text are deleted, and a batch comes twice."""
+    revised wherever the later definition gives another count, documents that repeat an earlier text are deleted, and a batch comes twice."""
     store, rows = Rollup(docs.sparkSession), keyed(docs)
     inserted = changes(count_patterns(rows), "insert")
     store.commit("insert", inserted)
     if vocabularies:
         store.commit("insert-bpe", changes(count_bpe(rows, vocabularies), "insert"))
-    store.commit("revise", changes(count_patterns(rows.filter(F.col("text").rlike("[0-9]")), LETTERED), "revise"))
+    differs = [pattern_count("text", PATTERNS[name]) != pattern_count("text", pattern) for name, pattern in LETTERED.items()]
+    store.commit("revise", changes(count_patterns(rows.filter(F.exists(F.array(*differs), lambda x: x)), LETTERED), "revise"))
     gone = repeated(rows).withColumn("tokenizer", F.explode(F.array(*map(F.lit, [*PATTERNS, *vocabularies]))))
     none = F.lit(None).cast("string")
     store.commit("delete", changes(gone.select("doc", none.alias("source"), none.alias("lang"), "tokenizer", F.lit(0).alias("tokens")), "delete"))
@@ -249,10 +250,10 @@ def maintained_totals(docs: DataFrame, vocabularies: dict[str, str] = VOCABULARI
 
 def oracle() -> str:
     """The totals by patterns from the documents as they stand, in DuckDB SQL."""
-    words, pieces, lettered = PATTERNS["words-1"], PATTERNS["pieces-1"], LETTERED["words-1"]
+    pieces, lettered = PATTERNS["pieces-1"], LETTERED["words-1"]
     n = lambda p: f"len(regexp_extract_all(text, '{p}'))"
     return f"""with d as (select doc_id, source, lang, coalesce(text, '') as text from documents),
         live as (select * from (select *, row_number() over (partition by text order by doc_id nulls last, source desc nulls last, lang desc nulls last) as r from d) where r = 1),
-        c as (select source, lang, 'words-1' as tokenizer, case when regexp_matches(text, '[0-9]') then {n(lettered)} else {n(words)} end as tokens from live
+        c as (select source, lang, 'words-1' as tokenizer, {n(lettered)} as tokens from live
             union all select source, lang, 'pieces-1', {n(pieces)} from live)
         select source, lang, tokenizer, count(*) as docs, cast(sum(tokens) as bigint) as tokens from c group by source, lang, tokenizer"""

@@ -84,6 +84,13 @@ def test_snapshots_change_nothing(spark, rows):
     assert store.ledger().count() <= 5 + 3
 
 
+def test_one_definition_for_one_version(spark):
+    """Every text counts by the later definition, whether it has a digit or not."""
+    frame = spark.createDataFrame([(1, "a - b", "en", "s", 0), (2, "a - b 7", "en", "s", 0), (3, "a b", "en", "s", 0)], DOCS)
+    got = {r["tokenizer"]: r["tokens"] for r in token_counts.maintained_totals(frame, {}).collect()}
+    assert got["words-1"] == 6
+
+
 def test_rollup_over_documents(spark, docs, no_docs, tmp_path):  # noqa: F811
     own = docs.select(*[c.split()[0] for c in DOCS.split(", ")])
     more = [(None, "no id", None, None, 0), (None, "also none", "en", "s", 0), (5, "another text of five", "en", "s", 0), (77, prose(2, 900), "fr", "t", 0)]
