@@ -32,10 +32,12 @@ def rank_buckets(rows: int, per_bucket: int = 20_000, least: int = 64) -> int:
 def gapless_rank(df: DataFrame, group: str, key: Column, order: list, buckets: int, out: str = "slot") -> DataFrame:
     """Number the rows of each group from 0 without a gap, although one group may hold most rows.
 
-    A group is cut into buckets by a hash of `key`; rows are numbered inside a (group, bucket), and the counts of the
-    buckets before it, summed over one small row for each (group, bucket), are added. Numbers follow (bucket, order).
+    A group is cut into buckets by a hash of `key` and of the partition of the scan that a row comes from, so rows that are equal throughout
+    are dealt out too; rows are numbered inside a (group, bucket), and the counts of the buckets before it, summed over one small row
+    for each (group, bucket), are added. Numbers follow (bucket, order). df: as `stored` gives it, since its partitions are read
+    twice and must be the same ones.
     """
-    bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(key, F.spark_partition_id()), F.lit(buckets)))
     sizes = bucketed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col(group).alias("_group"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_start"))

@@ -111,7 +111,7 @@ def pack(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> Dat
     histogram = {r["length"]: r["n"] for r in cut_up.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `size` rows
     runs = plan(histogram, size)
     slots = spark.createDataFrame(runs, RUNS)
-    ranked = gapless_rank(cut_up, "length", F.struct("doc_id", "piece"), ["doc_id", "piece", "ids_crc32"], rank_buckets(sum(histogram.values())), "_rank")
+    ranked = gapless_rank(cut_up, "length", F.struct("doc_id", "piece", "ids_crc32"), ["doc_id", "piece", "ids_crc32"], rank_buckets(sum(histogram.values())), "_rank")
     at = F.col("_rank") - F.col("first_rank")
     return ranked.join(
         F.broadcast(slots) if len(runs) <= BROADCAST_RUNS else slots,

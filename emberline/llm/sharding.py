@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, rank_buckets, utf8
+from .common import gapless_rank, rank_buckets, stored, utf8
 
 MULTIPLIER = 2862933555777941757
 MASK32, MASK16 = 0xFFFFFFFF, 0xFFFF
@@ -65,7 +65,8 @@ def jump_hash(key: Column, shards: int, is_long: bool = True) -> Column:
 def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row with its shard, its slot in the shard (gapless from 0) and its shard were one more appended.
 
-    Slots are numbered in two levels (hash buckets inside a shard, then rows inside a bucket), so no task holds a shard.
+    Slots are numbered in two levels (hash buckets inside a shard, then rows inside a bucket), so no task holds a shard, nor all
+    rows of a key that a third of the table has.
     """
     kind = docs.schema[key].dataType.typeName() in ("long", "integer", "short", "byte")
     rows = docs.select(
@@ -76,7 +77,7 @@ def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str
         jump_hash(F.col(key), shards, kind).alias("shard"),
         jump_hash(F.col(key), shards + 1, kind).alias("grown_shard"),
     )
-    buckets = rank_buckets(docs.count())
-    return gapless_rank(rows, "shard", F.col(key), [F.col(key), F.col("text_crc32"), F.col("size")], buckets).select(
+    held = stored(rows, "shards")  # without the texts
+    return gapless_rank(held, "shard", F.struct(key, "text_crc32"), [F.col(key), F.col("text_crc32"), F.col("size")], rank_buckets(held.count())).select(
         key, "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
