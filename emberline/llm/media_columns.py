@@ -1,10 +1,14 @@
 """Media columns: texts kept as FLAC streams, and streams decoded to PCM blocks with seekable sample offsets.
 
 `encode_texts` turns each row's payload into a stream; `pcm_blocks` decodes streams, verifies every checksum and makes rows
-of (first sample, samples, PCM bytes); `write_blocks` keeps them as a table and `seek` takes a range of samples out of it
-by the offsets, so no other block is read; `digest` puts the blocks of each stream together again and reports. The query
-is the chain of all: texts, streams, blocks, digest. Each runs on its own partition only, with no shuffle; memory is bounded by
-an Arrow batch, by the frames coded at once and by one stream's samples.
+of (stream, first sample, samples, PCM bytes); `write_blocks` keeps them as a table and `seek` takes a range of samples out of
+it by the offsets, so no other block is read; `digest` puts the blocks of each stream together again and reports. The query
+is the chain of all: texts, streams, table of blocks, digest. Each runs on its own partition only, with no shuffle; memory is
+bounded by an Arrow batch, by the frames coded at once, by one stream's samples and, while writing, by a task's packed blocks.
+
+`write_blocks` writes each task's blocks in order, as one group of rows a file, which no reader divides, so `digest` finds
+the blocks of a stream one after the other. Blocks in another order, or of other files, are dealt out by stream and sorted first
+(`ordered=False`).
 
 Defined results: null and empty texts are 192 spaces; repeated rows give equal streams, each with its own blocks; an empty
 table gives an empty result; other columns, whatever their names, are not carried; equal texts give equal values, so there
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +38,14 @@ GROUP_BYTES = 2_000_000
 BROKEN = (flac.FlacError, struct.error, IndexError, AttributeError)
 STREAMS = "doc_id long, n_bytes long, media binary"
 BLOCKS = (
-    "doc_id long, n_bytes long, block int, first_sample long, n_samples long, samples long, channels int, bits int, rate int, pcm binary, "
+    "stream long, doc_id long, n_bytes long, block int, first_sample long, n_samples long, samples long, channels int, bits int, rate int, pcm binary, "
     "media_bytes long, media_sha256 string, error string"
 )
 PER_BLOCK = 4096
+#: More than any task's packed blocks: a file of the table has one group of rows.
+ROW_GROUP_BYTES = 1 << 30
+#: Streams of a task, in the low bits of a stream's number.
+STREAM_BITS = 33
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -112,20 +121,22 @@ def pcm_blocks(media: DataFrame, per_block: int = PER_BLOCK) -> DataFrame:
     schema = pa.schema([(n, kinds[f.split()[1]]) for n, f in zip(names, BLOCKS.split(", "), strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << STREAM_BITS
         for batch in batches:
             for part in _groups(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()):
                 ids, sizes, streams = (batch.column(c)[part.start : part.stop].to_pylist() for c in range(3))
                 rows: list[tuple] = []
                 for doc_id, n_bytes, stream, (info, pcm, error) in zip(ids, sizes, streams, _pcm([x or b"" for x in streams]), strict=True):
                     about = (len(stream or b""), hashlib.sha256(stream or b"").hexdigest())
+                    number += 1
                     if info is None:
-                        rows.append((doc_id, n_bytes, 0, 0, 0, 0, None, None, None, None, *about, error))
+                        rows.append((number, doc_id, n_bytes, 0, 0, 0, 0, None, None, None, None, *about, error))
                         continue
                     width = info.channels * ((info.bits + 7) // 8)
                     total = len(pcm) // width
                     for k, at in enumerate(range(0, total, per_block)):
                         n = min(per_block, total - at)
-                        rows.append((doc_id, n_bytes, k, at, n, total, info.channels, info.bits, info.rate, pcm[at * width : (at + n) * width], *about, None))
+                        rows.append((number, doc_id, n_bytes, k, at, n, total, info.channels, info.bits, info.rate, pcm[at * width : (at + n) * width], *about, None))
                 columns = zip(*rows, strict=True) if rows else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -134,8 +145,8 @@ def pcm_blocks(media: DataFrame, per_block: int = PER_BLOCK) -> DataFrame:
 
 
 def write_blocks(media: DataFrame, path: str, per_block: int = PER_BLOCK) -> DataFrame:
-    """Write the blocks as a table and read it back."""
-    pcm_blocks(media, per_block).write.parquet(path)
+    """Write the blocks as a table, each task's in one group of rows, and read it back."""
+    pcm_blocks(media, per_block).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return media.sparkSession.read.schema(BLOCKS).parquet(path)
 
 
@@ -150,17 +161,19 @@ def seek(blocks: DataFrame, first: int, count: int) -> DataFrame:
     return inside.select("doc_id", (F.col("first_sample") + low).cast("long").alias("first_sample"), many.cast("long").alias("n_samples"), cut.alias("pcm"))
 
 
-def digest(blocks: DataFrame) -> DataFrame:
-    """A row for each stream of mono 8-bit samples, from its blocks, which follow one another in `pcm_blocks` order."""
+def digest(blocks: DataFrame, ordered: bool = True) -> DataFrame:
+    """A row for each stream of mono 8-bit samples, from its blocks. ordered: they come as `pcm_blocks` or `write_blocks` gives
+    them; else they are dealt out by stream and sorted. A block that is missing, or out of order, fails the job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
-        reached = 0
+        reached, current = 0, None
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, n_bytes, first, n, total, pcm, size, sha, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if error or first != reached:
+            for stream, doc_id, n_bytes, first, n, total, pcm, size, sha, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if error or first != reached or reached and stream != current:
                     raise flac.FlacError(error or "a block does not begin where the one before it ends")
+                current = stream
                 held.append(pcm)
                 reached += n
                 if reached == total:
@@ -173,4 +186,5 @@ def digest(blocks: DataFrame) -> DataFrame:
         if held:
             raise flac.FlacError("the last blocks of a stream are missing")
 
-    return blocks.select("doc_id", "n_bytes", "first_sample", "n_samples", "samples", "pcm", "media_bytes", "media_sha256", "error").mapInArrow(run, DIGEST)
+    rows = blocks if ordered else blocks.repartition("stream").sortWithinPartitions("stream", "first_sample")
+    return rows.select("stream", "doc_id", "n_bytes", "first_sample", "n_samples", "samples", "pcm", "media_bytes", "media_sha256", "error").mapInArrow(run, DIGEST)

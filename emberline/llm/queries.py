@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import clustering, decontamination, licenses, media_columns, packing, pieces, quality, sharding, simhash, token_counts, toxicity, url_filters, whitening
-from .common import table
+from .common import shared_folder, table
 
 SHARDS = 16
 
@@ -27,7 +28,8 @@ def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns.digest(media_columns.pcm_blocks(media_columns.encode_texts(table(spark, sf_dir, "documents"))))
+    streams = media_columns.encode_texts(table(spark, sf_dir, "documents"))
+    return media_columns.digest(media_columns.write_blocks(streams, f"{shared_folder(spark)}/emberline/pcm-{uuid.uuid4().hex}"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

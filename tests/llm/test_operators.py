@@ -248,6 +248,14 @@ def test_media_columns(spark, docs, no_docs, tmp_path):
         cut = media_columns.seek(blocks, first, count).filter("doc_id = 9").orderBy("first_sample").collect()
         assert b"".join(c["pcm"] for c in cut) == bytes(x ^ 0x80 for x in payloads[9][first : first + count]) and cut[0]["first_sample"] == first
     assert media_columns.digest(media_columns.pcm_blocks(media_columns.encode_texts(no_docs))).count() == 0
+    # from the table: in its order, and dealt out anew after another order; in another order, and with a block missing, it fails
+    whole = Counter(map(tuple, media_columns.digest(media_columns.pcm_blocks(media)).collect()))
+    assert Counter(map(tuple, media_columns.digest(blocks).collect())) == whole
+    mixed = blocks.repartition(5, "first_sample").sortWithinPartitions(F.desc("first_sample"))
+    assert Counter(map(tuple, media_columns.digest(mixed, ordered=False).collect())) == whole
+    for wrong, ordered in ((mixed, True), (blocks.filter("not (doc_id = 9 and block = 3)"), False)):
+        with pytest.raises(Exception, match="does not begin|missing"):
+            media_columns.digest(wrong, ordered).collect()
 
 
 def test_broken_and_foreign_streams(spark):
@@ -445,6 +453,33 @@ def test_decontamination(spark, tmp_path):
     assert decontamination.leaks(docs.limit(0), items).count() == 0 and decontamination.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_a_repeated_window_counts_once(spark, tmp_path):
+    """Eight words of an item of forty, a dozen times over, are no leak; a whole item given twice is one leak."""
+    item = " ".join(f"{a}{b}" for a in ("storm", "quiet", "north", "amber", "field") for b in ("fall", "ward", "light", "stone", "brook", "mark", "gate", "wood"))
+    part, filler = " ".join(item.split()[8:16]), prose(77, 40)
+    rows = [(1, f" {filler} ".join([part] * 12)), (2, part), (3, f"{item} {filler} {item}"), (4, " ".join(item.split()[4:26]) + f" {filler} " + " ".join(item.split()[4:26]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = decontamination.leaks(docs, items)
+    assert {r["doc_id"]: (r["windows"], r["coverage"], r["kind"]) for r in found.collect()} == {3: (33, 1.0, "verbatim"), 4: (15, round(15 / 33, 4), "verbatim")}
+    expected, _ = oracle_rows(decontamination.oracle(), str(tmp_path))
+    assert rows_of(found) == expected
+    assert sorted(r["doc_id"] for r in decontamination.clean(docs, items).collect()) == [1, 2]
+
+
+def test_rows_that_are_alike_are_numbered_in_many_tasks(spark):
+    """Nine of ten rows have no doc_id, half of them the same text."""
+    rows = spark.range(40_000).repartition(16).select(F.when(F.col("id") % 10 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    found = sharding.shard_documents(rows, 4)
+    for r in found.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("d"), F.min("slot").alias("a"), F.max("slot").alias("b")).collect():
+        assert (r["n"], 0, r["n"] - 1) == (r["d"], r["a"], r["b"])
+    held = sharding.stored(rows.select(F.lit(0).alias("g"), "doc_id", F.crc32(F.col("text")).alias("c")), "rows")
+    buckets = held.withColumn("b", F.pmod(F.xxhash64(F.struct("doc_id", "c"), F.spark_partition_id()), F.lit(64)))
+    assert buckets.groupBy("b").count().agg(F.max("count")).first()[0] < 0.3 * 40_000
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     rng = random.Random(11)
