@@ -40,7 +40,7 @@ from ..sources.ingest import WINDOW_DAYS
 from .cycle import KEY, keyed
 from .store import Lease, Store
 
-TILE_DEGREES = 0.1
+TILE_DEGREES = 0.25
 #: How long after the newest run's day rows of an earlier run may still come, in event time.
 DELAY = "1 day"
 #: Points of a piece's outline that are kept before it is reduced to its convex hull.
