@@ -4,8 +4,8 @@ A text is cut into numbers and words. Its literal form has the lower-cased words
 after a number; its template form also has `@` for every word with a capital, a name or the first word of a sentence.
 All windows of WINDOW tokens of the items are searched, in a form if at least half of the window is not a placeholder
 there; a window of which more is numbers and units is searched by its exact tokens, so that none is left out. An item
-with fewer tokens than a window is one window. One with under LEAST tokens is found only as a whole text: elsewhere it
-would be in most documents.
+with fewer tokens than a window is one window. One with under LEAST tokens would be in most documents, so it leaks only as
+a whole text, and such a leak is of its own kind, `whole`.
 
 Documents' windows are first held against a Bloom filter of the items' hashes inside the row, so that only about a hundredth
 leaves it, then joined by hash. The filter has BITS_EACH bits for a window, in MOST_BYTES at most as it is held in the
@@ -163,17 +163,17 @@ def leaks_by_text(docs: DataFrame, items: DataFrame, stride: int = STRIDE) -> Da
     pairs = F.transform("slots", lambda p: F.struct(F.get(F.col("item_value"), p).alias("item"), F.get(F.col("value"), p).alias("doc")))
     key = ["doc_id", "digest", "item_id"]
     aligned = (
-        matched.select(*key, (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "windows", pairs.alias("pairs"))
+        matched.select(*key, (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "windows", "size", pairs.alias("pairs"))
         .groupBy(*key, "shift")
-        .agg(F.sort_array(F.collect_set("item_at")).alias("hits"), F.max("windows").alias("of"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+        .agg(F.sort_array(F.collect_set("item_at")).alias("hits"), F.max("windows").alias("of"), F.max("size").alias("size"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     )
     # lists above are bounded by an item's length; below, alignments with the same windows are one list
     one_to_one = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))) == F.size("pairs")
     equal = F.forall("pairs", lambda p: p["item"] == p["doc"])
-    judged = aligned.filter(one_to_one).groupBy(*key).agg(F.size(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("windows"), F.max("of").alias("of"), F.min(equal.cast("int")).alias("same"))
+    judged = aligned.filter(one_to_one).groupBy(*key).agg(F.size(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("windows"), F.max("of").alias("of"), F.max("size").alias("size"), F.min(equal.cast("int")).alias("same"))
     share = F.least(F.lit(1.0), F.col("windows") / F.col("of"))
     return judged.filter(share >= COVERAGE).select(
-        *key, F.col("windows").cast("long").alias("windows"), F.round(share, 4).alias("coverage"), F.when(F.col("same") == 1, "verbatim").otherwise("reparameterised").alias("kind")
+        *key, F.col("windows").cast("long").alias("windows"), F.round(share, 4).alias("coverage"), F.when(F.col("size") < 0, "whole").when(F.col("same") == 1, "verbatim").otherwise("reparameterised").alias("kind")
     )
 
 
@@ -218,9 +218,9 @@ def oracle() -> str:
         dw as (select doc_id, n, s.size, unnest(range(0, n - s.size + 1)) as o, low, lit, tpl from dl, (select distinct size from ix) s where n >= s.size),
         dx as (select doc_id, n, size, o, low[o + 1 : o + size] as v, unnest([lit[o + 1 : o + size], tpl[o + 1 : o + size], low[o + 1 : o + size]]) as key, unnest(['form', 'form', 'exact']) as kind from dw
             union all select doc_id, n, size, o, low, low, 'whole' from dw where n = size),
-        m as materialized (select distinct doc_id, item_id, dx.o - ix.o as shift, ix.o as o, of, ix.v as iv, dx.v as dv, tw from dx join ix on ix.size = dx.size and ix.kind = dx.kind and ix.key = array_to_string(dx.key, ' ')),
+        m as materialized (select distinct doc_id, item_id, dx.o - ix.o as shift, ix.o as o, of, ix.v as iv, dx.v as dv, tw, ix.kind as kind from dx join ix on ix.size = dx.size and ix.kind = dx.kind and ix.key = array_to_string(dx.key, ' ')),
         s as (select distinct doc_id, item_id, shift, iv[k] as i, dv[k] as d from m, range(1, len(tw) + 1) r(k) where tw[k] in ('#', '@', '~')),
         c as (select doc_id, item_id, shift, count(distinct i) = count(*) as ok, bool_and(i = d) as same from s group by all),
-        j as (select m.doc_id, m.item_id, count(distinct o) as hits, max(of) as of, bool_and(coalesce(same, true)) as same from m left join c using (doc_id, item_id, shift) where coalesce(ok, true) group by all)
-        select doc_id, item_id, cast(hits as bigint) as windows, round(least(1.0, hits / of), 4) as coverage, case when same then 'verbatim' else 'reparameterised' end as kind
+        j as (select m.doc_id, m.item_id, count(distinct o) as hits, max(of) as of, bool_and(coalesce(same, true)) as same, bool_and(kind = 'whole') as whole from m left join c using (doc_id, item_id, shift) where coalesce(ok, true) group by all)
+        select doc_id, item_id, cast(hits as bigint) as windows, round(least(1.0, hits / of), 4) as coverage, case when whole then 'whole' when same then 'verbatim' else 'reparameterised' end as kind
         from j where least(1.0, hits / of) >= {COVERAGE}"""

@@ -469,6 +469,17 @@ def test_a_repeated_window_counts_once(spark, tmp_path):
     assert sorted(r["doc_id"] for r in decontamination.clean(docs, items).collect()) == [1, 2]
 
 
+def test_items_of_a_few_tokens_are_a_kind_of_their_own(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Too short!"), (2, "this is too short to tell"), (3, "5 apples"), (4, "what is 2 plus 2"), (5, "So: what is 2 plus 2, then?")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "too short"), (2, "5 apples"), (3, "What is 2 plus 2?")], "item_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = decontamination.leaks(docs, items)
+    assert {(r["doc_id"], r["item_id"]): r["kind"] for r in found.collect()} == {(1, 1): "whole", (3, 2): "whole", (4, 3): "verbatim", (5, 3): "verbatim"}
+    expected, _ = oracle_rows(decontamination.oracle(), str(tmp_path))
+    assert rows_of(found) == expected
+
+
 def test_rows_that_are_alike_are_numbered_in_many_tasks(spark):
     """Nine of ten rows have no doc_id, half of them the same text."""
     rows = spark.range(40_000).repartition(16).select(F.when(F.col("id") % 10 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, "same").otherwise(F.col("id").cast("string")).alias("text"))
