@@ -7,6 +7,8 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..streaming.store import Store
+
 
 def apply_filters(events: DataFrame, classes: list[str] = (), statuses: list[str] = (), covers: list[str] = (), start: str | None = None, end: str | None = None, id_prefix: str = "") -> DataFrame:
     """All given conditions hold; an empty list or open end restricts nothing; the id prefix ignores case and outer blanks."""
@@ -44,6 +46,19 @@ def event(events: DataFrame, event_id: str) -> DataFrame:
     return events.filter(F.col("event_id") == event_id)
 
 
+def poll(store: Store, table: str, key: list[str], seen: int) -> tuple[int, DataFrame | None]:
+    """(manifest to ask from next time, rows (op, ...) that have changed since manifest `seen`, or None if nothing was published). Where
+    what was seen is gone, all rows come as `reset`, which replaces what the view holds."""
+    newest = (store.manifests() or [0])[-1]
+    if newest == seen:
+        return seen, None
+    try:
+        return newest, store.changes(table, key, seen, newest)
+    except LookupError:
+        whole = store.read(table, number=newest)
+        return newest, None if whole is None else whole.select(F.lit("reset").alias("op"), "*")
+
+
 def marker_tiers(events: DataFrame, size: float = 0.5) -> DataFrame:
     """Events a map cell, and the size class of its marker."""
     cell = [F.floor(F.col(c) / size).cast("int").alias(n) for c, n in (("centroid_lat", "row"), ("centroid_lon", "col"))]

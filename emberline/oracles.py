@@ -51,6 +51,7 @@ CTE: dict[str, str] = {
     "det": adapter.duck_view(adapter.DET),
     "hist": f"select *, cast(year(acq_date) as int) as year from ({adapter.duck_view(adapter.HIST)})",
     "ras": adapter.RASTER_SQL,
+    "til": adapter.TILES_SQL,
     "edges": f"""select a.id as a, b.id as b, m, d from (select least(a.id, b.id) as x, greatest(a.id, b.id) as y, {hav("a.lat", "a.lon", "b.lat", "b.lon")} as m, cast(b.acq_date - a.acq_date as int) as d
         from det a join det b on {near("a", "b", 750)} and b.acq_date - a.acq_date between 0 and 1 and (b.acq_date > a.acq_date or a.id < b.id)) e join det a on a.id = x join det b on b.id = y where m <= 750""",
     "reach": "select id, id as other from det union select r.id, s.b from reach r join (select a, b from edges union all select b, a from edges) s on r.other = s.a",
@@ -207,6 +208,8 @@ FINAL: dict[str, str] = {
     "osm_nearest_named": "select * from ctx",
     "land_cover": "select * from lc",
     "lc_diversity": "select event_id, nullif(count(distinct nullif(code, 0)), 0) as land_cover_diversity, count(distinct nullif(code, 0)) > 0 as diversity_computable from ev left join ras on abs(row - floor(centroid_lat / 0.25)) <= 1 and abs(col - floor(centroid_lon / 0.25)) <= 1 group by 1",
+    "window_diversity": """select event_id, max(case when row = r and col = c then nullif(code, 0) end) as code, nullif(count(distinct nullif(code, 0)), 0) as diversity from (select event_id, cast(floor(centroid_lat / 3) * 3 as int) as s, cast(floor(centroid_lon / 3) * 3 as int) as w,
+        cast(floor((s + 3.0e0 - centroid_lat) / 0.05e0) as int) as r, cast(floor((centroid_lon - w) / 0.05e0) as int) as c from ev) e left join til on south = s and west = w and abs(row - r) <= 4 and abs(col - c) <= 4 group by 1""",
     "event_evidence": "select * from evd",
     "silver_labels": "select * from sil",
     "label_counts": "select silver_label, ambiguity_reason, count(*) as n from sil group by all",

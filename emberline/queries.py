@@ -18,7 +18,7 @@ from .operators.graph import density_clusters
 from .operators.spatial import nearest_in_own_radius, place_pairs
 from .plans import evaluation, learning
 from .plans.storage import shared_folder, stored
-from .sources import adapter, ingest, runs
+from .sources import adapter, blocks, ingest, runs
 from .streaming import cycle, live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -241,6 +241,15 @@ def lc_diversity(spark: SparkSession, d: str) -> DataFrame:
     return evidence.land_cover_diversity(events_of(spark, d), adapter.raster(spark))
 
 
+@query
+def window_diversity(spark: SparkSession, d: str) -> DataFrame:
+    """The pixel under each event and the classes in its window of 9 by 9 pixels, from tiles that are read by block."""
+    folder = f"{shared_folder(spark)}/emberline/tiles-{uuid.uuid4().hex}"
+    tiles = blocks.Tiles(spark, adapter.write_tiles(spark, folder), "emberline.sources.blocks.file_ranges", f"{folder}/cache")
+    points = events_of(spark, d).select("event_id", F.col("centroid_lat").alias("lat"), F.col("centroid_lon").alias("lon"))
+    return blocks.sample(points, tiles, 4, "event_id")
+
+
 @query
 def event_evidence(spark: SparkSession, d: str) -> DataFrame:
     return evidence_of(spark, d)

@@ -6,9 +6,12 @@ differently.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .raster import encoded
+
 _LAT = "20.1e0 + (({k} * 37) % 450) / 100e0"
 _LON = "68.1e0 + (({k} * 61) % 620) / 100e0"
 _SITE_LAT = "20.2e0 + ({s} % 10) * 0.4e0"
@@ -117,5 +120,25 @@ def raster(spark: SparkSession) -> DataFrame:
     return rows.withColumn("code", F.get(codes, (F.col("row") * 7 + F.col("col")) % 11))
 
 
+#: Rasters of 3 by 3 degrees as files: pixels of 0.05 degrees, whose code is that of their row and column; the last tile is missing.
+TILE_STEP, TILE_PIXELS = 0.05, 60
+TILE_CORNERS = tuple((south, west) for south in (18, 21, 24) for west in (66, 69, 72))[:-1]
+
+
+def write_tiles(spark: SparkSession, folder: str) -> str:
+    """Write the tiles to a shared folder; where they are, with `{tile}` for a name."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    row, col = np.indices((TILE_PIXELS, TILE_PIXELS))
+    for south, west in TILE_CORNERS:
+        pixels = ((row * 7 + col * col + south) % 12 * 10 % 110).astype(np.uint8)
+        path = hadoop.Path(f"{folder}/N{south:02d}E{west:03d}.tif")
+        out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+        out.write(bytearray(encoded(pixels, float(west), south + 3.0, TILE_STEP)))
+        out.close()
+    return f"{folder}/{{tile}}.tif"
+
+
+TILES_SQL = f"""select south, west, r as row, c as col, (r * 7 + c * c + south) % 12 * 10 % 110 as code from (values {", ".join(map(str, TILE_CORNERS))}) t(south, west),
+    (select unnest(range({TILE_PIXELS})) as r), (select unnest(range({TILE_PIXELS})) as c)"""
 RASTER_SQL = """select r as row, c as col, [10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 100][(r * 7 + c) % 11 + 1] as code
     from (select cast(unnest(range(79, 101)) as int) as r), (select cast(unnest(range(271, 301)) as int) as c)"""

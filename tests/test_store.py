@@ -6,6 +6,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from emberline.operators import dashboard
 from emberline.streaming import cycle
 from emberline.streaming.store import Lease, Locked, Store, applied
 
@@ -129,9 +130,13 @@ def test_a_feed_makes_one_version_of_another(spark, tmp_path, in_parts):
         want = {(k, "insert") for k in states[b - 1].keys() - before.keys()} | {(k, "delete") for k in before.keys() - states[b - 1].keys()}
         want |= {(k, "update") for k in before.keys() & states[b - 1].keys() if before[k] != states[b - 1][k]}
         assert {(r["k"], r["op"]) for r in feed.collect()} == want
+    newest, feed = dashboard.poll(store, "t", ["k"], 3)
+    assert newest == 4 and {r["op"] for r in feed.collect()} <= {"insert", "update", "delete"} and dashboard.poll(store, "t", ["k"], 4) == (4, None)
     store.clean(keep=1)
     with pytest.raises(LookupError):
         store.changes("t", ["k"], 2)
+    newest, feed = dashboard.poll(store, "t", ["k"], 2)
+    assert {r["op"] for r in feed.collect()} == {"reset"} and {r["k"] for r in feed.collect()} == set(states[-1])
 
 
 def test_satellites_are_part_of_the_key(spark, tmp_path):
