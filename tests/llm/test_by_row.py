@@ -47,7 +47,7 @@ def test_leaking_rows_go_by_their_text(spark):
 def test_short_items_leak_as_whole_texts_only(spark):
     items = spark.createDataFrame([(1, "yes"), (2, "12 kg!"), (3, "one two three")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "Yes."), (2, "yes we say yes"), (3, "12 KG"), (4, "13 kg"), (5, "one, two three four"), (6, "One two: three")], "doc_id long, text string")
-    assert sorted((r["doc_id"], r["item_id"], r["kind"]) for r in decontamination.leaks(docs, items).collect()) == [(1, 1, "verbatim"), (3, 2, "verbatim"), (6, 3, "verbatim")]
+    assert sorted((r["doc_id"], r["item_id"], r["kind"]) for r in decontamination.leaks(docs, items).collect()) == [(1, 1, "whole"), (3, 2, "whole"), (6, 3, "whole")]
 
 
 NAMES, THINGS, UNITS = ("Tom", "Ann", "Raj", "Mia", "Olu", "Zoe", "Ben", "Kim"), ("rice", "sand", "wool", "salt", "corn"), ("kg", "g", "lb", "tons")
