@@ -38,6 +38,35 @@ LAND_COVER = {
     10: "Tree cover", 20: "Shrubland", 30: "Grassland", 40: "Cropland", 50: "Built-up", 60: "Bare/sparse vegetation",
     70: "Snow/ice", 80: "Water bodies", 90: "Herbaceous wetland", 95: "Mangroves", 100: "Moss/lichen",
 }
+#: Names of categories, and the wording of the monitoring view.
+WORDING = {
+    "strong": "Strong",
+    "moderate": "Moderate",
+    "limited": "Limited",
+    "night": "mostly_night",
+    "day": "mostly_day",
+    "mixed": "mixed",
+    "no_context": "No OSM context",
+    "named_industrial": "Named industrial",
+    "unnamed_industrial": "Unnamed industrial-only",
+    "persistent": "Persistent",
+    "intermittent": "Intermittent",
+    "high_activity": "High-activity",
+    "low_activity": "Low-activity",
+    "seasonal": "Strongly seasonal",
+    "not_seasonal": "Not strongly seasonal",
+    "overlap": "Overlaps persistent cluster #",
+    "no_overlap": "No persistent-cluster overlap.",
+    "just_now": "less than a minute ago",
+    "point": "point_facility",
+    "landuse": "landuse_polygon",
+    "feature": "mapped_feature",
+    "blank": "—",
+    "no_distance": "— (none within search radius)",
+    "recurrence": " (recurrence: ",
+    "unknown": "unknown",
+    "closing": ").",
+}
 GROUPS = ("industrial", "power", "waste", "agricultural", "transport", "other")
 
 
@@ -87,7 +116,7 @@ def classify_tags(tags: Column, dimension: list[tuple] = MAP_TAGS) -> Column:
 
 
 def geometry_class(element: Column, tag: Column) -> Column:
-    return F.when(element == "node", "point_facility").when(F.startswith(tag, F.lit("landuse=")), "landuse_polygon").otherwise("mapped_feature")
+    return F.when(element == "node", WORDING["point"]).when(F.startswith(tag, F.lit("landuse=")), WORDING["landuse"]).otherwise(WORDING["feature"])
 
 
 def named_code(code: Column, names: Mapping[int, str] = LAND_COVER) -> Column:
@@ -98,7 +127,7 @@ def named_code(code: Column, names: Mapping[int, str] = LAND_COVER) -> Column:
 
 
 def recurrence_strength(unique_dates: Column) -> Column:
-    return F.when(unique_dates >= 143, "Strong").when(unique_dates >= 73, "Moderate").otherwise("Limited")
+    return F.when(unique_dates >= 143, WORDING["strong"]).when(unique_dates >= 73, WORDING["moderate"]).otherwise(WORDING["limited"])
 
 
 def short_window(span_days: Column) -> Column:
@@ -110,14 +139,14 @@ def burst_concentrated(top3_share: Column) -> Column:
 
 
 def day_night_pattern(night_fraction: Column) -> Column:
-    return F.when(night_fraction > 0.7, "mostly_night").when(night_fraction < 0.3, "mostly_day").otherwise("mixed")
+    return F.when(night_fraction > 0.7, WORDING["night"]).when(night_fraction < 0.3, WORDING["day"]).otherwise(WORDING["mixed"])
 
 
 def map_context_bucket(found: Column, group: Column, named: Column) -> Column:
     return (
-        F.when(found == 0, "No OSM context")
-        .when((group == "industrial") & named, "Named industrial")
-        .when(group == "industrial", "Unnamed industrial-only")
+        F.when(found == 0, WORDING["no_context"])
+        .when((group == "industrial") & named, WORDING["named_industrial"])
+        .when(group == "industrial", WORDING["unnamed_industrial"])
         .when(group.isin("power", "waste", "agricultural", "transport"), F.initcap(group))
         .otherwise("Other")
     )
@@ -129,29 +158,27 @@ def imputed_distance(distance: Column, extent_m: Column) -> Column:
 
 
 def persistence_category(unique_years: Column) -> Column:
-    return F.when(unique_years == 5, "Persistent").otherwise("Intermittent")
+    return F.when(unique_years == 5, WORDING["persistent"]).otherwise(WORDING["intermittent"])
 
 
 def activity_category(total: Column, median: Column) -> Column:
-    return F.when(total >= median, "High-activity").otherwise("Low-activity")
+    return F.when(total >= median, WORDING["high_activity"]).otherwise(WORDING["low_activity"])
 
 
 def seasonality_category(share: Column, p75: Column) -> Column:
-    return F.when(share >= p75, "Strongly seasonal").otherwise("Not strongly seasonal")
+    return F.when(share >= p75, WORDING["seasonal"]).otherwise(WORDING["not_seasonal"])
 
 
-BLANK = "—"
-NO_DISTANCE = "— (none within search radius)"
 LOCAL_ZONE, LOCAL_NAME = "Asia/Kolkata", "IST"
 
 
 def display_distance(metres: Column) -> Column:
     """Whole metres with thousands separated; a null distance says that nothing was in reach."""
-    return F.when(metres.isNull(), NO_DISTANCE).otherwise(F.concat(F.format_number(F.round(metres, 0), 0), F.lit(" m")))
+    return F.when(metres.isNull(), WORDING["no_distance"]).otherwise(F.concat(F.format_number(F.round(metres, 0), 0), F.lit(" m")))
 
 
 def display_number(value: Column, digits: int, unit: str = "") -> Column:
-    return F.when(value.isNull(), BLANK).otherwise(F.concat(F.format_string(f"%.{digits}f", settled(value.cast("double"), digits)), F.lit(unit)))
+    return F.when(value.isNull(), WORDING["blank"]).otherwise(F.concat(F.format_string(f"%.{digits}f", settled(value.cast("double"), digits)), F.lit(unit)))
 
 
 def display_percent(share: Column, digits: int = 1) -> Column:
@@ -167,8 +194,8 @@ def display_coordinate(degrees: Column, digits: int = 4) -> Column:
 
 
 def display_overlap(cluster_id: Column, strength: Column) -> Column:
-    found = F.concat(F.lit("Overlaps persistent cluster #"), cluster_id.cast("string"), F.lit(" (recurrence: "), F.coalesce(strength, F.lit("unknown")), F.lit(")."))
-    return F.when(cluster_id.isNull(), "No persistent-cluster overlap.").otherwise(found)
+    found = F.concat(F.lit(WORDING["overlap"]), cluster_id.cast("string"), F.lit(WORDING["recurrence"]), F.coalesce(strength, F.lit(WORDING["unknown"])), F.lit(WORDING["closing"]))
+    return F.when(cluster_id.isNull(), WORDING["no_overlap"]).otherwise(found)
 
 
 def seconds_since(then: Column, now: Column) -> Column:
@@ -185,14 +212,14 @@ def display_clock(utc: Column) -> Column:
 
 
 def display_date(utc: Column) -> Column:
-    return F.coalesce(F.date_format(F.from_utc_timestamp(utc, LOCAL_ZONE), "dd MMM yyyy"), F.lit(BLANK))
+    return F.coalesce(F.date_format(F.from_utc_timestamp(utc, LOCAL_ZONE), "dd MMM yyyy"), F.lit(WORDING["blank"]))
 
 
 def display_age(seconds: Column) -> Column:
     """`less than a minute ago`, `1 minute ago`, `5 hours ago`, `2 days ago`."""
     part = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
     minutes, hours, days = (F.floor(seconds / k) for k in (60, 3600, 86400))
-    return F.when(seconds < 60, "less than a minute ago").when(minutes < 60, part(minutes, "minute")).when(hours < 24, part(hours, "hour")).otherwise(part(days, "day"))
+    return F.when(seconds < 60, WORDING["just_now"]).when(minutes < 60, part(minutes, "minute")).when(hours < 24, part(hours, "hour")).otherwise(part(days, "day"))
 
 
 def is_stale(seconds: Column, interval_s: int = 1800) -> Column:
