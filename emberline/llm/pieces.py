@@ -22,6 +22,7 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -31,11 +32,11 @@ from pyspark.sql import functions as F
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-CACHED_CHUNKS, CACHED_LENGTH = 500_000, 48
+CACHED_CHUNKS, CACHED_LENGTH = 250_000, 48
 #: Characters of a chunk up to which all its pairs are looked through for each merge; beyond, a heap holds them.
 SCANNED = 64
 #: Pieces of the rows that a batch of results holds, if more than one row.
-BATCH_PIECES = 1_000_000
+BATCH_PIECES = 400_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BYTE_PAIR = 2
 
@@ -169,16 +170,23 @@ class PieceModel(dict):
         own = sorted((p for p, k in self.ids.items() if self.kinds[k] == USER), key=len, reverse=True)
         self.user = re.compile("|".join(map(re.escape, own))) if own else None
         apart = not any(re.search(f"[^{MARK}]{MARK}", p) for p, k in self.ids.items() if self.kinds[k] != USER) and MARK in self.ids
-        order = {v: r for r, v in enumerate(sorted({self.scores[k] for k in self.ids.values()}, reverse=True))}
-        self.ranks = {p: order[self.scores[k]] for p, k in self.ids.items()}
         self.parts = UNUSED in self.kinds
-        self.symbols = Symbols(self.ids, self.unknown, self.bytes if self.byte_fallback else None)
         self.plain = [p.replace(MARK, " ") if kind in (NORMAL, USER, UNUSED) else None for p, kind in zip(self.pieces, self.kinds, strict=True)]
         for byte, k in self.bytes.items():
             if byte < 0x80:
                 self.plain[k] = chr(byte)
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if apart else r"[\s\S]+")
 
+    @cached_property
+    def symbols(self) -> Symbols:
+        return Symbols(self.ids, self.unknown, self.bytes if self.byte_fallback else None)
+
+    @cached_property
+    def ranks(self) -> dict[str, int]:
+        """Each piece's place by falling score; equal scores share one."""
+        order = {v: r for r, v in enumerate(sorted({self.scores[k] for k in self.ids.values()}, reverse=True))}
+        return {p: order[self.scores[k]] for p, k in self.ids.items()}
+
     # normalising
 
     def _units(self, text: str) -> Iterator[tuple[str, int, int]]:
