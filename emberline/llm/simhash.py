@@ -19,7 +19,8 @@ The components of the first links are the nodes of the second search, so that on
 
 Equal fingerprints are one node, made by an aggregation with partial sums, so exact copies cost nothing further. A segment
 that a large group shares, and a component or fingerprint with most rows, are skewed sides of joins that are dealt out for
-the join alone, so adaptive execution splits them.
+the join alone, so adaptive execution splits them. Tables of fingerprints are joined by sorting (`graph.merged`): none goes
+through the driver, however small Spark believes it to be.
 
 Defined results: null and empty texts and texts without words have fingerprint zero, linked like any other; a null doc_id
 is its own row and counts after all others; repeated rows each keep their row; equal smallest doc_ids name the same
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..operators.graph import anew, connected_components
+from ..operators.graph import anew, connected_components, merged
 from .common import stored
 
 WORDS_PER_SHINGLE = 4
@@ -172,33 +173,33 @@ def link_components(nodes: DataFrame) -> DataFrame:
     """
     keyed = _segments(nodes.select("fp"))
     least = keyed.groupBy("key").agg(F.min("fp").alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(anew(F.col("key")).alias("_key"), "first")
-    stars = keyed.join(least, F.col("key") == F.col("_key")).filter((F.col("fp") != F.col("first")) & (_differ("fp", "first") <= MOST_BITS)).select(F.col("fp").alias("src"), F.col("first").alias("dst"))
+    stars = keyed.join(merged(least), F.col("key") == F.col("_key")).filter((F.col("fp") != F.col("first")) & (_differ("fp", "first") <= MOST_BITS)).select(F.col("fp").alias("src"), F.col("first").alias("dst"))
     parts = connected_components(stars).select(F.col("node").alias("_fp"), F.col("component").alias("_part"))
-    labelled = stored(nodes.select("fp").join(parts, F.col("fp") == F.col("_fp"), "left").select("fp", F.coalesce("_part", "fp").alias("part")), "parts")
+    labelled = stored(nodes.select("fp").join(merged(parts), F.col("fp") == F.col("_fp"), "left").select("fp", F.coalesce("_part", "fp").alias("part")), "parts")
 
     def links(index: DataFrame, probe: DataFrame) -> DataFrame:
         other = probe.select(F.col("key").alias("_key"), F.col("fp").alias("_fp"), F.col("part").alias("_part"))
         same = (F.col("key") == F.col("_key")) & (F.col("part") != F.col("_part")) & (_differ("fp", "_fp") <= MOST_BITS)
-        return index.join(other, same).select(F.col("part").alias("src"), F.col("_part").alias("dst"))
+        return index.join(merged(other), same).select(F.col("part").alias("src"), F.col("_part").alias("dst"))
 
     whole = _segments(labelled)
     mixed = whole.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).filter("_low < _high").select(anew(F.col("key")).alias("_mixed"))
     # read back, so that both sides of the join within keys are dealt out for it
-    several = stored(whole.join(mixed, F.col("key") == F.col("_mixed"), "left_semi"), "several")
+    several = stored(whole.join(merged(mixed), F.col("key") == F.col("_mixed"), "left_semi"), "several")
     found = links(several, several).unionByName(links(_keyed(labelled, False), _keyed(labelled, True)))
     joined = connected_components(found).select(F.col("node").alias("_node"), "component")
     # a part with most fingerprints is a skewed side: the components are dealt out anew by their node
-    return labelled.join(joined, F.col("part") == F.col("_node"), "left").select("fp", F.coalesce("component", "part").alias("component"))
+    return labelled.join(merged(joined), F.col("part") == F.col("_node"), "left").select("fp", F.coalesce("component", "part").alias("component"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Every row with its fingerprint and the smallest doc_id of its component."""
     prints = stored(fingerprints(docs), "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "nodes")
-    linked = stored(nodes.withColumnRenamed("fp", "_node").join(link_components(nodes), F.col("_node") == F.col("fp")).select("fp", "first_doc", "component"), "linked")
+    linked = stored(nodes.withColumnRenamed("fp", "_node").join(merged(link_components(nodes)), F.col("_node") == F.col("fp")).select("fp", "first_doc", "component"), "linked")
     smallest = linked.groupBy("component").agg(F.min("first_doc").alias("component_id")).select(anew(F.col("component")).alias("_component"), "component_id")
-    named = linked.join(smallest, F.col("component") == F.col("_component")).select(F.col("fp").alias("_fp"), "component_id")
-    return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = linked.join(merged(smallest), F.col("component") == F.col("_component")).select(F.col("fp").alias("_fp"), "component_id")
+    return prints.join(merged(named), F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_rows(rows: DataFrame, fp: str, row: str) -> DataFrame:
@@ -208,5 +209,5 @@ def first_rows(rows: DataFrame, fp: str, row: str) -> DataFrame:
     """
     order = F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_doc"), F.col(row).alias("_row"))
     nodes = stored(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first")), "nodes")
-    linked = nodes.withColumnRenamed("fp", "_node").join(link_components(nodes), F.col("_node") == F.col("fp"))
+    linked = nodes.withColumnRenamed("fp", "_node").join(merged(link_components(nodes)), F.col("_node") == F.col("fp"))
     return linked.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first._row").alias(row))
