@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from emberline.llm import decontamination, packing, quality, simhash, toxicity
 from emberline.llm.common import stored, table, unused
+from emberline.operators.graph import merged
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     row, fp = unused("_row", docs.columns), unused("_fp", docs.columns)
     rows = stored(simhash.with_fingerprint(docs.withColumn(row, F.monotonically_increasing_id()), fp), "rows")
-    return rows.join(simhash.first_rows(rows, fp, row), row, "left_semi").select(*docs.columns)
+    return rows.join(merged(simhash.first_rows(rows, fp, row)), row, "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
