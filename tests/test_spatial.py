@@ -263,3 +263,38 @@ def test_top_in_radius_counts_all(spark):
     right = spark.createDataFrame([(k, 21.0 + k * 0.001, 72.0) for k in range(20)], "k long, lat double, lon double")
     rows = top_in_radius(left, right, "r", 3000.0, 5, ["k"]).orderBy("rank").collect()
     assert [r["r_k"] for r in rows] == [0, 1, 2, 3, 4] and rows[0]["found"] == 9
+
+
+def test_many_places_at_a_site_give_few_links(spark, monkeypatch):
+    """1,500 places of one site over ten days, and 20 of a site beside it: links are of parts, not of pairs of places."""
+    rng = random.Random(21)
+    rows = [(21.0 + rng.random() * 0.006, 72.0 + rng.random() * 0.006, k % 10) for k in range(1500)] + [(21.011, 72.0 + 1e-5 * k, 3) for k in range(20)]
+    seen = []
+
+    def counted(edges, *args):
+        seen.append(edges.count())
+        return connected_components(edges, *args)
+
+    monkeypatch.setattr(E, "connected_components", counted)
+    found = E.event_components(detections(spark, rows))
+    assert {r["component"] for r in found.collect()} == {0} and seen[0] <= 30
+
+
+def test_components_of_dense_and_odd_places(spark):
+    """Against all pairs, with days apart, places that are no numbers, and several gaps between days."""
+    rng = random.Random(22)
+    for eps_days in (0, 1, 2):
+        rows = [(21 + rng.random() * 0.05, 72 + rng.random() * 0.05, rng.randrange(9)) for _ in range(220)] + [(float("nan"), 72.0, 0), (float("nan"), 72.0, 1), (21.0, float("inf"), 0)]
+        near = lambda a, b: all(map(math.isfinite, (*a[:2], *b[:2]))) and metres(*a[:2], *b[:2]) <= 750 and abs(a[2] - b[2]) <= eps_days  # noqa: B023, E731
+        want = list(range(len(rows)))
+        changed = True
+        while changed:
+            changed = False
+            for a in range(len(rows)):
+                for b in range(a):
+                    if near(rows[a], rows[b]) and want[a] != want[b]:
+                        want[a] = want[b] = min(want[a], want[b])
+                        changed = True
+        for few in (0, E.ONE_TASK_EDGES):
+            got = {r["id"]: r["component"] for r in E.event_components(detections(spark, rows), eps_days=eps_days, one_task=few).collect()}
+            assert got == dict(enumerate(want))
