@@ -1,6 +1,7 @@
 """Grouping, the feature matrix, figures, loaders and the dashboard's small operators."""
 
 import random
+from datetime import date
 
 import numpy as np
 import pytest
@@ -169,3 +170,21 @@ def test_small_operators(spark):
     assert [r[0] for r in dashboard.cover_options(events).collect()] == ["Built-up", "Cropland"] and dashboard.event(events, "E3").count() == 1
     rows = reports.positions(spark.createDataFrame([(3, "b"), (1, "a"), (2, "a"), (4, None)], "id long, day string"), "day", ["id"]).collect()
     assert {r["id"]: r["position"] for r in rows} == {4: 0, 1: 1, 2: 2, 3: 3}
+
+
+def test_fits_of_a_grid_run_side_by_side(spark):
+    """All fits meet before any goes on, so a grid that fits one model after the other would never end; the table is that of single fits."""
+    from threading import Barrier
+
+    rows = spark.createDataFrame([(k, f"EVT{k:06d}", "ab"[k % 2], float(k % 2 + k % 5), 21.0 + k % 4, 72.0, date(2020 + k % 2 * 4, 1, 1)) for k in range(40)], "n long, event_id string, y string, x double, centroid_lat double, centroid_lon double, start_date date")
+    gate = Barrier(4, timeout=60)
+
+    def met(*args):
+        gate.wait()
+        return learning.fit_logistic(*args)
+
+    sets = {"one": (["x"], []), "two": (["x", "centroid_lat"], [])}
+    out = evaluation.run_grid(rows, "y", sets, models={"met": met})
+    alone = evaluation.run_grid(rows, "y", {"one": sets["one"]}, models={"met": learning.fit_logistic})
+    assert {(r["feature_set"], r["split"], r["model"]) for r in out.collect()} == {(s, m, k) for s in sets for m in ("temporal", "spatial") for k in ("majority", "met")}
+    assert sorted(map(repr, out.filter("feature_set = 'one'").collect())) == sorted(map(repr, alone.collect()))
