@@ -2,9 +2,10 @@
 
 A text has strength exp(s), s = w . x over standardised features; a good text is preferred over a poor one with
 probability sigmoid(s_good - s_poor). w minimises the logistic loss over preference pairs, which is a logistic regression
-on feature differences. Pairs come from a bounded sample of labelled rows: each sampled text meets PAIRS_EACH texts of the other class.
+on feature differences. Every labelled training row takes part: each meets PAIRS_EACH texts of the other class, drawn by a hash of its
+doc_id from their numbers. Pairs are written once; each of Newton's steps is a pass over them that leaves one sum for each entry.
 
-The threshold is a quantile of the scores of sampled rows, weighted so that classes have their shares among all labelled
+The threshold is a quantile of the scores of all training rows, found by counting within ever smaller ranges, weighted so that classes have their shares among all labelled
 training rows: the quantile is the share of poor rows. A score is sigmoid((s - threshold) / spread), so 0.5 is the cut.
 Between the highest poor and the lowest good score next to the quantile the cut is put midway.
 
@@ -30,14 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fold, labelled_sample
+from .common import fold, gapless_rank, labelled_rows, rank_buckets, stored
 
-SAMPLE_PER_CLASS = 2500
 PAIRS_EACH = 8
 L2 = 1e-3
 STEPS = 40
 FOLDS, HELD_OUT = 3, 1
 SEED = 7
+#: Ranges that scores are counted in at once, and different scores that the driver gets at most.
+RANGES = 1000
 FEATURES = (
     "symbols", "digits", "capitals", "exclamations", "bars", "commas", "stops", "spaces", "word_length", "long_words",
     "repeated_words", "repeated_pairs", "repeated_lines", "top_word", "log_words", "short_sentences", "mixed_words", "log_line",
@@ -88,7 +90,7 @@ def features(text: str | None) -> list[float]:
 
 
 def fit(x: np.ndarray, y: np.ndarray, good_share: float) -> dict | None:
-    """The model from sampled features, labels (1 good) and the share of good rows among all labelled training rows."""
+    """What `train` finds, for few rows in memory and with other drawn pairs: the model from features, labels (1 good) and the share of good rows among all labelled training rows."""
     good, poor = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(poor):
         return None
@@ -125,16 +127,135 @@ def apply(model: dict | None, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip((s - model["threshold"]) / model["scale"], -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, per_class: int = SAMPLE_PER_CLASS) -> dict | None:
+SIZE = len(FEATURES)
+
+
+def standardised(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean) / spread, -8, 8)
+
+
+def _lists(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _paired(rows: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """(d): the differences, good less poor, of every row to PAIRS_EACH rows of the other class.
+
+    rows: (doc_id, y, z) as `stored` gives it. Rows are numbered within their class; a row asks for PAIRS_EACH numbers of the other.
+    """
+    numbered = stored(gapless_rank(rows, "y", F.xxhash64("doc_id"), ["doc_id"], rank_buckets(sum(sizes.values()))), "quality-rows")
+    many = F.when(F.col("y") == 1, F.lit(sizes[0])).otherwise(F.lit(sizes[1]))
+    each = F.explode(F.sequence(F.lit(1), F.lit(PAIRS_EACH)))
+    asked = numbered.select((1 - F.col("y")).alias("y"), "z", "doc_id", each.alias("_k"), many.alias("_many"))
+    asked = asked.select("y", "z", F.pmod(F.xxhash64("doc_id", "_k", F.lit(SEED)), F.col("_many")).alias("slot"))
+    other = numbered.select(F.col("y").alias("_y"), F.col("slot").alias("_slot"), F.col("z").alias("_z"))
+    met = asked.join(other.hint("merge"), (F.col("y") == F.col("_y")) & (F.col("slot") == F.col("_slot")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                # y is the class of the row that was met
+                sign = np.where(batch.column(0).to_numpy() == 0, 1.0, -1.0)[:, None]
+                d = sign * (_lists(batch.column(1)) - _lists(batch.column(2)))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1) * SIZE, pa.int32()), pa.array(d.ravel()))], ["d"])
+
+    return stored(met.select("y", "z", "_z").mapInArrow(run, "d array<double>"), "quality-pairs")
+
+
+def _sums(rows: DataFrame, entries, width: int) -> np.ndarray:
+    """The sum over all rows of what `entries` makes of a batch: `width` numbers, summed by task and then by entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            if batch.num_rows:
+                total += entries(_lists(batch.column(0)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(total)], ["k", "v"])
+
+    found = rows.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # width rows
+    out = np.zeros(width)
+    for r in found:
+        out[r["k"]] = r["v"]
+    return out
+
+
+def newton(pairs: DataFrame) -> np.ndarray:
+    """The weights with the least logistic loss over the pairs."""
+    w = np.zeros(SIZE)
+    for _ in range(STEPS):
+        now = w
+
+        def entries(d: np.ndarray) -> np.ndarray:
+            p = 1 / (1 + np.exp(np.clip(d @ now, -30, 30)))  # noqa: B023
+            return np.concatenate([[len(d)], -(d * p[:, None]).sum(0), ((d * (p * (1 - p))[:, None]).T @ d).ravel()])
+
+        found = _sums(pairs, entries, 1 + SIZE + SIZE * SIZE)
+        gradient, curve = found[1 : SIZE + 1] / found[0] + L2 * w, found[SIZE + 1 :].reshape(SIZE, SIZE) / found[0] + L2 * np.eye(SIZE)
+        step = np.linalg.solve(curve, gradient)
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def cut(scored: DataFrame, weight: dict[int, float], share: float) -> float:
+    """Midway between the score (s, y) at which the rows' weights first come to `share`, and the one before it."""
+    low, high = scored.agg(F.min("s"), F.max("s")).first()
+    top, before, base = high, None, 0.0
+    weights = lambda c: sum(F.count_if(F.col("y") == y) * F.lit(v) for y, v in weight.items()).alias(c)
+    while True:
+        inside = scored.filter(F.col("s").between(low, high))
+        few = inside.select("s").distinct().limit(RANGES + 1).count() <= RANGES
+        key = F.col("s") if few else F.least(F.floor((F.col("s") - low) / F.lit((high - low) / RANGES)), F.lit(RANGES - 1))
+        parts = sorted(inside.groupBy(key.alias("_at")).agg(weights("w"), F.min("s").alias("low"), F.max("s").alias("high"), F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["low"])  # RANGES rows
+        for r in parts:
+            if base + r["w"] >= share + 1e-12 or r["high"] == top:
+                break
+            base, before = base + r["w"], r["high"]
+        if few:
+            # the row before it may have the same score
+            again = r["n"] > 1 and base + min(weight.values()) < share + 1e-12
+            return r["low"] if before is None or again else (before + r["low"]) / 2
+        low, high = r["low"], r["high"]
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT) -> dict | None:
+    """The model, from every labelled training row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = pa.array([features(t.as_py()) for t in batch.column(1)], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), x, batch.column(2)], ["doc_id", "x", "y"])
+            yield pa.RecordBatch.from_arrays([x, batch.column(0), batch.column(2)], ["x", "doc_id", "y"])
 
-    rows = sorted(labelled_sample(docs, labels, label, folds, held_out, per_class).mapInArrow(run, "doc_id long, x array<double>, y int").collect(), key=lambda r: r["doc_id"])
+    rows = stored(labelled_rows(docs, labels, label, folds, held_out).mapInArrow(run, "x array<double>, doc_id long, y int"), "quality-features")
+    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    if not sizes.get(0) or not sizes.get(1):
+        return None
     training = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out))
     share = training.agg(F.avg(F.col(label).cast("double"))).first()[0]
-    return fit(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]), share) if rows else None
+    n = sum(sizes.values())
+    mean = _sums(rows.select("x"), lambda x: x.sum(0), SIZE) / n
+    spread = np.sqrt(_sums(rows.select("x"), lambda x: ((x - mean) ** 2).sum(0), SIZE) / n)
+    spread[spread < 1e-12] = 1.0
+
+    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                z = standardised(_lists(batch.column(0)), mean, spread)
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1) * SIZE, pa.int32()), pa.array(z.ravel()))], ["doc_id", "y", "z"])
+
+    z = stored(rows.mapInArrow(scaled, "doc_id long, y int, z array<double>"), "quality-scaled")
+    w = newton(_paired(z, sizes))
+
+    def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((_lists(batch.column(1)) * w).sum(1))], ["y", "s"])
+
+    scored = stored(z.select("y", "z").mapInArrow(strengths, "y int, s double"), "quality-scores")
+    threshold = cut(scored, {1: share / sizes[1], 0: (1 - share) / sizes[0]}, 1 - share)
+    scale = scored.agg(F.stddev_pop("s")).first()[0] / 4
+    return {"mean": mean, "spread": spread, "w": w, "threshold": threshold, "scale": max(1e-9, scale)}
 
 
 def score(docs: DataFrame, model: dict | None, carry: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:

@@ -21,3 +21,25 @@ def test_no_table_of_fingerprints_goes_through_the_driver(spark, small, monkeypa
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert out.count() == 2 * docs.count()
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """Rows beyond the first thousands count: a model of 5,300 rows has the mean of all of them, its cut leaves out the poor share, and it
+    loses nothing on fresh pairs against a fit in memory."""
+    import numpy as np
+
+    from emberline.llm import quality
+
+    rng = np.random.default_rng(5)
+    y = (rng.random(8000) < 0.8).astype(int)
+    texts = [" ".join(rng.choice(["alpha", "beta", "Gamma", "12", "!"] if good else ["!!", "x9", "|", "AA", "alpha"], rng.integers(5, 12))) for good in y]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(v)) for k, v in enumerate(y)], "doc_id long, quality int")
+    used = [r[0] for r in labels.filter(quality.fold("doc_id", 3) != 1).collect()]
+    x = np.array([quality.features(texts[k]) for k in used])
+    model = quality.train(docs, labels)
+    assert len(used) > 5000 and np.allclose(model["mean"], x.mean(0))
+    passed = quality.apply(model, x) >= 0.5
+    assert abs(passed.mean() - y[used].mean()) < 2e-3
+    local = quality.fit(x, y[used], float(y[used].mean()))
+    assert (passed == (quality.apply(local, x) >= 0.5)).mean() > 0.98
