@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections import defaultdict
 
 import numpy as np
 
@@ -19,6 +20,7 @@ SEEK_EVERY = 64  # frames between seek points
 CHUNK = 8192  # frames coded at once
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 SIZES = {0: 0, 1: 8, 2: 12, 4: 16, 5: 20, 6: 24}
+WINDOW = 2_000_000  # bytes that a frame is looked for in, where its stream does not say how long frames are
 
 
 class FlacError(ValueError):
@@ -217,7 +219,7 @@ class Info:
     def __init__(self, stream: bytes):
         if stream[:4] != b"fLaC":
             raise FlacError("no FLAC marker")
-        at, last, self.seek = 4, False, []
+        at, last, self.seek, self.largest = 4, False, [], 0
         while not last:
             if at + 4 > len(stream):
                 raise FlacError("metadata is cut off")
@@ -228,7 +230,7 @@ class Info:
                 packed = int.from_bytes(body[10:18], "big")
                 self.block, self.rate = struct.unpack(">H", body[2:4])[0], packed >> 44
                 self.channels, self.bits, self.samples = (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, packed & ((1 << 36) - 1)
-                self.md5 = body[18:34]
+                self.md5, self.largest = body[18:34], int.from_bytes(body[7:10], "big")
             elif kind & 127 == 3:
                 self.seek = [struct.unpack_from(">QQH", body, k) for k in range(0, size - 17, 18)]
         self.first = at
@@ -421,8 +423,8 @@ def decode_frames(buf: np.ndarray, at: np.ndarray, default_bits: np.ndarray) ->
 def find_frames(buf: np.ndarray, first: np.ndarray, last: np.ndarray, counts: np.ndarray) -> np.ndarray | None:
     """The positions of all frames of fixed-size streams at once, by sync code, header checksum and running number.
 
-    Stream k takes buf[first[k]:last[k]] and has counts[k] frames. None if the numbers don't run through everywhere (a
-    false sync in coded data, or a broken stream): the caller then decodes one frame after the other.
+    Stream k takes buf[first[k]:last[k]] and has counts[k] frames. Coded data that look like a header are told apart (`_chain`). None
+    if a stream is broken: the caller then decodes one frame after the other.
     """
     at = np.flatnonzero((buf[:-1] == 0xFF) & (buf[1:] >> 1 == 0x7C))
     stream = np.searchsorted(first, at, "right") - 1
@@ -433,11 +435,51 @@ def find_frames(buf: np.ndarray, first: np.ndarray, last: np.ndarray, counts: np
     h = headers(buf, at)
     good = h["ok"] & (h["variable"] == 0)
     at, stream, number = at[good], stream[good], h["number"][good]
-    if len(at) != counts.sum() or (np.bincount(stream, minlength=len(counts)) != counts).any():
-        return None
-    if (number != np.arange(len(at)) - (np.cumsum(counts) - counts)[stream]).any():
-        return None
-    return at
+    ends = np.cumsum(np.bincount(stream, minlength=len(counts)))
+    parts: list[np.ndarray] = []
+    for k, (end, count) in enumerate(zip(ends.tolist(), counts.tolist(), strict=True)):
+        begin = int(ends[k - 1]) if k else 0
+        own = at[begin:end]
+        if end - begin != count or (number[begin:end] != np.arange(count)).any():
+            own = _chain(buf, own, number[begin:end], int(first[k]), int(last[k]), count)
+            if own is None:
+                return None
+        parts.append(own)
+    return np.concatenate(parts)
+
+
+def _chain(buf: np.ndarray, at: np.ndarray, number: np.ndarray, first: int, last: int, count: int) -> np.ndarray | None:
+    """The frames of one stream among the places `at` that look like headers, as coded data may by chance. Each frame has the next number;
+    where several places have it, the frame is where the one before it ends."""
+    places = defaultdict(list)
+    for a, n in zip(at.tolist(), number.tolist(), strict=True):
+        places[n].append(a)
+    out = [first]
+    for want in range(1, count):
+        found = [a for a in places[want] if a > out[-1]]
+        if len(found) > 1:
+            try:
+                end = out[-1] + int(decode_frames(buf[out[-1] : min(last, out[-1] + 4 * BLOCK)], np.array([0]), np.array([8]))[1][0])
+            except FlacError:
+                return None
+            found = [a for a in found if a == end]
+        if len(found) != 1:
+            return None
+        out.append(found[0])
+    return np.array(out) if count and first in places[0] else None
+
+
+def _frame(buf: np.ndarray, at: int, info: Info) -> tuple[np.ndarray, int]:
+    """(samples, end) of the frame at a place. No more is looked at than the stream's largest frame has, if that is said and is so."""
+    bits = np.array([info.bits])
+    if 0 < info.largest < WINDOW:
+        try:
+            block, ends = decode_frames(buf[at : at + info.largest], np.array([0]), bits)
+            return block[0], at + int(ends[0])
+        except FlacError:
+            pass
+    block, ends = decode_frames(buf[at : at + WINDOW], np.array([0]), bits)
+    return block[0], at + int(ends[0])
 
 
 def decode(stream: bytes) -> tuple[Info, np.ndarray]:
@@ -446,9 +488,9 @@ def decode(stream: bytes) -> tuple[Info, np.ndarray]:
     buf = np.frombuffer(stream, np.uint8)
     at, parts, got = info.first, [], 0
     while at < len(stream) and (not info.samples or got < info.samples):
-        block, ends = decode_frames(buf[at : at + 2_000_000], np.array([0]), np.array([info.bits]))
-        parts.append(block[0])
-        got, at = got + len(block[0]), at + int(ends[0])
+        block, at = _frame(buf, at, info)
+        parts.append(block)
+        got += len(block)
     samples = np.concatenate(parts) if parts else np.zeros((0, info.channels), np.int64)
     if info.samples and got < info.samples:
         raise FlacError("frames are missing")

@@ -43,3 +43,28 @@ def test_quality_learns_from_every_labelled_row(spark):
     assert abs(passed.mean() - y[used].mean()) < 2e-3
     local = quality.fit(x, y[used], float(y[used].mean()))
     assert (passed == (quality.apply(local, x) >= 0.5)).mean() > 0.98
+
+
+def test_coded_data_that_look_like_a_header_leave_frames_together():
+    """A header inside plain samples, with any number or with the very next one: the frames are still found all at once, and the samples come back."""
+    import numpy as np
+
+    from emberline.llm import flac
+
+    rng = np.random.default_rng(8)
+    whole = rng.integers(0, 256, (9, 192)).astype(np.uint8)
+    stream = flac.encode_many([whole.tobytes()])[0]
+    at = flac.Info(stream).first
+    buf = np.frombuffer(stream, np.uint8)
+    frames = flac.find_frames(buf, np.array([at]), np.array([len(buf)]), np.array([9]))
+    heads = {k: buf[a : a + n] ^ 0x80 for k, (a, n) in enumerate(zip(frames, flac.headers(buf, frames)["length"], strict=True))}
+    for planted in (6, 1, 0, 3):
+        odd = whole.copy()
+        odd[2 if planted == 3 else 0, 50 : 50 + len(heads[planted])] = heads[planted]
+        streams = flac.encode_many([whole.tobytes(), odd.tobytes(), whole[:2].tobytes()])
+        sizes = np.array([len(s) for s in streams])
+        last = np.cumsum(sizes)
+        first = last - sizes + np.array([flac.Info(s).first for s in streams])
+        found = flac.find_frames(np.frombuffer(b"".join(streams), np.uint8), first, last, np.array([9, 9, 2]))
+        assert found is not None and len(found) == 20
+        assert flac.decode_many(streams) == [whole.tobytes(), odd.tobytes(), whole[:2].tobytes()]
