@@ -68,3 +68,32 @@ def test_coded_data_that_look_like_a_header_leave_frames_together():
         found = flac.find_frames(np.frombuffer(b"".join(streams), np.uint8), first, last, np.array([9, 9, 2]))
         assert found is not None and len(found) == 20
         assert flac.decode_many(streams) == [whole.tobytes(), odd.tobytes(), whole[:2].tobytes()]
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """A stem that only rows beyond the first 2,500 of each class would show in its true share has its weight from all rows: the model is that of
+    a fit in memory over all of them. Of several texts of a doc_id the smallest trains."""
+    import numpy as np
+
+    from emberline.llm import toxicity
+
+    rng = np.random.default_rng(4)
+    y = np.arange(8000) % 10 == 0
+    texts = [" ".join(rng.choice(["grunk", "mild", "stone"] if bad else ["mild", "stone", "river", "cloud"], 4)) for bad in y]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(v)) for k, v in enumerate(y)], "doc_id long, toxic int")
+    used = [r[0] for r in labels.filter(toxicity.fold("doc_id", 5) != 0).collect()]
+    cells, weights, bias = toxicity.train(docs, labels)
+    own = [toxicity.present(texts[k]) for k in used]
+    n = [int((~y[used]).sum()), int(y[used].sum())]
+    count = [np.bincount(np.concatenate([c for c, k in zip(own, used, strict=True) if y[k] == kind]), minlength=1 << toxicity.HASH_BITS) for kind in (0, 1)]
+    z = np.abs(r := toxicity.ratios(*count, *n)) / np.sqrt(1 / (count[0] + 1) + 1 / (count[1] + 1))
+    chosen = np.flatnonzero((np.round(z, 9) > 0) & (count[0] + count[1] >= toxicity.LEAST_TEXTS))
+    assert n[0] > 5000 and len(chosen) <= toxicity.CELLS
+    w, b = toxicity.descend([np.flatnonzero(np.isin(chosen, c)).astype(np.uint16) for c in own], y[used].astype(int), r[chosen])
+    want = dict(zip(chosen.tolist(), w * r[chosen], strict=True))
+    assert set(cells.tolist()) == {c for c, v in want.items() if abs(v) > 1e-3} and abs(bias - b) < 1e-6
+    assert all(abs(v - want[c]) < 1e-5 for c, v in zip(cells.tolist(), weights.tolist(), strict=True))
+    twice = docs.unionByName(docs.selectExpr("doc_id", "concat(text, ' zzz grunk') as text"))  # longer: the first ones count
+    again = toxicity.train(twice, labels)
+    assert (again[0] == cells).all() and (again[1] == weights).all() and again[2] == bias
