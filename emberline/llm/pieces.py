@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -140,10 +141,11 @@ class Symbols(dict):
 
 
 class PieceModel(dict):
-    """A model; as a dictionary, the chunks that this process has encoded."""
+    """A model; as a dictionary, the chunks that this process has encoded. When it is full its chunks are `older`, and those that come again stay."""
 
     def __init__(self, data: bytes):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
@@ -314,12 +316,15 @@ class PieceModel(dict):
         return self.symbols[symbol]
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) <= SCANNED and not self.parts:
+        if (known := self.older.get(chunk)) is not None:
+            out = known
+        elif len(chunk) <= SCANNED and not self.parts:
             out = b"".join(map(self.symbols.__getitem__, self._scanned(list(chunk))))
         else:
             out = b"".join(self._spread(s, m) for s, m in self._merged(list(chunk)))
         if len(chunk) <= CACHED_LENGTH:
             if len(self) >= CACHED_CHUNKS:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = out
         return out
@@ -410,34 +415,42 @@ def model(name: str) -> PieceModel:
     return _models[name]
 
 
-ENCODED = "doc_id long, ids array<int>, begins array<int>, ends array<int>"
+ENCODED = StructType([StructField("doc_id", LongType()), *(StructField(c, ArrayType(IntegerType())) for c in ("ids", "begins", "ends"))])
 
 
-def encode(docs: DataFrame, tokenizer: str = MODEL, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, ids, begins, ends): the pieces of each whole text and the bytes of it that each stands for."""
+def encode(docs: DataFrame, tokenizer: str = MODEL, id_column: str = "doc_id", text_column: str = "text", decoded: str | None = None) -> DataFrame:
+    """(doc_id, ids, begins, ends): the pieces of each whole text and the bytes of it that each stands for.
+
+    decoded: a column for the text that the ids stand for, as `decode` gives it, made in the same worker; with `decode` after it, a task
+    has two workers with a model each, and all ids go from one to the other.
+    """
     names, lists = ["doc_id", "ids", "begins", "ends"], pa.list_(pa.int32())
 
-    def made(ids: list, rows: list[tuple]) -> pa.RecordBatch:
+    def made(ids: list, rows: list[tuple], texts: list[str]) -> pa.RecordBatch:
         offsets = pa.array(np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])]).astype(np.int32))
         columns = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([r[c] for r in rows]), pa.int32())) for c in range(3)]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(c.cast(lists) for c in columns)], names)
+        again = [pa.array(texts, pa.string())] if decoded else []
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(c.cast(lists) for c in columns), *again], [*names, decoded][: 4 + len(again)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(tokenizer)
         for batch in batches:
-            ids, rows, held = [], [], 0
+            ids, rows, texts, held = [], [], [], 0
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 found = pieces.encode(text.as_py())
                 if rows and held + len(found[0]) > BATCH_PIECES:
-                    yield made(ids, rows)
-                    ids, rows, held = [], [], 0
+                    yield made(ids, rows, texts)
+                    ids, rows, texts, held = [], [], [], 0
                 ids.append(doc_id.as_py())
                 rows.append(found)
+                if decoded:
+                    texts.append(pieces.decode(found[0].tolist()))
                 held += len(found[0])
             if rows:
-                yield made(ids, rows)
+                yield made(ids, rows, texts)
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, ENCODED)
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    return rows.mapInArrow(run, StructType([*ENCODED, StructField(decoded, StringType())]) if decoded else ENCODED)
 
 
 def decode(encoded: DataFrame, tokenizer: str = MODEL, ids_column: str = "ids", out: str = "decoded") -> DataFrame:

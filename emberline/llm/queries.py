@@ -69,7 +69,7 @@ def op12_lloyd_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_sentencepiece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digest(pieces.decode(pieces.encode(table(spark, sf_dir, "documents"))))
+    return pieces.digest(pieces.encode(table(spark, sf_dir, "documents"), decoded="decoded"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

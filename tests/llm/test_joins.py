@@ -97,3 +97,27 @@ def test_toxicity_learns_from_every_labelled_row(spark):
     twice = docs.unionByName(docs.selectExpr("doc_id", "concat(text, ' zzz grunk') as text"))  # longer: the first ones count
     again = toxicity.train(twice, labels)
     assert (again[0] == cells).all() and (again[1] == weights).all() and again[2] == bias
+
+
+def test_texts_are_encoded_and_decoded_by_one_worker_in_short_batches(spark, small):
+    """Two workers a task, each with a model, and batches of 10,000 texts took more memory than a small executor has."""
+    from emberline.llm import common, pieces
+    from emberline.llm.queries import op13_sentencepiece_spans
+
+    docs = common.table(spark, small, "documents")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert op13_sentencepiece_spans(spark, small)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    both, apart = pieces.encode(docs, decoded="again"), pieces.decode(pieces.encode(docs), out="again")
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, apart.collect()))
+
+
+def test_chunks_that_come_again_outlive_a_full_cache(monkeypatch):
+    from emberline.llm import pieces
+
+    monkeypatch.setattr(pieces, "CACHED_CHUNKS", 50)
+    model = pieces.PieceModel(pieces.Path(__import__("public_tokenizers").path(pieces.MODEL)).read_bytes())
+    first = [model.encode(f"again word{k}")[0].tolist() for k in range(150)]
+    work, model._scanned = model._scanned, lambda symbols: seen.append("".join(symbols)) or work(symbols)
+    seen = []
+    second = [model.encode(f"again word{k}")[0].tolist() for k in range(150)]
+    assert first == second and not any("again" in s for s in seen) and len(model) <= 50 and len(model.older) <= 50
