@@ -45,6 +45,7 @@ FOLDS, HELD_OUT = 5, 0
 _MULTIPLIERS = np.array([pow(0x9E3779B1, k, 1 << 32) for k in range(1, max(ORDERS) + 1)], np.uint32)
 CHUNK = 400_000  # characters hashed at once
 BLOCK_CELLS = 250_000  # cells of texts in a block of the regression
+STEP_ROWS = 50_000  # rows of a task of a step: a few MB
 UNIT = 2.0**50  # the errors of all rows come to 1 at most; in these units their sums are exact
 
 
@@ -214,7 +215,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
         found = labelled_rows(docs, labels, label, folds, held_out).select("doc_id", "text")
     own = found.mapInArrow(placed, "places array<short>, doc_id long")
     rows = own.join(marked(labels, label, folds, held_out).hint("merge"), F.col("doc_id") == F.col("_doc"))
-    rows = stored(rows.groupBy("doc_id").agg(F.max("places").alias("places"), F.max("y").alias("y")).select("places", "y"), "toxicity-places")
+    rows = rows.groupBy("doc_id").agg(F.max("places").alias("places"), F.max("y").alias("y")).select("places", "y")
+    rows = stored(rows.repartition(-(-sum(sizes) // STEP_ROWS)), "toxicity-places")
     r = ratios(clean, toxic, *sizes)
     weight, bias = descent(rows, sizes, r)
     final = weight * r
