@@ -230,6 +230,23 @@ def test_nearest_of_layers(spark):
             assert r[n] is None if want is None else abs(r[n] - want) < 1e-6
 
 
+def test_layers_are_searched_by_their_different_places(spark, monkeypatch):
+    """A layer's points at one place are one: 2,000 points at four places are few, and are broadcast as such."""
+    layer = [(k, 21 + k % 4 * 0.05, 72.0) for k in range(2000)]
+    left = spark.createDataFrame([(k, 21 + k * 0.01, 72.03) for k in range(20)], "id long, lat double, lon double")
+    frames = {"a": spark.createDataFrame(layer, "id long, lat double, lon double")}
+    monkeypatch.setattr("emberline.operators.spatial.BROADCAST_POINTS", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = nearest_of_layers(left, frames, 20_000)
+        assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+        got = {r["id"]: r["a"] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for k in range(20):
+        assert got[k] == pytest.approx(min(metres(21 + k * 0.01, 72.03, x, y) for _, x, y in layer[:4]), abs=1e-6)
+
+
 def test_density_clusters_border_takes_the_lowest(spark):
     step = 300 / 111_320
     rows = [(0, 0.0), (1, 0.1), (2, 0.2), (3, 1.1), (4, 2.0), (5, 2.1), (6, 2.2), (7, 9.0)]
